@@ -15,11 +15,16 @@ BLOCKS = 256
 MAX_BITS = 1 << 29
 
 
-def _places(hashes: np.ndarray, block_bits: int) -> list[np.ndarray]:
+def _spread(hashes: np.ndarray) -> np.ndarray:
+    """Anchors are least values, so their high bits say little; these do."""
     x = hashes * np.uint64(0x9E3779B97F4A7C15)
-    x ^= x >> np.uint64(29)
-    mask, base = np.uint64(block_bits - 1), (hashes >> np.uint64(56)) * np.uint64(block_bits)
-    return [base + ((x >> np.uint64(s)) & mask) for s in (0, 21, 42)]
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def _places(x: np.ndarray, block_bits: int) -> list[np.ndarray]:
+    mask, base = np.uint64(block_bits - 1), (x >> np.uint64(56)) * np.uint64(block_bits)
+    return [base + ((x >> np.uint64(s)) & mask) for s in (0, 17, 34)]
 
 
 class Bloom:
@@ -34,7 +39,7 @@ class Bloom:
         if self.bits is None or not len(hashes):
             return np.zeros(len(hashes), bool)
         out = np.ones(len(hashes), bool)
-        for at in _places(hashes, len(self.bits) * 8 // BLOCKS):
+        for at in _places(_spread(hashes), len(self.bits) * 8 // BLOCKS):
             out &= (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
         return out
 
@@ -47,20 +52,25 @@ def build(df: DataFrame, column: str, keys: int | None = None, max_bits: int = M
         size = min(max_bits, max(1 << 16, 1 << int(16 * keys - 1).bit_length()))
         block = size // BLOCKS
 
+        def deal(batches):
+            for batch in batches:
+                x = _spread(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array((x >> np.uint64(56)).astype(np.int32)), pa.array(x.view(np.int64))], names=["block", "x"])
+
         def fill(batches):
             own: dict[int, np.ndarray] = {}
             for batch in batches:
-                h = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-                for b in np.unique(h >> np.uint64(56)).tolist():
-                    part = h[(h >> np.uint64(56)) == np.uint64(b)]
+                block_of = batch.column(0).to_numpy(zero_copy_only=False)
+                x = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+                for b in np.unique(block_of).tolist():
                     to = own.setdefault(b, np.zeros(block // 8, np.uint8))
-                    for at in _places(part, block):
+                    for at in _places(x[block_of == b], block):
                         at = at - np.uint64(b * block)
                         np.bitwise_or.at(to, (at >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
             for b, x in own.items():
                 yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int32()), "bits": pa.array([x.tobytes()], pa.binary())})
 
-        dealt = df.where(F.col(column).isNotNull()).select(F.col(column).cast("long").alias("h")).repartition(F.shiftrightunsigned("h", 56))
+        dealt = df.where(F.col(column).isNotNull()).select(F.col(column).cast("long").alias("h")).mapInArrow(deal, "block int, x long").repartition("block")
         bits = np.zeros(size // 8, np.uint8)
         for row in dealt.mapInArrow(fill, "block int, bits binary").collect():
             bits[row["block"] * block // 8 : (row["block"] + 1) * block // 8] = np.frombuffer(row["bits"], np.uint8)

@@ -29,13 +29,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reelgraph.llm import anchors, bloom
-from reelgraph.llm.common import field, map_texts, materialize, raw_bytes
+from reelgraph.llm.common import field, map_texts, materialize, raw_bytes, slices
 from reelgraph.llm.cuts import cut, keyed
 
 #: Occurrences of an anchor above which its windows are dealt singly.
 HOT = 100_000
 #: Bytes of distinct pieces sorted at a time (more if one anchor has more).
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 
 def _anchors(part, width: int):
@@ -100,21 +100,21 @@ class SuffixArray:
     def __init__(self, parts: list[bytes], counts: list[int], width: int):
         data = np.frombuffer(b"".join(parts), np.uint8)
         sizes = np.array([len(x) for x in parts])
-        ends = np.cumsum(sizes)
+        ends = np.cumsum(sizes).astype(np.int32)
         self.end = np.repeat(ends, sizes)
-        self.begin = np.repeat(ends - sizes, sizes)
-        self.piece = np.repeat(np.arange(len(parts)), sizes)
-        place = np.arange(len(data))
+        self.begin = np.repeat(ends - sizes, sizes).astype(np.int32)
+        self.piece = np.repeat(np.arange(len(parts), dtype=np.int32), sizes)
+        place = np.arange(len(data), dtype=np.int32)
         eligible = np.flatnonzero(place - self.begin < np.array(counts)[self.piece])
         padded, word = np.append(data, np.zeros(8, np.uint8)), np.zeros(len(data), np.uint64)
         for k in range(8):
             word = word << np.uint64(8) | np.where(place + k < self.end, padded[k : k + len(data)], 0).astype(np.uint64)
-        ranks, step = [(8, np.unique(word, return_inverse=True)[1] + 1)], 8
+        ranks, step = [(8, np.unique(word, return_inverse=True)[1].astype(np.int32) + 1)], 8
         while step < width:
             rank = ranks[-1][1]
             after = np.where(place + step < self.end, np.append(rank, np.zeros(step, rank.dtype))[step : step + len(data)], 0)
             step *= 2
-            ranks.append((step, np.unique(rank * (len(data) + 2) + after, return_inverse=True)[1] + 1))
+            ranks.append((step, np.unique(rank.astype(np.int64) * (len(data) + 2) + after, return_inverse=True)[1].astype(np.int32) + 1))
         self.data = data
         self.order = eligible[np.argsort(ranks[-1][1][eligible], kind="stable")]
         self.common = self._common(ranks, width)
@@ -230,9 +230,7 @@ def maximal_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
 
     def run(batches):
         held, size = [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in slices(whole, "piece", CHUNK // 2)):
             held.append(batch)
             size += batch.nbytes
             if size < CHUNK:

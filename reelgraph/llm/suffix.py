@@ -33,7 +33,7 @@ from reelgraph.llm.common import field, map_texts, materialize, raw_bytes, slice
 from reelgraph.llm.cuts import cut, keyed
 
 #: Occurrences of an anchor above which its windows are dealt singly.
-HOT = 100_000
+HOT = 40_000
 #: Bytes of distinct pieces sorted at a time (more if one anchor has more).
 CHUNK = 1 << 20
 
@@ -95,9 +95,13 @@ def pieces(docs: DataFrame, width: int, seen, hot) -> DataFrame:
 
 
 class SuffixArray:
-    """Enhanced suffix array of the first window starts of some pieces; a common prefix ends where a piece does."""
+    """Enhanced suffix array of the first window starts of some pieces.
 
-    def __init__(self, parts: list[bytes], counts: list[int], width: int):
+    Suffixes are sorted by their first `depth` bytes, the least doubling of 8 that is no less than the
+    window; a common prefix ends there, or where a piece does.
+    """
+
+    def __init__(self, parts: list[bytes], counts: np.ndarray, width: int):
         data = np.frombuffer(b"".join(parts), np.uint8)
         sizes = np.array([len(x) for x in parts])
         ends = np.cumsum(sizes).astype(np.int32)
@@ -105,7 +109,7 @@ class SuffixArray:
         self.begin = np.repeat(ends - sizes, sizes).astype(np.int32)
         self.piece = np.repeat(np.arange(len(parts), dtype=np.int32), sizes)
         place = np.arange(len(data), dtype=np.int32)
-        eligible = np.flatnonzero(place - self.begin < np.array(counts)[self.piece])
+        eligible = np.flatnonzero(place - self.begin < counts[self.piece])
         padded, word = np.append(data, np.zeros(8, np.uint8)), np.zeros(len(data), np.uint64)
         for k in range(8):
             word = word << np.uint64(8) | np.where(place + k < self.end, padded[k : k + len(data)], 0).astype(np.uint64)
@@ -115,7 +119,7 @@ class SuffixArray:
             after = np.where(place + step < self.end, np.append(rank, np.zeros(step, rank.dtype))[step : step + len(data)], 0)
             step *= 2
             ranks.append((step, np.unique(rank.astype(np.int64) * (len(data) + 2) + after, return_inverse=True)[1].astype(np.int32) + 1))
-        self.data = data
+        self.data, self.depth = data, step
         self.order = eligible[np.argsort(ranks[-1][1][eligible], kind="stable")]
         self.common = self._common(ranks, width)
 
@@ -128,13 +132,12 @@ class SuffixArray:
         p, q = p[hit], q[hit]
         room = np.minimum(self.end[p] - p, self.end[q] - q)
         size = np.zeros(len(p), np.int64)
-        steps = [ranks[-1], *ranks[::-1]]
-        for step, rank in steps:
+        for step, rank in ranks[::-1]:
             a, b = np.minimum(p + size, len(self.data) - 1), np.minimum(q + size, len(self.data) - 1)
-            size += np.where((size < room) & (rank[a] == rank[b]), step, 0)
+            size += np.where((size < np.minimum(room, self.depth)) & (rank[a] == rank[b]), step, 0)
         for _ in range(7):
             a, b = np.minimum(p + size, len(self.data) - 1), np.minimum(q + size, len(self.data) - 1)
-            size += (size < room) & (self.data[a] == self.data[b])
+            size += (size < np.minimum(room, self.depth)) & (self.data[a] == self.data[b])
         size = np.minimum(size, room)
         out[hit + 1] = np.where(size >= width, size, 0)
         return out
@@ -160,73 +163,132 @@ class SuffixArray:
         at = self.order
         before = np.where(at > self.begin[at], self.data[np.maximum(at - 1, 0)].astype(np.int64), -1 - self.piece[at])
         change = np.concatenate([[0], np.cumsum(before[1:] != before[:-1])])
-        return found[change[found[:, 1]] > change[found[:, 0]]]
-
-
-def repeats_in(rows: dict, width: int, copies: bool):
-    """Maximal repeats of whole anchor groups: (repeat, length, row, offset, first) arrays. rows: h, order (rank by id, key, start), n, again, piece."""
-    out: list[tuple] = []
-    h, order, counts, again, piece = (rows[k] for k in ("h", "order", "n", "again", "piece"))
+        # a prefix as long as the suffixes are sorted may go on, so what stands to its left does not tell
+        return found[(change[found[:, 1]] > change[found[:, 0]]) | (found[:, 2] >= self.depth)]
+
+
+#: Occurrences of intervals listed at a time.
+_BLOCK = 1 << 20
+
+
+def _collapse(table: pa.Table) -> tuple[np.ndarray, list[list[int]], list[list[int]]]:
+    """(rank by id, key, start; sets of rows with equal pieces; those sets that others of their anchor, or themselves, may overlap), earliest row first."""
+    keys = table.select(["id", "key", "start"])
+    at = pc.sort_indices(keys, [("id", "ascending"), ("key", "ascending"), ("start", "ascending")])
+    keys, differ = keys.take(at), np.zeros(max(0, table.num_rows - 1), bool)
+    for name in keys.column_names:
+        x = keys.column(name).combine_chunks()
+        x, y = x[1:], x[:-1]
+        alike = pc.or_kleene(pc.and_(pc.is_null(x), pc.is_null(y)), pc.fill_null(pc.equal(x, y), False))
+        differ |= ~alike.to_numpy(zero_copy_only=False)
+    order = np.empty(table.num_rows, np.int64)  # rows that share all three are one occurrence
+    order[at.to_numpy()] = np.concatenate([[0], np.cumsum(differ)])[: table.num_rows]
+    h, piece, again = (table.column(k).to_pylist() for k in ("h", "piece", "again"))
     groups: dict[tuple, list[int]] = {}
     for i, x in enumerate(zip(h, piece, strict=True)):
         groups.setdefault(x, []).append(i)
     distinct: dict[int, list] = {}
+    rank = order.tolist()
     for (anchor, _), found in groups.items():
-        found.sort(key=order.__getitem__)
+        if len(found) > 1:
+            found = list({rank[i]: i for i in sorted(found, key=rank.__getitem__)}.values())
         distinct.setdefault(anchor, []).append(found)
+    every = [found for sets in distinct.values() for found in sets]
+    return order, every, [found for sets in distinct.values() if len(sets) > 1 or again[sets[0][0]] for found in sets]
+
+
+class Tree:
+    """The intervals over the first rows of some sets of equal pieces, short prefixes first, with their earliest occurrences."""
+
+    def __init__(self, table: pa.Table, order: np.ndarray, sets: list[list[int]], width: int):
+        lead = np.array([x[0] for x in sets])
+        piece, count = table.column("piece"), table.column("n").to_numpy()[lead]
+        self.array = SuffixArray([piece[int(i)].as_py() for i in lead], count, width)
+        at = self.array.order
+        self.rank = order[lead][self.array.piece[at]] << 32 | (at - self.array.begin[at]).astype(np.int64)
+        nodes = self.array.intervals()
+        self.nodes = nodes[np.argsort(nodes[:, 2], kind="stable")]
+        bounds = np.stack([self.nodes[:, 0], self.nodes[:, 1] + 1], axis=1).ravel()
+        self.first = np.minimum.reduceat(np.append(self.rank, np.iinfo(np.int64).max), bounds)[::2] if len(nodes) else np.zeros(0, np.int64)
+
+    def occurrences(self):
+        """(numbers of nodes, places in the suffix array, whether each is its node's earliest), some nodes at a time."""
+        size = self.nodes[:, 1] - self.nodes[:, 0] + 1
+        total = np.cumsum(size)
+        at = 0
+        while at < len(size):
+            end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + _BLOCK, "right")))
+            node = np.repeat(np.arange(at, end), size[at:end])
+            place = np.arange(len(node)) - np.repeat(total[at:end] - size[at:end] - (total[at - 1] if at else 0), size[at:end]) + self.nodes[node, 0]
+            yield node, place, self.rank[place] == self.first[node]
+            at = end
+
+
+def _named(table: pa.Table, schema: T.StructType, row, columns: dict) -> pa.RecordBatch:
+    take = pa.array(row)
+    columns |= {"id": table.column("id").take(take).combine_chunks(), "key": table.column("key").take(take).combine_chunks()}
+    columns["start"] = pa.array((table.column("start").to_numpy()[row] + columns["start"]).astype(np.int32))
+    if "end" in columns:
+        columns["end"] = pa.array((table.column("start").to_numpy()[row] + columns["end"]).astype(np.int32))
+    return pa.RecordBatch.from_arrays([columns[k] for k in schema.names], names=schema.names)
+
+
+def _listed(table: pa.Table, width: int, schema: T.StructType):
+    """Rows of maximal_repeats for whole anchor groups."""
+    order, every, some = _collapse(table)
+    length = pc.binary_length(table.column("piece")).to_numpy()
+    name = lambda data: np.uint64(xxhash.xxh64_intdigest(data)).view(np.int64)
+    for found in every:
         if len(found) > 1:
-            size, name = len(piece[found[0]]), xxhash.xxh64_intdigest(piece[found[0]])
-            out += [(name, size, i, 0, k == 0) for k, i in enumerate(found)]
-    reps = [found for sets in distinct.values() if len(sets) > 1 or again[sets[0][0]] for found in sets]
-    if reps:
-        lead = [x[0] for x in reps]
-        array = SuffixArray([piece[i] for i in lead], [counts[i] for i in lead], width)
-        tree = array.intervals()
-        if len(tree):
-            at = array.order
-            rank = np.array([order[i] for i in lead], np.int64)[array.piece[at]] << 24 | (at - array.begin[at])
-            bounds = np.stack([tree[:, 0], tree[:, 1] + 1], axis=1).ravel()
-            first = np.minimum.reduceat(np.append(rank, np.iinfo(np.int64).max), bounds)[::2]
-            size = tree[:, 1] - tree[:, 0] + 1
-            each = np.repeat(tree[:, 0] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-            names = np.array([xxhash.xxh64_intdigest(array.data[at[a] : at[a] + n].tobytes()) for a, _, n in tree.tolist()], np.uint64)
-            where, is_first = at[each], rank[each] == np.repeat(first, size)
-            for name, n, k, offset, lead_one in zip(np.repeat(names, size).tolist(), np.repeat(tree[:, 2], size).tolist(), array.piece[where].tolist(), (where - array.begin[where]).tolist(), is_first.tolist(), strict=True):
-                out.append((name, n, reps[k][0], offset, lead_one))
-                if copies:
-                    out += [(name, n, i, offset, False) for i in reps[k][1:]]
-    return out
-
-
-def maximal_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 100, hot: int = HOT, copies: bool = True) -> DataFrame:
-    """(repeat, length, id, key, start, first): occurrences (byte offsets) of each maximal repeat group, the earliest marked.
-
-    copies=False leaves out occurrences that equal pieces account for already; the bytes covered by
-    occurrences other than the first are the same.
-    """
-    docs = keyed(df, id_col, text)
-    counted = materialize(anchor_counts(docs, width), "anchors")
-    seen = bloom.build(counted, "h")
-    many = counted.where(F.col("n") > hot)
-    n_hot = many.count()
-    hot_ones = bloom.build(many, "h", n_hot)
-    schema = T.StructType([
-        T.StructField("repeat", T.LongType(), False), T.StructField("length", T.IntegerType(), False), field(docs, "id"), T.StructField("key", T.LongType(), False),
-        T.StructField("start", T.IntegerType(), False), T.StructField("first", T.BooleanType(), False),
-    ])
-    rows = pieces(docs, width, seen, hot_ones)
-
-    def done(table: pa.Table):
-        ranks = np.empty(table.num_rows, np.int64)
-        ranks[pc.sort_indices(table.select(["id", "key", "start"]), [("id", "ascending"), ("key", "ascending"), ("start", "ascending")]).to_numpy()] = np.arange(table.num_rows)
-        rows = {k: table.column(k).to_pylist() for k in ("h", "n", "again", "piece")}
-        found = repeats_in(rows | {"order": ranks.tolist()}, width, copies)
-        for at in range(0, len(found), 100_000):
-            name, size, row, offset, first = zip(*found[at : at + 100_000], strict=True)
-            take = pa.array(row)
-            start = np.array(table.column("start").to_numpy()[list(row)]) + np.array(offset)
-            cols = [pa.array(np.array(name, np.uint64).view(np.int64)), pa.array(size, pa.int32()), table.column("id").take(take).combine_chunks(), table.column("key").take(take).combine_chunks(), pa.array(start.astype(np.int32)), pa.array(first)]
-            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+            row, n = np.array(found), len(found)
+            first = np.arange(n) == 0
+            yield _named(table, schema, row, {"repeat": pa.array(np.full(n, name(table.column("piece")[found[0]].as_py()))), "length": pa.array(length[row].astype(np.int32)), "start": np.zeros(n, np.int32), "first": pa.array(first)})
+    if not some:
+        return
+    tree = Tree(table, order, some, width)
+    array, copies, firsts = tree.array, np.array([len(x) for x in some]), np.cumsum([0, *map(len, some)])
+    rows = np.concatenate([np.array(x) for x in some])
+    names = np.array([name(array.data[array.order[a] : array.order[a] + n].tobytes()) for a, _, n in tree.nodes.tolist()], np.int64)
+    for node, place, is_first in tree.occurrences():
+        at = array.order[place]
+        piece = array.piece[at]
+        n = copies[piece]
+        which = np.repeat(firsts[piece], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        lead = which == np.repeat(firsts[piece], n)
+        node = np.repeat(node, n)
+        yield _named(table, schema, rows[which], {"repeat": pa.array(names[node]), "length": pa.array(tree.nodes[node, 2].astype(np.int32)), "start": np.repeat(at - array.begin[at], n), "first": pa.array(lead & np.repeat(is_first, n))})
+
+
+def _removed(table: pa.Table, width: int, schema: T.StructType):
+    """(id, key, start, end) runs of bytes that maximal repeats cover at other occurrences than their earliest."""
+    order, every, some = _collapse(table)
+    length = pc.binary_length(table.column("piece")).to_numpy()
+    row = np.array([i for found in every for i in found[1:]], np.int64)
+    if len(row):
+        yield _named(table, schema, row, {"start": np.zeros(len(row), np.int32), "end": length[row]})
+    if not some:
+        return
+    tree = Tree(table, order, some, width)
+    array = tree.array
+    reach = np.zeros(len(array.order), np.int32)
+    for node, place, is_first in tree.occurrences():  # long prefixes come later and stay
+        reach[place[~is_first]] = tree.nodes[node[~is_first], 2]
+    hit = np.flatnonzero(reach)
+    if not len(hit):
+        return
+    change = np.zeros(len(array.data) + 1, np.int32)
+    np.add.at(change, array.order[hit], 1)
+    np.add.at(change, array.order[hit] + reach[hit], -1)
+    inside = np.cumsum(change)[:-1] > 0
+    # a run ends with its piece
+    a = np.flatnonzero(inside & (np.concatenate([[True], ~inside[:-1]]) | (np.arange(len(inside)) == array.begin)))
+    b = np.flatnonzero(inside & (np.concatenate([~inside[1:], [True]]) | (np.arange(1, len(inside) + 1) == array.end))) + 1
+    lead = np.array([x[0] for x in some])
+    yield _named(table, schema, lead[array.piece[a]], {"start": a - array.begin[a], "end": b - array.begin[a]})
+
+
+def _by_anchor(rows: DataFrame, schema: T.StructType, width: int, done) -> DataFrame:
+    """done() over whole anchor groups, about CHUNK bytes of pieces at a time."""
 
     def run(batches):
         held, size = [], 0
@@ -235,18 +297,47 @@ def maximal_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
             size += batch.nbytes
             if size < CHUNK:
                 continue
-            table = pa.Table.from_batches(held)
+            table = pa.Table.from_batches(held).combine_chunks()
             h = table.column("h").to_numpy()
             cut_at = int(np.searchsorted(h, h[-1]))  # the last anchor may go on in the next batch
             if cut_at:
-                yield from done(table.slice(0, cut_at))
-                held = table.slice(cut_at).to_batches()
-                size = sum(x.nbytes for x in held)
+                yield from done(table.slice(0, cut_at), width, schema)
+                held = table.slice(cut_at).combine_chunks().to_batches()
+            size = sum(x.nbytes for x in held) if cut_at else size // 2
         if held:
-            yield from done(pa.Table.from_batches(held))
+            yield from done(pa.Table.from_batches(held).combine_chunks(), width, schema)
+
+    dealt = rows.select("h", "id", "key", "start", "n", "again", "piece").repartition("h").sortWithinPartitions("h")
+    return dealt.mapInArrow(run, schema)
+
+
+def _found(df: DataFrame, id_col: str, text: str, width: int, hot: int) -> tuple[DataFrame, DataFrame | None]:
+    """(pieces of ordinary anchors, windows of hot ones)."""
+    docs = keyed(df, id_col, text)
+    counted = materialize(anchor_counts(docs, width), "anchors")
+    many = counted.where(F.col("n") > hot)
+    n_hot = many.count()
+    rows = pieces(docs, width, bloom.build(counted, "h"), bloom.build(many, "h", n_hot))
+    return rows.where("not hot"), _hot_repeats(rows.where("hot"), width) if n_hot else None
+
+
+def maximal_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 100, hot: int = HOT) -> DataFrame:
+    """(repeat, length, id, key, start, first): all occurrences (byte offsets) of each maximal repeat group, the earliest marked."""
+    rows, hot_rows = _found(df, id_col, text, width, hot)
+    schema = T.StructType([
+        T.StructField("repeat", T.LongType(), False), T.StructField("length", T.IntegerType(), False), field(rows, "id"), T.StructField("key", T.LongType(), False),
+        T.StructField("start", T.IntegerType(), False), T.StructField("first", T.BooleanType(), False),
+    ])
+    out = _by_anchor(rows, schema, width, _listed)
+    return out if hot_rows is None else out.unionByName(hot_rows)
+
 
-    out = rows.where("not hot").select("h", "id", "key", "start", "n", "again", "piece").repartition("h").sortWithinPartitions("h").mapInArrow(run, schema)
-    return out.unionByName(_hot_repeats(rows.where("hot"), width)) if n_hot else out
+def repeated_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 100, hot: int = HOT) -> DataFrame:
+    """(id, key, start, end): runs of bytes that occur earlier; they may overlap."""
+    rows, hot_rows = _found(df, id_col, text, width, hot)
+    schema = T.StructType([field(rows, "id"), T.StructField("key", T.LongType(), False), T.StructField("start", T.IntegerType(), False), T.StructField("end", T.IntegerType(), False)])
+    out = _by_anchor(rows, schema, width, _removed)
+    return out if hot_rows is None else out.unionByName(hot_rows.where("not first").select("id", "key", "start", (F.col("start") + F.col("length")).alias("end")))
 
 
 def _hot_repeats(rows: DataFrame, width: int) -> DataFrame:
@@ -273,7 +364,6 @@ def remove_bytes(text: str, runs: list[tuple[int, int]]) -> tuple[list[int], byt
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 100, hot: int = HOT) -> DataFrame:
     """(id_col, n_bytes, n_removed, n_spans, kept): kept holds the remaining bytes."""
-    found = maximal_repeats(df, id_col, text, width, hot, copies=False).where(~F.col("first"))
-    span = F.struct(F.col("start"), (F.col("start") + F.col("length")).alias("end"))
-    spans = found.groupBy("id", "key").agg(F.collect_set(span).alias("spans"))
+    found = repeated_spans(df, id_col, text, width, hot)
+    spans = found.groupBy("id", "key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     return cut(df, spans, id_col, text, remove_bytes, T.StructField("kept", T.BinaryType(), False), ["n_bytes", "n_removed", "n_spans"])

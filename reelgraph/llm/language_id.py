@@ -74,7 +74,7 @@ class Model:
     def __init__(self, langs: list[str], grams: np.ndarray, lang_of: np.ndarray, n: np.ndarray, max_order: int, max_contexts: int):
         self.langs, self.order = langs, max_order
         last = grams & 255
-        seen = np.unique(last) if len(grams) else np.zeros(0, np.int64)
+        seen = np.unique(np.append(last, 10)) if len(grams) else np.zeros(0, np.int64)  # texts are scored after line feeds
         self.classes = np.zeros(256, np.int32)  # 0: a byte never seen
         self.classes[seen] = np.arange(1, len(seen) + 1)
         width = len(seen) + 1

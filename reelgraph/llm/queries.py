@@ -143,7 +143,7 @@ n AS (SELECT rid, count(DISTINCT q) AS n FROM (SELECT rid, unnest(range(pos, pos
 m AS (SELECT doc_id, t, w, len(ls) AS n_lines, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
     CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
-    length(regexp_replace(t, '\P{{L}}+', '', 'g')) AS letters,
+    length(regexp_replace(t, '\\P{{L}}+', '', 'g')) AS letters,
     len(list_filter(w, lambda x: lower(x) IN ({", ".join(f"'{w}'" for w in dict.fromkeys(quality.STOP_WORDS))}))) AS stops
     FROM d LEFT JOIN n USING (rid)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)

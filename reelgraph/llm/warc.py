@@ -23,6 +23,7 @@ import hashlib
 import struct
 import uuid
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
@@ -30,7 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelgraph.llm.common import shared_dir, slices
+from reelgraph.llm import bloom
+from reelgraph.llm.common import map_texts, materialize, shared_dir, slices
 
 FRAME_BYTES, BUNDLE_BYTES = 1 << 18, 1 << 24
 #: Fixed values of the seekable Zstandard format.
@@ -123,10 +125,23 @@ def seek_table(tail: bytes) -> list[tuple[int, int, int]]:
 def typed(pages: DataFrame, id_col: str, url: str, payload: str, min_bytes: int) -> DataFrame:
     """(id, url, payload, refers_to): refers_to is the response's id for a revisit, else null."""
     rows = pages.select(F.col(id_col).alias("id"), F.col(url).alias("url"), F.coalesce(F.col(payload).cast("binary"), F.lit("").cast("binary")).alias("payload"))
-    rows = rows.withColumn("digest", F.unhex(F.sha1("payload")))
+    rows = rows.withColumn("digest", F.unhex(F.sha1("payload"))).withColumn("h", F.xxhash64("digest"))
     # only payloads that repeat; counted and reduced before the shuffle, so a hot payload is one row per task
-    first = rows.where(F.octet_length("payload") >= min_bytes).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    return rows.join(first, "digest", "left").select("id", "url", "payload", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    first = rows.where(F.octet_length("payload") >= min_bytes).groupBy("digest", "h").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "h", "first")
+    first = materialize(first, "digests")
+    repeated = bloom.build(first, "h")
+
+    def split(wanted: bool):
+        def run(part):
+            mask = repeated.value.has(part.column("h").to_numpy(zero_copy_only=False).view(np.uint64))
+            return part.filter(pa.array(mask if wanted else ~mask)).columns
+
+        return map_texts(rows, run, rows.schema, "payload")
+
+    # payloads that cannot repeat are written where they are read
+    alone = split(False).select("id", "url", "payload", F.lit(None).cast(rows.schema["id"].dataType).alias("refers_to"))
+    joined = split(True).join(first.select("digest", "first"), "digest", "left")
+    return alone.unionByName(joined.select("id", "url", "payload", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to")))
 
 
 def write(pages: DataFrame, directory: str, id_col: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:

@@ -32,7 +32,7 @@ def cell(a: Column, b: Column) -> Column:
     return F.when(real(a).isNotNull() & real(b).isNotNull(), F.concat(a, F.lit(" x "), b))
 
 
-def extract_terms(posts: DataFrame, vlm: str = "vlm", raw: str | None = "vlm_raw", keep: list[str] | None = None) -> DataFrame:
+def extract_terms(posts: DataFrame, vlm: str = "vlm", raw: str | None = "vlm_raw", keep: list[str] | None = None, dedupe: bool = True) -> DataFrame:
     """keep columns with facet, raw_term, prominence and low_conf: one row per post, facet and raw term, the first kept.
 
     posts has the document as struct `vlm` and, where key-absent must be told from null, as JSON text
@@ -65,7 +65,7 @@ def extract_terms(posts: DataFrame, vlm: str = "vlm", raw: str | None = "vlm_raw
     keep = keep or ["post_id"]
     rows = posts.select(*keep, F.size(spoken).alias("_spoken"), low.alias("_low"), F.posexplode(F.concat(spoken, scraped)).alias("ord", "t"))
     rows = rows.select(*keep, "t.facet", "t.raw_term", "t.prominence", "ord", (F.col("_low") & (F.col("ord") < F.col("_spoken"))).alias("low_conf"))
-    return first_terms(rows, keep)
+    return first_terms(rows, keep) if dedupe else rows
 
 
 def first_terms(rows: DataFrame, keys: list[str]) -> DataFrame:

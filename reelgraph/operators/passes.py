@@ -65,7 +65,7 @@ def register_profile(rows: DataFrame, keys: list[str], least: int = 3) -> DataFr
     viewed = rows.withColumn("_m", S.metric(F.col("views")))
     base = viewed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_posts"), F.median("_m").alias("_base"))
     each = viewed.where(S.truthy(F.col("register"))).groupBy(*keys, "register").agg(F.count(F.lit(1)).alias("_n"), F.count("_m").alias("_k"), F.median("_m").alias("_med"))
-    each = each.join(base, keys).withColumn("_ratio", F.when(F.col("_k") >= least, F.exp(F.col("_med") - F.col("_base"))))
+    each = each.join(base, keys).withColumn("_ratio", F.when(F.col("_k") >= least, F.round(F.exp(F.col("_med") - F.col("_base")), 9)))
     best = each.groupBy(*keys).agg(
         F.min_by("register", F.struct(-F.col("_n"), "register")).alias("_modal"),
         F.min_by("register", F.when(F.col("_ratio").isNotNull(), F.struct(-F.col("_ratio"), F.col("register")))).alias("_high"),

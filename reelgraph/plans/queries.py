@@ -254,7 +254,7 @@ def stratified_lift(spark, d):
     return passes.stratified(fx_events(spark, d), S.stratum("k", 15, "lt")).select("world", "term", "n", "n_accounts", *r6("lift"))
 
 
-@query(f"WITH {EVENTS_SQL}, e AS (SELECT world, term, {REGISTERS}[post_id % 8 + 1] AS register, CASE WHEN views <> 0 THEN ln(1 + views) END AS m FROM fx_events), b AS (SELECT world, term, count(*) AS n_posts, median(m) AS b FROM e GROUP BY ALL), x AS (SELECT world, term, register, count(*) AS n, CASE WHEN count(m) >= 3 THEN exp(median(m) - any_value(b)) END AS ratio FROM e JOIN b USING (world, term) GROUP BY world, term, register), y AS (SELECT world, term, first(register ORDER BY n DESC, register) AS modal_register, first(register ORDER BY ratio DESC NULLS LAST, register) AS highest_lift_register FROM x GROUP BY world, term) SELECT world, term, n_posts, modal_register, highest_lift_register, modal_register <> highest_lift_register AS register_mismatch FROM b JOIN y USING (world, term)")
+@query(f"WITH {EVENTS_SQL}, e AS (SELECT world, term, {REGISTERS}[post_id % 8 + 1] AS register, CASE WHEN views <> 0 THEN ln(1 + views) END AS m FROM fx_events), b AS (SELECT world, term, count(*) AS n_posts, median(m) AS b FROM e GROUP BY ALL), x AS (SELECT world, term, register, count(*) AS n, CASE WHEN count(m) >= 3 THEN round(exp(median(m) - any_value(b)), 9) END AS ratio FROM e JOIN b USING (world, term) GROUP BY world, term, register), y AS (SELECT world, term, first(register ORDER BY n DESC, register) AS modal_register, first(register ORDER BY ratio DESC NULLS LAST, register) AS highest_lift_register FROM x GROUP BY world, term) SELECT world, term, n_posts, modal_register, highest_lift_register, modal_register <> highest_lift_register AS register_mismatch FROM b JOIN y USING (world, term)")
 def cluster_profile(spark, d):
     rows = fx_events(spark, d).withColumn("register", F.get(F.array(*map(F.lit, REGISTERS)), (F.col("post_id") % 8).cast("int")))
     return passes.register_profile(rows, ["world", "term"])

@@ -104,3 +104,7 @@ def stratum(field: str, value: str | float, op: str | None = None) -> Column:
     """Equality on a dotted path, or `lt` / `ge` against a number."""
     col = F.col(field)
     return col.cast("string") == str(value) if op is None else {"lt": col < value, "ge": col >= value}[op]
+
+
+def duration_bucket(seconds: Column) -> Column:
+    return F.when(seconds < 8, "<8").when(seconds < 15, "8-15").when(seconds < 30, "15-30").when(seconds.isNotNull(), "30+")

@@ -86,3 +86,60 @@ def account_patterns(peaks: DataFrame, embedded: DataFrame, threshold: float = 0
     pairs = vectors._grouped_pairs(rows, ["account_id"], threshold)
     cc = vectors.connected_components(pairs, "a", "b").select(F.col("node.account_id").alias("account_id"), F.col("node.id").alias("post_id"), F.col("component.id").alias("anchor"))
     return cc.groupBy("account_id", "anchor").agg(F.count(F.lit(1)).alias("size"), F.sort_array(F.collect_list("post_id")).alias("members"))
+
+
+def resonance(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key: posts with views and comments known, and the lift of their median log1p(comments) - log1p(views) over the world's."""
+    rows = rows.where(F.col("comments").isNotNull() & (F.col("views") != 0)).withColumn("_r", F.log1p(F.col("comments").cast("double")) - F.log1p(F.col("views").cast("double")))
+    base = rows.groupBy("world").agg(F.median("_r").alias("_base"))
+    out = rows.groupBy("world", *keys).agg(F.count(F.lit(1)).alias("n_posts"), F.median("_r").alias("resonance"))
+    return out.join(base, "world").withColumn("resonance_lift", F.col("resonance") - F.col("_base")).drop("_base")
+
+
+def dialogue_features(turns: DataFrame, by: str, speaker: str, text: str) -> DataFrame:
+    """Per dialogue: n_turns, words, words_per_turn and speaker_word_ratio, the wordiest speaker's share; a null text has no words, no words no ratio."""
+    words = F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != ""))
+    each = turns.groupBy(by, speaker).agg(F.count(F.lit(1)).alias("_t"), F.sum(words).alias("_w"))
+    out = each.groupBy(by).agg(F.sum("_t").alias("n_turns"), F.sum("_w").alias("n_words"), F.max("_w").alias("_most"))
+    return out.select(by, "n_turns", "n_words", (F.col("n_words") / F.col("n_turns")).alias("words_per_turn"), F.when(F.col("n_words") > 0, F.col("_most") / F.col("n_words")).alias("speaker_word_ratio"))
+
+
+def crosstab3(rows: DataFrame, a: str, b: str, c: str, facet: str) -> DataFrame:
+    """Edges of three-way cells all of whose sides say something."""
+    both = terms.cell(F.col(a), F.col(b))
+    return rows.withColumn("facet", F.lit(facet)).withColumn("raw_term", F.when(both.isNotNull(), terms.cell(both, F.col(c)))).where("raw_term IS NOT NULL")
+
+
+def median_test(rows: DataFrame, group: str, in_group: str) -> DataFrame:
+    """Mood's median test of the metric, rows in a group against the others: counts above the pooled median, difference of medians, chi-square without correction.
+
+    A 2 by 2 table with an empty margin has no chi-square.
+    """
+    rows = rows.where(F.col("metric").isNotNull() & F.col(in_group).isNotNull())
+    rows = rows.join(rows.groupBy(group).agg(F.median("metric").alias("_mid")), group)
+    up, hit = F.col("metric") > F.col("_mid"), F.col(in_group)
+    out = rows.groupBy(group).agg(
+        F.count_if(hit & up).alias("in_above"), F.count_if(hit & ~up).alias("in_below"), F.count_if(~hit & up).alias("out_above"), F.count_if(~hit & ~up).alias("out_below"),
+        (F.median(F.when(hit, F.col("metric"))) - F.median(F.when(~hit, F.col("metric")))).alias("median_gap"),
+    )
+    a, b, c, d = (F.col(x).cast("double") for x in ("in_above", "in_below", "out_above", "out_below"))
+    margins = (a + b) * (c + d) * (a + c) * (b + d)
+    return out.withColumn("chi_square", F.when(margins > 0, (a + b + c + d) * (a * d - b * c) * (a * d - b * c) / margins))
+
+
+def format_signature(rows: DataFrame, combination: str = "combination", least: int = 3) -> DataFrame:
+    """Per account with `least` posts: its commonest combination (ties: smaller), that one's share, and the effective number of combinations."""
+    each = rows.where(S.truthy(F.col(combination))).groupBy("account_id", combination).agg(F.count(F.lit(1)).alias("_n"))
+    out = each.groupBy("account_id").agg(
+        F.sum("_n").alias("n_posts"), F.min_by(combination, F.struct(-F.col("_n"), F.col(combination))).alias("signature"), F.max("_n").alias("_most"),
+        (F.pow(F.sum("_n"), 2) / F.sum(F.col("_n") * F.col("_n"))).alias("effective"),
+    )
+    return out.where(F.col("n_posts") >= least).withColumn("share", F.col("_most") / F.col("n_posts")).drop("_most")
+
+
+def caption_mismatch(rows: DataFrame, caption: str, summary: str, least: float = 0.1) -> DataFrame:
+    """rows with overlap, the share of the caption's distinct words that the summary has, and mismatch where it is below `least`; a side without words has neither."""
+    words = lambda c: F.array_distinct(F.filter(F.split(S.query_text(F.coalesce(c, F.lit(""))), " +"), lambda w: w != ""))
+    mine, theirs = words(F.col(caption)), words(F.col(summary))
+    overlap = F.when((F.size(mine) > 0) & (F.size(theirs) > 0), F.size(F.array_intersect(mine, theirs)) / F.size(mine))
+    return rows.withColumn("overlap", overlap).withColumn("mismatch", F.col("overlap") < least)

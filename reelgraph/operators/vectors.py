@@ -119,7 +119,10 @@ def average_linkage(vectors: DataFrame, by: list[str], id_col: str, vector: str,
 
 
 def _grouped_pairs(rows: DataFrame, by: list[str], least: float) -> DataFrame:
-    """Pairs of keys k within a group, by group and block."""
+    """(a, b, sim), each pair of keys once, within a group, by group and block.
+
+    sim is 1 - d*d/2 of the Euclidean distance d, which for vectors of length one is their cosine.
+    """
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     sizes = rows.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
     rows = rows.where("v IS NOT NULL").join(sizes, by).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -129,14 +132,17 @@ def _grouped_pairs(rows: DataFrame, by: list[str], least: float) -> DataFrame:
     def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, own, m = pdf["id"].to_numpy(), pdf["own"].to_numpy(), np.stack(pdf["v"].to_numpy())
         lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
-        i, j = np.nonzero(((m @ m.T) >= least) & (own[:, None] == lo) & (own[None, :] == hi))
-        keep = ids[i] != ids[j]
-        out = pdf[by].iloc[np.zeros(int(keep.sum()), int)].reset_index(drop=True)
-        out["x"], out["y"] = ids[i[keep]], ids[j[keep]]
+        half = (m * m).sum(axis=1) / 2
+        sims = m @ m.T + (1 - half[:, None] - half[None, :])
+        i, j = np.nonzero((sims >= least) & (own[:, None] == lo) & (own[None, :] == hi))
+        keep = ids[i] != ids[j] if lo != hi else ids[i] < ids[j]
+        i, j = i[keep], j[keep]
+        out = pdf[by].iloc[np.zeros(len(i), int)].reset_index(drop=True)
+        out["x"], out["y"], out["sim"] = ids[i], ids[j], sims[i, j]
         return out
 
-    found = rows.groupBy(*by, "lo", "hi").applyInPandas(multiply, ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in by), f"x {kind}, y {kind}"]))
-    return found.select(F.struct(*by, F.col("x").alias("id")).alias("a"), F.struct(*by, F.col("y").alias("id")).alias("b"))
+    found = rows.groupBy(*by, "lo", "hi").applyInPandas(multiply, ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in by), f"x {kind}, y {kind}, sim double"]))
+    return found.select(F.struct(*by, F.col("x").alias("id")).alias("a"), F.struct(*by, F.col("y").alias("id")).alias("b"), "sim")
 
 
 def upgma(unit_vectors: np.ndarray, threshold: float) -> np.ndarray:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reelgraph.functions import scalars as S
-from reelgraph.operators import overrides, passes, rank, stats, terms, vectors
+from reelgraph.operators import density, layout, overrides, passes, rank, sentences, stats, terms, vectors
+from reelgraph.plans import rollup as composed
 from reelgraph.sources import sinks
 
 THETA = 0.35
@@ -394,3 +395,106 @@ def prose_blob(spark, d):
     return rows.select("post_id", S.prose(F.col("world"), F.col("format"), F.transform("ps", lambda p: p["topic"]), F.col("ps")).alias("blob"))
 
 
+
+
+@query(f"WITH {POSTS_SQL}, n AS (SELECT l_orderkey AS post_id, count(*) AS comments FROM lineitem GROUP BY ALL), x AS (SELECT world, format, ln(1 + comments) - ln(1 + views) AS r FROM fx_posts JOIN n USING (post_id) WHERE views <> 0), b AS (SELECT world, median(r) AS b FROM x GROUP BY world) SELECT world, format, count(*) AS n_posts, round(median(r), 6) AS resonance, round(median(r) - any_value(b), 6) AS resonance_lift FROM x JOIN b USING (world) GROUP BY world, format")
+def resonance(spark, d):
+    """Order lines stand for comments."""
+    n = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("post_id")).agg(F.count(F.lit(1)).alias("comments"))
+    return passes.resonance(fx_posts(spark, d).join(n, "post_id"), ["format"]).select("world", "format", "n_posts", *r6("resonance", "resonance_lift"))
+
+
+@query("SELECT event_type AS world, CASE WHEN value < 8 THEN '<8' WHEN value < 15 THEN '8-15' WHEN value < 30 THEN '15-30' ELSE '30+' END AS bucket, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY ALL")
+def duration_buckets(spark, d):
+    rows = t(spark, d, "events").where("value IS NOT NULL")
+    return rows.groupBy(F.col("event_type").alias("world"), S.duration_bucket(F.col("value")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("WITH e AS (SELECT conv_id, role, count(*) AS t, sum(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> ''))) AS w FROM conversations GROUP BY ALL) SELECT conv_id, CAST(sum(t) AS BIGINT) AS n_turns, CAST(sum(w) AS BIGINT) AS n_words, round(sum(w) / sum(t), 6) AS words_per_turn, CASE WHEN sum(w) > 0 THEN round(max(w) / sum(w), 6) END AS speaker_word_ratio FROM e GROUP BY conv_id")
+def dialogue_features(spark, d):
+    return passes.dialogue_features(t(spark, d, "conversations"), "conv_id", "role", "text").select("conv_id", "n_turns", "n_words", *r6("words_per_turn", "speaker_word_ratio"))
+
+
+@query(f"WITH {POSTS_SQL}, x AS (SELECT world, metric, {REGISTERS}[post_id % 8 + 1] AS a, {CONFLICTS}[post_id % 12 + 1] AS b FROM fx_posts) SELECT world, b || ' x ' || a || ' x ' || CASE WHEN length(b) % 2 = 0 THEN 'open' ELSE 'closed' END AS raw_term, count(*) AS n, round(median(metric), 6) AS median_m FROM x WHERE a <> 'not_applicable' AND b <> 'not_applicable' GROUP BY ALL")
+def crosstab3_cells(spark, d):
+    pick = lambda values, n: F.get(F.array(*map(F.lit, values)), (F.col("post_id") % n).cast("int"))
+    rows = fx_posts(spark, d).withColumns({"register": pick(REGISTERS, 8), "conflict": pick(CONFLICTS, 12)})
+    rows = rows.withColumn("resolution", F.when(F.length("conflict") % 2 == 0, "open").otherwise("closed"))
+    out = passes.crosstab3(rows, "conflict", "register", "resolution", "conflict_x_register_x_resolution")
+    return out.groupBy("world", "raw_term").agg(F.count(F.lit(1)).alias("n"), F.round(F.median(S.metric(F.col("views"))), 6).alias("median_m"))
+
+
+@query(f"""WITH {POSTS_SQL}, {PRODUCTS_SQL}, h AS (SELECT post_id, bool_or(acquisition_cost = 'free') AS hit FROM fx_products GROUP BY post_id), x AS (SELECT world, metric, hit, median(metric) OVER (PARTITION BY world) AS mid FROM fx_posts JOIN h USING (post_id) WHERE views <> 0),
+g AS (SELECT world, count(*) FILTER (WHERE hit AND metric > mid) AS in_above, count(*) FILTER (WHERE hit AND metric <= mid) AS in_below, count(*) FILTER (WHERE NOT hit AND metric > mid) AS out_above, count(*) FILTER (WHERE NOT hit AND metric <= mid) AS out_below, median(metric) FILTER (WHERE hit) - median(metric) FILTER (WHERE NOT hit) AS gap FROM x GROUP BY world),
+m AS (SELECT *, (in_above + in_below)::DOUBLE * (out_above + out_below) * (in_above + out_above) * (in_below + out_below) AS p FROM g)
+SELECT world, in_above, in_below, out_above, out_below, round(gap, 6) AS median_gap, CASE WHEN p > 0 THEN round((in_above + in_below + out_above + out_below) * (in_above::DOUBLE * out_below - in_below::DOUBLE * out_above) ** 2 / p, 6) END AS chi_square FROM m""")
+def free_median_test(spark, d):
+    """Posts with a free product against the others."""
+    hit = fx_products(spark, d).groupBy("post_id").agg(F.bool_or(F.col("acquisition_cost") == "free").alias("hit"))
+    rows = fx_posts(spark, d).withColumn("metric", S.metric(F.col("views"))).join(hit, "post_id")
+    return passes.median_test(rows, "world", "hit").select("world", "in_above", "in_below", "out_above", "out_below", *r6("median_gap", "chi_square"))
+
+
+@query(f"WITH {POSTS_SQL}, e AS (SELECT account_id, format AS c, count(*) AS n FROM fx_posts GROUP BY ALL) SELECT account_id, CAST(sum(n) AS BIGINT) AS n_posts, first(c ORDER BY n DESC, c) AS signature, round(sum(n) * sum(n) / sum(n * n), 6) AS effective, round(max(n) / sum(n), 6) AS share FROM e GROUP BY account_id HAVING sum(n) >= 3")
+def format_signature(spark, d):
+    return passes.format_signature(fx_posts(spark, d), "format").select("account_id", "n_posts", "signature", *r6("effective", "share"))
+
+
+@query(f"""WITH {POSTS_SQL}, {PRODUCTS_SQL}, w AS (SELECT world, trim(regexp_replace(lower(q), '[^a-z0-9 ]', '', 'g'), ' ') AS query FROM (SELECT world, topic AS q FROM fx_products JOIN fx_posts USING (post_id) UNION ALL SELECT world, name FROM fx_products JOIN fx_posts USING (post_id)))
+SELECT DISTINCT world, query FROM w WHERE query <> '' AND (world, query) NOT IN (SELECT world, trim(regexp_replace(lower(topic), '[^a-z0-9 ]', '', 'g'), ' ') FROM fx_products JOIN fx_posts USING (post_id) WHERE acquisition_cost = 'free')""")
+def crawl_round(spark, d):
+    """The next queries, where topics of free products were asked before."""
+    rows = fx_products(spark, d).join(fx_posts(spark, d).select("post_id", "world", "account_id"), "post_id")
+    queries = rows.where("acquisition_cost = 'free'").select(F.concat_ws(":", "world", "topic").alias("query_id"), "world", F.col("topic").alias("query")).distinct()
+    found = rows.select(F.concat_ws(":", "world", "topic").alias("query_id"), F.col("account_id").alias("handle"))
+    evidence = rows.select("world", F.lit("topic").alias("kind"), F.col("topic").alias("value"))
+    proposals = rows.select("world", F.explode(F.array("topic", "name")).alias("query"))
+    return composed.crawl_round(queries, found, rows.where("prominence = 'hero'").select(F.col("account_id").alias("handle")), evidence, proposals)[2]
+
+
+@query()
+def rollup(spark, d):
+    """All of the rebuild over products: terms that begin with b are nested under the first of their world, those with c dropped."""
+    edges = fx_edges(spark, d)
+    rows = edges.select("world", "facet", "norm_term").distinct().where("norm_term LIKE 'b%' OR norm_term LIKE 'c%'")
+    first = rows.where("norm_term LIKE 'b%'").groupBy("world", "facet").agg(F.min("norm_term").alias("target_term"))
+    rows = rows.join(first, ["world", "facet"]).withColumn("action", F.when(F.col("norm_term").startswith("c"), "drop").when(F.col("norm_term") != F.col("target_term"), "child_of"))
+    return composed.rollup(edges, fx_posts(spark, d), rows.where("action IS NOT NULL"))[0]
+
+
+def fx_turns(spark, d):
+    """Conversation turns as posts: roles are worlds, conversations accounts, and the text's length the views."""
+    rows = t(spark, d, "conversations").select(
+        F.col("conv_id").alias("account_id"), (F.col("conv_id") * 100_000 + F.col("turn")).alias("post_id"), F.col("role").alias("world"), "text", F.col("text").alias("transcript"),
+        S.metric(F.length("text")).alias("metric"),
+    )
+    return rows.join(rows.groupBy("world").agg(F.median("metric").alias("world_median")), "world")
+
+
+@query()
+def near_dedupe(spark, d):
+    return sentences.near_dedupe(fx_turns(spark, d), ["world"], "post_id", "text", "transcript")
+
+
+@query()
+def sentence_clusters(spark, d):
+    return sentences.sentence_clusters(fx_turns(spark, d), ["world"], dims=100)[0]
+
+
+@query()
+def sentence_tags(spark, d):
+    """As advice is clustered: by average linkage."""
+    return sentences.sentence_clusters(fx_turns(spark, d), ["world"], threshold=0.45)[1]
+
+
+@query()
+def density_clusters(spark, d):
+    rows = t(spark, d, "embeddings").withColumn("v", vectors.unit(F.col("embedding"))).withColumn("g", F.lit(0))
+    return density.density_clusters(rows, ["g"], "vec_id", "v").drop("g")
+
+
+@query()
+def map_layout(spark, d):
+    rows = t(spark, d, "embeddings")
+    routed = vectors.route(rows, _worlds(spark, d), "vec_id", "embedding").join(rows.select("vec_id", "embedding"), "vec_id")
+    return layout.layout(layout.positions(routed, _worlds(spark, d), "vec_id", "embedding"))

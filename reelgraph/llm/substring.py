@@ -4,8 +4,9 @@ Words are runs between ASCII white space, unchanged. Rabin-Karp hashes of every
 over 64-bit word hashes, by prefix sums) are counted in Spark; the windows that repeat merge into
 maximal intervals, all of whose words are removed from every occurrence, the first included. Windows
 are judged on the input. Before that, a pass over all texts counts anchors (see anchors.py) and rules
-out windows that cannot repeat. Counts are summed in the tasks before their shuffle, and the join back
-is one that AQE may split, so a window that a third of all documents share is never gathered.
+out windows that cannot repeat. Counts are summed in the tasks before their shuffle, and in the join
+back frequent windows are split (see skew.py), so one that a third of all documents share is never
+gathered.
 
 Hashes have 64 bits: among n windows with repeated anchors, two different ones are taken for equal
 with a chance of about n * n / 2 ** 65 (3e-5 for 35 million).
@@ -26,6 +27,7 @@ from pyspark.sql import types as T
 from reelgraph.llm import anchors, bloom
 from reelgraph.llm.common import field, map_texts, materialize, raw_bytes
 from reelgraph.llm.cuts import cut, keyed
+from reelgraph.llm.skew import join_counted
 
 _SOLID = np.ones(256, bool)
 _SOLID[[0x20, *range(0x09, 0x0E)]] = False
@@ -81,8 +83,8 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", wi
     docs = keyed(df, id_col, text)
     seen = bloom.build(materialize(anchor_counts(docs, width).select("h"), "anchors"), "h")
     rows = window_rows(docs, width, seen)
-    again = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    hits = rows.join(again, "h", "left_semi")
+    again = materialize(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "windows")
+    hits = join_counted(rows, again, ["h"])
     return hits.groupBy("id", "key").agg(F.collect_set("pos").alias("pos")).select("id", "key", F.transform("pos", lambda p: F.struct(p.alias("start"), (p + width).alias("end"))).alias("spans"))
 
 

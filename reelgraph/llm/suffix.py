@@ -11,7 +11,8 @@ extended to the left; it is a maximal repeat group, and it is reported with all
 Removal keeps the earliest occurrence of each string of `width` bytes: by id, then position.
 
 An anchor with more than `hot` occurrences does not go to one task: its windows are taken singly, and
-the first occurrence of each is a minimum that is aggregated before the shuffle and joined back.
+the first occurrence of each is a minimum that is aggregated before the shuffle and joined back, with
+frequent windows split (see skew.py).
 
 Cases: a null text is empty; texts shorter than the window keep all; rows that share id and text are
 one document (none is earlier than the other); of rows that share the id alone the smaller text key
@@ -31,6 +32,7 @@ from pyspark.sql import types as T
 from reelgraph.llm import anchors, bloom
 from reelgraph.llm.common import field, map_texts, materialize, raw_bytes, slices
 from reelgraph.llm.cuts import cut, keyed
+from reelgraph.llm.skew import join_counted
 
 #: Occurrences of an anchor above which its windows are dealt singly.
 HOT = 40_000
@@ -347,9 +349,9 @@ def _hot_repeats(rows: DataFrame, width: int) -> DataFrame:
     single = single.withColumns({"repeat": F.xxhash64("w"), "check": F.unhex(F.md5("w"))}).drop("w")
     # a null id sorts last
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "key", "start")
-    first = single.groupBy("repeat", "check").agg(F.min(rank).alias("least"), F.count(F.lit(1)).alias("m")).where("m > 1").select("repeat", "check", "least")
+    first = single.groupBy("repeat", "check").agg(F.min(rank).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
     is_first = F.col("id").eqNullSafe(F.col("least.id")) & (F.col("key") == F.col("least.key")) & (F.col("start") == F.col("least.start"))
-    return single.join(first, ["repeat", "check"]).select("repeat", F.lit(width).alias("length"), "id", "key", "start", is_first.alias("first"))
+    return join_counted(single, materialize(first, "windows"), ["repeat", "check"]).select("repeat", F.lit(width).alias("length"), "id", "key", "start", is_first.alias("first"))
 
 
 def remove_bytes(text: str, runs: list[tuple[int, int]]) -> tuple[list[int], bytes]:

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from reelgraph.llm import decontaminate, simhash, substring, suffix
+from reelgraph.llm import decontaminate, simhash, skew, substring, suffix
 
 SCHEMA = "doc_id long, text string, key string, id string, n long"
 
@@ -50,6 +50,17 @@ def test_substring_matches_brute_force(spark, docs):
     assert ordered(got) == ordered(want)
 
 
+def test_frequent_keys_are_split(spark, docs, monkeypatch):
+    rows = spark.createDataFrame([(k, i) for k, n in ((1, 900), (2, 80), (3, 20), (4, 1)) for i in range(n)], "h long, pos int").repartition(3)
+    counted = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    got = skew.join_counted(rows, counted.withColumn("x", F.col("h") * 10), ["h"], share=20).collect()
+    assert sorted(tuple(r) for r in got) == sorted((r["h"], r["pos"], r["h"] * 10) for r in rows.where("h < 4").collect())
+    assert skew.join_counted(rows, counted.where("false"), ["h"]).count() == 0
+    monkeypatch.setattr(skew, "SHARE", 200)  # many windows of the small table are split then
+    test_substring_matches_brute_force(spark, docs)
+    test_suffix_matches_brute_force(spark, docs, 30, 3)
+
+
 def brute_bytes(rows, width):
     """Rows that share id and text count as one document; ids that repeat are ordered by their text's key."""
     docs = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, r[1]))

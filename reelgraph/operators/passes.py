@@ -75,6 +75,30 @@ def register_profile(rows: DataFrame, keys: list[str], least: int = 3) -> DataFr
     return out.withColumn("register_mismatch", F.coalesce(F.col("modal_register") != F.col("highest_lift_register"), F.lit(False))).drop("_base", "_modal", "_high")
 
 
+def register_ratios(rows: DataFrame, keys: list[str], least: int = 3) -> DataFrame:
+    """Long (keys.., register, n, view_ratio): a register's median views against its cluster's, where `least` of its posts have views."""
+    viewed = rows.withColumn("_m", S.metric(F.col("views"))).where("_m IS NOT NULL")
+    base = viewed.groupBy(*keys).agg(F.median("_m").alias("_base"))
+    each = viewed.where(S.truthy(F.col("register"))).groupBy(*keys, "register").agg(F.count(F.lit(1)).alias("n"), F.median("_m").alias("_med")).where(F.col("n") >= least)
+    return each.join(base, keys).select(*keys, "register", "n", F.exp(F.col("_med") - F.col("_base")).alias("view_ratio"))
+
+
+def pattern_labels(members: DataFrame, products: DataFrame, keys: list[str], field: str = "format") -> DataFrame:
+    """Per group of posts: names (each `brand name`, repeats kept, sorted), topics with counts, most frequent first, and the modal value of a field.
+
+    members (keys.., post_id, field), products (post_id, name, brand, topic). Filler and empty values are no modal
+    value; ties go to the smaller string.
+    """
+    rows = members.select(*keys, "post_id").join(products, "post_id")
+    shown = F.when(S.truthy(F.col("brand")), F.concat("brand", F.lit(" "), "name")).otherwise(F.col("name"))
+    names = rows.where(S.truthy(F.col("name"))).groupBy(*keys).agg(F.sort_array(F.collect_list(shown)).alias("names"))
+    counts = rows.where(S.truthy(F.col("topic"))).groupBy(*keys, "topic").agg(F.count(F.lit(1)).alias("_n"))
+    topics = counts.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("_n")).alias("o"), "topic"))), lambda t: F.struct(t["topic"].alias("topic"), (-t["o"]).alias("n"))).alias("topics"))
+    values = members.where(terms.real(F.col(field)).isNotNull()).groupBy(*keys, field).agg(F.count(F.lit(1)).alias("_n"))
+    modal = values.groupBy(*keys).agg(F.min_by(field, F.struct(-F.col("_n"), F.col(field))).alias(f"modal_{field}"))
+    return members.select(*keys).distinct().join(names, keys, "left").join(topics, keys, "left").join(modal, keys, "left")
+
+
 def crosstab(rows: DataFrame, a: str, b: str, facet: str) -> DataFrame:
     """Edges of cross-tab cells whose sides both say something."""
     return rows.withColumn("facet", F.lit(facet)).withColumn("raw_term", terms.cell(F.col(a), F.col(b))).where("raw_term IS NOT NULL")

@@ -44,6 +44,16 @@ def cooccurrence(edges: DataFrame, top: int = 5) -> DataFrame:
     return best.join(sizes, ["world", "facet", "term"]).withColumn("share", F.round(F.col("shared_posts") / F.col("n"), 3)).drop("n")
 
 
+def merge_candidates(edges: DataFrame, stats: DataFrame, min_posts: int = 6, min_accounts: int = 4, top: int = 5) -> DataFrame:
+    """Ranked terms put up for decision: their norm_terms, variants and the terms that share most posts with them, each sorted."""
+    keys = ["world", "facet", "canon_term"]
+    rows = stats.where((F.col("n_posts") >= min_posts) & (F.col("n_accounts") >= min_accounts)).select(*keys, "n_posts", "n_accounts", "variants")
+    norms = edges.groupBy(*keys).agg(F.array_sort(F.collect_set("norm_term")).alias("norm_terms"))
+    near = cooccurrence(edges, top).groupBy("world", "facet", F.col("term").alias("canon_term"))
+    near = near.agg(F.array_sort(F.collect_list(F.struct("rn", F.col("other").alias("term"), "shared_posts", "share"))).alias("co_occurring"))
+    return rows.join(norms, keys).join(near, keys, "left")
+
+
 def budget_prefix(rows: DataFrame, by: list[str], order: str, size: str, limit: int, most: int = 10_000) -> DataFrame:
     """Per group the longest prefix (by order) whose sizes sum to the limit at most; one row at least, `most` rows at most."""
     run = Window.partitionBy(*by).orderBy(order)

@@ -498,3 +498,44 @@ def map_layout(spark, d):
     rows = t(spark, d, "embeddings")
     routed = vectors.route(rows, _worlds(spark, d), "vec_id", "embedding").join(rows.select("vec_id", "embedding"), "vec_id")
     return layout.layout(layout.positions(routed, _worlds(spark, d), "vec_id", "embedding"))
+
+
+@query(f"WITH {EVENTS_SQL}, e AS (SELECT world, term, {REGISTERS}[post_id % 8 + 1] AS register, ln(1 + views) AS m FROM fx_events WHERE views <> 0), b AS (SELECT world, term, median(m) AS b FROM e GROUP BY ALL) SELECT world, term, register, count(*) AS n, round(exp(median(m) - any_value(b)), 6) AS view_ratio FROM e JOIN b USING (world, term) GROUP BY world, term, register HAVING count(*) >= 3")
+def cluster_view_ratio(spark, d):
+    rows = fx_events(spark, d).withColumn("register", F.get(F.array(*map(F.lit, REGISTERS)), (F.col("post_id") % 8).cast("int")))
+    return passes.register_ratios(rows, ["world", "term"]).select("world", "term", "register", "n", *r6("view_ratio"))
+
+
+@query(f"""WITH {POSTS_SQL}, {PRODUCTS_SQL}, fx AS (SELECT * FROM fx_posts), {PEAKS_SQL}, i AS (SELECT account_id, brand || ' ' || name AS name, topic FROM p JOIN fx_products USING (post_id)), n AS (SELECT account_id, string_agg(name, ', ' ORDER BY name) AS names FROM i GROUP BY account_id),
+c AS (SELECT account_id, topic, count(*) AS k FROM i GROUP BY ALL), t AS (SELECT account_id, string_agg(topic || ':' || k, ', ' ORDER BY k DESC, topic) AS topics FROM c GROUP BY account_id), f AS (SELECT account_id, first(format ORDER BY k DESC, format) AS modal_format FROM (SELECT account_id, format, count(*) AS k FROM p GROUP BY ALL) GROUP BY account_id)
+SELECT account_id, names, topics, modal_format FROM f LEFT JOIN n USING (account_id) LEFT JOIN t USING (account_id)""")
+def peak_labels(spark, d):
+    out = passes.pattern_labels(rank.peaks(fx_posts(spark, d))[0], fx_products(spark, d).select("post_id", "name", "brand", "topic"), ["account_id"])
+    topics = F.array_join(F.transform("topics", lambda x: F.concat_ws(":", x["topic"], x["n"].cast("string"))), ", ")
+    return out.select("account_id", F.array_join("names", ", ").alias("names"), topics.alias("topics"), "modal_format")
+
+
+@query(f"""WITH {RANKED_SQL.replace('GROUP BY ALL HAVING', 'GROUP BY e.world, facet, canon_term HAVING')}, p AS (SELECT DISTINCT world, post_id, canon_term FROM edges), s AS (SELECT a.world, a.canon_term, b.canon_term AS other, count(*) AS n FROM p a JOIN p b ON a.world = b.world AND a.post_id = b.post_id AND a.canon_term <> b.canon_term GROUP BY ALL),
+near AS (SELECT world, canon_term, string_agg(other || ':' || n, ', ' ORDER BY n DESC, other) AS near FROM (SELECT *, row_number() OVER (PARTITION BY world, canon_term ORDER BY n DESC, other) AS rn FROM s) WHERE rn <= 5 GROUP BY ALL), v AS (SELECT world, canon_term, string_agg(DISTINCT raw_term, ', ' ORDER BY raw_term) AS variants FROM edges WHERE NOT low_conf AND prominence <> 'incidental' GROUP BY ALL)
+SELECT world, canon_term, n_posts, n_accounts, canon_term AS norm_terms, variants, near FROM g JOIN v USING (world, canon_term) LEFT JOIN near USING (world, canon_term) WHERE n_posts >= 6 AND n_accounts >= 4""")
+def merge_candidates(spark, d):
+    out = rank.merge_candidates(fx_edges(spark, d), _ranked(spark, d))
+    near = F.array_join(F.transform("co_occurring", lambda x: F.concat_ws(":", x["term"], x["shared_posts"].cast("string"))), ", ")
+    return out.select("world", "canon_term", "n_posts", "n_accounts", F.array_join("norm_terms", ", ").alias("norm_terms"), F.array_join("variants", ", ").alias("variants"), near.alias("near"))
+
+
+@query(f"WITH {RANKED_SQL.replace('GROUP BY ALL HAVING', 'GROUP BY e.world, facet, canon_term HAVING')}, a AS (SELECT world, canon_term, n_posts, n_accounts FROM g), b AS (SELECT * FROM a WHERE n_posts >= 6 AND n_accounts >= 4 UNION ALL SELECT world, canon_term || '!', n_posts, n_accounts FROM a WHERE n_posts > 20) SELECT *, 'before' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'after' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)")
+def snapshot_diff(spark, d):
+    """Ranked terms against those above higher floors, with large ones renamed besides."""
+    before = _ranked(spark, d).select("world", "canon_term", "n_posts", "n_accounts")
+    high = before.where("n_posts >= 6 AND n_accounts >= 4")
+    return overrides.snapshot_diff(before, high.unionByName(before.where("n_posts > 20").withColumn("canon_term", F.concat("canon_term", F.lit("!")))))
+
+
+@query(f"WITH {EDGES_SQL}, x AS (SELECT DISTINCT world, facet, canon_term FROM edges), r AS (SELECT DISTINCT canon_term AS term, min(canon_term) OVER (PARTITION BY left(canon_term, 1)) AS target FROM x), k AS (SELECT term AS canon_term, target AS target_term FROM r WHERE term <> target UNION SELECT target, target FROM r WHERE term <> target) SELECT world, facet, canon_term AS norm_term, 'merge' AS action, target_term FROM x JOIN k USING (canon_term)")
+def override_expand(spark, d):
+    """Terms merged into the first, of any world, that begins alike; per norm_term."""
+    edges = fx_edges(spark, d)
+    every = edges.select(F.col("canon_term").alias("term")).distinct().withColumn("c", F.substring("term", 1, 1))
+    rows = every.join(every.groupBy("c").agg(F.min("term").alias("target")), "c").where("term <> target").withColumn("action", F.lit("merge"))
+    return overrides.expand(overrides.resolve(rows), edges)

@@ -89,3 +89,12 @@ def listed_ids(spark: SparkSession, path: str) -> DataFrame:
     """Ids of files in a folder whose name is a UUID; contents are not read."""
     name = F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1)
     return spark.read.format("binaryFile").load(path).select(name.alias("post_id")).where(F.col("post_id").rlike(UUID)).distinct()
+
+
+def described(responses: DataFrame, registered: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(post_id, vlm, vlm_raw) of responses (post_id, file_name, error, raw) that name a registered (post_id, file_name) and hold a document; and the rest."""
+    raw = S.strip_nul(F.col("raw"))
+    rows = responses.join(registered.select("post_id", "file_name").distinct().withColumn("_known", F.lit(True)), ["post_id", "file_name"], "left")
+    rows = rows.withColumns({"vlm_raw": raw, "vlm": F.when(F.json_object_keys(raw).isNotNull(), F.from_json(raw, VLM))})
+    good = F.col("_known").isNotNull() & F.col("error").isNull() & F.col("vlm").isNotNull()
+    return rows.where(good).select("post_id", "vlm", "vlm_raw"), rows.where(~good).select(*responses.columns)

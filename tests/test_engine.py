@@ -120,3 +120,15 @@ def test_floors_and_split(spark):
     assert got == {"k": ("new", True), "j": ("", True)}
     assert rank.peaks(spark.createDataFrame([(1, 1, 0), (2, 1, None)], "post_id long, account_id long, views long"))[0].count() == 0
     assert passes.DISCOUNTS and entry.entry(spark).count() > 0
+
+
+def test_responses_and_expansion(spark):
+    rows = [(1, "a", None, '{"summary":"x\\u0000y"}'), (2, "z", None, '{"summary":"x"}'), (3, "c", "boom", '{"summary":"x"}'), (4, "d", None, "no json"), (5, "e", None, None)]
+    registered = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (3, "c"), (4, "d"), (5, "e")], "post_id long, file_name string")
+    good, rest = feeds.described(spark.createDataFrame(rows, "post_id long, file_name string, error string, raw string"), registered)
+    assert [(r["post_id"], r["vlm"]["summary"]) for r in good.collect()] == [(1, "xy")] and sorted(r["post_id"] for r in rest.collect()) == [2, 3, 4, 5]
+    edges = spark.createDataFrame([("w", "f", "a", "a1"), ("w", "f", "a", "a2"), ("w", "f", "b", "b1"), ("w", "f", "c", "c1")], "world string, facet string, canon_term string, norm_term string")
+    found = overrides.expand(spark.createDataFrame([("a", "merge", "b"), ("c", "drop", None)], "term string, action string, target string"), edges)
+    assert sorted(tuple(r)[2:] for r in found.collect()) == [("a1", "merge", "b"), ("a2", "merge", "b"), ("b1", "merge", "b"), ("c1", "drop", None)]
+    twice = edges.unionByName(edges.limit(1))
+    assert [r["side"] for r in overrides.snapshot_diff(edges, twice).collect()] == ["after"]

@@ -54,7 +54,8 @@ def build(df: DataFrame, column: str, keys: int | None = None, max_bits: int = M
 
         def deal(batches):
             for batch in batches:
-                x = _spread(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+                # a key that many rows share travels once from each batch
+                x = np.unique(_spread(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)))
                 yield pa.RecordBatch.from_arrays([pa.array((x >> np.uint64(56)).astype(np.int32)), pa.array(x.view(np.int64))], names=["block", "x"])
 
         def fill(batches):

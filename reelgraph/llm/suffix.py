@@ -6,7 +6,11 @@ is a piece: consecutive window starts of one anchor, with the bytes of their win
 equal pieces, sorts the suffixes of the rest by prefix doubling, computes the common prefixes of
 neighbours, and scans them with a stack: each interval of the tree is a set of suffixes with a common
 prefix. An interval whose occurrences are preceded by different bytes (or begin a piece) cannot be
-extended to the left; it is a maximal repeat group, and it is reported with all its occurrences.
+extended to the left within its pieces; what it covers beside its earliest occurrence is removed.
+
+Maximal repeat groups go beyond pieces, so they are found apart (see maximal_repeats): window starts
+whose windows are preceded by different bytes are the candidates, and the lengths at which the set of
+occurrences changes are searched in rounds, for all candidates at once.
 
 Removal keeps the earliest occurrence of each string of `width` bytes: by id, then position.
 
@@ -235,32 +239,6 @@ def _named(table: pa.Table, schema: T.StructType, row, columns: dict) -> pa.Reco
     return pa.RecordBatch.from_arrays([columns[k] for k in schema.names], names=schema.names)
 
 
-def _listed(table: pa.Table, width: int, schema: T.StructType):
-    """Rows of maximal_repeats for whole anchor groups."""
-    order, every, some = _collapse(table)
-    length = pc.binary_length(table.column("piece")).to_numpy()
-    name = lambda data: np.uint64(xxhash.xxh64_intdigest(data)).view(np.int64)
-    for found in every:
-        if len(found) > 1:
-            row, n = np.array(found), len(found)
-            first = np.arange(n) == 0
-            yield _named(table, schema, row, {"repeat": pa.array(np.full(n, name(table.column("piece")[found[0]].as_py()))), "length": pa.array(length[row].astype(np.int32)), "start": np.zeros(n, np.int32), "first": pa.array(first)})
-    if not some:
-        return
-    tree = Tree(table, order, some, width)
-    array, copies, firsts = tree.array, np.array([len(x) for x in some]), np.cumsum([0, *map(len, some)])
-    rows = np.concatenate([np.array(x) for x in some])
-    names = np.array([name(array.data[array.order[a] : array.order[a] + n].tobytes()) for a, _, n in tree.nodes.tolist()], np.int64)
-    for node, place, is_first in tree.occurrences():
-        at = array.order[place]
-        piece = array.piece[at]
-        n = copies[piece]
-        which = np.repeat(firsts[piece], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        lead = which == np.repeat(firsts[piece], n)
-        node = np.repeat(node, n)
-        yield _named(table, schema, rows[which], {"repeat": pa.array(names[node]), "length": pa.array(tree.nodes[node, 2].astype(np.int32)), "start": np.repeat(at - array.begin[at], n), "first": pa.array(lead & np.repeat(is_first, n))})
-
-
 def _removed(table: pa.Table, width: int, schema: T.StructType):
     """(id, key, start, end) runs of bytes that maximal repeats cover at other occurrences than their earliest."""
     order, every, some = _collapse(table)
@@ -323,15 +301,97 @@ def _found(df: DataFrame, id_col: str, text: str, width: int, hot: int) -> tuple
     return rows.where("not hot"), _hot_repeats(rows.where("hot"), width) if n_hot else None
 
 
-def maximal_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 100, hot: int = HOT) -> DataFrame:
-    """(repeat, length, id, key, start, first): all occurrences (byte offsets) of each maximal repeat group, the earliest marked."""
-    rows, hot_rows = _found(df, id_col, text, width, hot)
+def starts(docs: DataFrame, width: int, seen) -> DataFrame:
+    """(w, id, key, start, left, room): window starts with seen anchors; left is the byte before (-1: none), and no repeat goes on for more than room bytes."""
     schema = T.StructType([
-        T.StructField("repeat", T.LongType(), False), T.StructField("length", T.IntegerType(), False), field(rows, "id"), T.StructField("key", T.LongType(), False),
-        T.StructField("start", T.IntegerType(), False), T.StructField("first", T.BooleanType(), False),
+        T.StructField("w", T.LongType(), False), field(docs, "id"), T.StructField("key", T.LongType(), False), T.StructField("start", T.IntegerType(), False),
+        T.StructField("left", T.IntegerType(), False), T.StructField("room", T.IntegerType(), False),
     ])
-    out = _by_anchor(rows, schema, width, _listed)
-    return out if hot_rows is None else out.unionByName(hot_rows)
+
+    def run(part):
+        data, begin, ends, sums, valid, least, *_ = _anchors(part, width)
+        at = np.flatnonzero(valid)
+        at = at[seen.value.has(least[at])]
+        if not len(at):
+            return [[], [], [], [], [], []]
+        doc = np.searchsorted(ends, at, "right")
+        stop = np.flatnonzero(np.concatenate([(at[1:] != at[:-1] + 1) | (doc[1:] != doc[:-1]), [True]]))
+        last = at[stop[np.searchsorted(stop, np.arange(len(at)))]]
+        left = np.where(at > begin[doc], data[np.maximum(at - 1, 0)].astype(np.int32), -1)
+        take = pa.array(doc)
+        return [pa.array(anchors.windows(sums, width)[at].view(np.int64)), part.column("id").take(take), part.column("key").take(take), pa.array((at - begin[doc]).astype(np.int32)), pa.array(left.astype(np.int32)), pa.array((last + width - at).astype(np.int32))]
+
+    return map_texts(docs, run, schema)
+
+
+#: Parts into which a round cuts each range of lengths.
+_PARTS = 16
+#: Occurrences that are preceded by different bytes, or one of which begins its document.
+_LEFT = "min(left) = -1 OR min(left) <> max(left)"
+
+
+def maximal_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 100, hot: int = HOT) -> DataFrame:
+    """(repeat, length, id, key, start, first): all occurrences (byte offsets) of each maximal repeat group, the earliest marked.
+
+    A group is a string of `width` bytes or more that occurs twice at least, and of whose occurrences
+    neither all are preceded nor all are followed by the same byte. Windows before which the same byte
+    always stands begin none, and neither does any longer string there, so few starts are left. A start
+    belongs to a longest string of each of its sets of occurrences; the first round compares prefixes
+    at doubling lengths, and each further one cuts the ranges in which a set changes in _PARTS, until
+    they are one byte wide. Sets are told by MD5 and counted before they are joined back, frequent ones
+    split (see skew.py), so `hot` makes no difference here.
+    """
+    docs = materialize(keyed(df, id_col, text).dropDuplicates(["id", "key"]), "documents")
+    seen = bloom.build(materialize(anchor_counts(docs, width), "anchors"), "h")
+    single = starts(docs, width, seen)
+    many = single.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.expr(_LEFT).alias("diverse")).where("n > 1 AND diverse").drop("diverse")
+    state = join_counted(single, materialize(many, "windows"), ["w"]).drop("w")
+    texts = docs.select(F.col("id").alias("i"), F.col("key").alias("k"), F.coalesce("text", F.lit("")).cast("binary").alias("bytes"))
+    grid = [(width - 1 + (1 << j), min(width - 1 + (2 << j), 2**31 - 1)) for j in range(30)]
+    ranges = F.array(*(F.struct(F.lit(a).alias("size"), F.lit(b).alias("next")) for a, b in grid))
+    out = None
+    while True:
+        rows = materialize(_prefixes(state, texts, ranges), "prefixes")
+        rank = F.struct(F.col("id").isNull().alias("none"), "id", "key", "start")
+        sets = rows.groupBy("size", "next", "h").agg(
+            F.count(F.lit(1)).alias("n"), F.expr(_LEFT).alias("diverse"), (F.count("after") < F.count(F.lit(1))).alias("ends"), (F.min("after") != F.max("after")).alias("parts"), F.min(rank).alias("least"),
+        )
+        sets = materialize(sets.where("n > 1 AND diverse AND (ends OR parts)").select("size", "next", "h", "n", "least"), "sets")
+        found = materialize(_digests(sets.where("next = size + 1"), texts), "repeats")
+        whole = join_counted(rows.where("next = size + 1").drop("left", "room", "next", "after"), found, ["size", "h"])
+        is_first = F.col("id").eqNullSafe(F.col("least.id")) & (F.col("key") == F.col("least.key")) & (F.col("start") == F.col("least.start"))
+        whole = whole.select("repeat", F.col("size").alias("length"), "id", "key", "start", is_first.alias("first"))
+        out = whole if out is None else out.unionByName(whole)
+        wide = sets.where("next > size + 1").drop("least")
+        if wide.isEmpty():
+            return out
+        state = join_counted(rows.where("next > size + 1").drop("after"), wide, ["size", "next", "h"]).select("id", "key", "start", "left", "room", F.col("size").alias("lo"), F.col("next").alias("hi"))
+        step = F.ceil((F.col("hi") - F.col("lo")) / F.lit(_PARTS)).cast("int")
+        ranges = F.transform(F.sequence(F.col("lo"), F.col("hi") - 1, step), lambda x: F.struct(x.alias("size"), F.least(x + step, F.col("hi")).alias("next")))
+
+
+def _prefixes(state: DataFrame, texts: DataFrame, ranges) -> DataFrame:
+    """(id, key, start, left, room, size, next, h, after): MD5 of the prefixes of both lengths of each range; after is null beyond room."""
+    digest = lambda n: F.unhex(F.md5(F.substring("bytes", F.col("start") + 1, n)))
+    within = F.filter(ranges, lambda x: x.getField("size") <= F.col("room"))
+    made = F.transform(within, lambda x: F.struct(
+        x.getField("size").alias("size"), x.getField("next").alias("next"), digest(x.getField("size")).alias("h"),
+        F.when(x.getField("next") <= F.col("room"), digest(x.getField("next"))).alias("after"),
+    ))
+    rows = state.join(texts, F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")))
+    return rows.select("id", "key", "start", "left", "room", made.alias("made")).select("id", "key", "start", "left", "room", F.explode("made").alias("m")).select("id", "key", "start", "left", "room", "m.*")
+
+
+def _digests(sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """(size, h, n, least, repeat): repeat is XXH64 of the string."""
+
+    def run(part):
+        names = [xxhash.xxh64_intdigest(x) for x in part.column("w").to_pylist()]
+        return [part.column("size"), part.column("h"), pa.array(np.array(names, np.uint64).view(np.int64))]
+
+    rows = sets.join(texts, F.col("least.id").eqNullSafe(F.col("i")) & (F.col("least.key") == F.col("k"))).select("size", "h", F.substring("bytes", F.col("least.start") + 1, F.col("size")).alias("w"))
+    schema = T.StructType([T.StructField("size", T.IntegerType(), False), T.StructField("h", T.BinaryType()), T.StructField("repeat", T.LongType(), False)])
+    return sets.join(map_texts(rows, run, schema, "w"), ["size", "h"]).select("size", "h", "n", "least", "repeat")
 
 
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 100, hot: int = HOT) -> DataFrame:

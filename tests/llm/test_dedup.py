@@ -101,6 +101,43 @@ def test_maximal_repeats_list_all_occurrences(spark, docs):
     assert groups and min(map(len, groups.values())) >= 2
 
 
+def brute_maximal(docs, width):
+    """{string: occurrences (id, key, start)} of repeats that neither side extends; docs are distinct (id, key, bytes)."""
+    found, alive, size = {}, [(d, i) for d in docs for i in range(len(d[2]) - width + 1)], width
+    while alive:
+        sets = defaultdict(list)
+        for d, i in alive:
+            if i + size <= len(d[2]):
+                sets[d[2][i : i + size]].append((d, i))
+        sets = {s: x for s, x in sets.items() if len(x) > 1}
+        for s, x in sets.items():
+            sides = [[d[2][i - 1 : i] if i else None for d, i in x], [d[2][i + size : i + size + 1] or None for d, i in x]]
+            if all(None in side or len(set(side)) > 1 for side in sides):
+                found[s] = {(d[0], d[1], i) for d, i in x}
+        alive, size = [p for x in sets.values() for p in x], size + 1
+    return found
+
+
+@pytest.mark.parametrize("hot", [3, 10**6])
+def test_maximal_repeats_match_brute_force(spark, docs, hot):
+    from reelgraph.llm.cuts import keyed
+
+    rng = random.Random(11)
+    passage = "".join(rng.choices("abcdefgh ", k=400))
+    more = [(1000 + i, chr(73 + i) * 3 + passage + chr(83 + i) * 3) for i in range(6)] + [(1010, passage[:200] + "-" + passage[150:])]
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
+    want = brute_maximal({(r["id"], r["key"], (r["text"] or "").encode()) for r in keyed(docs, "doc_id", "text").collect()}, 30)
+    assert want[passage.encode()] and any(len(s) not in (30, 400) for s in want)
+    rows = suffix.maximal_repeats(docs, width=30, hot=hot).collect()
+    got, first = defaultdict(set), defaultdict(list)
+    for r in rows:
+        got[r["repeat"] % 2**64, r["length"]].add((r["id"], r["key"], r["start"]))
+        first[r["repeat"] % 2**64, r["length"]] += [(r["id"], r["key"], r["start"])] if r["first"] else []
+    assert len(rows) == sum(map(len, got.values()))
+    assert dict(got) == {(xxhash.xxh64_intdigest(s), len(s)): x for s, x in want.items()}
+    assert dict(first) == {k: [min(x, key=lambda o: (o[0] is None, o[0] or 0, *o[1:]))] for k, x in got.items()}
+
+
 def brute_fingerprint(text):
     words = (text or "").encode().lower().split()
     if not words:

@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from reelgraph.llm import bpe, decontaminate, language_id, secrets, simhash
-from reelgraph.llm.common import shared_dir, text_key
+from reelgraph.llm.common import materialize, shared_dir, text_key
 from reelgraph.llm.queries import held_out, table, vocabulary
 
 #: A document goes if the posterior of its best language is below this.
@@ -29,20 +29,17 @@ def language_stage(spark, docs, sf_dir):
 
 
 def near_dedup_stage(spark, docs, sf_dir):
-    """Of each SimHash component one document stays: that with the smallest id (of repeated rows of it, one)."""
+    """Of each SimHash component one document stays: that with the smallest id (null last), then the smallest text key.
+
+    A document is a row's id and text: rows that share both stay or go as one, and of those that stay
+    one is kept; rows that share the id alone, or have none, are told apart by their texts.
+    """
     docs = docs.select(*COLUMNS)
-    groups = simhash.near_duplicates(docs)
-    names = groups.where(F.col("doc_id") == F.col("component")).groupBy("doc_id").agg(F.min(F.lit(1)).alias("one"))
-    # rows that repeat an id: the one whose text key is smallest; only (id, key) travel to find it
-    least = docs.select("doc_id", text_key("text").alias("key")).groupBy("doc_id").agg(F.min("key").alias("key"))
-    names = names.join(least, "doc_id").select("doc_id", "key")
-    kept = docs.withColumn("key", text_key("text")).join(names.hint("shuffle_hash"), ["doc_id", "key"], "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*COLUMNS) if docs_repeat(docs) else kept.select(*COLUMNS)
-
-
-def docs_repeat(docs) -> bool:
-    """Whether an id occurs on more than one row."""
-    return not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+    names = materialize(simhash.representatives(docs).select(F.col("id").alias("i"), F.col("key").alias("k"), "n"), "names")
+    same = F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k"))
+    kept = docs.withColumn("key", text_key("text")).join(names.hint("shuffle_hash"), same, "left_semi")
+    repeated = not names.where("n > 1").isEmpty()
+    return (kept.dropDuplicates(["doc_id", "key"]) if repeated else kept).select(*COLUMNS)
 
 
 def decontaminate_stage(spark, docs, sf_dir):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelgraph.llm.common import field, map_texts, materialize
+from reelgraph.llm.common import field, map_texts, materialize, text_key
 from reelgraph.operators.graph import connected_components
 
 SEED = 42
@@ -141,6 +141,22 @@ def links(nodes: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
     return dealt.mapInArrow(compare, "src long, dst long")
 
 
+def representatives(df: DataFrame, id_col: str = "doc_id", text: str = "text", words_in_shingle: int = 4, radius: int = 4) -> DataFrame:
+    """(id, key, n): of each component the row that is least by id (null last), then text key, and how many rows of df share both."""
+    schema = T.StructType([field(df, id_col, "id"), T.StructField("key", T.LongType(), False), T.StructField("fp", T.LongType(), False)])
+
+    def run(part):
+        fp = np.array([fingerprint(x, words_in_shingle) for x in part.column("text").to_pylist()], np.uint64)
+        return [part.column("id"), part.column("key"), pa.array(fp.view(np.int64))]
+
+    rows = map_texts(df.select(F.col(id_col).alias("id"), text_key(text).alias("key"), F.col(text).alias("text")), run, schema)
+    fps = materialize(rows.groupBy("id", "key", "fp").agg(F.count(F.lit(1)).alias("n")), "simhash")
+    nodes = materialize(fps.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key", "n")).alias("least")), "simhash")
+    reached = connected_components(links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
+    named = nodes.join(reached, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    return named.groupBy("component").agg(F.min("least").alias("least")).select("least.id", "least.key", "least.n")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", words_in_shingle: int = 4, radius: int = 4) -> DataFrame:
     """(id_col, fp long, component): component is the smallest id that links reach."""
     fps = materialize(fingerprints(df, id_col, text, words_in_shingle), "simhash")

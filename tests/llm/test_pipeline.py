@@ -29,3 +29,18 @@ def test_pipeline(spark):
             assert text == (docs[r["doc_id"]] or "")
         else:
             assert text != docs[r["doc_id"]] and "[secret]" in text
+
+
+def test_near_dedup_keeps_one_document_of_each_component(spark):
+    import corpus_pipeline as p
+    from tests.llm.test_dedup import brute_fingerprint
+
+    texts = [" ".join(f"{w}{i}" for i in range(12)) for w in ("ant", "bee", "cow", "dog", "elk", "fox", "gnu")]
+    ids = [(None, 0), (None, 1), (1, 2), (1, 3), (2, 3), (3, 4), (3, 5), (None, 5), (4, 6), (4, 6), (None, 6)]
+    prints = [brute_fingerprint(t) for t in texts]
+    assert all((a ^ b).bit_count() > 4 for i, a in enumerate(prints) for b in prints[:i])
+    docs = spark.createDataFrame([(i, texts[k], "en", "s", len(texts[k])) for i, k in ids], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r["doc_id"], r["text"]) for r in p.near_dedup_stage(spark, docs, None).collect()]
+    want = [(None, 0), (None, 1), (1, 2), (1, 3), (3, 4), (3, 5), (4, 6)]
+    assert sorted(kept, key=str) == sorted([(i, texts[k]) for i, k in want], key=str)
+    assert p.near_dedup_stage(spark, docs.limit(0), None).count() == 0

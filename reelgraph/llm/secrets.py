@@ -27,10 +27,15 @@ BASE_RULES = [
     ("access", r"AKIA[A-Z0-9]+", 0, 16),
     ("hex", r"[0-9a-f]+", 0, 32),
 ]
-#: What this operator adds to them.
-ADDED_RULES = [("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 1)]
+_LINE = r"(?:[ \t]*(?:\r?\n|\r|\\r\\n|\\n))"
+_PEM = (
+    r"-----BEGIN ([A-Z ]{0,40})PRIVATE KEY-----(?:(?:(?!-----BEGIN )[\s\S])*?-----END \1PRIVATE KEY-----"
+    rf"|(?:{_LINE}(?:Proc-Type|DEK-Info):[^\r\n\\]*)*(?:{_LINE}+[A-Za-z0-9+/=]++(?=[ \t]*(?:[\r\n]|\\[nr]|\Z)))*)"
+)
+#: What this operator adds to them: a PEM private key up to its END line, or where none comes before another BEGIN, its base64 lines.
+ADDED_RULES = [("pem", _PEM, 0, 1)]
 RULES = BASE_RULES + ADDED_RULES
-RULE_VERSION = "1"
+RULE_VERSION = "1.1"
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 LEDGER = T.StructType([T.StructField("blob", T.BinaryType()), T.StructField("rule_version", T.StringType()), T.StructField("spans", SPANS)])
 

@@ -6,10 +6,11 @@ and D distinct successors a seen byte has c / (T + D), and the escape D / (T + D
 next shorter context, down to the uniform 1 / 256. The statistics are frozen after fitting, so a
 text's code length is exact and the same wherever it is scored; the shortest code names the language.
 
-Fitting reads a sample of about `sample_per_language` labelled rows per language, chosen by a hash
-of the text (the documented bound); successor counts are summed in Spark. The trees of all languages
-share one automaton over contexts, whose transitions and costs are tables, so scoring is a few numpy
-look-ups a byte. At most `max_contexts` contexts are kept (those seen most often).
+Fitting reads a sample of about `sample_per_language` distinct labelled texts per language, chosen by
+a hash of the text (the documented bound), each once however many rows have it; successor counts are
+summed in Spark. The trees of all languages share one automaton over contexts, whose transitions and costs are tables, so scoring is a few numpy
+look-ups a byte. At most `max_contexts` contexts are kept (those seen most often), and no more than
+`max_cells` divided by the languages and by the distinct bytes seen, since costs are held for each.
 
 Cases: a text that is null or has no letter is `und` with score 0, and so is every text if no labelled
 row exists; rows with null language or text teach nothing; ties go to the language that sorts first.
@@ -31,7 +32,7 @@ UNDETERMINED = "und"
 MAX_LANGUAGES = 200
 _SCALE = 1 << 30
 #: Costs held at most: contexts times bytes times languages.
-_CELLS = 24_000_000
+MAX_CELLS = 24_000_000
 
 
 def _padded(column, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,14 +72,14 @@ def successor_counts(df: DataFrame, text: str, lang: str, max_order: int) -> Dat
 class Model:
     """The automaton and the cost tables."""
 
-    def __init__(self, langs: list[str], grams: np.ndarray, lang_of: np.ndarray, n: np.ndarray, max_order: int, max_contexts: int):
+    def __init__(self, langs: list[str], grams: np.ndarray, lang_of: np.ndarray, n: np.ndarray, max_order: int, max_contexts: int, max_cells: int = MAX_CELLS):
         self.langs, self.order = langs, max_order
         last = grams & 255
         seen = np.unique(np.append(last, 10)) if len(grams) else np.zeros(0, np.int64)  # texts are scored after line feeds
         self.classes = np.zeros(256, np.int32)  # 0: a byte never seen
         self.classes[seen] = np.arange(1, len(seen) + 1)
         width = len(seen) + 1
-        max_contexts = min(max_contexts, _CELLS // max(1, width * len(langs)))
+        max_contexts = min(max_contexts, max_cells // max(1, width * len(langs)))
         # contexts by depth; a threshold on the count keeps the set closed under sub-contexts
         found = []
         for depth in range(1, max_order + 1):
@@ -142,25 +143,26 @@ class Model:
         return out
 
 
-def fit(df: DataFrame, text: str = "text", lang: str = "lang", max_order: int = 3, sample_per_language: int = 1000, max_contexts: int = 30_000) -> Model:
+def fit(df: DataFrame, text: str = "text", lang: str = "lang", max_order: int = 3, sample_per_language: int = 1000, max_contexts: int = 30_000, max_cells: int = MAX_CELLS) -> Model:
     """A Model from the labelled rows of df."""
     if not 1 <= max_order <= 6:
         raise ValueError("max_order must be 1 to 6")
     rows = df.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
+    distinct = rows.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.min(F.lit(1)).alias("one"))
+    sizes = {r["lang"]: r["count"] for r in distinct.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"over {MAX_LANGUAGES} languages")
     langs = sorted(sizes)
     grams, lang_of, n = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     if langs:
         share = F.create_map(*(x for k in langs for x in (F.lit(k), F.lit(min(_SCALE, int(_SCALE * sample_per_language / sizes[k]) + 1)))))
-        sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(_SCALE)) < F.element_at(share, F.col("lang")))
+        sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(_SCALE)) < F.element_at(share, F.col("lang"))).select("lang", "text").distinct()
         table = successor_counts(sample, "text", "lang", max_order).toArrow()
         grams = table.column("gram").to_numpy()
         index = {k: i for i, k in enumerate(langs)}
         lang_of = np.array([index[x] for x in table.column("lang").to_pylist()], np.int64)
         n = table.column("n").to_numpy().astype(float)
-    return Model(langs, grams, lang_of, n, max_order, max_contexts)
+    return Model(langs, grams, lang_of, n, max_order, max_contexts, max_cells)
 
 
 def predict(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -1,11 +1,26 @@
-"""Connected components of an edge table, by alternating stars."""
+"""Connected components of an edge table, by alternating stars, and spanning forests within a task."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelgraph.runtime import materialize
+from reelgraph.runtime import discard, materialize
+
+
+def forest(n: int, pairs) -> np.ndarray:
+    """Parents (each at most the node itself) of n nodes after joining all pairs of index arrays."""
+    parent = np.arange(n)
+    for a, b in pairs:
+        while True:
+            x, y = parent[a], parent[b]
+            if (x == y).all():
+                break
+            np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
+            while (parent[parent] != parent).any():
+                parent = parent[parent]
+    return parent
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -18,8 +33,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 
     Large-star and small-star rounds alternate until the edge set stands still. Each round joins a
     per-node minimum (partially aggregated before its shuffle) back to the edges, so a hub is never
-    gathered in one task: AQE may split its side of the join. Edges never grow in number. Self
-    links and rows with a null end give no edge; repeated edges count once; no edges, no rows.
+    gathered in one task: AQE may split its side of the join. Edges never grow in number, and a
+    round's tables are deleted when the next stand. Self links and rows with a null end give no edge;
+    repeated edges count once; no edges, no rows.
     """
     u, v = F.col(src), F.col(dst)
     now = materialize(
@@ -34,7 +50,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         large = materialize(large, "cc")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        before, now = now, materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        discard(before, large)
         after = _state(now)
         if after == state:
             break

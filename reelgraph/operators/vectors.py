@@ -4,13 +4,20 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from reelgraph.operators.graph import connected_components
+from reelgraph.operators.graph import connected_components, forest
+from reelgraph.runtime import discard, materialize
 
 #: Vectors in a block of the pairwise product.
 BLOCK = 2000
+#: Clusters of a component that one task merges; a larger component is merged in rounds of joins.
+LOCAL = 20_000
+#: Worlds that posts are routed to, at most; their matrix is broadcast.
+MAX_WORLDS = 10_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -23,31 +30,92 @@ def unit(v: Column) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm))
 
 
+def _matrix(column: pa.Array, size: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of a list column at length one, mask of those that have one: neither null nor zero nor of another size)."""
+    column = column.cast(pa.list_(pa.float64()))
+    lengths = np.diff(np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4))
+    size = size or int(lengths.max(initial=0))
+    good = (lengths == size) & column.is_valid().to_numpy(zero_copy_only=False) & (size > 0)
+    out = np.zeros((len(column), size))
+    if good.any():
+        out[good] = column.filter(pa.array(good)).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+    norm = np.linalg.norm(out, axis=1)
+    good &= norm > 0
+    return out / np.where(good, norm, 1)[:, None], good
+
+
 def centroids(vectors: DataFrame, by: str, vector: str) -> DataFrame:
-    """(by, centroid): the mean of each group's vectors at length one; summed per dimension, so a group is never gathered."""
-    mean = vectors.select(by, F.posexplode(vector).alias("i", "x")).groupBy(by, "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    """(by, centroid): the mean of each group's vectors at length one; summed in the tasks first, then per dimension, so a group is never gathered."""
+    schema = T.StructType([T.StructField(by, vectors.schema[by].dataType), T.StructField("_s", T.ArrayType(T.DoubleType())), T.StructField("_n", T.LongType())])
+
+    def run(batches):
+        for batch in batches:
+            seen: dict = {}
+            names = batch.column(0).to_pylist()
+            code = np.array([seen.setdefault(tuple(k.values()) if isinstance(k, dict) else k, len(seen)) for k in names], np.int64)
+            m = batch.column(1).cast(pa.list_(pa.float64()))
+            good = m.is_valid().to_numpy(zero_copy_only=False)
+            size = len(m.flatten()) // max(1, int(good.sum()))
+            rows = m.flatten().to_numpy(zero_copy_only=False).reshape(-1, size) if size else np.zeros((0, 0))
+            groups = np.unique(code[good])
+            sums = [rows[code[good] == g].sum(axis=0) for g in groups]
+            counts = [int((code[good] == g).sum()) for g in groups]
+            first = [int(np.flatnonzero(code == g)[0]) for g in groups]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first, pa.int64())), pa.array(sums, pa.list_(pa.float64())), pa.array(counts, pa.int64())], names=[by, "_s", "_n"])
+
+    parts = vectors.select(by, vector).mapInArrow(run, schema)
+    mean = parts.select(by, "_n", F.posexplode("_s").alias("i", "x")).groupBy(by, "i").agg((F.sum("x") / F.sum("_n")).alias("x"))
     return mean.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("_c")).select(by, unit(F.col("_c")).alias("centroid"))
 
 
 def route(posts: DataFrame, worlds: DataFrame, post_id: str, vector: str) -> DataFrame:
-    """(post_id, world, cosine, margin): the nearest of a few worlds (slug, centroid) and its lead; ties to the smaller slug.
+    """(post_id, world, cosine, margin): the nearest of a few worlds (slug, centroid) and its lead over the next (over 0 if there is none); ties to the smaller slug.
+
+    The worlds are a catalogue of at most MAX_WORLDS, broadcast as one matrix, so posts neither
+    multiply nor shuffle: a batch is one product. A post without a vector, or with a zero one, has no world.
+    """
+    listed = worlds.where("centroid IS NOT NULL").orderBy("slug").limit(MAX_WORLDS + 1).collect()
+    if len(listed) > MAX_WORLDS:
+        raise ValueError(f"over {MAX_WORLDS} worlds: route against clusters of worlds first")
+    slugs = np.array([w["slug"] for w in listed], object)
+    m = np.array([w["centroid"] for w in listed], float)
+    shared = posts.sparkSession.sparkContext.broadcast((slugs, m / np.linalg.norm(m, axis=1, keepdims=True) if len(m) else m))
+    schema = T.StructType([posts.schema[post_id], T.StructField("world", T.StringType()), T.StructField("cosine", T.DoubleType()), T.StructField("margin", T.DoubleType())])
 
-    The worlds are a catalogue, gathered to one array and attached to each post, so posts neither
-    multiply nor shuffle.
+    def run(batches):
+        slugs, worlds = shared.value
+        for batch in batches:
+            n = batch.num_rows
+            v, good = _matrix(batch.column(1), worlds.shape[1] if len(slugs) else None)
+            good = good & bool(len(slugs))
+            world, best, margin = np.full(n, None, object), np.full(n, np.nan), np.full(n, np.nan)
+            if good.any():
+                sims = v[good] @ worlds.T
+                at = sims.argmax(axis=1)
+                top = sims[np.arange(len(at)), at]
+                sims[np.arange(len(at)), at] = -np.inf
+                second = sims.max(axis=1) if len(slugs) > 1 else np.zeros(len(at))
+                world[good], best[good], margin[good] = slugs[at], top, top - second
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(world, pa.string()), pa.array(best, mask=~good), pa.array(margin, mask=~good)], names=[post_id, "world", "cosine", "margin"])
+
+    return posts.select(post_id, vector).mapInArrow(run, schema)
+
+
+def split_by_rules(world: Column, rules: list[tuple[str, Column, str | None]]) -> Column:
+    """The world after rules (parent, predicate, target): among rows that won `parent` the first rule that holds names the world (None: held out, null).
+
+    Rows of a parent for which no rule holds are held out; worlds that are no parent stay.
     """
-    listed = worlds.agg(F.array_sort(F.collect_list(F.struct("slug", "centroid"))).alias("_w")).first()["_w"]
-    if len(listed) > 10_000:
-        raise ValueError("over 10000 worlds: route against clusters of worlds first")
-    kept = F.array(*(F.struct(F.lit(w["slug"]).alias("slug"), F.array(*map(F.lit, w["centroid"])).alias("c")) for w in listed))
-    scored = F.array_sort(F.transform(kept, lambda w: F.struct((-dot(F.col("_v"), w["c"])).alias("minus"), w["slug"].alias("slug"))))
-    rows = posts.select(post_id, unit(F.col(vector)).alias("_v")).withColumn("_s", scored)
-    best = -F.col("_s")[0]["minus"]
-    return rows.select(post_id, F.col("_s")[0]["slug"].alias("world"), best.alias("cosine"), (best + F.coalesce(F.get("_s", F.lit(1))["minus"], F.lit(0.0))).alias("margin"))
+    out, parents = None, list(dict.fromkeys(p for p, *_ in rules))
+    for parent, predicate, target in rules:
+        hit = (world == parent) & F.coalesce(predicate, F.lit(False))
+        out = F.when(hit, F.lit(target)) if out is None else out.when(hit, F.lit(target))
+    return world if out is None else out.when(~world.isin(*parents), world)
 
 
 def routing_split(world: Column, presenter: Column, certainty: Column, parent: str, child: str) -> Column:
     """Rows that won `parent` go to the child if generated, stay if real, and are held out (null) otherwise or when unsure."""
-    return F.when(world != parent, world).when(certainty.eqNullSafe(F.lit("low")), F.lit(None)).when(presenter == "ai_generated_person", child).when(presenter == "real_person", parent)
+    return split_by_rules(world, [(parent, certainty == "low", None), (parent, presenter == "ai_generated_person", child), (parent, presenter == "real_person", parent)])
 
 
 def similar_pairs(vectors: DataFrame, id_col: str, vector: str, least: float, blocks: int | None = None) -> DataFrame:
@@ -75,8 +143,22 @@ def similar_pairs(vectors: DataFrame, id_col: str, vector: str, least: float, bl
 
 def components(vectors: DataFrame, id_col: str, vector: str, least: float) -> DataFrame:
     """(id, component) of the threshold graph; a vector without a neighbour keeps its own id."""
-    cc = connected_components(similar_pairs(vectors, id_col, vector, least), "a", "b")
-    return vectors.select(id_col).join(cc, F.col(id_col) == F.col("node"), "left").select(id_col, F.coalesce("component", id_col).alias("component"))
+    rows = vectors.select(F.col(id_col).alias("id"), unit(F.col(vector)).alias("v")).withColumn("_g", F.lit(0))
+    found = threshold_components(rows, ["_g"], least).drop("_g")
+    return found.withColumnRenamed("id", id_col)
+
+
+def threshold_components(rows: DataFrame, by: list[str], least: float) -> DataFrame:
+    """(by.., id, component) of rows (by.., id, v): the components of each group's graph of similarity `least` or more; component is the smallest id.
+
+    Equal vectors are folded first, and a pair of blocks reports a spanning forest of its links, so
+    copies cost neither products nor edges. A row without a vector is alone.
+    """
+    folded = materialize(rows.where("v IS NOT NULL").groupBy(*by, "v").agg(F.min("id").alias("id")), "folded")
+    links = _block_products(folded, by, least, pairs=False)
+    cc = connected_components(links, "a", "b").select(*(F.col(f"node.{c}").alias(c) for c in by), F.col("node.id").alias("_rep"), F.col("component.id").alias("_c"))
+    named = rows.join(folded.withColumnRenamed("id", "_rep"), [*by, "v"], "left").join(cc, [*by, "_rep"], "left")
+    return named.select(*by, "id", F.coalesce("_c", "_rep", "id").alias("component"))
 
 
 def medoids(vectors: DataFrame, by: str, id_col: str, vector: str) -> DataFrame:
@@ -93,78 +175,166 @@ def prune(vectors: DataFrame, by: str, id_col: str, vector: str, floor: float =
     return rows.withColumn("sim", dot(unit(F.col(vector)), F.col("medoid_vector"))).where(F.col("sim") >= floor).drop("medoid_vector")
 
 
-def average_linkage(vectors: DataFrame, by: list[str], id_col: str, vector: str, threshold: float) -> DataFrame:
+def average_linkage(vectors: DataFrame, by: list[str], id_col: str, vector: str, threshold: float, local: int | None = None) -> DataFrame:
     """(by.., id, cluster) of an average-linkage cut at cosine `threshold`; cluster is its smallest member.
 
     Merges above the cut stay within a component of the threshold graph, so components are clustered
-    one by one and the result equals that over each whole group.
+    one by one and the result equals that over each whole group. A component of at most `local` rows
+    is merged by one task, in memory that grows with its rows (no matrix of pairs); a larger one in
+    rounds over tables (see linkage_rounds), to the same cut. Rows without a vector are alone.
     """
-    key = F.struct(*by, F.col(id_col).alias("id"))
-    rows = vectors.select(*by, F.col(id_col).alias("id"), unit(F.col(vector)).alias("v"), key.alias("k"))
-    pairs = _grouped_pairs(rows, by, threshold)
-    cc = connected_components(pairs, "a", "b")
-    parts = rows.join(cc, F.col("k") == F.col("node"), "left").withColumn("component", F.coalesce("component", "k")).select(*by, "id", "v", "component")
+    local = LOCAL if local is None else local
+    rows = materialize(vectors.select(*by, F.col(id_col).alias("id"), unit(F.col(vector)).alias("v")), "linkage")
+    parts = threshold_components(rows, by, threshold).join(rows, [*by, "id"])
+    sizes = parts.groupBy(*by, "component").agg(F.count(F.lit(1)).alias("_size"))
+    parts = materialize(parts.join(sizes, [*by, "component"]), "linkage")
     kind = vectors.schema[id_col].dataType.simpleString()
     schema = ", ".join([*(f"{c} {vectors.schema[c].dataType.simpleString()}" for c in by), f"{id_col} {kind}, cluster {kind}"])
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", ignore_index=True)
-        sums = np.stack(pdf["v"].to_numpy())
-        label = upgma(sums, threshold)
+        label = upgma(np.stack(pdf["v"].to_numpy()), threshold)
         out = pdf[by].copy()
         out[id_col], out["cluster"] = pdf["id"], pdf["id"].to_numpy()[label]
         return out
 
-    return parts.groupBy(*by, "component").applyInPandas(merge, schema)
+    alone = parts.where("_size = 1").select(*by, F.col("id").alias(id_col), F.col("id").alias("cluster"))
+    small = parts.where((F.col("_size") > 1) & (F.col("_size") <= local)).select(*by, "component", "id", "v").groupBy(*by, "component").applyInPandas(merge, schema)
+    out = alone.unionByName(small)
+    large = parts.where(F.col("_size") > local).where("_size > 1").select(*by, "component", "id", "v")
+    if large.isEmpty():
+        return out
+    return out.unionByName(linkage_rounds(large, [*by, "component"], threshold).select(*by, F.col("id").alias(id_col), "cluster"))
 
 
-def _grouped_pairs(rows: DataFrame, by: list[str], least: float) -> DataFrame:
-    """(a, b, sim), each pair of keys once, within a group, by group and block.
+def linkage_rounds(rows: DataFrame, by: list[str], threshold: float) -> DataFrame:
+    """(by.., id, cluster) of rows (by.., id, v) by merging, in each round, all clusters that are each other's nearest.
 
-    sim is 1 - d*d/2 of the Euclidean distance d, which for vectors of length one is their cosine.
+    Average linkage is reducible, so the order of such merges does not change the cut. A cluster is a
+    row (its vector sum and size); its nearest comes from products of pairs of blocks, and clusters
+    whose nearest lies below the threshold are done. Ties go to the smaller id.
     """
+    cut = materialize(rows.select(*by, "id", F.col("id").alias("cluster")), "cut")
+    now = materialize(rows.select(*by, F.col("id").alias("id"), F.transform("v", lambda x: x.cast("double")).alias("s"), F.lit(1).cast("long").alias("n")), "clusters")
+    while True:
+        near = materialize(_nearest(now, by, threshold), "nearest")
+        mutual = near.alias("x").join(near.alias("y"), [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in by] + [F.col("x.id") == F.col("y.to"), F.col("x.to") == F.col("y.id")])
+        mutual = materialize(mutual.where(F.col("x.id") > F.col("x.to")).select(*(F.col(f"x.{c}").alias(c) for c in by), F.col("x.id").alias("id"), F.col("x.to").alias("to")), "merges")
+        if mutual.isEmpty():
+            return cut
+        moved = mutual.select(*by, F.col("id").alias("cluster"), F.col("to").alias("_to"))
+        before, cut = cut, materialize(cut.join(moved, [*by, "cluster"], "left").select(*by, "id", F.coalesce("_to", "cluster").alias("cluster")), "cut")
+        live = now.join(near.select(*by, "id"), [*by, "id"], "left_semi")
+        live = live.join(mutual, [*by, "id"], "left").select(*by, F.coalesce("to", "id").alias("id"), "s", "n")
+        pair = F.collect_list("s")  # one or two
+        after = live.groupBy(*by, "id").agg(pair.alias("p"), F.sum("n").alias("n"))
+        after = after.select(*by, "id", F.when(F.size("p") == 1, F.col("p")[0]).otherwise(F.zip_with(F.col("p")[0], F.get("p", F.lit(1)), lambda x, y: x + y)).alias("s"), "n")
+        old, now = now, materialize(after, "clusters")
+        discard(before, old, near, mutual)
+
+
+def _nearest(clusters: DataFrame, by: list[str], least: float) -> DataFrame:
+    """(by.., id, to): the nearest cluster of each of clusters (by.., id, s, n), where its mean cosine is `least` or more."""
+    rows = _dealt(clusters, by, ["s", "n"])
+    kind = clusters.schema["id"].dataType.simpleString()
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id", ignore_index=True)
+        ids, own, m = pdf["id"].to_numpy(), pdf["own"].to_numpy(), np.stack(pdf["s"].to_numpy()) / pdf["n"].to_numpy()[:, None]
+        lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
+        a, b = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        sims = m[a] @ m[b].T
+        if lo == hi:
+            np.fill_diagonal(sims, -np.inf)
+        x, y, top = a, b[sims.argmax(axis=1)], sims.max(axis=1)
+        if lo != hi:
+            x, y, top = np.concatenate([x, b]), np.concatenate([y, a[sims.argmax(axis=0)]]), np.concatenate([top, sims.max(axis=0)])
+        x, y, top = x[top >= least], y[top >= least], top[top >= least]
+        out = pdf[by].iloc[x].reset_index(drop=True)
+        out["id"], out["to"], out["sim"] = ids[x], ids[y], top
+        return out
+
+    found = rows.groupBy(*by, "lo", "hi").applyInPandas(best, ", ".join([*(f"{c} {clusters.schema[c].dataType.simpleString()}" for c in by), f"id {kind}, to {kind}, sim double"]))
+    return found.groupBy(*by, "id").agg(F.min_by("to", F.struct(-F.col("sim"), "to")).alias("to"))
+
+
+def _dealt(rows: DataFrame, by: list[str], values: list[str]) -> DataFrame:
+    """rows (by.., id, values..) once for each pair (lo, hi) of blocks that theirs (own) is in."""
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     sizes = rows.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
-    rows = rows.where("v IS NOT NULL").join(sizes, by).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select(*by, "id", "v", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    rows = rows.join(sizes, by).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.select(*by, "id", *values, "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+
+
+def _block_products(rows: DataFrame, by: list[str], least: float, pairs: bool) -> DataFrame:
+    """Pairs (a, b, sim) of keys within a group with similarity `least` or more, each once; or of a spanning forest of them (a, b), by group and pair of blocks.
+
+    sim is 1 - d*d/2 of the Euclidean distance d, which for vectors of length one is their cosine.
+    """
+    rows = _dealt(rows.where("v IS NOT NULL"), by, ["v"])
     kind = rows.schema["id"].dataType.simpleString()
 
     def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, own, m = pdf["id"].to_numpy(), pdf["own"].to_numpy(), np.stack(pdf["v"].to_numpy())
         lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
-        half = (m * m).sum(axis=1) / 2
-        sims = m @ m.T + (1 - half[:, None] - half[None, :])
-        i, j = np.nonzero((sims >= least) & (own[:, None] == lo) & (own[None, :] == hi))
+        a, b, half = np.flatnonzero(own == lo), np.flatnonzero(own == hi), (m * m).sum(axis=1) / 2
+        sims = m[a] @ m[b].T
+        sims += 1 - half[a][:, None] - half[b][None, :]
+        i, j = np.nonzero(sims >= least)
+        found = sims[i, j]
+        i, j = a[i], b[j]
         keep = ids[i] != ids[j] if lo != hi else ids[i] < ids[j]
-        i, j = i[keep], j[keep]
+        i, j, found = i[keep], j[keep], found[keep]
+        if not pairs:
+            parent = forest(len(ids), [(i, j)])
+            i = np.flatnonzero(parent != np.arange(len(ids)))
+            j = parent[i]
         out = pdf[by].iloc[np.zeros(len(i), int)].reset_index(drop=True)
-        out["x"], out["y"], out["sim"] = ids[i], ids[j], sims[i, j]
+        out["x"], out["y"] = ids[i], ids[j]
+        if pairs:
+            out["sim"] = found
         return out
 
-    found = rows.groupBy(*by, "lo", "hi").applyInPandas(multiply, ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in by), f"x {kind}, y {kind}, sim double"]))
-    return found.select(F.struct(*by, F.col("x").alias("id")).alias("a"), F.struct(*by, F.col("y").alias("id")).alias("b"), "sim")
+    found = rows.groupBy(*by, "lo", "hi").applyInPandas(multiply, ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in by), f"x {kind}, y {kind}{', sim double' if pairs else ''}"]))
+    ends = (F.struct(*by, F.col("x").alias("id")).alias("a"), F.struct(*by, F.col("y").alias("id")).alias("b"))
+    return found.select(*ends, "sim") if pairs else found.select(*ends)
+
+
+def _grouped_pairs(rows: DataFrame, by: list[str], least: float) -> DataFrame:
+    """(a, b, sim): all pairs of keys within a group; for what needs each similarity, as core similarities do."""
+    return _block_products(rows, by, least, pairs=True)
 
 
 def upgma(unit_vectors: np.ndarray, threshold: float) -> np.ndarray:
-    """Label (index of the smallest member) of each row; the mean cosine of two clusters comes from their vector sums."""
-    sums, size, label = unit_vectors.astype(float).copy(), np.ones(len(unit_vectors)), np.arange(len(unit_vectors))
-    alive = np.ones(len(sums), bool)
-    sims = sums @ sums.T
-    np.fill_diagonal(sims, -np.inf)
-    while alive.sum() > 1:
-        at = int(np.argmax(sims))
-        i, j = divmod(at, len(sums))
-        i, j = min(i, j), max(i, j)
-        if sims[i, j] < threshold:
-            break
-        sums[i] += sums[j]
-        size[i] += size[j]
-        label[label == j] = i
-        alive[j] = False
-        sims[j, :] = sims[:, j] = -np.inf
-        row = np.where(alive, (sums @ sums[i]) / (size * size[i]), -np.inf)
-        row[i] = -np.inf
-        sims[i, :] = sims[:, i] = row
+    """Label (index of the smallest member) of each row, by a chain of nearest neighbours over vector sums.
+
+    The mean cosine of two clusters comes from their sums, so memory grows with the rows alone. The
+    chain merges clusters that are each other's nearest; one whose nearest is below the threshold is
+    done, as no later merge can bring it nearer.
+    """
+    sums, size = unit_vectors.astype(float).copy(), np.ones(len(unit_vectors))
+    label, left, chain = np.arange(len(sums)), np.ones(len(sums), bool), []
+    while left.any():
+        if not chain:
+            chain = [int(left.argmax())]
+        i = chain[-1]
+        sims = np.where(left, (sums @ sums[i]) / (size * size[i]), -np.inf)
+        sims[i] = -np.inf
+        j = int(sims.argmax())
+        if len(chain) > 1 and sims[chain[-2]] >= sims[j]:
+            j = chain[-2]
+        if sims[j] < threshold:
+            left[i] = False  # and what led here looks again
+            chain.pop()
+        elif len(chain) > 1 and j == chain[-2]:
+            a, b = min(i, j), max(i, j)
+            sums[a] += sums[b]
+            size[a] += size[b]
+            label[label == b] = a
+            left[b] = False
+            del chain[-2:]
+        else:
+            chain.append(j)
     return label
 
 
@@ -184,18 +354,27 @@ def hashed_embedder(texts: pd.Series, size: int = 64) -> list[np.ndarray]:
     return out
 
 
-def embed(terms: DataFrame, cache: DataFrame | None, text: str = "norm_term", embedder=hashed_embedder) -> DataFrame:
-    """(text, vector) of the distinct texts that the cache lacks."""
+def embed(terms: DataFrame, cache: DataFrame | None, text: str = "norm_term", embedder=hashed_embedder, batch: int = 256, most_chars: int = 8000) -> DataFrame:
+    """(text, vector) of the distinct texts that the cache lacks; the embedder gets `batch` texts at a time at most, each cut to most_chars."""
     todo = terms.select(text).where(F.col(text) != "").distinct()
     todo = todo if cache is None else todo.join(cache.select(text), text, "left_anti")
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame({text: pdf[text], "vector": embedder(pdf[text])})
+            for at in range(0, len(pdf), batch):
+                part = pdf[text].iloc[at : at + batch].reset_index(drop=True)
+                yield pd.DataFrame({text: part, "vector": embedder(part.str.slice(0, most_chars))})
 
     return todo.mapInPandas(run, f"{text} string, vector array<double>")
 
 
+def cached_embed(terms: DataFrame, cache: DataFrame, text: str = "norm_term", **options) -> tuple[DataFrame, DataFrame]:
+    """(vectors of all texts, rows to append to the cache (text, vector)): texts are embedded once, whatever world or facet has them."""
+    new = materialize(embed(terms, cache, text, **options), "embedded")
+    known = cache.select(text, "vector").unionByName(new)
+    return known.join(terms.select(text).distinct(), text, "left_semi"), new
+
+
 def canonicalize(edges: DataFrame, threshold: float = 0.78, embedder=hashed_embedder, cache: DataFrame | None = None) -> DataFrame:
     """(world, facet, norm_term, canon_term) for all worlds and facets at once; the label is a cluster's most frequent term."""
     from reelgraph.operators.stats import canonical_labels
@@ -209,9 +388,60 @@ def canonicalize(edges: DataFrame, threshold: float = 0.78, embedder=hashed_embe
 
 
 def exact_dedupe(posts: DataFrame, text: str, post_id: str) -> DataFrame:
-    """(post_id, representative): the smallest post id of those with the same trimmed text."""
-    key = F.trim(F.col(text))
-    least = posts.groupBy(key.alias("_t")).agg(F.min(post_id).alias("representative"))
-    return posts.select(post_id, key.alias("_t")).join(least, "_t").select(post_id, "representative")
+    """(post_id, representative): the smallest post id of those with the same trimmed text; a null text stands for itself.
+
+    Texts meet by their digest, so the shuffle carries 32 bytes a row.
+    """
+    key = F.unhex(F.sha2(F.trim(F.col(text)), 256))
+    least = posts.where(F.col(text).isNotNull()).groupBy(key.alias("_t")).agg(F.min(post_id).alias("representative"))
+    return posts.select(post_id, key.alias("_t")).join(least, "_t", "left").select(post_id, F.coalesce("representative", post_id).alias("representative"))
+
 
+def similarity_distribution(rows: DataFrame, id_col: str, vector: str, shares=(0.0, 0.25, 0.5, 0.75, 1.0), bins: int = 4096, few: int = 100_000) -> list[float]:
+    """Quantiles (interpolated) of the similarities of all pairs of different rows, exact, without a list of pairs.
 
+    Pairs of blocks count similarities into bins; only the bins that hold a wanted rank are looked at
+    again, finer, until they hold a few values, which are fetched. Rows without a vector are left out.
+    """
+    rows = materialize(rows.select(F.lit(0).alias("_g"), F.col(id_col).alias("id"), unit(F.col(vector)).alias("v")).where("v IS NOT NULL"), "vectors")
+    n = rows.count()
+    total = n * (n - 1) // 2
+    if not total:
+        return [None for _ in shares]
+    dealt = _dealt(rows, ["_g"], ["v"])
+
+    def scan(pick, schema):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            own, m = pdf["own"].to_numpy(), np.stack(pdf["v"].to_numpy())
+            lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
+            sims = m[own == lo] @ m[own == hi].T
+            return pick(sims.ravel() if lo != hi else sims[np.triu_indices(len(sims), 1)])
+
+        return dealt.groupBy("_g", "lo", "hi").applyInPandas(run, schema)
+
+    wanted = sorted({r for s in shares for r in (int(np.floor(s * (total - 1))), int(np.ceil(s * (total - 1))))})
+    open_, values = [(-1.001, 1.001, 0, total, wanted)], {}  # (from, to, values before, values in it, ranks)
+    while open_:
+        small = [x for x in open_ if x[3] <= few or x[1] - x[0] < 1e-14]
+        for lo, hi, before, _, ranks in small:
+            got = scan(lambda x, lo=lo, hi=hi: pd.DataFrame(pd.Series(x[(x >= lo) & (x < hi)]).value_counts().rename_axis("x").reset_index(name="n")), "x double, n long")
+            got = sorted((r["x"], r["n"]) for r in got.groupBy("x").agg(F.sum("n").alias("n")).collect())
+            ends = before + np.cumsum([k for _, k in got])
+            values |= {r: got[int(np.searchsorted(ends, r, "right"))][0] for r in ranks}
+        nxt = []
+        for lo, hi, before, _, ranks in [x for x in open_ if x not in small]:
+            edges = np.linspace(lo, hi, bins + 1)
+            got = scan(lambda x, e=edges: pd.DataFrame({"bin": np.arange(len(e) - 1), "n": np.histogram(x[(x >= e[0]) & (x < e[-1])], e)[0]}).query("n > 0"), "bin int, n long")
+            counts = np.zeros(bins, np.int64)
+            for r in got.groupBy("bin").agg(F.sum("n").alias("n")).collect():  # bins, not rows
+                counts[r["bin"]] = r["n"]
+            ends = before + np.cumsum(counts)
+            at = np.searchsorted(ends, ranks, "right")
+            nxt += [(edges[b], edges[b + 1], int(ends[b] - counts[b]), int(counts[b]), [r for r, k in zip(ranks, at, strict=True) if k == b]) for b in np.unique(at).tolist()]
+        open_ = nxt
+    out = []
+    for s in shares:
+        at = s * (total - 1)
+        low, high = values[int(np.floor(at))], values[int(np.ceil(at))]
+        out.append(low + (high - low) * (at - np.floor(at)))
+    return out

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta, timezone
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed values.
 ARTICLES = ["a", "an", "the"]
 FILLER = ["not_applicable", "unclear"]
+#: Least and greatest number of posts of a band (None: open), and the account floors on offer.
+SIZE_BANDS = {"6+": (6, None), "3-5": (3, 5), "6-9": (6, 9), "10-24": (10, 24), "25+": (25, None)}
+ACCOUNT_FLOORS = [3, 4, 5, 6]
+VIDEO_URL = "https://www.tiktok.com/@%s/video/%s"
 
 
 def truthy(c: Column) -> Column:
@@ -76,11 +82,12 @@ def premise_text(premise: Column, summary: Column, topics: Column, stage: Column
     return F.when(truthy(F.trim(premise)), F.trim(premise)).when(stage.eqNullSafe(F.lit("not_applicable")), F.lit(None)).otherwise(F.nullif(fallback, F.lit("")))
 
 
-def about(format_: Column, setting: Column, topics: Column, shown: Column, summary: Column) -> Column:
-    """`format · setting — three topics not yet shown — summary`, empty parts left out."""
-    more = F.slice(F.array_except(topics, shown), 1, 3)
+def about(format_: Column, setting: Column, topics: Column, summary: Column) -> Column:
+    """`format · setting — those of the first three topics that are neither — summary`, empty parts left out."""
+    more = F.filter(F.slice(topics, 1, 3), lambda t: ~t.eqNullSafe(format_) & ~t.eqNullSafe(setting))
     head = F.concat_ws(" · ", F.when(truthy(format_), format_), F.when(truthy(setting), setting))
-    return F.concat_ws(" — ", F.nullif(head, F.lit("")), F.when(F.size(more) > 0, F.array_join(more, ", ")), F.when(truthy(summary), summary))
+    line = F.concat_ws(" — ", F.nullif(head, F.lit("")), F.when(F.size(more) > 0, F.array_join(more, ", ")), F.when(truthy(F.trim(summary)), F.trim(summary)))
+    return F.coalesce(line, F.lit(""))
 
 
 def term_key(slug: Column, facet: Column, canon: Column) -> Column:
@@ -97,9 +104,58 @@ def fingerprint(ids: Column) -> Column:
 
 
 def size_band(n: Column) -> Column:
+    """The narrow band that a number of posts falls into; null below all."""
     return F.when(n >= 25, "25+").when(n >= 10, "10-24").when(n >= 6, "6-9").when(n >= 3, "3-5")
 
 
+def in_band(n: Column, band: str) -> Column:
+    """Whether a number of posts lies in a band of SIZE_BANDS."""
+    least, most = SIZE_BANDS[band]
+    return n >= least if most is None else n.between(least, most)
+
+
+def video_url(handle: Column, external_id: Column) -> Column:
+    return F.format_string(VIDEO_URL, handle, external_id)
+
+
+def iso(at: Column) -> Column:
+    """ISO 8601 in UTC, whatever the session's time zone."""
+    return F.concat(F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
+
+
+def cut(text: Column, most: int) -> Column:
+    """The first characters of a text."""
+    return F.substring(text, 1, most)
+
+
+def days_before(as_of: str, days: int) -> Column:
+    """The instant `days` before a date or time in UTC, whatever the session's time zone."""
+    at = datetime.fromisoformat(as_of)
+    at = (at if at.tzinfo else at.replace(tzinfo=timezone.utc)) - timedelta(days=days)
+    return F.timestamp_seconds(F.lit(at.timestamp()))
+
+
+def product_names(products: Column) -> Column:
+    """`brand name` of each product that has a name, in order and as written."""
+    named = F.filter(products, lambda p: truthy(p["name"]))
+    return F.transform(named, lambda p: F.when(truthy(p["brand"]), F.concat(p["brand"], F.lit(" "), p["name"])).otherwise(p["name"]))
+
+
+def clean_topics(topics: Column) -> Column:
+    """Topics without blanks, trimmed."""
+    return F.filter(F.transform(topics, lambda t: F.trim(t)), truthy)
+
+
+def advice_text(present: Column, content: Column) -> Column:
+    """The advice, of texts that give any."""
+    return F.when(F.coalesce(present, F.lit(False)), F.nullif(F.trim(content), F.lit("")))
+
+
+def terminal(vlm: Column, attempts: Column, most: int = 3) -> Column:
+    """Whether work on a post is over: it is described, or was tried `most` times."""
+    return vlm.isNotNull() | (F.coalesce(attempts, F.lit(0)) >= most)
+
+
 def stratum(field: str, value: str | float, op: str | None = None) -> Column:
     """Equality on a dotted path, or `lt` / `ge` against a number."""
     col = F.col(field)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelgraph.functions import scalars as S
-from reelgraph.operators import stats, terms, vectors
+from reelgraph.operators import stats, terms
 
 #: Fixed values.
 DISCOUNTS = ["free", "deep_discount", "discount"]
@@ -20,12 +20,18 @@ def discount_counts(products: DataFrame, by: str = "world") -> DataFrame:
 
 def discount_slice(edges: DataFrame, products: DataFrame, posts: DataFrame, min_effective: float = 4.0) -> DataFrame:
     """Products, formats and traits ranked anew over discounted products and the posts that have any; prominence does not count."""
+    return stats.term_stats(discount_edges(edges, products), posts, min_effective=min_effective, count_hero=False)
+
+
+def discount_edges(edges: DataFrame, products: DataFrame, kept: DataFrame | None = None) -> DataFrame:
+    """The edges of the discount facets; with kept (world, facet, canon_term) only those of kept terms."""
     names = products.where(F.col("acquisition_cost").isin(*DISCOUNTS) & S.truthy(F.col("name"))).select("post_id", F.col("name").alias("raw_term")).distinct()
     sure = edges.where(~F.col("low_conf") & F.col("metric").isNotNull())
     product = sure.where("facet = 'product'").join(names, ["post_id", "raw_term"], "left_semi")
     other = sure.where("facet IN ('format', 'format_trait')").join(names.select("post_id").distinct(), "post_id", "left_semi")
     rows = product.unionByName(other.select(*product.columns)).withColumn("facet", F.concat(F.lit("discount_"), F.col("facet")))
-    return stats.term_stats(rows, posts, min_effective=min_effective, count_hero=False)
+    keys = ["world", "facet", "canon_term"]
+    return rows if kept is None else rows.join(kept.select(*keys), keys, "left_semi")
 
 
 def recency(rows: DataFrame, as_of: str, days: int = 30, least: int = 15) -> DataFrame:
@@ -36,7 +42,7 @@ def recency(rows: DataFrame, as_of: str, days: int = 30, least: int = 15) -> Dat
     m = F.log1p(F.col("views").cast("double"))
     rows = rows.where("views IS NOT NULL").withColumn("_m", m)
     base = rows.groupBy("world").agg(F.median("_m").alias("_base"))
-    recent = F.coalesce(F.col("posted_at") >= F.expr(f"timestamp'{as_of}' - make_dt_interval({days})"), F.lit(False))
+    recent = F.coalesce(F.col("posted_at") >= S.days_before(as_of, days), F.lit(False))
     out = rows.withColumn("_r", recent).groupBy("world", "term").agg(
         F.count_if("_r").alias("recent_n"), F.count_if(~F.col("_r")).alias("older_n"), F.median(F.when(F.col("_r"), F.col("_m"))).alias("_rm"), F.median(F.when(~F.col("_r"), F.col("_m"))).alias("_om")
     )
@@ -83,6 +89,48 @@ def register_ratios(rows: DataFrame, keys: list[str], least: int = 3) -> DataFra
     return each.join(base, keys).select(*keys, "register", "n", F.exp(F.col("_med") - F.col("_base")).alias("view_ratio"))
 
 
+#: The enums that a cluster profile counts, by path.
+PROFILE_ENUMS = {
+    "relationship_stage": "relationship.stage", "relationship_conflict": "relationship.conflict", "relationship_register": "relationship.register",
+    "relationship_resolution": "relationship.resolution", "relationship_perspective": "relationship.perspective", "characters_pairing": "characters.pairing",
+    "synthetic_presenter": "synthetic.presenter", "pacing_energy_arc": "pacing.energy_arc", "pacing_humor_sincerity": "pacing.humor_sincerity",
+    "pacing_speaker_dominance": "pacing.speaker_dominance", "pacing_density": "pacing.density",
+}
+
+
+def cluster_profiles(members: DataFrame, keys: list[str], vlm: str = "vlm", least: int = 3) -> DataFrame:
+    """One row per cluster of posts (keys.., post_id, views, vlm): n_posts, median duration and dialogue turns, counts of enum values and view ratios as maps of maps, and the registers of register_profile().
+
+    A post counts once in a cluster. Turns count where there are any; filler values are counted.
+    """
+    rows = members.dropDuplicates([*keys, "post_id"])
+    v = lambda path: F.col(f"{vlm}.{path}")
+    turns = F.when(F.size(v("dialogue")) > 0, F.size(v("dialogue")))
+    sizes = rows.groupBy(*keys).agg(F.median(v("estimated_duration_sec")).alias("median_duration_sec"), F.median(turns).alias("median_dialogue_turns"))
+    enums = rows.select(*keys, *(v(path).alias(name) for name, path in PROFILE_ENUMS.items()))
+    counts = _map_of_maps(enum_distribution(enums, keys, list(PROFILE_ENUMS)), keys, "field", "value", "n", "enum_distribution")
+    viewed = rows.select(*keys, "post_id", "views", v("relationship.register").alias("register"))
+    ratios = register_ratios(viewed, keys, least).withColumn("field", F.lit("relationship_register"))
+    ratios = _map_of_maps(ratios, keys, "field", "register", "view_ratio", "enum_view_ratio")
+    out = register_profile(viewed, keys, least).join(sizes, keys, "left").join(counts, keys, "left").join(ratios, keys, "left")
+    none = lambda c, kind: F.coalesce(c, F.create_map().cast(kind)).alias(c)
+    return out.select(
+        *keys, "n_posts", "median_duration_sec", "median_dialogue_turns", none("enum_distribution", "map<string,map<string,bigint>>"), none("enum_view_ratio", "map<string,map<string,double>>"),
+        "modal_register", "highest_lift_register", "register_mismatch",
+    )
+
+
+def _map_of_maps(rows: DataFrame, keys: list[str], outer: str, inner: str, value: str, name: str) -> DataFrame:
+    each = rows.groupBy(*keys, outer).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(inner, value)))).alias("_m"))
+    each = each.groupBy(*keys).agg(F.collect_list(F.struct(outer, "_m")).alias("_e"))
+    return each.select(*keys, F.map_from_entries("_e").alias(name))
+
+
+def no_product_rate(rows: DataFrame, products: str = "products") -> DataFrame:
+    """Share of rows without a named product (null: no rows)."""
+    return rows.agg(F.avg((F.coalesce(F.size(S.product_names(F.col(products))), F.lit(0)) <= 0).cast("double")).alias("no_product_rate"))
+
+
 def pattern_labels(members: DataFrame, products: DataFrame, keys: list[str], field: str = "format") -> DataFrame:
     """Per group of posts: names (each `brand name`, repeats kept, sorted), topics with counts, most frequent first, and the modal value of a field.
 
@@ -94,9 +142,13 @@ def pattern_labels(members: DataFrame, products: DataFrame, keys: list[str], fie
     names = rows.where(S.truthy(F.col("name"))).groupBy(*keys).agg(F.sort_array(F.collect_list(shown)).alias("names"))
     counts = rows.where(S.truthy(F.col("topic"))).groupBy(*keys, "topic").agg(F.count(F.lit(1)).alias("_n"))
     topics = counts.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("_n")).alias("o"), "topic"))), lambda t: F.struct(t["topic"].alias("topic"), (-t["o"]).alias("n"))).alias("topics"))
-    values = members.where(terms.real(F.col(field)).isNotNull()).groupBy(*keys, field).agg(F.count(F.lit(1)).alias("_n"))
-    modal = values.groupBy(*keys).agg(F.min_by(field, F.struct(-F.col("_n"), F.col(field))).alias(f"modal_{field}"))
-    return members.select(*keys).distinct().join(names, keys, "left").join(topics, keys, "left").join(modal, keys, "left")
+    return members.select(*keys).distinct().join(names, keys, "left").join(topics, keys, "left").join(modal_value(members, keys, field), keys, "left")
+
+
+def modal_value(rows: DataFrame, keys: list[str], field: str) -> DataFrame:
+    """(keys.., modal_<field>): the commonest value that says something (ties: the smaller)."""
+    values = rows.withColumn("_v", F.trim(F.col(field))).where(terms.real(F.col("_v")).isNotNull()).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    return values.groupBy(*keys).agg(F.min_by("_v", F.struct(-F.col("_n"), F.col("_v"))).alias(f"modal_{field}"))
 
 
 def crosstab(rows: DataFrame, a: str, b: str, facet: str) -> DataFrame:
@@ -104,14 +156,6 @@ def crosstab(rows: DataFrame, a: str, b: str, facet: str) -> DataFrame:
     return rows.withColumn("facet", F.lit(facet)).withColumn("raw_term", terms.cell(F.col(a), F.col(b))).where("raw_term IS NOT NULL")
 
 
-def account_patterns(peaks: DataFrame, embedded: DataFrame, threshold: float = 0.70) -> DataFrame:
-    """(account_id, anchor, size, members): peaks of an account that hang together, two or more."""
-    rows = peaks.select("account_id", "post_id").join(embedded, "post_id").withColumn("v", vectors.unit(F.col("vector"))).select("account_id", F.col("post_id").alias("id"), "v")
-    pairs = vectors._grouped_pairs(rows, ["account_id"], threshold)
-    cc = vectors.connected_components(pairs, "a", "b").select(F.col("node.account_id").alias("account_id"), F.col("node.id").alias("post_id"), F.col("component.id").alias("anchor"))
-    return cc.groupBy("account_id", "anchor").agg(F.count(F.lit(1)).alias("size"), F.sort_array(F.collect_list("post_id")).alias("members"))
-
-
 def resonance(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Per key: posts with views and comments known, and the lift of their median log1p(comments) - log1p(views) over the world's."""
     rows = rows.where(F.col("comments").isNotNull() & (F.col("views") != 0)).withColumn("_r", F.log1p(F.col("comments").cast("double")) - F.log1p(F.col("views").cast("double")))

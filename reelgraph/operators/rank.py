@@ -28,7 +28,7 @@ def peaks(posts: DataFrame, by: str = "account_id", least: int = 10, z: float =
     info = mid.join(spread, by).join(found.groupBy(by).agg(F.count(F.lit(1)).alias("n_peaks"), F.min("metric").alias("_low")), by, "left")
     cutoff = F.when(use_z, F.lit(z) * F.col("mad") / F.lit(0.6745) + F.col("med")).otherwise(F.col("_low"))
     info = info.select(
-        by, F.when(use_z, "modified_z_score").otherwise("top_10_percent").alias("method"), F.expm1(cutoff).cast("long").alias("cutoff_views"), "n_total", F.coalesce("n_peaks", F.lit(0)).alias("n_peaks")
+        by, F.when(use_z, "modified_z_score").otherwise("top_10_percent").alias("method"), F.floor(F.round(F.expm1(cutoff), 6)).alias("cutoff_views"), "n_total", F.coalesce("n_peaks", F.lit(0)).alias("n_peaks")
     )
     return found.drop("med", "mad", "n_total"), info
 
@@ -61,15 +61,24 @@ def budget_prefix(rows: DataFrame, by: list[str], order: str, size: str, limit:
     return rows.where((F.col("rn") == 1) | ((F.col("cum") <= limit) & (F.col("rn") <= most)))
 
 
-def page(rows: DataFrame, order: list, limit: int, offset: int = 0) -> DataFrame:
-    """One page of a total order."""
-    return rows.orderBy(*order).offset(offset).limit(limit)
+def top_terms(stats: DataFrame, n: int = 25, fewer: dict[str, int] | None = None) -> DataFrame:
+    """The n terms of each world and facet with most lift (ties: smaller term), with their rank rn; fewer names facets with another n."""
+    limit = F.lit(n)
+    for facet, k in (fewer or {}).items():
+        limit = F.when(F.col("facet") == facet, k).otherwise(limit)
+    by = Window.partitionBy("world", "facet").orderBy(F.round("lift", 9).desc(), "canon_term")
+    return stats.withColumn("rn", F.row_number().over(by)).where(F.col("rn") <= limit)
 
 
-def overview_order(sort: str = "lift") -> list:
-    """Favourites, manual order, the chosen key, then the term."""
-    key = F.size("variants") if sort == "variants" else F.col(sort)
-    return [F.desc("favorite"), F.col("sort_order").asc_nulls_last(), key.desc(), F.col("canon_term").asc()]
+def pending_queries(ledger: DataFrame, world: str, n: int = 5) -> DataFrame:
+    """The next n pending queries of a world, by round, then id."""
+    return ledger.where((F.col("world_slug") == world) & (F.col("status") == "pending")).orderBy("round_no", "id").limit(n)
+
+
+def first_handles(handles: DataFrame, n: int = 20) -> DataFrame:
+    """Of each query's handles (query, handle, pos) the first n."""
+    by = Window.partitionBy("query").orderBy("pos", "handle")
+    return handles.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= n).drop("_n")
 
 
 def systematic_sample(rows: DataFrame, by: str, order: str, most: int = 4000) -> DataFrame:

@@ -59,15 +59,27 @@ def assert_centred(stats: DataFrame, tolerance: float = 1.0) -> None:
 
 
 def dedupe_stats(stats: DataFrame) -> DataFrame:
-    """One row per (world, facet, canon_term): that with most posts."""
+    """One row per (world, facet, canon_term): that with most posts, the first of the given `order` on ties (else that with the higher, then the lower values of all columns)."""
     keys = ["world", "facet", "canon_term"]
-    return stats.groupBy(*keys).agg(F.max_by(F.struct(*stats.columns), "n_posts").alias("_s")).select("_s.*")
+    rest = [c for c in stats.columns if c not in (*keys, "n_posts", "order")]
+    place = [-F.col("order")] if "order" in stats.columns else []
+    best = stats.groupBy(*keys).agg(F.max(F.struct("n_posts", *(p.alias("_o") for p in place), *rest)).alias("_s"))
+    return best.select(*keys, "_s.n_posts", *(f"_s.{c}" for c in rest)).select(*(c for c in stats.columns if c != "order"))
 
 
-def catalogue(worlds: DataFrame, posts: DataFrame) -> DataFrame:
-    """Each world, with or without posts: n_posts, n_accounts, vlm_coverage."""
+def catalogue(worlds: DataFrame, posts: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    """Each world, with or without posts, by name: n_posts, n_accounts, vlm_coverage, and computed_at, the latest of its stats, if these are given."""
     got = posts.groupBy("world").agg(F.count(F.lit(1)).alias("n_posts"), F.countDistinct("account_id").alias("n_accounts"), F.avg(F.col("described").cast("double")).alias("vlm_coverage"))
-    return worlds.select("world").join(got, "world", "left").fillna(0, ["n_posts", "n_accounts"]).fillna(0.0, ["vlm_coverage"])
+    out = worlds.select("world").join(got, "world", "left").fillna(0, ["n_posts", "n_accounts"]).fillna(0.0, ["vlm_coverage"])
+    if stats is not None:
+        out = out.join(stats.groupBy("world").agg(F.max("computed_at").alias("computed_at")), "world", "left")
+    return out.orderBy("world")
+
+
+def world_counts(posts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(posts per world, most first; the number of worlds that have any)."""
+    counts = posts.where(F.col("world").isNotNull()).groupBy("world").agg(F.count(F.lit(1)).alias("n_posts"))
+    return counts.orderBy(F.desc("n_posts"), "world"), counts.agg(F.count(F.lit(1)).alias("n_active"))
 
 
 def coverage(posts: DataFrame) -> DataFrame:
@@ -87,4 +99,4 @@ def canonical_labels(counts: DataFrame, keys: list[str]) -> DataFrame:
 def volume_ratio(stats: DataFrame) -> DataFrame:
     """n_posts against the facet's median before any filter."""
     middle = stats.groupBy("world", "facet").agg(F.median("n_posts").alias("_mid"))
-    return stats.join(middle, ["world", "facet"]).withColumn("volume_ratio", F.when(F.col("_mid") != 0, F.col("n_posts") / F.col("_mid"))).drop("_mid")
+    return stats.join(middle, ["world", "facet"]).withColumn("volume_ratio", F.when(F.col("_mid") != 0, F.col("n_posts") / F.col("_mid")).otherwise(0.0)).drop("_mid")

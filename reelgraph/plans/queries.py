@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reelgraph.functions import scalars as S
-from reelgraph.operators import density, layout, overrides, passes, rank, sentences, stats, terms, vectors
+from reelgraph.operators import density, layout, overrides, pages, passes, patterns, rank, routing, sentences, stats, terms, upkeep, vectors
 from reelgraph.plans import rollup as composed
 from reelgraph.sources import sinks
 
@@ -172,14 +172,11 @@ def coverage(spark, d):
 
 @query(f"WITH {RANKED_SQL.replace('GROUP BY ALL HAVING', 'GROUP BY e.world, facet, canon_term HAVING')}, v AS (SELECT *, n_posts / median(n_posts) OVER (PARTITION BY world, facet) AS volume_ratio FROM g), a AS (SELECT *, canon_term LIKE 'b%' AS favorite FROM v WHERE n_posts >= 6 AND n_accounts >= 4) SELECT world, canon_term, n_posts, favorite, round(volume_ratio, 6) AS volume_ratio, n FROM (SELECT *, row_number() OVER (PARTITION BY world ORDER BY favorite DESC, round(median_m - m, 9) DESC, canon_term) AS n FROM a) WHERE n > 5 AND n <= 15")
 def overview_page(spark, d):
-    """Second page of ten of each world's overview; terms with an annotation (here: that begin with b) come first."""
-    from pyspark.sql import Window
-
-    ranked = stats.volume_ratio(_ranked(spark, d)).where("n_posts >= 6 AND n_accounts >= 4")
+    """Rows 6 to 15 of each world's overview; terms with an annotation (here: that begin with b) come first."""
+    ranked = _ranked(spark, d)
     notes = ranked.where("canon_term LIKE 'b%'").select(S.term_key(F.col("world"), F.col("facet"), F.col("canon_term")).alias("key"), F.lit(True).alias("favorite"))
-    rows = ranked.withColumn("key", S.term_key(F.col("world"), F.col("facet"), F.col("canon_term"))).join(notes, "key", "left").fillna(False, ["favorite"])
-    n = F.row_number().over(Window.partitionBy("world").orderBy(F.desc("favorite"), F.round("lift", 9).desc(), "canon_term"))
-    return rows.withColumn("n", n).where("n > 5 AND n <= 15").select("world", "canon_term", "n_posts", "favorite", *r6("volume_ratio"), F.col("n").cast("long").alias("n"))
+    rows = pages.overview(ranked, notes, min_posts=6, min_accounts=4, limit=10, offset=5)
+    return rows.select("world", "canon_term", "n_posts", "favorite", *r6("volume_ratio"), "n")
 
 
 @query(f"WITH {EDGES_SQL}, x AS (SELECT world, canon_term, post_id, min(raw_term) AS raw_term, any_value(metric) AS metric FROM edges GROUP BY world, canon_term, post_id), k AS (SELECT *, row_number() OVER (PARTITION BY world, canon_term ORDER BY round(metric, 9) DESC, post_id) AS n FROM x) SELECT world, canon_term, post_id, raw_term, n FROM k WHERE n <= 100")
@@ -238,9 +235,9 @@ def peaks_mad(spark, d):
     return rank.peaks(fx_posts(spark, d))[0].select("account_id", "post_id", *r6("metric", "modified_z"))
 
 
-@query(f"WITH {POSTS_SQL}, fx AS (SELECT * FROM fx_posts), {PEAKS_SQL}, c AS (SELECT account_id, count(*) AS n_peaks, min(metric) AS low FROM p GROUP BY account_id) SELECT account_id, CASE WHEN n_total >= 10 AND mad <> 0 THEN 'modified_z_score' ELSE 'top_10_percent' END AS method, n_total, coalesce(n_peaks, 0) AS n_peaks FROM m JOIN a USING (account_id) LEFT JOIN c USING (account_id)")
+@query(f"WITH {POSTS_SQL}, fx AS (SELECT * FROM fx_posts), {PEAKS_SQL}, c AS (SELECT account_id, count(*) AS n_peaks, min(metric) AS low FROM p GROUP BY account_id) SELECT account_id, CASE WHEN n_total >= 10 AND mad <> 0 THEN 'modified_z_score' ELSE 'top_10_percent' END AS method, CAST(floor(round(CASE WHEN n_total >= 10 AND mad <> 0 THEN exp(3.5 * mad / 0.6745 + med) ELSE exp(low) END - 1, 6)) AS BIGINT) AS cutoff_views, n_total, coalesce(n_peaks, 0) AS n_peaks FROM m JOIN a USING (account_id) LEFT JOIN c USING (account_id)")
 def peaks_cutoff(spark, d):
-    return rank.peaks(fx_posts(spark, d))[1].select("account_id", "method", "n_total", "n_peaks")
+    return rank.peaks(fx_posts(spark, d))[1].select("account_id", "method", "cutoff_views", "n_total", "n_peaks")
 
 
 @query(f"""WITH {EVENTS_SQL}, e AS (SELECT *, ln(1 + views) AS m, coalesce(posted_at >= TIMESTAMP '2024-01-31' - INTERVAL 15 DAY, false) AS r FROM fx_events WHERE views IS NOT NULL), b AS (SELECT world, median(m) AS b FROM e GROUP BY world),
@@ -255,7 +252,7 @@ def stratified_lift(spark, d):
     return passes.stratified(fx_events(spark, d), S.stratum("k", 15, "lt")).select("world", "term", "n", "n_accounts", *r6("lift"))
 
 
-@query(f"WITH {EVENTS_SQL}, e AS (SELECT world, term, {REGISTERS}[post_id % 8 + 1] AS register, CASE WHEN views <> 0 THEN ln(1 + views) END AS m FROM fx_events), b AS (SELECT world, term, count(*) AS n_posts, median(m) AS b FROM e GROUP BY ALL), x AS (SELECT world, term, register, count(*) AS n, CASE WHEN count(m) >= 3 THEN round(exp(median(m) - any_value(b)), 9) END AS ratio FROM e JOIN b USING (world, term) GROUP BY world, term, register), y AS (SELECT world, term, first(register ORDER BY n DESC, register) AS modal_register, first(register ORDER BY ratio DESC NULLS LAST, register) AS highest_lift_register FROM x GROUP BY world, term) SELECT world, term, n_posts, modal_register, highest_lift_register, modal_register <> highest_lift_register AS register_mismatch FROM b JOIN y USING (world, term)")
+@query(f"WITH {EVENTS_SQL}, e AS (SELECT world, term, {REGISTERS}[post_id % 8 + 1] AS register, CASE WHEN views <> 0 THEN ln(1 + views) END AS m FROM fx_events), b AS (SELECT world, term, count(*) AS n_posts, median(m) AS b FROM e GROUP BY ALL), x AS (SELECT world, term, register, count(*) AS n, CASE WHEN count(m) >= 3 THEN round(exp(median(m) - any_value(b)), 9) END AS ratio FROM e JOIN b USING (world, term) GROUP BY world, term, register), y AS (SELECT world, term, first(register ORDER BY n DESC, register) AS modal_register, first(register ORDER BY ratio DESC, register) FILTER (WHERE ratio IS NOT NULL) AS highest_lift_register FROM x GROUP BY world, term) SELECT world, term, n_posts, modal_register, highest_lift_register, coalesce(modal_register <> highest_lift_register, false) AS register_mismatch FROM b JOIN y USING (world, term)")
 def cluster_profile(spark, d):
     rows = fx_events(spark, d).withColumn("register", F.get(F.array(*map(F.lit, REGISTERS)), (F.col("post_id") % 8).cast("int")))
     return passes.register_profile(rows, ["world", "term"])
@@ -360,9 +357,9 @@ def medoid_prune(spark, d):
     return vectors.prune(t(spark, d, "embeddings"), "label", "vec_id", "embedding", 0.1).select("vec_id", "label")
 
 
-@query("SELECT doc_id, min(doc_id) OVER (PARTITION BY trim(text, ' ')) AS representative FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, CASE WHEN text IS NULL THEN doc_id ELSE min(doc_id) OVER (PARTITION BY trim(text, ' ')) END AS representative FROM documents")
 def exact_dedupe(spark, d):
-    return vectors.exact_dedupe(t(spark, d, "documents").where("text IS NOT NULL"), "text", "doc_id")
+    return vectors.exact_dedupe(t(spark, d, "documents"), "text", "doc_id")
 
 
 @query()
@@ -375,14 +372,6 @@ def canonicalize(spark, d):
     return vectors.canonicalize(fx_edges(spark, d))
 
 
-@query()
-def account_patterns(spark, d):
-    found, _ = rank.peaks(fx_posts(spark, d).withColumn("account_id", F.col("account_id") % 50), least=1_000_000)
-    texts = fx_products(spark, d).groupBy("post_id").agg(F.array_join(F.sort_array(F.collect_set("name")), " ").alias("norm_term"))
-    known = vectors.embed(texts, None)
-    return passes.account_patterns(found, texts.join(known, "norm_term").select("post_id", "vector"), 0.60)
-
-
 @query("SELECT post_id, world FROM (SELECT event_id AS post_id, event_type AS world, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) WHERE i % CAST(ceil(n / 400.0) AS INT) = 0")
 def systematic_sample(spark, d):
     return rank.systematic_sample(fx_events(spark, d), "world", "post_id", 400).select("post_id", "world")
@@ -539,3 +528,251 @@ def override_expand(spark, d):
     every = edges.select(F.col("canon_term").alias("term")).distinct().withColumn("c", F.substring("term", 1, 1))
     rows = every.join(every.groupBy("c").agg(F.min("term").alias("target")), "c").where("term <> target").withColumn("action", F.lit("merge"))
     return overrides.expand(overrides.resolve(rows), edges)
+
+
+RANKED_WITH = f"WITH {RANKED_SQL.replace('GROUP BY ALL HAVING', 'GROUP BY e.world, facet, canon_term HAVING')}"
+
+
+@query(f"""{RANKED_WITH},
+p AS (SELECT *, min(canon_term) OVER (PARTITION BY world, left(canon_term, 1)) AS target FROM g WHERE canon_term NOT LIKE 'c%'),
+v AS (SELECT *, CASE WHEN target <> canon_term THEN target END AS parent_term, n_posts / median(n_posts) OVER (PARTITION BY world, facet) AS volume_ratio FROM p),
+f AS (SELECT * FROM v WHERE n_posts >= 6 AND n_accounts >= 4),
+k AS (SELECT world, parent_term AS canon_term, string_agg(canon_term, ', ' ORDER BY n_posts DESC, canon_term) AS children FROM f WHERE parent_term IS NOT NULL GROUP BY ALL),
+a AS (SELECT f.*, coalesce(children, '') AS children, n_posts % 2 = 0 AS favorite, CASE WHEN n_posts % 2 = 0 THEN n_posts % 3 ELSE 0 END AS sort_order FROM f LEFT JOIN k USING (world, canon_term) WHERE parent_term IS NULL)
+SELECT world, canon_term, n_posts, favorite, round(volume_ratio, 6) AS volume_ratio, children, n, total FROM (
+SELECT *, row_number() OVER (PARTITION BY world ORDER BY favorite DESC, sort_order, n_posts DESC, canon_term) AS n, count(*) OVER (PARTITION BY world) AS total FROM a) WHERE n <= 25""")
+def overview(spark, d):
+    """First page by volume: terms nested under the first of their world that begins alike, those with c dropped, every second a favourite."""
+    ranked = _ranked(spark, d)
+    first = ranked.groupBy("world", "facet", F.substring("canon_term", 1, 1).alias("c")).agg(F.min("canon_term").alias("target"))
+    rows = ranked.withColumn("c", F.substring("canon_term", 1, 1)).join(first, ["world", "facet", "c"])
+    rows = rows.withColumn("action", F.when(F.col("c") == "c", "drop").when(F.col("target") != F.col("canon_term"), "child_of")).where("action IS NOT NULL")
+    nested = overrides.apply_child_and_drop(ranked, rows.select("world", "facet", "canon_term", "action", "target"))
+    key = S.term_key(F.col("world"), F.col("facet"), F.col("canon_term")).alias("key")
+    notes = ranked.where("n_posts % 2 = 0").select(key, F.lit(True).alias("favorite"), (F.col("n_posts") % 3).cast("int").alias("sort_order"))
+    out = pages.overview(nested, notes, sort="volume", min_posts=6, min_accounts=4)
+    return out.select("world", "canon_term", "n_posts", "favorite", *r6("volume_ratio"), F.array_join("children", ", ").alias("children"), "n", "total")
+
+
+@query(f"""{RANKED_WITH}, a AS (SELECT world, canon_term, n_posts, row_number() OVER (PARTITION BY world ORDER BY round(account_lift, 9) DESC, canon_term) AS n, count(*) OVER (PARTITION BY world) AS total
+FROM g WHERE canon_term LIKE 'b%' AND n_posts BETWEEN 3 AND 200) SELECT * FROM a WHERE n <= 25""")
+def overview_favorites(spark, d):
+    """Favourites of at most 200 posts by account lift; hidden terms (those with c) are left out."""
+    ranked = _ranked(spark, d)
+    key = S.term_key(F.col("world"), F.col("facet"), F.col("canon_term")).alias("key")
+    notes = ranked.select(key, F.col("canon_term").startswith("b").alias("favorite"), F.col("canon_term").startswith("c").alias("hidden"))
+    return pages.overview(ranked, notes, sort="account", max_posts=200, favorites_only=True, show_hidden=False).select("world", "canon_term", "n_posts", "n", "total")
+
+
+@query(f"""WITH {EDGES_SQL}, x AS (SELECT world, canon_term, post_id, min(raw_term) AS matched_term FROM edges GROUP BY ALL),
+k AS (SELECT x.*, c_name AS handle, views, row_number() OVER (PARTITION BY x.world, canon_term ORDER BY coalesce(views, 0) DESC, post_id) AS n FROM x JOIN fx_posts USING (post_id) JOIN customer ON account_id = c_custkey)
+SELECT world, canon_term, post_id, matched_term, handle, 'https://www.tiktok.com/@' || handle || '/video/' || post_id AS video_url, views, n FROM k WHERE n <= 100""")
+def term_posts(spark, d):
+    accounts = t(spark, d, "customer").select(F.col("c_custkey").alias("account_id"), F.col("c_name").alias("handle"))
+    out = pages.term_posts(fx_edges(spark, d).select("world", "facet", "canon_term", "post_id", "raw_term"), fx_posts(spark, d).select("post_id", "account_id", "views"), accounts)
+    return out.select("world", "canon_term", "post_id", "matched_term", "handle", "video_url", "views", "n")
+
+
+@query(f"{RANKED_WITH}, a AS (SELECT world, canon_term, n_posts, row_number() OVER (PARTITION BY world ORDER BY round(median_m - m, 9) DESC, canon_term) AS rn FROM g) SELECT * FROM a WHERE rn <= 25")
+def top_terms(spark, d):
+    return rank.top_terms(_ranked(spark, d), 25, {"discount_product": 15}).select("world", "canon_term", "n_posts", F.col("rn").cast("long").alias("rn"))
+
+
+@query(f"""WITH {EVENTS_SQL}, k AS (SELECT world, row_number() OVER (PARTITION BY world ORDER BY account_id) - 1 AS i, account_id FROM (SELECT DISTINCT world, account_id FROM fx_events)),
+o AS (SELECT world || ':' || account_id AS key, i FROM k WHERE world = 'click' OR i < 5), n AS (SELECT DISTINCT world || ':' || account_id AS key FROM fx_events WHERE k < 50)
+SELECT coalesce(o.key, n.key) AS key, coalesce(o.i, -1) AS sort_order, n.key IS NOT NULL AS favorite FROM (SELECT key, i FROM o WHERE key LIKE 'click:%') o FULL JOIN n ON o.key = n.key""")
+def reorder(spark, d):
+    """Accounts of one world put in the order of their ids by hand; those with k below 50 are favourites."""
+    e = fx_events(spark, d)
+    key = F.concat_ws(":", "world", F.col("account_id").cast("string"))
+    notes = e.where("k < 50").select(key.alias("key")).distinct().withColumns({"favorite": F.lit(True), "sort_order": F.lit(-1)})
+    keys = [r["key"] for r in e.where("world = 'click'").select(key.alias("key"), "account_id").distinct().orderBy("account_id").collect()]
+    return pages.reorder(notes, keys).select("key", F.col("sort_order").cast("long").alias("sort_order"), "favorite")
+
+
+@query(f"""WITH {EVENTS_SQL}, x AS (SELECT world, 'product' AS facet, count(*) AS n FROM fx_events GROUP BY world UNION ALL SELECT world, 'hook_cluster', count(*) FROM fx_events GROUP BY world UNION ALL SELECT world, 'other', count(*) FROM fx_events GROUP BY world)
+SELECT world, facet, n, CASE WHEN facet = 'product' THEN 'core' ELSE 'hooks' END AS category, 0 AS place FROM x WHERE facet = 'product' OR (facet = 'hook_cluster' AND world = 'click')""")
+def panels(spark, d):
+    """Facets under their panels; one world has the dialogue layer."""
+    n = fx_events(spark, d).groupBy("world").agg(F.count(F.lit(1)).alias("n"))
+    rows = n.select("world", F.explode(F.array(*map(F.lit, ["product", "hook_cluster", "other"]))).alias("facet"), "n")
+    return pages.with_panels(rows, ["click"]).select("world", "facet", "n", "category", "place")
+
+
+VIRAL_SQL = f"""{POSTS_SQL}, fx AS (SELECT post_id, c_nationkey AS account_id, format, CASE WHEN format = '1-URGENT' THEN views ELSE 100 END AS views, ln(1 + CASE WHEN format = '1-URGENT' THEN views ELSE 100 END) AS metric FROM fx_posts JOIN customer ON account_id = c_custkey), {PEAKS_SQL},
+ve AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), vu AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM ve),
+pv AS (SELECT account_id, post_id, v FROM p JOIN vu ON vec_id = post_id % (SELECT count(*) FROM embeddings) WHERE post_id % 7 <> 0),
+ed AS (SELECT a.post_id AS a, b.post_id AS b FROM pv a JOIN pv b ON a.account_id = b.account_id WHERE a.post_id = b.post_id OR list_dot_product(a.v, b.v) >= 0.70),
+rc AS (SELECT a, b FROM ed UNION SELECT rc.a, ed.b FROM rc JOIN ed ON rc.b = ed.a), cl AS (SELECT a AS post_id, min(b) AS cluster FROM rc GROUP BY a),
+pc AS (SELECT p.*, cluster, count(*) OVER (PARTITION BY account_id, cluster) AS size FROM p LEFT JOIN cl USING (post_id))"""
+
+
+def fx_viral(spark, d):
+    """(posts, products, vectors): nations are accounts, whose posts get a hundred views but for urgent orders; every seventh post has no vector."""
+    posts = fx_posts(spark, d).join(t(spark, d, "customer").select(F.col("c_custkey").alias("account_id"), "c_nationkey"), "account_id")
+    posts = posts.select(
+        "post_id", F.col("c_nationkey").alias("account_id"), "format", F.lit(None).cast("string").alias("setting"), F.concat(F.lit("post "), F.col("post_id").cast("string")).alias("summary"),
+        F.col("post_id").cast("string").alias("external_id"), F.col("posted_at").cast("timestamp").alias("posted_at"), F.when(F.col("format") == "1-URGENT", F.col("views")).otherwise(F.lit(100).cast("long")).alias("views"),
+    )
+    vecs = t(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    n = vecs.count()
+    embedded = posts.where("post_id % 7 <> 0").select("post_id", (F.col("post_id") % n).alias("vec_id")).join(vecs, "vec_id").select("post_id", "vector")
+    return posts, fx_products(spark, d).select("post_id", "name", "brand", "topic"), embedded
+
+
+@query(f"""WITH RECURSIVE {VIRAL_SQL}, {PRODUCTS_SQL}, pt AS (SELECT account_id, cluster, max(size) AS size, string_agg(post_id::VARCHAR, ',' ORDER BY views DESC, post_id) AS members FROM pc WHERE cluster IS NOT NULL AND size >= 2 GROUP BY ALL),
+nm AS (SELECT account_id, cluster, string_agg(CASE WHEN brand <> '' THEN brand || ' ' || name ELSE name END, ', ' ORDER BY brand || ' ' || name) AS names FROM pc JOIN fx_products USING (post_id) WHERE size >= 2 AND cluster IS NOT NULL GROUP BY ALL),
+tc AS (SELECT account_id, cluster, topic, count(*) AS k FROM pc JOIN fx_products USING (post_id) WHERE size >= 2 AND cluster IS NOT NULL GROUP BY ALL),
+tp AS (SELECT account_id, cluster, string_agg(topic, ', ' ORDER BY k DESC, topic) AS top FROM (SELECT *, row_number() OVER (PARTITION BY account_id, cluster ORDER BY k DESC, topic) AS i FROM tc) WHERE i <= 3 GROUP BY ALL),
+np AS (SELECT account_id, count(*) AS n_peaks FROM p GROUP BY account_id)
+SELECT account_id, cluster::VARCHAR AS key, size, coalesce(names, '') AS names, members, '1-URGENT' || coalesce(' — ' || top, '') || ' — post ' || split_part(members, ',', 1) AS about, cluster % 2 = 0 AS favorite, n_peaks
+FROM pt LEFT JOIN nm USING (account_id, cluster) LEFT JOIN tp USING (account_id, cluster) JOIN np USING (account_id)""")
+def account_patterns(spark, d):
+    """Patterns of all accounts; those with an even key are favourites."""
+    posts, products, embedded = fx_viral(spark, d)
+    notes = posts.where("post_id % 2 = 0").select(F.col("post_id").cast("string").alias("key"), F.lit(True).alias("favorite"))
+    out = patterns.patterns(posts, products, embedded, notes)
+    ids = F.array_join(F.transform("members", lambda x: x.cast("string")), ",")
+    return out.select("account_id", "key", "size", F.array_join("names", ", ").alias("names"), ids.alias("members"), "about", "favorite", "n_peaks")
+
+
+@query(f"""WITH RECURSIVE {VIRAL_SQL} SELECT pc.account_id, post_id, coalesce(cluster::VARCHAR, 'unclustered') AS cluster_id, CASE WHEN cluster IS NULL THEN 1 ELSE size END AS cluster_size,
+'https://www.tiktok.com/@' || n_name || '/video/' || post_id AS video_url, views, round(metric, 4) AS metric_log1p_views FROM pc JOIN nation ON account_id = n_nationkey""")
+def peak_report(spark, d):
+    posts, products, embedded = fx_viral(spark, d)
+    accounts = t(spark, d, "nation").select(F.col("n_nationkey").alias("account_id"), F.col("n_name").alias("handle"))
+    return patterns.peak_report(posts, products, embedded, accounts).select("account_id", "post_id", "cluster_id", "cluster_size", "video_url", "views", "metric_log1p_views")
+
+
+@query(f"WITH {EVENTS_SQL} SELECT post_id, account_id, world FROM fx_events WHERE account_id IN (SELECT account_id FROM fx_events WHERE world = 'click' AND k < 10)")
+def account_scope(spark, d):
+    """All events of users who clicked with k below 10."""
+    e = fx_events(spark, d)
+    return patterns.in_scope(e, e.where("k < 10"), "click").select("post_id", "account_id", "world")
+
+
+@query("SELECT doc_id AS post_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def unrouted(spark, d):
+    posts = t(spark, d, "documents").select(F.col("doc_id").alias("post_id"), "source")
+    return upkeep.unrouted(posts, t(spark, d, "labels").select(F.col("doc_id").alias("post_id")))
+
+
+@query("SELECT coalesce(a.i, b.i) AS post_id, CASE WHEN b.i IS NULL THEN 'missing' WHEN a.i IS NULL THEN 'extra' ELSE 'both' END AS side FROM (SELECT doc_id AS i FROM documents WHERE doc_id % 3 > 0) a FULL JOIN (SELECT doc_id AS i FROM labels) b ON a.i = b.i")
+def id_sets(spark, d):
+    """Documents wanted (two of three) against those labelled."""
+    wanted = t(spark, d, "documents").where("doc_id % 3 > 0").select(F.col("doc_id").alias("post_id"))
+    return upkeep.id_sets(wanted, t(spark, d, "labels").select(F.col("doc_id").alias("post_id")))
+
+
+@query("""WITH x AS (SELECT d.lang AS world, d.source, d.doc_id, l.doc_id IS NOT NULL AS has FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.n_chars % 2 = 0)
+SELECT world, count(*) AS n_need, count(*) FILTER (WHERE has) AS n_have, count(*) FILTER (WHERE NOT has) AS n_fetch, count(DISTINCT source) FILTER (WHERE NOT has) AS n_accounts FROM x GROUP BY world""")
+def redescribe_scope(spark, d):
+    """Documents of even length stand for posts without a description, labels for landed files."""
+    posts = t(spark, d, "documents").select(F.col("doc_id").alias("post_id"), F.col("lang").alias("world"), F.col("source").alias("handle"), (F.col("n_chars") % 2 != 0).alias("described"))
+    return upkeep.redescribe_scope(posts, t(spark, d, "labels").select(F.col("doc_id").alias("post_id")))
+
+
+@query("SELECT o_orderkey AS post_id, l.l_orderkey IS NOT NULL AS listed FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_discount > 0.08) l ON o_orderkey = l_orderkey WHERE o_orderstatus = 'P'")
+def relisted(spark, d):
+    """Pending orders that discounted lines list again."""
+    missing = t(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("account_external_id"), F.col("o_orderkey").alias("external_id"), F.col("o_orderkey").alias("post_id"))
+    feed = t(spark, d, "lineitem").where("l_discount > 0.08").join(t(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    fresh, gone = upkeep.relisted(missing, feed.select(F.col("o_custkey").alias("account_external_id"), F.col("o_orderkey").alias("external_id")))
+    return fresh.select("post_id", F.lit(True).alias("listed")).unionByName(gone.select("post_id", F.lit(False).alias("listed")))
+
+
+@query("SELECT lang AS world_slug, max(n_chars) + 1 AS round_no FROM documents GROUP BY lang")
+def next_round(spark, d):
+    return upkeep.next_round(t(spark, d, "documents").select(F.col("lang").alias("world_slug"), F.col("n_chars").alias("round_no")))
+
+
+@query("SELECT p_brand AS world, p_type AS facet, CASE WHEN p_partkey % 3 = 0 THEN 'merge' ELSE 'drop' END AS action, count(*) AS n FROM part GROUP BY ALL")
+def override_report(spark, d):
+    action = F.when(F.col("p_partkey") % 3 == 0, "merge").otherwise("drop")
+    return overrides.scope_report(t(spark, d, "part").select(F.col("p_brand").alias("world"), F.col("p_type").alias("facet"), action.alias("action")))
+
+
+@query(f"""WITH {POSTS_SQL}, {PRODUCTS_SQL}, c AS (SELECT world, topic, count(*) AS n FROM fx_products JOIN fx_posts USING (post_id) GROUP BY ALL)
+SELECT world, topic, n, rn FROM (SELECT *, row_number() OVER (PARTITION BY world ORDER BY n DESC, topic) AS rn FROM c) WHERE rn <= 40""")
+def crawl_topics(spark, d):
+    """The forty commonest raw topics of each world."""
+    topics = fx_products(spark, d).groupBy("post_id").agg(F.collect_list("topic").alias("topics"))
+    posts = fx_posts(spark, d).join(topics, "post_id", "left")
+    return upkeep.crawl_health(posts)[1].select("world", "topic", "n", F.col("rn").cast("long").alias("rn"))
+
+
+@query(f"WITH {POSTS_SQL} SELECT world, count(*) AS n_posts, count(DISTINCT account_id) AS n_accounts, count(*) FILTER (WHERE NOT low_conf) AS n_described FROM fx_posts GROUP BY world")
+def crawl_health(spark, d):
+    """Sure posts stand for described ones."""
+    posts = fx_posts(spark, d).withColumns({"described": ~F.col("low_conf"), "topics": F.array().cast("array<string>")})
+    return upkeep.crawl_health(posts)[0]
+
+
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), u AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM e),
+s AS (SELECT list_dot_product(a.v, b.v) AS s FROM u a JOIN u b ON a.vec_id < b.vec_id)
+SELECT round(min(s), 6) AS least, round(quantile_cont(s, 0.25), 6) AS p25, round(median(s), 6) AS mid, round(quantile_cont(s, 0.75), 6) AS p75, round(max(s), 6) AS most FROM s""")
+def sim_distribution(spark, d):
+    """Quantiles of the similarities of all pairs of vectors."""
+    got = vectors.similarity_distribution(t(spark, d, "embeddings"), "vec_id", "embedding")
+    return spark.createDataFrame([tuple(None if x is None else round(float(x), 6) for x in got)], "least double, p25 double, mid double, p75 double, most double")
+
+
+@query(f"""WITH {EVENTS_SQL}, e AS (SELECT world, term, views, k, {REGISTERS}[post_id % 8 + 1] AS register, {CONFLICTS}[post_id % 12 + 1] AS conflict, CASE WHEN views <> 0 THEN ln(1 + views) END AS m FROM fx_events),
+en AS (SELECT world, term, 'relationship_conflict' AS f, conflict AS v, count(*) AS n FROM e GROUP BY ALL UNION ALL SELECT world, term, 'relationship_register', register, count(*) FROM e GROUP BY ALL),
+em AS (SELECT world, term, string_agg(f || '.' || v || '=' || n, ',' ORDER BY f, v) AS enums FROM en GROUP BY ALL), b AS (SELECT world, term, median(m) AS b, count(*) AS n_posts, median(k) AS median_duration_sec, median(CASE WHEN k % 5 > 0 THEN k % 5 END) AS median_dialogue_turns FROM e GROUP BY ALL),
+ra AS (SELECT world, term, register, round(exp(median(m) - any_value(b)), 6) AS q FROM e JOIN b USING (world, term) WHERE m IS NOT NULL GROUP BY ALL HAVING count(*) >= 3),
+rm AS (SELECT world, term, string_agg(register, ',' ORDER BY register) AS rated, round(sum(q), 4) AS ratio_sum FROM ra GROUP BY ALL)
+SELECT world, term, n_posts, median_duration_sec::DOUBLE AS median_duration_sec, median_dialogue_turns::DOUBLE AS median_dialogue_turns, enums, coalesce(rated, '') AS rated, coalesce(ratio_sum, 0) AS ratio_sum FROM b JOIN em USING (world, term) LEFT JOIN rm USING (world, term)""")
+def cluster_profiles(spark, d):
+    """Whole profiles of event terms, maps written out; k is the duration, and its rest by five the number of turns."""
+    pick = lambda values, n: F.get(F.array(*map(F.lit, values)), (F.col("post_id") % n).cast("int"))
+    none = F.lit(None).cast("string")
+    turn = F.struct(F.lit("a").alias("speaker"), F.lit("b").alias("line"))
+    empty = F.array().cast("array<struct<speaker:string,line:string>>")
+    turns = F.when(F.col("k") % 5 > 0, F.transform(F.sequence(F.lit(1), F.col("k") % 5), lambda _: turn)).otherwise(empty)
+    vlm = F.struct(
+        F.struct(none.alias("stage"), pick(CONFLICTS, 12).alias("conflict"), pick(REGISTERS, 8).alias("register"), none.alias("resolution"), none.alias("perspective")).alias("relationship"),
+        F.struct(none.alias("pairing")).alias("characters"), F.struct(none.alias("presenter")).alias("synthetic"),
+        F.struct(*(none.alias(c) for c in ("energy_arc", "humor_sincerity", "speaker_dominance", "density"))).alias("pacing"),
+        turns.alias("dialogue"), F.col("k").cast("double").alias("estimated_duration_sec"),
+    )
+    out = passes.cluster_profiles(fx_events(spark, d).withColumn("vlm", vlm), ["world", "term"])
+    lines = F.flatten(F.transform(F.array_sort(F.map_keys("enum_distribution")), lambda f: F.transform(F.array_sort(F.map_keys(F.element_at("enum_distribution", f))), lambda v: F.concat(f, F.lit("."), v, F.lit("="), F.element_at(F.element_at("enum_distribution", f), v).cast("string")))))
+    ratios = F.coalesce(F.element_at("enum_view_ratio", "relationship_register"), F.create_map().cast("map<string,double>"))
+    total = F.aggregate(F.map_values(ratios), F.lit(0.0), lambda s, x: s + F.round(x, 6))
+    return out.select(
+        "world", "term", "n_posts", "median_duration_sec", "median_dialogue_turns", F.array_join(lines, ",").alias("enums"), F.array_join(F.array_sort(F.map_keys(ratios)), ",").alias("rated"), F.round(total, 4).alias("ratio_sum"),
+    )
+
+
+@query()
+def route_posts(spark, d):
+    """The routing flow over documents: a world per language, described by its first text; texts of even ids that won the smallest world are held out."""
+    docs = t(spark, d, "documents").select(F.col("doc_id").alias("post_id"), F.col("text").alias("visual_description"), "lang")
+    first = docs.where("lang IS NOT NULL AND visual_description IS NOT NULL").groupBy(F.col("lang").alias("slug")).agg(F.min_by("visual_description", "post_id").alias("description"))
+    worlds = routing.world_vectors(first.withColumn("snippets", F.col("slug")))
+    return routing.route_posts(docs, worlds, rules=[("de", F.col("post_id") % 2 == 0, None), ("de", F.lit(True), "de")]).select("post_id", "world", *r6("cosine", "margin"))
+
+
+def fx_described(spark, d):
+    """Posts of the order corpus with their nested description."""
+    ps = fx_products(spark, d).groupBy("post_id").agg(F.array_sort(F.collect_list(F.struct("ord", "name", "brand", "prominence", "topic", "acquisition_cost"))).alias("ps"))
+    rows = fx_posts(spark, d).join(ps, "post_id", "left")
+    none = F.lit(None).cast("string")
+    empty = lambda *names: F.struct(*(none.alias(n) for n in names))
+    product = lambda x: F.struct(x["name"].alias("name"), x["brand"].alias("brand"), x["prominence"].alias("prominence"), F.struct(x["acquisition_cost"].alias("acquisition_cost")).alias("value_signal"))
+    vlm = F.struct(
+        F.transform("ps", product).alias("products"), F.transform("ps", lambda x: x["topic"]).alias("topics"), F.col("format").alias("format"), F.col("format").alias("setting"),
+        F.concat_ws(" ", F.col("ps")[0]["name"], F.lit("by"), F.col("ps")[0]["brand"]).alias("summary"), F.col("ps")[0]["name"].alias("hook"), none.alias("premise"), none.alias("punchline"), none.alias("transcript"), none.alias("cta"),
+        F.when(F.col("low_conf"), "low").alias("confidence"), F.array(F.col("format")).alias("format_traits"), F.struct(F.lit(None).cast("array<string>").alias("brands")).alias("entities"), empty("kind").alias("audio"),
+        empty("stage", "conflict", "register", "resolution", "perspective").alias("relationship"), F.struct(F.lit(None).cast("boolean").alias("present"), none.alias("content"), none.alias("specificity")).alias("advice"),
+        empty("pairing", "dynamic").alias("characters"), empty("presenter", "voice").alias("synthetic"), empty("energy_arc", "humor_sincerity", "speaker_dominance", "density").alias("pacing"),
+    )
+    return rows.select("post_id", "account_id", "world", "views", vlm.alias("vlm"), (F.col("post_id") % 2 == 0).alias("music_original"), F.col("format").alias("music_author"))
+
+
+@query()
+def rebuild(spark, d):
+    """The whole rebuild: terms, sentence clusters and the discount slice of the order corpus."""
+    ranked, _ = composed.rebuild(fx_described(spark, d))
+    return ranked.select("world", "facet", "canon_term", "n_posts", "n_accounts", *r6("lift", "account_lift"), "parent_term")

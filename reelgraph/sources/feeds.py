@@ -44,6 +44,13 @@ def comments(feed: DataFrame) -> DataFrame:
     return feed.select("file", F.struct(F.coalesce("data.total", F.lit(0)).alias("total"), F.transform("data.comments", one).alias("comments")).alias("comments"))
 
 
+def search_results(feed: DataFrame) -> DataFrame:
+    """(query, page, handles, cursor, has_more) of search payloads that carry query and page: authors in order, and where to go on."""
+    handles = F.transform("data.videos", lambda v: v["author"]["unique_id"])
+    more = F.coalesce("data.hasMore", F.lit(False))
+    return feed.select("query", "page", F.coalesce(handles, F.array().cast("array<string>")).alias("handles"), F.coalesce("data.cursor", F.lit("0")).alias("cursor"), more.alias("has_more"))
+
+
 def search_pages(pages: DataFrame, most: int = 3) -> DataFrame:
     """Pages (query, page, handles, has_more) that a walk reads: it ends after `most`, or with the first page without handles or more."""
     stop = (F.size("handles") <= 0) | ~F.coalesce("has_more", F.lit(False))
@@ -62,6 +69,13 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.trim("value").alias("line")).where("line <> '' AND NOT startswith(line, '#')")
 
 
+def world_descriptions(spark: SparkSession, path: str) -> DataFrame:
+    """(slug, description) of text files, one a world, named by it: lines that are not comments, in order, trimmed at both ends."""
+    rows = spark.read.text(path, wholetext=True)
+    lines = F.filter(F.split("value", r"\r?\n"), lambda x: ~F.startswith(F.ltrim(x), F.lit("#")))
+    return rows.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("slug"), F.regexp_replace(F.array_join(lines, "\n"), r"^\s+|\s+$", "").alias("description"))
+
+
 def seed_queries(lines: DataFrame, ledger: DataFrame, world: str) -> DataFrame:
     """Seed rows of a world, none if its ledger has a row of round 0."""
     had = ledger.where((F.col("world_slug") == world) & (F.col("round_no") == 0)).select("world_slug", "round_no").distinct()
@@ -85,6 +99,17 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def candidate_scope(candidates: DataFrame) -> tuple[str, str] | None:
+    """(world, facet) of the first of the candidates, which are all of one."""
+    first = candidates.select("world", "facet").first()
+    return (first["world"], first["facet"]) if first else None
+
+
+def distinct_of(rows: DataFrame, column: str) -> DataFrame:
+    """Distinct handles, worlds or accounts; missing ones are left out."""
+    return rows.where(F.col(column).isNotNull()).select(column).distinct()
+
+
 def listed_ids(spark: SparkSession, path: str) -> DataFrame:
     """Ids of files in a folder whose name is a UUID; contents are not read."""
     name = F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1)

@@ -1,6 +1,7 @@
 """A Bloom filter over 64-bit hashes: built in Spark, of bounded size, tested in Arrow batches.
 
-It only ever thins out work: a false positive passes a row on to the exact step behind it.
+It only ever thins out work: a false positive passes a row on to the exact step behind it. A set of
+more than MAX_KEYS keys gets no filter; who asked for one must then have another way.
 """
 
 from __future__ import annotations
@@ -11,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCKS = 256
-#: Upper bound of the filter's size; this is also the bound of what is broadcast (64 MB).
-MAX_BITS = 1 << 29
+#: Keys of a filter at most, and so, at 16 bits a key, 32 MB that are broadcast.
+MAX_KEYS = 1 << 24
 
 
 def _spread(hashes: np.ndarray) -> np.ndarray:
@@ -44,12 +45,14 @@ class Bloom:
         return out
 
 
-def build(df: DataFrame, column: str, keys: int | None = None, max_bits: int = MAX_BITS):
-    """A broadcast Bloom of a long column. Each task fills the blocks dealt to it; the driver joins 256 of them."""
+def build(df: DataFrame, column: str, keys: int | None = None, max_keys: int | None = None):
+    """A broadcast Bloom of a long column, None beyond max_keys. Each task fills the blocks dealt to it; the driver joins 256 of them."""
     keys = df.count() if keys is None else keys
+    if keys > (MAX_KEYS if max_keys is None else max_keys):
+        return None
     bits = None
     if keys:
-        size = min(max_bits, max(1 << 16, 1 << int(16 * keys - 1).bit_length()))
+        size = max(1 << 16, 1 << int(8 * keys - 1).bit_length())  # 8 to 16 bits a key
         block = size // BLOCKS
 
         def deal(batches):

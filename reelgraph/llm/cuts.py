@@ -34,13 +34,13 @@ def merge_spans(spans: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(spans[at, 0].tolist(), reach[np.concatenate([at[1:] - 1, [len(spans) - 1]])].tolist(), strict=True))
 
 
-def cut(df: DataFrame, spans: DataFrame, id_col: str, text: str, apply: Callable, kept: T.StructField, sizes: list[str]) -> DataFrame:
+def cut(df: DataFrame, spans: DataFrame, id_col: str, text: str, apply: Callable, kept: T.StructField, sizes: list[str], max_keys: int | None = None) -> DataFrame:
     """(id_col, sizes.., kept) for each row of df. spans has (id, key, spans array<struct<start,end>>), one row per document.
 
-    apply(text, runs) gives ([numbers..], kept).
+    apply(text, runs) gives ([numbers..], kept). If more than max_keys documents have spans, all meet theirs in the shuffle.
     """
     docs, spans = keyed(df, id_col, text), materialize(spans, "spans")
-    has = bloom.build(spans, "key")
+    has = bloom.build(spans, "key", max_keys=max_keys)
     schema = T.StructType([field(df, id_col), *(T.StructField(n, T.LongType(), False) for n in sizes), kept])
 
     def maybe(part):
@@ -63,7 +63,8 @@ def cut(df: DataFrame, spans: DataFrame, id_col: str, text: str, apply: Callable
             out.append(apply(x or "", merge_spans(found)))
         return [part.column("id"), *([x[0][i] for x in out] for i in range(len(sizes))), [x[1] for x in out]]
 
-    some = map_texts(docs, rest, docs.schema)
-    same = [F.col("id").eqNullSafe(F.col("i")), F.col("key") == F.col("k")]
-    some = some.join(spans.select(F.col("id").alias("i"), F.col("key").alias("k"), "spans"), same[0] & same[1], "left").select("id", "text", "spans")
-    return map_texts(docs, clean, schema).unionByName(map_texts(some, finish, schema))
+    some = docs if has is None else map_texts(docs, rest, docs.schema)
+    same = F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k"))
+    some = some.join(spans.select(F.col("id").alias("i"), F.col("key").alias("k"), "spans"), same, "left").select("id", "text", "spans")
+    found = map_texts(some, finish, schema)
+    return found if has is None else map_texts(docs, clean, schema).unionByName(found)

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 SHARE = 1000
 
 
-def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], n: str = "n", share: int | None = None) -> DataFrame:
-    """rows joined to counted (keys.., n, ..) on keys, which are not null; n is dropped. Rows without a count go.
+def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], n: str = "n", share: int | None = None, how: str = "inner") -> DataFrame:
+    """rows joined to counted (keys.., n, ..) on keys, which are not null; n is dropped. Rows without a count go (how left: stay).
 
     counted should stand in a table, since it is read three times. A row's part comes from a hash of the
     row, so a recomputed task deals as the first one did. Equal rows of a split key share a part.
@@ -27,4 +27,4 @@ def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], n: str =
     part = F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64(*rows.columns), F.col("_parts")).cast("int")).otherwise(0)
     dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_part", part).drop("_parts")
     copies = counted.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop(n)
-    return dealt.join(copies, [*keys, "_part"]).drop("_part")
+    return dealt.join(copies, [*keys, "_part"], how).drop("_part")

@@ -22,9 +22,7 @@ def vocabulary(spark) -> bpe.Vocabulary:
 
 
 def op1_bpe(spark, sf_dir):
-    words = vocabulary(spark)
-    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), words, keep=["doc_id"])
-    out = bpe.decode(coded, words, keep=["doc_id", "ids"])
+    out = bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary(spark), keep=["doc_id"])
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelgraph.functions import scalars as S
+from reelgraph.runtime import materialize
 
 
 def peaks(posts: DataFrame, by: str = "account_id", least: int = 10, z: float = 3.5, share: float = 0.10) -> tuple[DataFrame, DataFrame]:
@@ -56,11 +57,35 @@ def merge_candidates(edges: DataFrame, stats: DataFrame, min_posts: int = 6, min
 
 def budget_prefix(rows: DataFrame, by: list[str], order: str, size: str, limit: int, most: int = 10_000) -> DataFrame:
     """Per group the longest prefix (by order) whose sizes sum to the limit at most; one row at least, `most` rows at most."""
-    run = Window.partitionBy(*by).orderBy(order)
-    rows = rows.withColumn("rn", F.row_number().over(run)).withColumn("cum", F.sum(size).over(run.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = positions(rows, by, order, size)
     return rows.where((F.col("rn") == 1) | ((F.col("cum") <= limit) & (F.col("rn") <= most)))
 
 
+def positions(rows: DataFrame, by: list[str], order: str, size: str | None = None) -> DataFrame:
+    """rows with rn, the place in their group by order, and with size cum, its running sum.
+
+    Rows are cut into ranges of group and order; a range is numbered on its own, and what stands
+    before it in its group comes from one count per range, so a large group is not sorted in one task.
+    """
+    ranged = rows.repartitionByRange(*by, order).withColumn("_range", F.spark_partition_id())
+    ranged = materialize(ranged, "ranges")
+    total = F.sum(size) if size else F.lit(0)
+    counts = ranged.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"), F.coalesce(total, F.lit(0)).alias("_sum"))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*by, "_range", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("_n", "_sum")))
+    group = Window.partitionBy(*by, "_range").orderBy(order)
+    out = ranged.withColumn("rn", F.row_number().over(group))
+    if size:
+        out = out.withColumn("cum", F.sum(size).over(group.rowsBetween(Window.unboundedPreceding, 0)))
+    renamed = counts.select(*(F.col(c).alias(f"_b{i}") for i, c in enumerate(by)), F.col("_range").alias("_r"), "_n", "_sum")
+    same = F.col("_range") == F.col("_r")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_b{i}"))
+    out = out.join(renamed, same).withColumn("rn", F.col("rn") + F.col("_n"))
+    out = out.withColumn("cum", F.col("cum") + F.col("_sum")) if size else out
+    return out.select(*rows.columns, "rn", *(["cum"] if size else []))
+
+
 def top_terms(stats: DataFrame, n: int = 25, fewer: dict[str, int] | None = None) -> DataFrame:
     """The n terms of each world and facet with most lift (ties: smaller term), with their rank rn; fewer names facets with another n."""
     limit = F.lit(n)
@@ -83,9 +108,8 @@ def first_handles(handles: DataFrame, n: int = 20) -> DataFrame:
 
 def systematic_sample(rows: DataFrame, by: str, order: str, most: int = 4000) -> DataFrame:
     """Every k-th row of each group, k = ceil(n / most)."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(by))
-    i = F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1
-    return rows.withColumn("_k", F.ceil(n / F.lit(most))).withColumn("_i", i).where(F.col("_i") % F.col("_k") == 0).drop("_k", "_i")
+    sizes = rows.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / F.lit(most)).alias("_k"))
+    return positions(rows, [by], order).join(sizes, by).where((F.col("rn") - 1) % F.col("_k") == 0).select(*rows.columns)
 
 
 def pending(rows: DataFrame, value: str, attempts: str, order: str, limit: int, most: int = 3) -> DataFrame:

@@ -37,6 +37,7 @@ def extract_terms(posts: DataFrame, vlm: str = "vlm", raw: str | None = "vlm_raw
 
     posts has the document as struct `vlm` and, where key-absent must be told from null, as JSON text
     `raw`; music_original and music_author come from the scrape and give terms without a document too.
+    A post is one row.
     """
     v = lambda path: F.col(f"{vlm}.{path}")
     one = lambda facet, value: _terms(facet, F.array(value))
@@ -63,9 +64,17 @@ def extract_terms(posts: DataFrame, vlm: str = "vlm", raw: str | None = "vlm_raw
     )
     low = F.coalesce(v("confidence") == "low", F.lit(False))
     keep = keep or ["post_id"]
-    rows = posts.select(*keep, F.size(spoken).alias("_spoken"), low.alias("_low"), F.posexplode(F.concat(spoken, scraped)).alias("ord", "t"))
-    rows = rows.select(*keep, "t.facet", "t.raw_term", "t.prominence", "ord", (F.col("_low") & (F.col("ord") < F.col("_spoken"))).alias("low_conf"))
-    return first_terms(rows, keep) if dedupe else rows
+    rows = posts.select(*keep, spoken.alias("_spoken"), scraped.alias("_scraped"), low.alias("_low"))
+    rows = rows.select(*keep, F.size("_spoken").alias("_n"), "_low", F.concat("_spoken", "_scraped").alias("_all"))
+    if dedupe:  # within the post's own list, so nothing is shuffled
+        keys = F.transform("_all", lambda t: F.concat(t["facet"], F.lit("\n"), t["raw_term"]))
+        rows = rows.withColumn("_keys", keys)
+        rows = rows.select(*keep, "_n", "_low", F.posexplode("_all").alias("ord", "t"), "_keys")
+        rows = rows.where(F.array_position("_keys", F.get("_keys", F.col("ord"))) == F.col("ord") + 1)
+    else:
+        rows = rows.select(*keep, "_n", "_low", F.posexplode("_all").alias("ord", "t"))
+    rows = rows.select(*keep, "t.facet", "t.raw_term", "t.prominence", "ord", (F.col("_low") & (F.col("ord") < F.col("_n"))).alias("low_conf"))
+    return rows.drop("ord") if dedupe else rows
 
 
 def first_terms(rows: DataFrame, keys: list[str]) -> DataFrame:

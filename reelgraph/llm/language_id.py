@@ -6,33 +6,40 @@ and D distinct successors a seen byte has c / (T + D), and the escape D / (T + D
 next shorter context, down to the uniform 1 / 256. The statistics are frozen after fitting, so a
 text's code length is exact and the same wherever it is scored; the shortest code names the language.
 
-Fitting reads a sample of about `sample_per_language` distinct labelled texts per language, chosen by
-a hash of the text (the documented bound), each once however many rows have it; successor counts are
-summed in Spark. The trees of all languages share one automaton over contexts, whose transitions and costs are tables, so scoring is a few numpy
-look-ups a byte. At most `max_contexts` contexts are kept (those seen most often), and no more than
-`max_cells` divided by the languages and by the distinct bytes seen, since costs are held for each.
-
-Cases: a text that is null or has no letter is `und` with score 0, and so is every text if no labelled
-row exists; rows with null language or text teach nothing; ties go to the language that sorts first.
-Repeated rows are scored each. Only the text takes part in a prediction.
+Fitting reads a bounded sample of distinct labelled texts per language: of about
+`sample_per_language` texts, chosen by a hash of the text, those that come first until
+`sample_bytes` are full, each whole and once however many rows have it. Successor counts are summed
+in Spark. All contexts of the sample are kept. A language's tree stands in hash tables over its
+contexts and successors, so the model grows with the sample and not with the number of languages
+squared, and scoring looks bytes up by numpy, some 100,000 at a time.
+
+Cases: a text that is null, empty or has no letters is `und` with score 0, and so is every text if no
+labelled row exists; rows with null language or text teach nothing; ties go to the language that
+sorts first. Repeated rows are scored each. Only the text takes part in a prediction. Very long texts
+are scored whole, in chunks. An empty table gives an empty result. Other columns are kept, whatever
+their names, and one named like an output is replaced.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reelgraph.llm.common import field, map_texts, raw_bytes
+from reelgraph.llm.lookup import Lookup
 
 UNDETERMINED = "und"
-#: Languages that may be learned; more are an error, as their costs are held side by side.
+#: Languages that may be learned; more are an error, as each has its own trees.
 MAX_LANGUAGES = 200
+#: The bound on labelled text: distinct texts and their bytes, for each language.
+SAMPLE_TEXTS, SAMPLE_BYTES = 1000, 4_000_000
 _SCALE = 1 << 30
-#: Costs held at most: contexts times bytes times languages.
-MAX_CELLS = 24_000_000
+#: Bytes scored at a time.
+_CHUNK = 1 << 17
 
 
 def _padded(column, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -44,6 +51,14 @@ def _padded(column, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, starts + shift, ends + shift
 
 
+def _codes(data: np.ndarray, order: int) -> np.ndarray:
+    """Each run of order + 1 bytes as a number."""
+    code = np.zeros(max(0, len(data) - order), np.uint64)
+    for k in range(order + 1):
+        code = code << np.uint64(8) | data[k : k + len(code)]
+    return code
+
+
 def successor_counts(df: DataFrame, text: str, lang: str, max_order: int) -> DataFrame:
     """(lang, gram, n): how often each run of max_order + 1 bytes ends inside a text; partially summed in the tasks."""
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())])
@@ -53,13 +68,11 @@ def successor_counts(df: DataFrame, text: str, lang: str, max_order: int) -> Dat
         names = np.array(part.column("lang").to_pylist(), object)
         for name in dict.fromkeys(names.tolist()):
             data, starts, ends = _padded(part.column("text").filter(pa.array(names == name)), max_order)
-            code = np.zeros(max(0, len(data) - max_order), np.int64)
-            for k in range(max_order + 1):
-                code = code << 8 | data[k : k + len(code)]
+            code = _codes(data, max_order)
             mark = np.zeros(len(data) + 1, np.int64)
             np.add.at(mark, starts, 1)
             np.add.at(mark, ends, -1)
-            g, n = np.unique(code[np.cumsum(mark)[max_order:-1] > 0], return_counts=True)
+            g, n = np.unique(code[np.cumsum(mark)[max_order:-1] > 0].view(np.int64), return_counts=True)
             langs += [name] * len(g)
             grams.append(g)
             counts.append(n)
@@ -69,81 +82,70 @@ def successor_counts(df: DataFrame, text: str, lang: str, max_order: int) -> Dat
     return rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+class Tree:
+    """One language's contexts: for each order, the bits of successors and of escapes."""
+
+    def __init__(self, grams: np.ndarray, n: np.ndarray, order: int):
+        self.order, self.seen, self.escape = order, [], []
+        for d in range(order + 1):
+            codes, at = np.unique(grams & np.uint64((1 << 8 * (d + 1)) - 1), return_inverse=True)
+            count = np.bincount(at, n, len(codes))
+            context, of = np.unique(codes >> np.uint64(8), return_inverse=True)
+            total, distinct = np.bincount(of, count, len(context)), np.bincount(of, minlength=len(context))
+            self.seen.append(Lookup(codes, np.log2((total + distinct)[of] / count).astype(np.float32)))
+            self.escape.append(Lookup(context, np.log2((total + distinct) / distinct).astype(np.float32)))
+
+    def bits(self, codes: np.ndarray) -> np.ndarray:
+        """Code length of each byte, given as the number of the run that ends with it."""
+        out, left = np.zeros(len(codes)), np.arange(len(codes))
+        for d in range(self.order, -1, -1):
+            run = codes[left] & np.uint64((1 << 8 * (d + 1)) - 1)
+            cost, hit = self.seen[d].get(run)
+            out[left] += np.where(hit, cost, np.float32(0))
+            left, run = left[~hit], run[~hit]
+            if not len(left):
+                return out
+            cost, known = self.escape[d].get(run >> np.uint64(8))
+            out[left] += np.where(known, cost, np.float32(0))
+        out[left] += 8
+        return out
+
+
 class Model:
-    """The automaton and the cost tables."""
+    """The trees of all languages."""
 
-    def __init__(self, langs: list[str], grams: np.ndarray, lang_of: np.ndarray, n: np.ndarray, max_order: int, max_contexts: int, max_cells: int = MAX_CELLS):
+    def __init__(self, langs: list[str], grams: np.ndarray, lang_of: np.ndarray, n: np.ndarray, max_order: int):
         self.langs, self.order = langs, max_order
-        last = grams & 255
-        seen = np.unique(np.append(last, 10)) if len(grams) else np.zeros(0, np.int64)  # texts are scored after line feeds
-        self.classes = np.zeros(256, np.int32)  # 0: a byte never seen
-        self.classes[seen] = np.arange(1, len(seen) + 1)
-        width = len(seen) + 1
-        max_contexts = min(max_contexts, max_cells // max(1, width * len(langs)))
-        # contexts by depth; a threshold on the count keeps the set closed under sub-contexts
-        found = []
-        for depth in range(1, max_order + 1):
-            codes, at = np.unique((grams >> 8) & ((1 << 8 * depth) - 1), return_inverse=True)
-            found.append((codes, np.bincount(at, n, len(codes)) if len(codes) else np.zeros(0)))
-        least = 1.0
-        while sum(int((c >= least).sum()) for _, c in found) > max_contexts:
-            least *= 1.5
-        codes = [np.zeros(1, np.int64), *(k[c >= least] for k, c in found)]
-        first = np.cumsum([0, *map(len, codes)])
-
-        def place(code: np.ndarray, depth: int) -> np.ndarray:
-            """State of the longest suffix (of at most depth bytes) that is a context."""
-            out = np.zeros(code.shape, np.int64)
-            for d in range(1, depth + 1):
-                part = code & ((1 << 8 * d) - 1)
-                at = np.searchsorted(codes[d], part)
-                hit = at < len(codes[d])
-                hit[hit] = codes[d][at[hit]] == part[hit]
-                out[hit] = first[d] + at[hit]
-            return out
-
-        total = int(first[-1])
-        self.next = np.zeros((total, width), np.int32)
-        cost = np.zeros((total, width, len(langs)), np.float32)
-        for d, code in enumerate(codes):
-            rows = slice(first[d], first[d + 1])
-            self.next[rows, 1:] = place(code[:, None] << 8 | seen[None, :], min(d + 1, max_order))
-            counts = np.zeros((len(code), width, len(langs)))
-            part = (grams >> 8) & ((1 << 8 * d) - 1)
-            at = np.searchsorted(code, part)
-            ok = at < len(code)
-            ok[ok] = code[at[ok]] == part[ok]
-            np.add.at(counts, (at[ok], self.classes[last[ok]], lang_of[ok]), n[ok])
-            t, distinct = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-            lower = np.full((1, 1, len(langs)), 8.0) if d == 0 else cost[place(code & ((1 << 8 * (d - 1)) - 1), d - 1)].astype(float)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                here = np.where(counts > 0, np.log2((t + distinct) / counts), np.log2((t + distinct) / distinct) + lower)
-            cost[rows] = np.where(t > 0, here, lower)
-        self.width, self.cost = width, cost.reshape(total * width, len(langs))
+        self.trees = [Tree(grams[lang_of == i].view(np.uint64), n[lang_of == i], max_order) for i in range(len(langs))]
 
     def bits(self, column) -> np.ndarray:
         """Code length in bits of each text under each language."""
         data, starts, ends = _padded(column, self.order)
         out = np.zeros((len(starts), len(self.langs)))
-        if not len(data) or not self.langs:
-            return out
-        symbol = self.classes[data]
-        state = np.zeros(len(data), np.int32)  # context that ends at a byte
-        for _ in range(self.order):
-            before = np.concatenate([[0], state[:-1]])
-            state = self.next[before, symbol]
-        at = np.concatenate([[0], state[:-1]]).astype(np.int64) * self.width + symbol
-        # each text's bytes, then the padding before the next: the odd sums are dropped
-        full = ends > starts
-        if full.any():
-            cuts = np.stack([starts[full], ends[full]], axis=1).ravel()
-            cuts = cuts[:-1] if cuts[-1] == len(data) else cuts
-            for i in range(len(self.langs)):
-                out[full, i] = np.add.reduceat(self.cost[at, i], cuts, dtype=np.float64)[::2]
+        for at in range(0, len(data) - self.order, _CHUNK):
+            codes = _codes(data[at : at + _CHUNK + self.order], self.order)
+            place = np.arange(at + self.order, at + self.order + len(codes))
+            doc = np.searchsorted(ends, place, "right")
+            inside = (doc < len(starts)) & (place >= starts[np.minimum(doc, len(starts) - 1)])
+            codes, doc = codes[inside], doc[inside]
+            for i, tree in enumerate(self.trees):
+                out[:, i] += np.bincount(doc, tree.bits(codes), len(starts))
         return out
 
 
-def fit(df: DataFrame, text: str = "text", lang: str = "lang", max_order: int = 3, sample_per_language: int = 1000, max_contexts: int = 30_000, max_cells: int = MAX_CELLS) -> Model:
+def sample(rows: DataFrame, sizes: dict[str, int], texts: int, most_bytes: int) -> DataFrame:
+    """Of each language's distinct texts about `texts` by a hash of the text, and of these the first that fill most_bytes (one at least, the shortest if none fits)."""
+    share = F.create_map(*(x for k in sizes for x in (F.lit(k), F.lit(min(_SCALE, int(_SCALE * texts / sizes[k]) + 1)))))
+    some = rows.where(F.pmod(F.xxhash64("text"), F.lit(_SCALE)) < F.element_at(share, F.col("lang"))).distinct()
+    size = F.octet_length("text").cast("long")
+    some = some.withColumns({"_size": size, "_fits": size <= most_bytes})
+    order = [F.desc("_fits"), F.when(~F.col("_fits"), F.col("_size")), F.xxhash64("text"), "text"]
+    by = Window.partitionBy("lang").orderBy(*order)  # a sample of bounded size, not a language
+    some = some.withColumns({"_n": F.row_number().over(by), "_sum": F.sum("_size").over(by.rowsBetween(Window.unboundedPreceding, 0))})
+    return some.where((F.col("_n") == 1) | (F.col("_fits") & (F.col("_sum") <= most_bytes))).select("lang", "text")
+
+
+def fit(df: DataFrame, text: str = "text", lang: str = "lang", max_order: int = 3, sample_per_language: int = SAMPLE_TEXTS, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """A Model from the labelled rows of df."""
     if not 1 <= max_order <= 6:
         raise ValueError("max_order must be 1 to 6")
@@ -155,14 +157,12 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", max_order: int =
     langs = sorted(sizes)
     grams, lang_of, n = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     if langs:
-        share = F.create_map(*(x for k in langs for x in (F.lit(k), F.lit(min(_SCALE, int(_SCALE * sample_per_language / sizes[k]) + 1)))))
-        sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(_SCALE)) < F.element_at(share, F.col("lang"))).select("lang", "text").distinct()
-        table = successor_counts(sample, "text", "lang", max_order).toArrow()
+        # bounded by the sample: no more rows than it has bytes
+        table = successor_counts(sample(rows, sizes, sample_per_language, sample_bytes), "text", "lang", max_order).toArrow().sort_by([("lang", "ascending"), ("gram", "ascending")])
         grams = table.column("gram").to_numpy()
-        index = {k: i for i, k in enumerate(langs)}
-        lang_of = np.array([index[x] for x in table.column("lang").to_pylist()], np.int64)
+        lang_of = np.searchsorted(np.array(langs, object), np.array(table.column("lang").to_pylist(), object)) if len(grams) else lang_of
         n = table.column("n").to_numpy().astype(float)
-    return Model(langs, grams, lang_of, n, max_order, max_contexts, max_cells)
+    return Model(langs, grams, lang_of, n, max_order)
 
 
 def predict(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -175,7 +175,7 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep: list[str] | N
     def run(part):
         model, column = shared.value, part.column(text)
         letters = np.array([x is not None and any(map(str.isalpha, x)) for x in column.to_pylist()], bool)
-        size = np.array([len(x.encode()) if x else 1 for x in column.to_pylist()]) if len(letters) else np.zeros(0)
+        size = np.maximum(1, pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
         if not model.langs:
             return [*(part.column(c) for c in keep), [UNDETERMINED] * len(letters), [0.0] * len(letters), [0.0] * len(letters)]
         bits = model.bits(column)

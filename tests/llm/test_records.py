@@ -126,9 +126,11 @@ def test_language_sample_counts_a_text_once(spark):
     few = spark.createDataFrame(rows, "lang string, text string")
     once = few.distinct()
     a, b = (language_id.fit(x, sample_per_language=50) for x in (few, once))
-    assert a.langs == b.langs == ["aa", "bb"] and a.cost.shape == b.cost.shape and (a.cost == b.cost).all()
+    assert a.langs == b.langs == ["aa", "bb"] and all((x.codes == y.codes).all() and (x.values == y.values).all() for s, t in zip(a.trees, b.trees, strict=True) for x, y in zip(s.seen + s.escape, t.seen + t.escape, strict=True))
     assert language_id.predict(once.where("lang = 'aa'"), a, keep=["lang"]).where("lang_pred <> 'aa'").isEmpty()
-    assert len(language_id.fit(few, max_cells=4000).cost) * 2 <= 4000 < a.cost.size
+    sizes = {"aa": 5, "bb": 400}
+    assert language_id.sample(few, sizes, 10**6, 60).groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).where("n > 60").isEmpty()
+    assert {r["lang"]: r["text"] for r in language_id.sample(few, sizes, 10**6, 5).collect()}.keys() == {"aa", "bb"}  # none fits: the shortest
 
 
 def test_pem_keys_go_whole(spark):

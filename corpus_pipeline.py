@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
 again as the next one's docs. All but the last return the columns of documents.
+
+Cases, for every stage: rows with null in any column are allowed, and each stage says what becomes of
+them; a null id is told from others by the text; columns beside those of documents are left out,
+whatever their names; very long texts are worked on whole; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from reelgraph.llm import bpe, decontaminate, language_id, secrets, simhash
-from reelgraph.llm.common import materialize, shared_dir, text_key
+from reelgraph.llm.common import materialize, scratch, shared_dir, text_key
 from reelgraph.llm.queries import held_out, table, vocabulary
 
 #: A document goes if the posterior of its best language is below this.
@@ -20,7 +24,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_stage(spark, docs, sf_dir):
-    """Keeps documents whose language can be told (not `und`, LEAST_SCORE at least); lang becomes the prediction where it is null."""
+    """Keeps documents whose language can be told (not `und`, LEAST_SCORE at least); lang becomes the prediction where it is null.
+
+    Null, empty and letterless texts go; if no labelled row exists, all go. Repeated rows are judged
+    each. A tie of two languages has score 0.5 and stays.
+    """
     docs = docs.select(*COLUMNS)
     model = language_id.fit(docs.where(~held_out()))
     told = language_id.predict(docs, model)
@@ -31,19 +39,24 @@ def language_stage(spark, docs, sf_dir):
 def near_dedup_stage(spark, docs, sf_dir):
     """Of each SimHash component one document stays: that with the smallest id (null last), then the smallest text key.
 
-    A document is a row's id and text: rows that share both stay or go as one, and of those that stay
-    one is kept; rows that share the id alone, or have none, are told apart by their texts.
+    A document is a row's id and text: of rows that share both one is kept, and rows that share the id
+    alone, or have none, are told apart by their texts. Null, empty and wordless texts are one component.
     """
     docs = docs.select(*COLUMNS)
-    names = materialize(simhash.representatives(docs).select(F.col("id").alias("i"), F.col("key").alias("k"), "n"), "names")
-    same = F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k"))
-    kept = docs.withColumn("key", text_key("text")).join(names.hint("shuffle_hash"), same, "left_semi")
-    repeated = not names.where("n > 1").isEmpty()
-    return (kept.dropDuplicates(["doc_id", "key"]) if repeated else kept).select(*COLUMNS)
+    # null ids as a pair of plain columns: the join and the removal of repeats then need one shuffle
+    pair = lambda c: {"_none": F.col(c).isNull(), "_id": F.coalesce(F.col(c).cast("string"), F.lit(""))}
+    names = materialize(simhash.representatives(docs).withColumns(pair("id")).select("_none", "_id", F.col("key").alias("_key")), "names")
+    by = ["_none", "_id", "_key"]
+    kept = docs.withColumns(pair("doc_id") | {"_key": text_key("text")}).join(names.hint("shuffle_hash"), by, "left_semi")
+    return kept.dropDuplicates(by).select(*COLUMNS)
 
 
 def decontaminate_stage(spark, docs, sf_dir):
-    """Drops documents in which a window of a benchmark item occurs."""
+    """Drops documents in which a window of a benchmark item occurs.
+
+    Null, empty and wordless texts have none and stay, as does everything if the benchmark is empty.
+    Repeated rows stay or go together.
+    """
     docs = docs.select(*COLUMNS)
     found = decontaminate.find(docs, table(spark, sf_dir, "benchmark"))
     bad = found.where("contaminated").select(F.col("doc_id").alias("i"), F.col("key").alias("k")).distinct()
@@ -52,7 +65,10 @@ def decontaminate_stage(spark, docs, sf_dir):
 
 
 def secrets_stage(spark, docs, sf_dir):
-    """Replaces each secret by a mask; n_chars follows."""
+    """Replaces each secret by a mask; n_chars follows where something was replaced.
+
+    Null texts stay null. Overlapping secrets get one mask. Repeated rows are masked each.
+    """
     docs = docs.select(*COLUMNS).withColumn("path", F.struct("doc_id", text_key("text").alias("key")))
     found, _ = secrets.scan(docs, "path", "text")
     hits = found.where(F.size("spans") > 0).select(F.col("path.doc_id").alias("i"), F.col("path.key").alias("k"), "spans").dropDuplicates(["i", "k"])
@@ -64,10 +80,12 @@ def secrets_stage(spark, docs, sf_dir):
 
 
 def tokenize_stage(spark, docs, sf_dir):
-    """Token ids of each document, and whether decoding gives the text back."""
-    words = vocabulary(spark)
-    coded = bpe.encode(docs.select(*COLUMNS), words, keep=["doc_id", "lang", "source", "text"])
-    out = bpe.decode(coded, words, keep=["doc_id", "lang", "source", "text", "ids"])
+    """Token ids of each document, and whether decoding gives the text back.
+
+    A null or empty text has no ids and counts as given back. Repeated rows are encoded each.
+    """
+    keep = ["doc_id", "lang", "source", "text"]
+    out = bpe.round_trip(docs.select(*keep), vocabulary(spark))
     return out.select(
         "doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"),
         (F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")).alias("round_trip"),
@@ -86,10 +104,11 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """Apply the stages to documents."""
+    """Apply the stages to documents. What a stage keeps for itself is deleted when its result is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch():
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

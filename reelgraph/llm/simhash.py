@@ -6,12 +6,17 @@ fingerprints are compared exactly, tile against tile, with numpy's exclusive or
 tile they stand in order of their population count, and tile pairs whose counts differ by more than
 the radius are skipped. The tiles are cut within buckets of an exact split: radius + 1 bit blocks, of
 which two fingerprints within the radius share one at least. A bucket of over TILE fingerprints is
-dealt as pairs of tiles, so no task holds more than two. Copies collapse before the comparison, and a
-tile pair reports a spanning forest of its links, so a group of n near copies gives at most n - 1 rows.
-
-Cases: a null or wordless text has fingerprint zero and links like any other; fewer words than a
-shingle make one shingle; equal fingerprints are one component; documents whose id repeats keep each
-row; a null id never names a component unless no other id is in it. No rows in, no rows out.
+dealt as pairs of tiles, so no task holds more than two. Its tiles are ranges of the population count,
+and pairs of tiles whose ranges lie further apart than the radius are never made. Copies collapse
+before the comparison, and a tile pair reports a spanning forest of its links, so a group of n near
+copies gives at most n - 1 rows. Rows are joined back to their fingerprint's component with frequent
+fingerprints split (see skew.py).
+
+Cases: a null, empty or wordless text has fingerprint zero and links like any other; fewer words than
+a shingle make one shingle; a bit set in exactly half of the hashes is 0; equal fingerprints are one
+component; rows that repeat, or whose id does, are kept each; a null id never names a component unless
+no other id is in it; very long texts are hashed by blocks; other columns are left out, whatever their
+names. No rows in, no rows out.
 """
 
 from __future__ import annotations
@@ -19,12 +24,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelgraph.llm.common import field, map_texts, materialize, text_key
-from reelgraph.operators.graph import connected_components
+from reelgraph.llm.common import SLICE_BYTES, field, map_texts, materialize, text_key, word_blocks
+from reelgraph.llm.skew import join_counted
+from reelgraph.operators.graph import connected_components, forest
 
 SEED = 42
 #: Fingerprints in a tile.
@@ -33,20 +39,28 @@ _ROWS, _COLUMNS = 256, 4096
 _CHUNK = 1 << 16
 
 
-def fingerprint(text: str | None, words_in_shingle: int = 4) -> int:
-    """The 64-bit fingerprint of one text."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return 0
+def shingle_hashes(words: list[bytes], k: int) -> np.ndarray:
+    """XXH64 of each k neighbouring words, joined by spaces."""
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    k = min(words_in_shingle, len(words))
     starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - k + 1].tolist()
-    digest, n = xxhash.xxh64_intdigest, len(starts)
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=True)], "<u8")
-    counts = np.zeros(64, np.int64)
-    for at in range(0, n, _CHUNK):
-        counts += np.unpackbits(hashes[at : at + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=True)], "<u8")
+
+
+def fingerprint(text: str | None, words_in_shingle: int = 4, limit: int = SLICE_BYTES) -> int:
+    """The 64-bit fingerprint of one text; a long one is hashed by blocks, of which each begins with the last words of the one before."""
+    counts, n, k, words = np.zeros(64, np.int64), 0, words_in_shingle, []
+    for block in word_blocks((text or "").encode().lower(), limit):
+        words += block.split()
+        if len(words) < k:
+            continue
+        hashes = shingle_hashes(words, k)
+        for at in range(0, len(hashes), _CHUNK):
+            counts += np.unpackbits(hashes[at : at + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n, words = n + len(hashes), words[len(words) - k + 1 :]
+    if not n:
+        return int(shingle_hashes(words, len(words))[0]) if words else 0
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
@@ -61,20 +75,6 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text: str = "text", word
     return map_texts(df.select(F.col(id_col).alias("id"), F.col(text).alias("text")), run, schema)
 
 
-def forest(n: int, pairs) -> np.ndarray:
-    """Parents (each at most the node itself) after joining all pairs of index arrays."""
-    parent = np.arange(n)
-    for a, b in pairs:
-        while True:
-            x, y = parent[a], parent[b]
-            if (x == y).all():
-                break
-            np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
-            while (parent[parent] != parent).any():
-                parent = parent[parent]
-    return parent
-
-
 def close_pairs(fps: np.ndarray, counts: np.ndarray, radius: int):
     """Index pairs within the radius; fps stand in order of their population counts."""
     for at in range(0, len(fps), _ROWS):
@@ -100,11 +100,19 @@ def links(nodes: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
         for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))
     ))
     rows = nodes.select("fp", F.explode(keys).alias("k")).select("fp", "k.block", "k.value")
-    large = rows.groupBy("block", "value").count().where(F.col("count") > tile).select("block", "value", F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
-    own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
+    bits = F.bit_count("fp").cast("int")
+    each = materialize(rows.groupBy("block", "value", bits.alias("bits")).count(), "tiles")
+    large = each.groupBy("block", "value").agg(F.sum("count").alias("n")).where(F.col("n") > tile).drop("n")
+    # tiles follow the population count, so those within reach of a fingerprint are neighbours; a bucket has 65 counts at most
+    by = Window.partitionBy("block", "value").orderBy("bits")
+    before = F.coalesce(F.sum("count").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut = each.join(large, ["block", "value"], "left_semi").withColumns({"first": F.floor(before / tile).cast("int"), "parts": F.ceil(F.col("count") / tile).cast("int")})
+    reach = by.rangeBetween(-radius, radius)
+    cut = cut.withColumns({"from": F.min("first").over(reach), "to": F.max(F.col("first") + F.col("parts") - 1).over(reach)}).drop("count")
+    own = F.when(F.col("first").isNull(), 0).otherwise(F.col("first") + F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     rows = (
-        rows.join(large, ["block", "value"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1))).withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        rows.withColumn("bits", bits).join(cut, ["block", "value", "bits"], "left").withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.coalesce("from", F.lit(0)), F.coalesce("to", F.lit(0)))))
         .select("fp", "block", "value", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
     )
     group = ["block", "value", "lo", "hi"]
@@ -160,9 +168,9 @@ def representatives(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", words_in_shingle: int = 4, radius: int = 4) -> DataFrame:
     """(id_col, fp long, component): component is the smallest id that links reach."""
     fps = materialize(fingerprints(df, id_col, text, words_in_shingle), "simhash")
-    nodes = materialize(fps.groupBy("fp").agg(F.min("id").alias("least")), "simhash")
+    nodes = materialize(fps.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "simhash")
     reached = connected_components(links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
     named = nodes.join(reached, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("least").alias("name"))
-    named = named.select("fp", "component").join(least, "component").select("fp", "name")
-    return fps.join(named, "fp").select(F.col("id").alias(id_col), "fp", F.col("name").alias("component"))
+    named = materialize(named.select("fp", "n", "component").join(least, "component").select("fp", "n", "name"), "simhash")
+    return join_counted(fps, named, ["fp"]).select(F.col("id").alias(id_col), "fp", F.col("name").alias("component"))

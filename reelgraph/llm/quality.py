@@ -3,8 +3,10 @@
 A row of the table is (measure, least, most); a text is kept if each measure lies within its bounds
 (None: open). Measures are ratios of lengths, symbols, stop words and lines. No user function runs.
 
-Cases: a null text has no words and fails the base rule; an empty table gives an empty one; other
-columns are kept, and one named like an output is replaced; a measure over zero words is zero.
+Cases: a null or empty text has no words and fails the base rule; a measure over zero words is zero;
+a measure equal to its bound is within it; repeated rows are judged each; very long texts are measured
+whole, in arrays as long as their words; an empty table gives an empty one; other columns are kept,
+whatever their names, and one named like an output is replaced.
 """
 
 from __future__ import annotations
@@ -31,42 +33,59 @@ THRESHOLDS = [
     ("letter_share", 0.5, None),
 ]
 COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+RATIOS = ["mean_word_chars", "symbols_per_word", "stop_word_share", "dup_line_share", "letter_share"]
 
 
-def measures(df: DataFrame, text: str = "text", out_prefix: str = "") -> DataFrame:
-    """df with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the ratios, from one narrow chain of projections."""
-    whole = F.coalesce(F.col(text), F.lit(""))
+def measures(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the ratios, from one narrow chain of projections.
+
+    Windows of three words are sorted by their hash, so equal ones are neighbours, and words are
+    compared only where hashes agree.
+    """
+    pre = "_" * (1 + max((len(c) - len(c.lstrip("_")) for c in df.columns), default=0))  # a prefix that no column has
+    whole, words, lines, ordered, starts = (f"{pre}{x}" for x in ("whole", "words", "lines", "ordered", "starts"))
+    keep = [F.col(f"`{c}`") for c in df.columns if c.lower() not in {*COLUMNS, *RATIOS}]
+    df = df.select(*keep, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias(whole))
     df = df.withColumns({
-        "_words": F.filter(F.split(whole, SPACE_CLASS + "+"), lambda x: x != ""),
-        "_lines": F.filter(F.split(whole, "\n"), lambda x: F.translate(x, SPACE, "") != ""),
+        words: F.filter(F.split(whole, SPACE_CLASS + "+"), lambda x: x != ""),
+        lines: F.filter(F.split(whole, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != ""),
     })
-    n = F.size("_words")
-    triples = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.concat_ws(" ", F.slice("_words", i + 1, F.lit(3))).alias("t"), i.cast("int").alias("i"))))
-    df = df.withColumns({"_sorted": F.array_sort(F.coalesce(triples, F.array().cast("array<struct<t:string,i:int>>"))), "n_words": n.cast("long")})
-    at = lambda i: F.get("_sorted", i).getField("t")
-    again = F.filter("_sorted", lambda x, i: (F.coalesce(at(i - 1), F.lit("")) == x.getField("t")) | (F.coalesce(at(i + 1), F.lit("")) == x.getField("t")))
-    starts = F.transform(again, lambda x: x.getField("i"))
-    df = df.withColumn("_starts", starts)
-    covered = F.size(F.array_distinct(F.concat("_starts", F.transform("_starts", lambda i: i + 1), F.transform("_starts", lambda i: i + 2))))
-    words = F.greatest(F.col("n_words"), F.lit(1))
-    stop = F.array(*(F.lit(w) for w in dict.fromkeys(STOP_WORDS)))
+    n = F.size(words)
+    window = lambda i: (F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
+    made = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.xxhash64(*window(i)).alias("h"), i.alias("i")))
+    made = F.sort_array(F.when(n >= 3, made).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
+    df = df.withColumns({ordered: made, "n_words": n.cast("long")})
+
+    def like(x, at):
+        y = F.get(ordered, at)
+        same = y.getField("h") == x.getField("h")
+        for v, w in zip(window(x.getField("i")), window(y.getField("i")), strict=True):
+            same = same & (v == w)
+        return F.coalesce(same, F.lit(False))
+
+    again = F.filter(ordered, lambda x, i: like(x, i - 1) | like(x, i + 1))
+    df = df.withColumn(starts, F.transform(again, lambda x: x.getField("i")))
+    covered = F.size(F.array_distinct(F.concat(starts, F.transform(starts, lambda i: i + 1), F.transform(starts, lambda i: i + 2))))
+    some = F.greatest(F.col("n_words"), F.lit(1))
+    stops = F.size(F.filter(words, lambda w: F.lower(w).isin(*dict.fromkeys(STOP_WORDS))))
+    rest = F.col(whole)
+    for symbol in SYMBOLS:
+        rest = F.replace(rest, F.lit(symbol), F.lit(""))
+    letters = F.length(F.regexp_replace(whole, r"\P{L}+", ""))
     df = df.withColumns({
-        "word_chars": F.length(F.translate(whole, SPACE, "")).cast("long"),
-        "n_symbols": (F.length(whole) - F.length(F.translate(whole, SYMBOLS, ""))).cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+        "word_chars": F.length(F.array_join(words, "")).cast("long"),
+        "n_symbols": (F.length(whole) - F.length(rest)).cast("long"),
+        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
         "n_repeat_words": covered.cast("long"),
-        "_letters": F.length(F.regexp_replace(whole, r"\P{L}+", "")),
-        "_stop": F.size(F.filter("_words", lambda w: F.lower(w).isin(*dict.fromkeys(STOP_WORDS)))),
     })
-    del stop
     df = df.withColumns({
-        "mean_word_chars": F.col("word_chars") / words,
-        "symbols_per_word": F.col("n_symbols") / words,
-        "stop_word_share": F.col("_stop") / words,
-        "dup_line_share": F.col("n_dup_lines") / F.greatest(F.size("_lines"), F.lit(1)),
-        "letter_share": F.col("_letters") / F.greatest(F.col("word_chars"), F.lit(1)),
+        "mean_word_chars": F.col("word_chars") / some,
+        "symbols_per_word": F.col("n_symbols") / some,
+        "stop_word_share": stops / some,
+        "dup_line_share": F.col("n_dup_lines") / F.greatest(F.size(lines), F.lit(1)),
+        "letter_share": letters / F.greatest(F.col("word_chars"), F.lit(1)),
     })
-    return df.drop("_words", "_lines", "_sorted", "_starts", "_letters", "_stop")
+    return df.drop(whole, words, lines, ordered, starts)
 
 
 def verdict(thresholds: list[tuple] = THRESHOLDS) -> F.Column:

@@ -6,15 +6,17 @@ position) of the rarest terms of each window, by their count over the whole corp
 of two such terms are intersected after each position is adjusted by the term's place in the item.
 What agrees names a document, an item and an alignment; the positions of all terms of the windows there
 are then fetched from those documents and intersected likewise, which leaves exact phrases. A window
-with a term that the corpus lacks is dropped at once. Proximity matches are those of the two rarest
-terms whose adjusted positions differ by no more than a slop.
+with a term that the corpus lacks is dropped at once. Proximity matches allow each term to stand up to
+a slop off its place.
 
 What is broadcast are Bloom filters of terms and of documents, of bounded size; they only thin out
-postings that no intersection could use.
+postings that no intersection could use. Where a set is too large for a filter, all postings are taken.
 
-Cases: null or wordless documents and items have no terms; an item shorter than a window is one
-window; repeated rows are judged each; items that share an id count once; an empty benchmark hits
-nothing; null item ids are left out of items.
+Cases: null, empty or wordless documents and items have no terms; an item shorter than a window is one
+window; of two equally rare terms the earlier in the item is taken; repeated rows are judged each;
+items that share an id count once; an empty benchmark hits nothing, and an empty table gives an empty
+result; null item ids are left out; very long texts are indexed in segments; other columns are left
+out, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reelgraph.llm import anchors, bloom
-from reelgraph.llm.common import field, map_texts, materialize, raw_bytes
+from reelgraph.llm.common import field, map_texts, materialize, raw_bytes, word_cuts
 from reelgraph.llm.cuts import keyed
 
 _SOLID = np.zeros(256, bool)
@@ -42,16 +44,22 @@ def _terms(part):
     return anchors.word_hashes(_LOWER[data], starts, ends, _SOLID)
 
 
+def _count(block: bytes) -> int:
+    """Words of a block."""
+    inner = _SOLID[np.frombuffer(block, np.uint8)]
+    return int((inner[1:] & ~inner[:-1]).sum()) + int(bool(len(inner) and inner[0]))
+
+
 def term_counts(docs: DataFrame, wanted) -> DataFrame:
-    """(term, n) over all documents, of the terms in a Bloom filter; summed in the tasks first."""
+    """(term, n) over all documents, of the terms in a Bloom filter (None: of all); summed in the tasks first."""
     schema = T.StructType([T.StructField("term", T.LongType(), False), T.StructField("n", T.LongType(), False)])
 
     def run(part):
         terms, _, _ = _terms(part)
-        found, n = np.unique(terms[wanted.value.has(terms)], return_counts=True)
+        found, n = np.unique(terms if wanted is None else terms[wanted.value.has(terms)], return_counts=True)
         return [pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))]
 
-    return map_texts(docs, run, schema).groupBy("term").agg(F.sum("n").alias("n"))
+    return map_texts(docs, run, schema, cut=word_cuts(1)).groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def postings(docs: DataFrame, wanted) -> DataFrame:
@@ -63,21 +71,23 @@ def postings(docs: DataFrame, wanted) -> DataFrame:
         at = np.flatnonzero(wanted.value.has(terms)) if wanted is not None else np.arange(len(terms))
         doc = np.searchsorted(last, at, "right")
         take = pa.array(doc)
-        return [pa.array(terms[at].view(np.int64)), part.column("id").take(take), part.column("key").take(take), pa.array((at - first[doc]).astype(np.int32))]
+        pos = at - first[doc] + part.column("base").to_numpy()[doc]
+        return [pa.array(terms[at].view(np.int64)), part.column("id").take(take), part.column("key").take(take), pa.array(pos.astype(np.int32))]
 
-    return map_texts(docs, run, schema)
+    return map_texts(docs, run, schema, cut=word_cuts(1, _count))
 
 
 def document_postings(docs: DataFrame, wanted, in_documents) -> DataFrame:
-    """(id, key, n_words, postings): one row a document; postings only for documents in a Bloom filter, else null."""
+    """(id, key, n_words, postings): one row a document; postings only for documents in a Bloom filter (None: all)."""
     schema = T.StructType([field(docs, "id"), T.StructField("key", T.LongType(), False), T.StructField("n_words", T.LongType(), False), T.StructField("postings", T.ArrayType(_POSTING, False))])
 
     def run(part):
         terms, first, last = _terms(part)
-        inside = in_documents.value.has(part.column("key").to_numpy(zero_copy_only=False).view(np.uint64))
+        keys = part.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
         lengths = last - first
-        keep = np.repeat(inside, lengths)
-        keep[keep] = wanted.value.has(terms[keep])
+        keep = np.repeat(np.ones(len(keys), bool) if in_documents is None else in_documents.value.has(keys), lengths)
+        if wanted is not None:
+            keep[keep] = wanted.value.has(terms[keep])
         pos = (np.arange(len(terms)) - np.repeat(first, lengths))[keep].astype(np.int32)
         ends = np.concatenate([[0], np.cumsum(keep)])
         offsets = np.concatenate([[0], ends[last]]).astype(np.int32)
@@ -92,11 +102,11 @@ def document_postings(docs: DataFrame, wanted, in_documents) -> DataFrame:
 class Index:
     """The benchmark's windows and the stored postings of their rarest terms."""
 
-    def __init__(self, documents: DataFrame, benchmark: DataFrame, id_col: str, text: str, item_col: str, item_text: str, window: int):
-        self.window, self.docs = window, keyed(documents, id_col, text)
+    def __init__(self, documents: DataFrame, benchmark: DataFrame, id_col: str, text: str, item_col: str, item_text: str, window: int, max_keys: int | None = None):
+        self.window, self.max_keys, self.docs = window, max_keys, keyed(documents, id_col, text)
         items = keyed(benchmark.where(F.col(item_col).isNotNull()), item_col, item_text).distinct()
         items = materialize(postings(items, None).select("term", F.col("id").alias("item"), F.col("key").alias("item_key"), F.col("pos").alias("ipos")), "items")
-        self.terms = bloom.build(items.select("term").distinct(), "term")
+        self.terms = bloom.build(items.select("term").distinct(), "term", max_keys=max_keys)
         counts = materialize(term_counts(self.docs, self.terms), "counts")
         # terms of an item in order; an item's list is bounded by the item
         place = F.struct("ipos", F.coalesce("n", F.lit(0)).alias("n"), "term")
@@ -109,7 +119,7 @@ class Index:
         pick = lambda i: F.struct(F.get("rare", i).getField("ipos").alias("ipos"), F.get("rare", i).getField("term").alias("term"))
         self.windows = materialize(spans.select("item", "item_key", "wpos", F.size("words").alias("width"), pick(F.lit(0)).alias("p1"), pick(F.least(F.lit(1), F.size("rare") - 1)).alias("p2")), "windows")
         pivots = self.windows.select("item", "item_key", F.explode(F.array("p1", "p2")).alias("p")).select("item", "item_key", "p.ipos", "p.term").distinct()
-        wanted = bloom.build(pivots.select("term").distinct(), "term")
+        wanted = bloom.build(pivots.select("term").distinct(), "term", max_keys=max_keys)
         self.postings = materialize(postings(self.docs, wanted), "postings")
         #: each posting under each place that its term has in an item, with the alignment that follows
         self.aligned = self.postings.join(pivots, "term").select("item", "item_key", "ipos", "id", "key", (F.col("pos") - F.col("ipos")).alias("delta"))
@@ -129,13 +139,31 @@ class Index:
         return met.where(F.col("id").eqNullSafe(F.col("id2"))).drop("id2")
 
     def proximity(self, slop: int = 5) -> DataFrame:
-        """(id, item, delta, gap): the two rarest terms of a window in a document, 1 to slop words off their distance in the item."""
-        return self._met(slop).where("delta <> other").select("id", "item", "delta", (F.col("other") - F.col("delta")).alias("gap")).distinct()
+        """(id, key, item, wpos, delta, moved) of windows all of whose terms stand in a document within slop words of their places, but not all at them.
+
+        Places follow from an occurrence of the window's rarest term: delta is where the item's first
+        word would stand. wpos is where the window begins in the item, moved the number of terms that
+        are off their places. Exact phrases are left to phrases(), whatever else is near.
+        """
+        window = ["item", "item_key", "wpos"]
+        sides = self.windows.select(*window, "width", F.col("p1.ipos").alias("i1"), F.col("p2.ipos").alias("i2"))
+        met = self._met(slop).select("item", "item_key", "i1", "i2", "id", "key", "delta").distinct().join(sides, ["item", "item_key", "i1", "i2"])
+        met = materialize(met.select(*window, "width", "id", "key", "delta").distinct(), "near")
+        keys = bloom.build(met.select("key").distinct(), "key", max_keys=self.max_keys)
+        docs = document_postings(self.docs, self.terms, keys).where(F.size("postings") > 0)
+        found = docs.select("key", F.col("id").alias("i"), F.explode("postings").alias("p")).select("key", "i", "p.pos", F.col("p.term").alias("term")).distinct()
+        wanted = met.join(self.items, ["item", "item_key"]).where("ipos >= wpos AND ipos < wpos + width")
+        off = F.explode(F.sequence(F.lit(-slop), F.lit(slop))).alias("off")
+        wanted = wanted.select(*window, "width", "id", "key", "delta", "ipos", "term", off).withColumn("pos", F.col("delta") + F.col("ipos") + F.col("off"))
+        near = wanted.join(found, ["key", "pos", "term"]).where(F.col("id").eqNullSafe(F.col("i")))
+        near = near.groupBy(*window, "width", "id", "key", "delta", "ipos").agg(F.min(F.abs("off")).alias("off"))
+        whole = near.groupBy(*window, "width", "id", "key", "delta").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("off") > 0).alias("moved"))
+        return whole.where("n = width AND moved > 0").select("id", "key", "item", "wpos", "delta", "moved")
 
     def phrases(self) -> DataFrame:
         """(id, key, n_words, hits): hits are array<struct<item,start,end>> of all exact occurrences of windows, null where there is none."""
         met = materialize(self._met(0).select("item", "item_key", "id", "key", "delta").distinct(), "alignments")
-        keys = bloom.build(met.select("key").distinct(), "key")
+        keys = bloom.build(met.select("key").distinct(), "key", max_keys=self.max_keys)
         docs = materialize(document_postings(self.docs, self.terms, keys), "documents")
         found = docs.where(F.size("postings") > 0).select("id", "key", F.explode("postings").alias("p")).select("id", "key", "p.pos", "p.term").distinct()
         wanted = met.join(self.items, ["item", "item_key"]).select("item", "item_key", F.col("id").alias("i"), F.col("key").alias("k"), "delta", "ipos", F.col("term").alias("t"))
@@ -166,9 +194,9 @@ def covered(spans: str) -> F.Column:
     return F.coalesce(total, F.lit(0)).cast("long")
 
 
-def find(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:
+def find(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, max_keys: int | None = None) -> DataFrame:
     """(id_col, key, n_words, n_hit, items, contaminated) of each document; items are the ids whose windows occur, sorted as strings."""
-    found = Index(documents, benchmark, id_col, text, item_col, item_text, window).phrases()
+    found = Index(documents, benchmark, id_col, text, item_col, item_text, window, max_keys).phrases()
     items = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h.getField("item").cast("string"))))
     out = found.select(F.col("id").alias(id_col), "key", "n_words", covered("hits").alias("n_hit"), F.coalesce(items, F.array().cast("array<string>")).alias("items"))
     return out.withColumn("contaminated", F.col("n_hit") > 0)

@@ -12,8 +12,9 @@ speculative attempt leaves no trace in the result.
 
 Cases: a null payload is empty; payloads below `min_bytes` are responses each; rows that repeat the
 smallest id of equal payloads are responses all; a null id is written as an empty name and never
-referred to unless no other id has the payload; CR and LF in a URL become spaces; an empty table
-writes no bundle.
+referred to unless no other id has the payload; CR and LF in a URL become spaces and a null URL is
+empty; a very long payload makes a frame of its own size; an empty table writes no bundle; other
+columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelgraph.llm import bloom
-from reelgraph.llm.common import map_texts, materialize, shared_dir, slices
+from reelgraph.llm.common import map_texts, materialize, shared_dir, slices, small_batches
+from reelgraph.llm.skew import join_counted
 
 FRAME_BYTES, BUNDLE_BYTES = 1 << 18, 1 << 24
 #: Fixed values of the seekable Zstandard format.
@@ -122,14 +124,17 @@ def seek_table(tail: bytes) -> list[tuple[int, int, int]]:
     return out
 
 
-def typed(pages: DataFrame, id_col: str, url: str, payload: str, min_bytes: int) -> DataFrame:
-    """(id, url, payload, refers_to): refers_to is the response's id for a revisit, else null."""
+def typed(pages: DataFrame, id_col: str, url: str, payload: str, min_bytes: int, max_keys: int | None = None) -> DataFrame:
+    """(id, url, payload, refers_to): refers_to is the response's id for a revisit, else null.
+
+    A payload with very many copies is split in the join (see skew.py). If more than max_keys payloads repeat, all rows are joined.
+    """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url).alias("url"), F.coalesce(F.col(payload).cast("binary"), F.lit("").cast("binary")).alias("payload"))
     rows = rows.withColumn("digest", F.unhex(F.sha1("payload"))).withColumn("h", F.xxhash64("digest"))
     # only payloads that repeat; counted and reduced before the shuffle, so a hot payload is one row per task
-    first = rows.where(F.octet_length("payload") >= min_bytes).groupBy("digest", "h").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "h", "first")
+    first = rows.where(F.octet_length("payload") >= min_bytes).groupBy("digest", "h").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "h", "first", "n")
     first = materialize(first, "digests")
-    repeated = bloom.build(first, "h")
+    repeated = bloom.build(first, "h", max_keys=max_keys)
 
     def split(wanted: bool):
         def run(part):
@@ -138,10 +143,13 @@ def typed(pages: DataFrame, id_col: str, url: str, payload: str, min_bytes: int)
 
         return map_texts(rows, run, rows.schema, "payload")
 
+    joined = join_counted(rows if repeated is None else split(True), first.select("digest", "first", "n"), ["digest"], how="left")
+    joined = joined.select("id", "url", "payload", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    if repeated is None:
+        return joined
     # payloads that cannot repeat are written where they are read
     alone = split(False).select("id", "url", "payload", F.lit(None).cast(rows.schema["id"].dataType).alias("refers_to"))
-    joined = split(True).join(first.select("digest", "first"), "digest", "left")
-    return alone.unionByName(joined.select("id", "url", "payload", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to")))
+    return alone.unionByName(joined)
 
 
 def write(pages: DataFrame, directory: str, id_col: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
@@ -174,6 +182,7 @@ def write(pages: DataFrame, directory: str, id_col: str = "page_id", url: str =
             yield put()
 
     path = f"{directory}/index"
+    small_batches(rows)
     rows.mapInArrow(run, _INDEX).write.parquet(path)
     return pages.sparkSession.read.schema(_INDEX).parquet(path)
 
@@ -204,23 +213,32 @@ def read(spark, directory: str, index: DataFrame, payloads: bool = True) -> Data
 
 
 def fetch(index: DataFrame, directory: str, wanted: DataFrame) -> DataFrame:
-    """The records named in wanted.record, each by a seek to its frame."""
+    """The records named in wanted.record, each by a seek to its frame.
+
+    Records of a bundle and frame come together, so a bundle is opened and a frame unpacked once in a task.
+    """
     rows = index.join(wanted.select("record").distinct(), "record", "left_semi").select("bundle", "record", "frame", "offset")
+    rows = rows.repartition("bundle", "frame").sortWithinPartitions("bundle", "frame", "offset")
     names = [x.split(" ")[0] for x in _ROW.split(", ")]
+    kinds = [pa.string()] * 6 + [pa.int64(), pa.binary()]
 
     def run(batches):
         system, root = pafs.FileSystem.from_uri(directory)
+        unpack, bundle, table, frame, data = zstandard.ZstdDecompressor(), None, [], None, b""
         for batch in batches:
             for x in batch.to_pylist():
-                with system.open_input_file(f"{root}/{x['bundle']}") as f:
-                    f.seek(f.size() - 9)
-                    n = struct.unpack("<I", f.read(4))[0]
-                    f.seek(f.size() - 9 - 8 * n)
-                    start, packed, plain = seek_table(f.read())[x["frame"]]
-                    f.seek(start)
-                    got, _ = parse(zstandard.ZstdDecompressor().decompress(f.read(packed), max_output_size=plain), x["offset"])
-                got["bundle"] = x["bundle"]
-                kinds = [pa.string()] * 6 + [pa.int64(), pa.binary()]
+                if (x["bundle"], x["frame"]) != (bundle, frame):
+                    with system.open_input_file(f"{root}/{x['bundle']}") as f:
+                        if x["bundle"] != bundle:
+                            f.seek(f.size() - 9)
+                            n = struct.unpack("<I", f.read(4))[0]
+                            f.seek(f.size() - 9 - 8 * n)
+                            table = seek_table(f.read())
+                        bundle, frame = x["bundle"], x["frame"]
+                        start, packed, plain = table[frame]
+                        f.seek(start)
+                        data = unpack.decompress(f.read(packed), max_output_size=plain)
+                got = parse(data, x["offset"])[0] | {"bundle": bundle}
                 yield pa.RecordBatch.from_arrays([pa.array([got[n]], t) for n, t in zip(names, kinds, strict=True)], names=names)
 
     return rows.mapInArrow(run, _ROW)

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from reelgraph.llm import decontaminate, simhash, skew, substring, suffix
+from reelgraph.llm import common, decontaminate, simhash, skew, substring, suffix, warc
 
 SCHEMA = "doc_id long, text string, key string, id string, n long"
 
@@ -38,16 +38,79 @@ def ordered(rows):
     return sorted(rows, key=lambda r: tuple((x is not None, x) for x in r))
 
 
-def test_substring_matches_brute_force(spark, docs):
-    width = 8
+def brute_words(width):
     rows = [(a, (b or "").encode().split()) for a, b, *_ in corpus()]
     seen = Counter(tuple(w[i : i + width]) for _, w in rows for i in range(len(w) - width + 1))
     want = []
     for a, w in rows:
         gone = {j for i in range(len(w) - width + 1) if seen[tuple(w[i : i + width])] > 1 for j in range(i, i + width)}
         want.append((a, len(w), len(gone), b" ".join(x for i, x in enumerate(w) if i not in gone).decode()))
-    got = [tuple(r) for r in substring.remove_repeats(docs, width=width).collect()]
-    assert ordered(got) == ordered(want)
+    return want
+
+
+def test_substring_matches_brute_force(spark, docs, max_keys=None):
+    got = [tuple(r) for r in substring.remove_repeats(docs, width=8, max_keys=max_keys).collect()]
+    assert ordered(got) == ordered(brute_words(8))
+
+
+def test_joins_instead_of_filters(spark, docs):
+    """What a Bloom filter thins out where sets are small a join does where they are not."""
+    test_substring_matches_brute_force(spark, docs, 0)
+    test_suffix_matches_brute_force(spark, docs, 30, 3, 0)
+    test_decontamination_matches_brute_force(spark, docs, 0)
+    pages = spark.createDataFrame([(1, "u", "x"), (2, "u", "x"), (3, "u", "y"), (4, "u", None), (None, "u", "x")], "page_id long, url string, html string")
+    got = warc.typed(pages, "page_id", "url", "html", 0, 0).select("id", "refers_to").collect()
+    assert ordered(map(tuple, got)) == ordered([(1, None), (2, 1), (3, None), (4, None), (None, 1)])
+
+
+def test_long_texts_come_in_segments(spark, docs, monkeypatch):
+    monkeypatch.setattr(common, "SLICE_BYTES", 20)
+    test_substring_matches_brute_force(spark, docs)
+    test_suffix_matches_brute_force(spark, docs, 30, 3)
+    test_decontamination_matches_brute_force(spark, docs)
+    rng = random.Random(4)
+    for _ in range(30):
+        text = "".join(rng.choices("abc \n\té", k=rng.randint(0, 300)))
+        words = text.encode().split()
+        runs = sorted(rng.sample(range(len(words) + 1), 2 * min(3, (len(words) + 1) // 2)))
+        runs = list(zip(runs[::2], runs[1::2], strict=True))
+        gone = {j for a, b in runs for j in range(a, b)}
+        want = [[len(words), len(gone)], b" ".join(w for j, w in enumerate(words) if j not in gone).decode()]
+        assert list(substring.remove_words(text, runs, rng.choice([1, 7, 50]))) == want
+        assert simhash.fingerprint(text, 4, rng.choice([1, 7, 50])) == simhash.fingerprint(text) == brute_fingerprint(text)
+        windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+        parts = [(base, piece.split()) for base, piece in common.word_cuts(3)(text.encode(), 11)]
+        assert sorted((base + i, tuple(w[i : i + 3])) for base, w in parts for i in range(len(w) - 2)) == list(enumerate(windows))
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_a_polynomial_confuses(spark):
+    """Thue-Morse words have equal polynomials modulo 2**64 for any odd base; they are different words."""
+    one = thue_morse(2048)
+    other = one.translate(str.maketrans("ab", "ba"))
+    shared = " ".join(f"w{i}" for i in range(34))
+    docs = spark.createDataFrame([(1, f"{shared} {one}"), (2, f"{shared} {other}")], "doc_id long, text string")
+    assert {r["n_removed"] for r in substring.remove_repeats(docs).collect()} == {0}
+    bench = spark.createDataFrame([(1, one)], "item_id long, text string")
+    assert {r["doc_id"]: r["contaminated"] for r in decontaminate.find(docs, bench).collect()} == {1: True, 2: False}
+
+
+def test_hashes_are_spread():
+    """No equal hashes among many words, and windows that differ anywhere differ in both keys."""
+    import numpy as np
+
+    from reelgraph.llm import anchors
+
+    words = list({"".join(random.Random(i).choices("ab", k=1 + i % 90)) for i in range(20_000)})
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    size = np.array([len(w) for w in words])
+    hashes = anchors.run_hashes(data, np.cumsum(size + 1) - size - 1, np.cumsum(size + 1) - 1)
+    assert len(set(hashes.tolist())) == len(words)
+    keys = [anchors.window_keys(np.where(np.arange(35) == i, hashes[77], hashes[:35]), 35) for i in range(35)]
+    assert len({(int(a[0]), int(b[0])) for a, b in keys}) == 35 and len({int(a[0]) for a, _ in keys}) == len({int(b[0]) for _, b in keys}) == 35
 
 
 def test_frequent_keys_are_split(spark, docs, monkeypatch):
@@ -80,11 +143,11 @@ def brute_bytes(rows, width):
 
 
 @pytest.mark.parametrize(("width", "hot"), [(30, 10**6), (30, 3), (7, 10**6), (100, 10**6)])
-def test_suffix_matches_brute_force(spark, docs, width, hot):
+def test_suffix_matches_brute_force(spark, docs, width, hot, max_keys=None):
     from reelgraph.llm.cuts import keyed
 
     rows = [(r["id"], r["key"], (r["text"] or "").encode()) for r in keyed(docs, "doc_id", "text").collect()]
-    got = [(r[0], *r[1:4], bytes(r[4])) for r in suffix.remove_repeats(docs, width=width, hot=hot).collect()]
+    got = [(r[0], *r[1:4], bytes(r[4])) for r in suffix.remove_repeats(docs, width=width, hot=hot, max_keys=max_keys).collect()]
     assert ordered(got) == ordered(brute_bytes(rows, width))
 
 
@@ -195,7 +258,7 @@ def words_of(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
 
 
-def test_decontamination_matches_brute_force(spark, docs):
+def test_decontamination_matches_brute_force(spark, docs, max_keys=None):
     rows = corpus()
     items = [(1, rows[20][1]), (2, " ".join(rows[25][1].split()[:4])), (3, "ONE"), (4, "nothing of the kind in there"), (5, None), (6, "!!"), (7, rows[30][1]), (7, rows[20][1]), (None, "one"), (3, "ONE")]
     bench = spark.createDataFrame([(*x, "clash") for x in items], "item_id long, text string, pos string")
@@ -214,15 +277,34 @@ def test_decontamination_matches_brute_force(spark, docs):
                     found |= ids
                     hit |= set(range(k, k + n))
         want.append((a, len(w), len(hit), ",".join(sorted(map(str, found))), bool(hit)))
-    got = decontaminate.find(docs, bench).select("doc_id", "n_words", "n_hit", F.array_join("items", ","), "contaminated").collect()
+    got = decontaminate.find(docs, bench, max_keys=max_keys).select("doc_id", "n_words", "n_hit", F.array_join("items", ","), "contaminated").collect()
     assert ordered(map(tuple, got)) == ordered(want)
 
 
-def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "alpha beta gamma"), (2, "alpha so beta gamma"), (3, "beta alpha gamma delta"), (4, None)], "doc_id long, text string")
-    bench = spark.createDataFrame([(1, "alpha beta")], "item_id long, text string")
-    near = decontaminate.Index(docs, bench, "doc_id", "text", "item_id", "text", 10).proximity(2)
-    assert sorted((r["id"], r["gap"]) for r in near.collect()) in ([(2, 1), (3, -2)], [(2, -1), (3, 2)])
+@pytest.mark.parametrize("slop", [1, 3])
+def test_proximity(spark, slop):
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choices("abcdef", k=rng.randint(0, 25)))) for i in range(40)] + [(100, None)]
+    items = [(1, "a b"), (2, "f e d"), (3, "a a b"), (4, "c d e f a b c d e f a b"), (5, "zz a")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    count = Counter(w for _, t in rows for w in words_of(t))
+    want = set()
+    for i, t in rows:
+        w = words_of(t)
+        for item, x in items:
+            x = words_of(x)
+            for k in range(max(1, len(x) - 9)):
+                window = list(enumerate(x))[k : k + 10]
+                if all(count[v] for _, v in window):
+                    n = min(count[v] for _, v in window)
+                    rare = next(p for p, v in sorted(window, key=lambda s: s[0]) if count[v] == n)
+                    for delta in (q - rare for q, v in enumerate(w) if v == x[rare]):
+                        off = [min((abs(q - delta - p) for q, u in enumerate(w) if u == v), default=99) for p, v in window]
+                        if max(off) <= slop and any(off):
+                            want.add((i, item, k, delta, sum(o > 0 for o in off)))
+    near = decontaminate.Index(docs, bench, "doc_id", "text", "item_id", "text", 10).proximity(slop)
+    got = near.select("id", "item", "wpos", "delta", "moved").collect()
+    assert want and len(got) == len(want) and {tuple(r) for r in got} == want
 
 
 def test_empty_tables(spark):

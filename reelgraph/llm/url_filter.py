@@ -2,15 +2,18 @@
 
 A URL's host is what follows the first `://` up to `/`, `?`, `#` or the end, with A-Z lower-cased;
 its path runs on from there to `?`, `#` or the end. Each distinct (host, path) is expanded to all its
-host suffixes (at label bounds) and to the path prefixes of the lengths that rules have. The
-expressions meet the rules on the first 32 bits of their SHA-256; then the full digests must agree,
-and the longest rule wins (ties: the longer host, then block before allow, then the smaller action).
+host suffixes (at label bounds) and to path prefixes whose lengths are powers of two (and the empty
+one); a rule is filed under the longest such prefix of its own path. The expressions meet the rules
+on the first 32 bits of their SHA-256; then the full digests of host suffix and of the path at the
+rule's own length must agree, and the longest rule wins (ties: the longer host, then block before
+allow, then the smaller action). So a rule's path may have any length, and an URL has few expressions.
 The whole path is native: no Python runs on the executors.
 
 Cases: a null URL or one without `://` has empty host and path, and fits only a rule for the empty
 host (there is none by default). Repeated rows are judged each; a URL without a rule is allowed. A
-rule with a null host, path or action is left out; repeated rules count once. Empty tables give empty
-results. Other columns are kept; one that is named like an output column is replaced.
+rule with a null host, path or action is left out; repeated rules count once. Very long URLs are
+judged whole. Empty tables give empty results. Other columns are kept, whatever their names, and one
+that is named like an output column is replaced.
 """
 
 from __future__ import annotations
@@ -19,8 +22,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A rule's path may not be longer; so there are at most that many lengths to expand to.
-MAX_RULE_PATH = 4096
 RULE_SCHEMA = "rule_host string, rule_path string, action string"
 
 
@@ -38,39 +39,40 @@ def split_url(url: F.Column) -> tuple[F.Column, F.Column]:
     return F.translate(host, UPPER, LOWER), path
 
 
-def _digests(df: DataFrame, host: str, path: str) -> DataFrame:
-    full = F.sha2(F.concat(F.col(host), F.lit("\n"), F.col(path)), 256)
-    return df.withColumn("digest", full).withColumn("short", F.substring("digest", 1, 8))
+def _digest(host: F.Column, path: F.Column) -> F.Column:
+    return F.sha2(F.concat(host, F.lit("\n"), path), 256)
+
+
+def _filed(length: F.Column) -> F.Column:
+    """The greatest power of two that is not above a length (0: none)."""
+    return F.when(length > 0, F.call_function("shiftleft", F.lit(1), F.length(F.bin(length)) - 1)).otherwise(0)
 
 
 def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
     """pages with host, path, rule (host and path of the rule that won, else null) and verdict."""
     rules = rules.where("rule_host IS NOT NULL AND rule_path IS NOT NULL AND action IS NOT NULL").select("rule_host", "rule_path", "action").distinct()
-    lengths = [r[0] for r in rules.select(F.length("rule_path")).distinct().limit(MAX_RULE_PATH + 2).collect()]
-    if max(lengths, default=0) > MAX_RULE_PATH:
-        raise ValueError(f"a rule's path is longer than {MAX_RULE_PATH}")
+    start = F.substring("rule_path", F.lit(1), _filed(F.length("rule_path")))
+    wanted = rules.withColumns({"rule_digest": _digest(F.col("rule_host"), F.col("rule_path")), "short": F.substring(_digest(F.col("rule_host"), start), 1, 8)})
     host, path = split_url(F.col(url))
-    own = ["host", "path", "rule", "verdict"]
-    pages = pages.withColumns({"host": host, "path": path})
-    pages = pages.drop(*(c for c in ("rule", "verdict") if c in pages.columns))
+    # the caller's columns stand in a struct, so no name of theirs meets one of ours
+    rows = pages.select(F.struct(*(F.col(f"`{c}`") for c in pages.columns)).alias("row"), host.alias("host"), path.alias("path"))
     labels = F.split("host", r"\.", -1)
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))
-    prefixes = F.array_compact(F.array(*(F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in sorted(lengths)))) if lengths else F.array().cast("array<string>")
+    lengths = F.concat(F.array(F.lit(0)), F.when(F.length("path") > 0, F.transform(F.sequence(F.lit(0), F.length(F.bin(F.length("path"))) - 1), lambda k: F.call_function("shiftleft", F.lit(1), k))).otherwise(F.array().cast("array<int>")))
     expressions = (
-        pages.select("host", "path").distinct()
-        .withColumn("suffix", F.explode(suffixes)).withColumn("start", F.explode(prefixes))
+        rows.select("host", "path").distinct()
+        .withColumn("suffix", F.explode(suffixes)).withColumn("start", F.explode(F.transform(lengths, lambda n: F.substring("path", F.lit(1), n))))
+        .withColumn("short", F.substring(_digest(F.col("suffix"), F.col("start")), 1, 8))
     )
     order = F.struct(
         (F.length("rule_host") + F.length("rule_path")).alias("a"), F.length("rule_host").alias("b"), (F.col("action") == "block").alias("c"),
         "rule_host", "rule_path", "action",
     )
-    wanted = _digests(rules, "rule_host", "rule_path").withColumnRenamed("digest", "rule_digest")
-    best = (
-        _digests(expressions, "suffix", "start").join(wanted, "short").where("digest = rule_digest")
-        .groupBy(F.col("host").alias("r_host"), F.col("path").alias("r_path")).agg(F.max(order).alias("won"))
-    )
-    return pages.join(best, (F.col("host") == F.col("r_host")) & (F.col("path") == F.col("r_path")), "left").select(
-        *(c for c in pages.columns if c not in own),
+    fits = F.col("rule_digest") == _digest(F.col("suffix"), F.substring("path", F.lit(1), F.length("rule_path")))
+    best = expressions.join(wanted, "short").where(fits).groupBy(F.col("host").alias("r_host"), F.col("path").alias("r_path")).agg(F.max(order).alias("won"))
+    own = ["host", "path", "rule", "verdict"]
+    return rows.join(best, (F.col("host") == F.col("r_host")) & (F.col("path") == F.col("r_path")), "left").select(
+        *(F.col("row").getField(c).alias(c) for c in pages.columns if c.lower() not in own),
         "host", "path",
         F.concat("won.rule_host", "won.rule_path").alias("rule"),
         F.coalesce("won.action", F.lit(default)).alias("verdict"),

@@ -3,10 +3,11 @@
 Each window start is dealt to the anchor of its window (see anchors.py), so equal windows meet in one
 task wherever they stand, and windows whose anchor occurs once are left out beforehand. What travels
 is a piece: consecutive window starts of one anchor, with the bytes of their windows. A task collapses
-equal pieces, sorts the suffixes of the rest by prefix doubling, computes the common prefixes of
-neighbours, and scans them with a stack: each interval of the tree is a set of suffixes with a common
-prefix. An interval whose occurrences are preceded by different bytes (or begin a piece) cannot be
-extended to the left within its pieces; what it covers beside its earliest occurrence is removed.
+equal pieces, sorts the suffixes of the rest that begin a repeated window, computes the common
+prefixes of neighbours, and scans them with a stack: each interval of the tree is a set of suffixes
+with a common prefix. An interval whose occurrences are preceded by different bytes (or begin a piece)
+cannot be extended to the left within its pieces; what it covers beside its earliest occurrence is
+removed.
 
 Maximal repeat groups go beyond pieces, so they are found apart (see maximal_repeats): window starts
 whose windows are preceded by different bytes are the candidates, and the lengths at which the set of
@@ -14,13 +15,17 @@ occurrences changes are searched in rounds, for all candidates at once.
 
 Removal keeps the earliest occurrence of each string of `width` bytes: by id, then position.
 
-An anchor with more than `hot` occurrences does not go to one task: its windows are taken singly, and
-the first occurrence of each is a minimum that is aggregated before the shuffle and joined back, with
-frequent windows split (see skew.py).
-
-Cases: a null text is empty; texts shorter than the window keep all; rows that share id and text are
-one document (none is earlier than the other); of rows that share the id alone the smaller text key
-counts as earlier; null ids come last; an empty table gives an empty result.
+An anchor with more than `hot` occurrences would be a group too large for one task, so its pieces are
+dealt by their own bytes instead, and the windows of distinct ones likewise: the interval of a window
+is then a key, its earliest occurrence a minimum that is aggregated before the shuffle and joined back,
+with frequent keys split (see skew.py). Intervals longer than a window are not needed for what is
+removed, so the result is the same.
+
+Cases: a null or empty text has no bytes; texts shorter than the window keep all; rows that share id
+and text are one document (none is earlier than the other); of rows that share the id alone the
+smaller text key counts as earlier; null ids come last; very long texts are cut into segments that
+overlap by a window; an empty table gives an empty result; other columns are left out, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -33,9 +38,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelgraph.llm import anchors, bloom
-from reelgraph.llm.common import field, map_texts, materialize, raw_bytes, slices
+from reelgraph.llm import anchors
+from reelgraph.llm.common import byte_cuts, field, map_texts, materialize, raw_bytes, slices
 from reelgraph.llm.cuts import cut, keyed
+from reelgraph.llm.sieve import sift
 from reelgraph.llm.skew import join_counted
 
 #: Occurrences of an anchor above which its windows are dealt singly.
@@ -64,24 +70,38 @@ def anchor_counts(docs: DataFrame, width: int) -> DataFrame:
         *_, mask, sub = _anchors(part, width)
         return [pa.array(sub[mask].view(np.int64))]
 
-    rows = map_texts(docs, run, T.StructType([T.StructField("h", T.LongType(), False)]))
+    rows = map_texts(docs, run, T.StructType([T.StructField("h", T.LongType(), False)]), cut=byte_cuts(width))
     return rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def pieces(docs: DataFrame, width: int, seen, hot) -> DataFrame:
-    """(h, id, key, start, n, again, hot, piece): n window starts of anchor h from byte `start` on; again: h occurs twice in it."""
+def anchor_rows(docs: DataFrame, width: int) -> DataFrame:
+    """(h, id, key) of each anchor."""
+    schema = T.StructType([T.StructField("h", T.LongType(), False), field(docs, "id"), T.StructField("key", T.LongType(), False)])
+
+    def run(part):
+        _, _, ends, _, _, _, mask, sub = _anchors(part, width)
+        at = np.flatnonzero(mask)
+        take = pa.array(np.searchsorted(ends, at, "right"))
+        return [pa.array(sub[at].view(np.int64)), part.column("id").take(take), part.column("key").take(take)]
+
+    return map_texts(docs, run, schema, cut=byte_cuts(width))
+
+
+def pieces(docs: DataFrame, width: int, has, hot, want_hot: bool) -> DataFrame:
+    """(h, id, key, start, n, again, piece): n window starts of anchor h from byte `start` on; again: h occurs twice in it. Either hot anchors or the others."""
     schema = T.StructType([
         T.StructField("h", T.LongType(), False), field(docs, "id"), T.StructField("key", T.LongType(), False), T.StructField("start", T.IntegerType(), False),
-        T.StructField("n", T.IntegerType(), False), T.StructField("again", T.BooleanType(), False), T.StructField("hot", T.BooleanType(), False), T.StructField("piece", T.BinaryType(), False),
+        T.StructField("n", T.IntegerType(), False), T.StructField("again", T.BooleanType(), False), T.StructField("piece", T.BinaryType(), False),
     ])
     reach = width - anchor_bytes(width)
 
     def run(part):
         data, starts, ends, _, valid, least, mask, sub = _anchors(part, width)
         at = np.flatnonzero(valid)
-        at = at[seen.value.has(least[at])]
+        at = at[has(part, least[at])]
+        at = at[hot(part, least[at]) == want_hot]
         if not len(at):
-            return [[], [], [], [], [], [], [], []]
+            return [[], [], [], [], [], [], []]
         new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (least[at[1:]] != least[at[:-1]])]))
         first, n = at[new], np.diff(np.append(new, len(at)))
         last, h = first + n - 1, least[first]
@@ -95,77 +115,80 @@ def pieces(docs: DataFrame, width: int, seen, hot) -> DataFrame:
         flat = data[np.arange(offsets[-1]) + np.repeat(first - offsets[:-1], size)]
         piece = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
         take = pa.array(doc)
-        return [pa.array(h.view(np.int64)), part.column("id").take(take), part.column("key").take(take), pa.array((first - starts[doc]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(again), pa.array(hot.value.has(h)), piece]
+        start = first - starts[doc] + part.column("base").to_numpy()[doc]
+        return [pa.array(h.view(np.int64)), part.column("id").take(take), part.column("key").take(take), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(again), piece]
 
-    return map_texts(docs, run, schema)
+    return map_texts(docs, run, schema, cut=byte_cuts(width))
 
 
 class SuffixArray:
-    """Enhanced suffix array of the first window starts of some pieces.
+    """Enhanced suffix array of the window starts of some pieces, as far as their windows repeat there.
 
-    Suffixes are sorted by their first `depth` bytes, the least doubling of 8 that is no less than the
-    window; a common prefix ends there, or where a piece does.
+    Suffixes are sorted by their first `depth` bytes, a quarter more than the window; a common prefix
+    ends there, or where a piece does. A start whose window is alone has no common prefix to speak of.
     """
 
     def __init__(self, parts: list[bytes], counts: np.ndarray, width: int):
         data = np.frombuffer(b"".join(parts), np.uint8)
         sizes = np.array([len(x) for x in parts])
         ends = np.cumsum(sizes).astype(np.int32)
+        self.data, self.depth = data, -(-width * 5 // 32) * 8
         self.end = np.repeat(ends, sizes)
         self.begin = np.repeat(ends - sizes, sizes).astype(np.int32)
         self.piece = np.repeat(np.arange(len(parts), dtype=np.int32), sizes)
-        place = np.arange(len(data), dtype=np.int32)
-        eligible = np.flatnonzero(place - self.begin < counts[self.piece])
-        padded, word = np.append(data, np.zeros(8, np.uint8)), np.zeros(len(data), np.uint64)
-        for k in range(8):
-            word = word << np.uint64(8) | np.where(place + k < self.end, padded[k : k + len(data)], 0).astype(np.uint64)
-        ranks, step = [(8, np.unique(word, return_inverse=True)[1].astype(np.int32) + 1)], 8
-        while step < width:
-            rank = ranks[-1][1]
-            after = np.where(place + step < self.end, np.append(rank, np.zeros(step, rank.dtype))[step : step + len(data)], 0)
-            step *= 2
-            ranks.append((step, np.unique(rank.astype(np.int64) * (len(data) + 2) + after, return_inverse=True)[1].astype(np.int32) + 1))
-        self.data, self.depth = data, step
-        self.order = eligible[np.argsort(ranks[-1][1][eligible], kind="stable")]
-        self.common = self._common(ranks, width)
-
-    def _common(self, ranks, width: int) -> np.ndarray:
+        starts = np.flatnonzero(np.arange(len(data), dtype=np.int32) - self.begin < counts[self.piece])
+        _, of, n = np.unique(anchors.windows(anchors.prefix(anchors.byte_values(data)), width)[starts], return_inverse=True, return_counts=True)
+        starts = starts[n[of] > 1]
+        eight = np.ndarray(len(data) + 1, ">u8", np.append(data, np.zeros(8, np.uint8)), strides=(1,))  # the bytes from each place on
+        keys = np.zeros((len(starts), self.depth // 8), ">u8")
+        for k in range(self.depth // 8):
+            at = np.minimum(starts + 8 * k, len(data))
+            left = np.clip(self.end[starts] - at, 0, 8).astype(np.uint64)  # nothing of the next piece
+            drop = np.uint64(64) - np.uint64(8) * np.maximum(left, 1)
+            keys[:, k] = np.where(left > 0, eight[at] >> drop << drop, 0)
+        by = np.argsort(keys.view(f"S{self.depth}").ravel(), kind="stable") if len(starts) else np.zeros(0, np.int64)
+        self.order = starts[by]
+        self.common = self._common(keys[by].astype(np.uint64), width)
+
+    def _common(self, keys: np.ndarray, width: int) -> np.ndarray:
         """Common prefix of each suffix with the one before it (0 where it is below the window)."""
-        p, q = self.order[:-1], self.order[1:]
         out = np.zeros(len(self.order), np.int64)
-        within = [rank for step, rank in ranks if step <= width]  # window starts have `width` bytes in their piece
-        hit = np.flatnonzero(within[-1][p] == within[-1][q]) if within else np.arange(len(p))
-        p, q = p[hit], q[hit]
-        room = np.minimum(self.end[p] - p, self.end[q] - q)
-        size = np.zeros(len(p), np.int64)
-        for step, rank in ranks[::-1]:
-            a, b = np.minimum(p + size, len(self.data) - 1), np.minimum(q + size, len(self.data) - 1)
-            size += np.where((size < np.minimum(room, self.depth)) & (rank[a] == rank[b]), step, 0)
-        for _ in range(7):
-            a, b = np.minimum(p + size, len(self.data) - 1), np.minimum(q + size, len(self.data) - 1)
-            size += (size < np.minimum(room, self.depth)) & (self.data[a] == self.data[b])
-        size = np.minimum(size, room)
-        out[hit + 1] = np.where(size >= width, size, 0)
+        if len(out) < 2:
+            return out
+        differ = keys[1:] != keys[:-1]
+        word = np.where(differ.any(axis=1), differ.argmax(axis=1), keys.shape[1])
+        at = np.minimum(word, keys.shape[1] - 1)[:, None]
+        x = (np.take_along_axis(keys[1:], at, 1) ^ np.take_along_axis(keys[:-1], at, 1)).ravel()
+        same = sum((x < np.uint64(1 << 8 * k)).astype(np.int64) for k in range(1, 8))
+        size = np.where(word < keys.shape[1], 8 * word + same, self.depth)
+        p, q = self.order[:-1], self.order[1:]
+        size = np.minimum(size, np.minimum(self.end[p] - p, self.end[q] - q))
+        out[1:] = np.where(size >= width, size, 0)
         return out
 
     def intervals(self) -> np.ndarray:
         """(from, to, common prefix) of the tree's intervals that cannot be extended to the left; to is inclusive."""
-        found, stack, common = [], [], self.common
-        marks = np.flatnonzero(common)
-        stops = np.unique(np.concatenate([marks, marks + 1]))
-        values = np.append(common, 0)[stops].tolist()
-        for i, now in zip(stops.tolist(), values, strict=True):
-            left = i - 1
-            while stack and stack[-1][0] > now:
-                size, left = stack.pop()
-                found.append((left, i - 1, size))
-            if now and (not stack or stack[-1][0] < now):
-                stack.append((now, left))
-        if stack:
-            found += [(left, len(self.order) - 1, size) for size, left in reversed(stack)]
-        if not found:
+        common = self.common
+        on = np.flatnonzero(common)
+        first = on[np.concatenate([[True], np.diff(on) > 1])] if len(on) else on
+        last = on[np.concatenate([np.diff(on) > 1, [True]])] if len(on) else on
+        bounds = np.stack([first, last + 1], axis=1).ravel()
+        least, most = (f.reduceat(np.append(common, 0), bounds)[::2] if len(on) else on for f in (np.minimum, np.maximum))
+        flat = least == most  # a tree of one node; the others are scanned
+        found = [np.stack([first[flat] - 1, last[flat], least[flat]], axis=1)]
+        for a, b in zip(first[~flat].tolist(), last[~flat].tolist(), strict=True):
+            nodes, stack = [], []
+            for i, now in enumerate([*common[a : b + 1].tolist(), 0], a):
+                left = i - 1
+                while stack and stack[-1][0] > now:
+                    size, left = stack.pop()
+                    nodes.append((left, i - 1, size))
+                if now and (not stack or stack[-1][0] < now):
+                    stack.append((now, left))
+            found.append(np.array(nodes, np.int64))
+        found = np.concatenate(found)
+        if not len(found):
             return np.zeros((0, 3), np.int64)
-        found = np.array(found, np.int64)
         at = self.order
         before = np.where(at > self.begin[at], self.data[np.maximum(at - 1, 0)].astype(np.int64), -1 - self.piece[at])
         change = np.concatenate([[0], np.cumsum(before[1:] != before[:-1])])
@@ -177,8 +200,8 @@ class SuffixArray:
 _BLOCK = 1 << 20
 
 
-def _collapse(table: pa.Table) -> tuple[np.ndarray, list[list[int]], list[list[int]]]:
-    """(rank by id, key, start; sets of rows with equal pieces; those sets that others of their anchor, or themselves, may overlap), earliest row first."""
+def _collapse(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rank by id, key, start; the earliest row of each distinct piece; the later rows; those of the earliest whose pieces others of their anchor, or themselves, may overlap)."""
     keys = table.select(["id", "key", "start"])
     at = pc.sort_indices(keys, [("id", "ascending"), ("key", "ascending"), ("start", "ascending")])
     keys, differ = keys.take(at), np.zeros(max(0, table.num_rows - 1), bool)
@@ -189,25 +212,20 @@ def _collapse(table: pa.Table) -> tuple[np.ndarray, list[list[int]], list[list[i
         differ |= ~alike.to_numpy(zero_copy_only=False)
     order = np.empty(table.num_rows, np.int64)  # rows that share all three are one occurrence
     order[at.to_numpy()] = np.concatenate([[0], np.cumsum(differ)])[: table.num_rows]
-    h, piece, again = (table.column(k).to_pylist() for k in ("h", "piece", "again"))
-    groups: dict[tuple, list[int]] = {}
-    for i, x in enumerate(zip(h, piece, strict=True)):
-        groups.setdefault(x, []).append(i)
-    distinct: dict[int, list] = {}
-    rank = order.tolist()
-    for (anchor, _), found in groups.items():
-        if len(found) > 1:
-            found = list({rank[i]: i for i in sorted(found, key=rank.__getitem__)}.values())
-        distinct.setdefault(anchor, []).append(found)
-    every = [found for sets in distinct.values() for found in sets]
-    return order, every, [found for sets in distinct.values() if len(sets) > 1 or again[sets[0][0]] for found in sets]
+    code = pc.dictionary_encode(table.column("piece").combine_chunks()).indices.to_numpy()  # a piece has one anchor
+    by = np.lexsort((order, code))
+    new = np.concatenate([[True], code[by[1:]] != code[by[:-1]]])
+    later = ~new & np.concatenate([[True], order[by[1:]] != order[by[:-1]]])
+    lead = by[new]
+    _, of, n = np.unique(table.column("h").to_numpy()[lead], return_inverse=True, return_counts=True)
+    again = table.column("again").to_numpy(zero_copy_only=False)[lead]
+    return order, lead, by[later], lead[(n[of] > 1) | again]
 
 
 class Tree:
-    """The intervals over the first rows of some sets of equal pieces, short prefixes first, with their earliest occurrences."""
+    """The intervals over some distinct pieces, short prefixes first, with their earliest occurrences."""
 
-    def __init__(self, table: pa.Table, order: np.ndarray, sets: list[list[int]], width: int):
-        lead = np.array([x[0] for x in sets])
+    def __init__(self, table: pa.Table, order: np.ndarray, lead: np.ndarray, width: int):
         piece, count = table.column("piece"), table.column("n").to_numpy()[lead]
         self.array = SuffixArray([piece[int(i)].as_py() for i in lead], count, width)
         at = self.array.order
@@ -241,12 +259,11 @@ def _named(table: pa.Table, schema: T.StructType, row, columns: dict) -> pa.Reco
 
 def _removed(table: pa.Table, width: int, schema: T.StructType):
     """(id, key, start, end) runs of bytes that maximal repeats cover at other occurrences than their earliest."""
-    order, every, some = _collapse(table)
+    order, _, row, some = _collapse(table)
     length = pc.binary_length(table.column("piece")).to_numpy()
-    row = np.array([i for found in every for i in found[1:]], np.int64)
     if len(row):
         yield _named(table, schema, row, {"start": np.zeros(len(row), np.int32), "end": length[row]})
-    if not some:
+    if not len(some):
         return
     tree = Tree(table, order, some, width)
     array = tree.array
@@ -263,8 +280,7 @@ def _removed(table: pa.Table, width: int, schema: T.StructType):
     # a run ends with its piece
     a = np.flatnonzero(inside & (np.concatenate([[True], ~inside[:-1]]) | (np.arange(len(inside)) == array.begin)))
     b = np.flatnonzero(inside & (np.concatenate([~inside[1:], [True]]) | (np.arange(1, len(inside) + 1) == array.end))) + 1
-    lead = np.array([x[0] for x in some])
-    yield _named(table, schema, lead[array.piece[a]], {"start": a - array.begin[a], "end": b - array.begin[a]})
+    yield _named(table, schema, some[array.piece[a]], {"start": a - array.begin[a], "end": b - array.begin[a]})
 
 
 def _by_anchor(rows: DataFrame, schema: T.StructType, width: int, done) -> DataFrame:
@@ -291,17 +307,20 @@ def _by_anchor(rows: DataFrame, schema: T.StructType, width: int, done) -> DataF
     return dealt.mapInArrow(run, schema)
 
 
-def _found(df: DataFrame, id_col: str, text: str, width: int, hot: int) -> tuple[DataFrame, DataFrame | None]:
-    """(pieces of ordinary anchors, windows of hot ones)."""
+def _found(df: DataFrame, id_col: str, text: str, width: int, hot: int, max_keys: int | None) -> tuple[DataFrame, DataFrame | None]:
+    """(pieces of ordinary anchors, spans of hot ones)."""
     docs = keyed(df, id_col, text)
     counted = materialize(anchor_counts(docs, width), "anchors")
     many = counted.where(F.col("n") > hot)
-    n_hot = many.count()
-    rows = pieces(docs, width, bloom.build(counted, "h"), bloom.build(many, "h", n_hot))
-    return rows.where("not hot"), _hot_repeats(rows.where("hot"), width) if n_hot else None
+    texts = docs
+    docs, has = sift(texts, counted, lambda: anchor_rows(texts, width), max_keys)
+    if many.isEmpty():
+        return pieces(docs, width, has, lambda part, h: np.zeros(len(h), bool), False), None
+    docs, is_hot = sift(docs, many, lambda: anchor_rows(texts, width), max_keys, "hot")
+    return pieces(docs, width, has, is_hot, False), _hot_repeats(pieces(docs, width, has, is_hot, True), width)
 
 
-def starts(docs: DataFrame, width: int, seen) -> DataFrame:
+def starts(docs: DataFrame, has, width: int) -> DataFrame:
     """(w, id, key, start, left, room): window starts with seen anchors; left is the byte before (-1: none), and no repeat goes on for more than room bytes."""
     schema = T.StructType([
         T.StructField("w", T.LongType(), False), field(docs, "id"), T.StructField("key", T.LongType(), False), T.StructField("start", T.IntegerType(), False),
@@ -311,7 +330,7 @@ def starts(docs: DataFrame, width: int, seen) -> DataFrame:
     def run(part):
         data, begin, ends, sums, valid, least, *_ = _anchors(part, width)
         at = np.flatnonzero(valid)
-        at = at[seen.value.has(least[at])]
+        at = at[has(part, least[at])]
         if not len(at):
             return [[], [], [], [], [], []]
         doc = np.searchsorted(ends, at, "right")
@@ -342,8 +361,7 @@ def maximal_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
     split (see skew.py), so `hot` makes no difference here.
     """
     docs = materialize(keyed(df, id_col, text).dropDuplicates(["id", "key"]), "documents")
-    seen = bloom.build(materialize(anchor_counts(docs, width), "anchors"), "h")
-    single = starts(docs, width, seen)
+    single = starts(*sift(docs, materialize(anchor_counts(docs, width), "anchors"), lambda: anchor_rows(docs, width)), width)
     many = single.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.expr(_LEFT).alias("diverse")).where("n > 1 AND diverse").drop("diverse")
     state = join_counted(single, materialize(many, "windows"), ["w"]).drop("w")
     texts = docs.select(F.col("id").alias("i"), F.col("key").alias("k"), F.coalesce("text", F.lit("")).cast("binary").alias("bytes"))
@@ -394,24 +412,37 @@ def _digests(sets: DataFrame, texts: DataFrame) -> DataFrame:
     return sets.join(map_texts(rows, run, schema, "w"), ["size", "h"]).select("size", "h", "n", "least", "repeat")
 
 
-def repeated_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 100, hot: int = HOT) -> DataFrame:
+def repeated_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 100, hot: int = HOT, max_keys: int | None = None) -> DataFrame:
     """(id, key, start, end): runs of bytes that occur earlier; they may overlap."""
-    rows, hot_rows = _found(df, id_col, text, width, hot)
+    rows, hot_rows = _found(df, id_col, text, width, hot, max_keys)
     schema = T.StructType([field(rows, "id"), T.StructField("key", T.LongType(), False), T.StructField("start", T.IntegerType(), False), T.StructField("end", T.IntegerType(), False)])
     out = _by_anchor(rows, schema, width, _removed)
-    return out if hot_rows is None else out.unionByName(hot_rows.where("not first").select("id", "key", "start", (F.col("start") + F.col("length")).alias("end")))
+    return out if hot_rows is None else out.unionByName(hot_rows)
 
 
 def _hot_repeats(rows: DataFrame, width: int) -> DataFrame:
-    """Windows of pieces taken singly; the string itself is the key."""
-    single = rows.select("id", "key", "start", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"), "piece")
+    """(id, key, start, end) of what occurs earlier among pieces of hot anchors.
+
+    Equal pieces are told by their digest first: all but the earliest go whole. Of the earliest ones
+    the windows are taken singly, and told likewise. Both minima are aggregated before the shuffle.
+    """
+    digest = lambda x: {"a": F.xxhash64(x), "b": F.unhex(F.md5(x))}
+    held = materialize(rows.select("id", "key", "start", "n", "piece").withColumns(digest("piece")), "hot")
+    whole = _marked(held, ["a", "b"], 1)
+    later = whole.where("not first").select("id", "key", "start", (F.col("start") + F.col("n") + (width - 1)).alias("end"))
+    single = whole.where("first").select("id", "key", "start", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"), "piece")
     single = single.select("id", "key", (F.col("start") + F.col("i")).alias("start"), F.substring("piece", F.col("i") + 1, F.lit(width)).alias("w"))
-    single = single.withColumns({"repeat": F.xxhash64("w"), "check": F.unhex(F.md5("w"))}).drop("w")
-    # a null id sorts last
+    single = materialize(single.withColumns(digest("w")).drop("w"), "windows")
+    again = _marked(single, ["a", "b"], 2).where("not first")
+    return later.unionByName(again.select("id", "key", "start", (F.col("start") + width).alias("end")))
+
+
+def _marked(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """rows whose key has `least` rows at least, with first: whether a row is the earliest of its key (a null id sorts last)."""
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "key", "start")
-    first = single.groupBy("repeat", "check").agg(F.min(rank).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    counted = rows.groupBy(*keys).agg(F.min(rank).alias("least"), F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") >= least)
     is_first = F.col("id").eqNullSafe(F.col("least.id")) & (F.col("key") == F.col("least.key")) & (F.col("start") == F.col("least.start"))
-    return join_counted(single, materialize(first, "windows"), ["repeat", "check"]).select("repeat", F.lit(width).alias("length"), "id", "key", "start", is_first.alias("first"))
+    return join_counted(rows, materialize(counted, "first"), keys, n="_rows").withColumn("first", is_first).drop("least")
 
 
 def remove_bytes(text: str, runs: list[tuple[int, int]]) -> tuple[list[int], bytes]:
@@ -424,8 +455,11 @@ def remove_bytes(text: str, runs: list[tuple[int, int]]) -> tuple[list[int], byt
     return [len(data), removed, len(runs)], b"".join([*out, data[at:]])
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 100, hot: int = HOT) -> DataFrame:
-    """(id_col, n_bytes, n_removed, n_spans, kept): kept holds the remaining bytes."""
-    found = repeated_spans(df, id_col, text, width, hot)
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 100, hot: int = HOT, max_keys: int | None = None) -> DataFrame:
+    """(id_col, n_bytes, n_removed, n_spans, kept): kept holds the remaining bytes.
+
+    max_keys: number of repeated anchors above which they are joined to the documents instead of broadcast (see sieve.py).
+    """
+    found = repeated_spans(df, id_col, text, width, hot, max_keys)
     spans = found.groupBy("id", "key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    return cut(df, spans, id_col, text, remove_bytes, T.StructField("kept", T.BinaryType(), False), ["n_bytes", "n_removed", "n_spans"])
+    return cut(df, spans, id_col, text, remove_bytes, T.StructField("kept", T.BinaryType(), False), ["n_bytes", "n_removed", "n_spans"], max_keys)

@@ -5,9 +5,11 @@ not seen are scanned, once each, however many paths and versions hold them; the
 with (blob, rule_version) and joined back to all paths. A second run over the same ledger scans only
 what is new, and a new rule version scans everything again.
 
-Cases: a null text is the empty blob; repeated rows share a blob and are reported each; a blob without
-findings stays in the ledger, so it is not scanned again. Spans are code points, end exclusive, of the
-whole match. Empty tables give empty results.
+Cases: a null text is the empty blob; repeated rows share a blob, which is scanned once, and are
+reported each; a blob without findings stays in the ledger, so it is not scanned again. Spans are code
+points, end exclusive, of the whole match; spans that begin alike come in the order of the rules. Very
+long texts are scanned whole, in memory of a few times their length. Null paths are paths like others.
+Other columns are left out, whatever their names. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -75,9 +77,10 @@ def scan(versions: DataFrame, path: str, content: str, ledger: DataFrame | None
     unseen = ids.groupBy("blob").agg(F.min(F.struct("path")).alias("at")).select("blob", F.col("at.path").alias("at"))
     if ledger is not None:
         unseen = unseen.join(ledger.where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
-    fetched = rows.withColumn("blob", blob_id("content")).join(
-        unseen.select(F.col("blob").alias("b"), "at").hint("shuffle_hash"), (F.col("blob") == F.col("b")) & F.col("path").eqNullSafe(F.col("at")), "left_semi"
-    )
+    # by a hash of the path: join and removal of repeated rows then need one shuffle, and what paths of one hash hold is the same blob
+    fetched = rows.withColumns({"blob": blob_id("content"), "at": F.xxhash64("path")}).join(
+        unseen.select(F.col("blob").alias("_blob"), F.xxhash64("at").alias("_at")).hint("shuffle_hash"), (F.col("blob") == F.col("_blob")) & (F.col("at") == F.col("_at")), "left_semi"
+    ).dropDuplicates(["blob", "at"])
 
     def run(part):
         scanner = Scanner(rules)

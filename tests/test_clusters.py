@@ -1,76 +1,80 @@
 """Density clusters against brute force, repeats, sentence clusters and the map."""
 
-import math
-
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from reelgraph.functions import scalars as S
-from reelgraph.operators import density, layout, passes, sentences
-
-LEVELS = [0.3, 0.5, 0.7, 0.8, 0.9, 0.95]
+from reelgraph.operators import density, layout, passes, sentences, vectors
 
 
-def brute(points, size, levels):
-    """Label of each clustered index, by recursion over levels."""
+def brute(points, size):
+    """Cluster (smallest index) of each clustered index, by recursion over all distances at which points meet."""
     n = len(points)
-    d2 = ((points[:, None] - points[None]) ** 2).sum(axis=2)
-    sim = 1 - d2 / 2
-    core = np.sort(sim, axis=1)[:, ::-1][:, size - 1] if n >= size else np.full(n, -9.0)
-    reach = np.minimum(np.minimum(core[:, None], core[None]), sim)
-    scale = [1 / math.sqrt(2 * (1 - x)) for x in [*levels, (1 + levels[-1]) / 2]]
+    d = np.round(np.sqrt(((points[:, None] - points[None]) ** 2).sum(axis=2)), density.DIGITS)
+    core = np.sort(d, axis=1)[:, size - 1] if n >= size else np.full(n, np.inf)
+    meet = np.maximum(np.maximum(core[:, None], core[None]), d)
+    cuts = sorted({x for x in meet[np.triu_indices(n, 1)].tolist() if x < np.inf}, reverse=True)
+    rate = [1 / max(x, 10.0**-density.DIGITS) for x in cuts]
 
-    def parts(of, level):
+    def parts(of, cut):
         left, out = set(of), []
         while left:
             todo, got = [min(left)], set()
             while todo:
                 i = todo.pop()
-                if i in got:
-                    continue
-                got.add(i)
-                todo += [j for j in of if j not in got and reach[i, j] >= levels[level]]
+                if i not in got:
+                    got.add(i)
+                    todo += [j for j in left if j not in got and meet[i, j] <= cuts[cut]]
             left -= got
             if len(got) >= size:
                 out.append(sorted(got))
         return out
 
-    def best(of, level):
-        """(mass of the best choice, its clusters) for a cluster born at a level."""
+    def best(of, cut):
+        """(mass of the best choice, its clusters) for a cluster that stands at a cut."""
         mass, whole, kids = 0.0, of, []
-        while True:
-            mass += len(of) * (scale[level + 1] - scale[level])
-            level += 1
-            kids = parts(of, level) if level < len(levels) else []
+        while cut < len(cuts):
+            mass += len(of) * (rate[cut] - rate[cut - 1])
+            cut += 1
+            kids = parts(of, cut) if cut < len(cuts) else []
             if len(kids) != 1:
                 break
             of = kids[0]
-        below = [best(k, level) for k in kids]
+        below = [best(k, cut) for k in kids]
         if mass >= sum(b[0] for b in below):
             return mass, [whole]
         return sum(b[0] for b in below), [c for b in below for c in b[1]]
 
-    of, level = list(range(n)), 0
-    while level < len(levels) and len(kids := parts(of, level)) == 1:
-        of, level = kids[0], level + 1
-    if level == len(levels):
+    of, cut = list(range(n)), 0
+    while cut < len(cuts) and len(kids := parts(of, cut)) == 1:
+        of, cut = kids[0], cut + 1
+    if not cuts or cut == len(cuts):
         return {}
-    return {i: c[0] for k in kids for c in best(k, level)[1] for i in c}
+    return {i: c[0] for k in kids for c in best(k, cut)[1] for i in c}
 
 
-def test_density_clusters(spark):
+@pytest.mark.parametrize("block, local, size", [(2000, 10**6, 5), (16, 10**6, 5), (16, 20, 5), (7, 11, 3)])
+def test_density_clusters(spark, monkeypatch, block, local, size):
+    monkeypatch.setattr(vectors, "BLOCK", block)
     rng = np.random.default_rng(3)
     rows, want = [], {}
     for g, (centres, spread) in {"a": (4, 0.18), "b": (6, 0.3), "c": (1, 0.2)}.items():
         mid = rng.normal(size=(centres, 4))
         pts = np.concatenate([m / np.linalg.norm(m) + rng.normal(size=(14, 4)) * spread * (0.4 + i % 3 * 0.4) for i, m in enumerate(mid)] + [rng.normal(size=(8, 4))])
         pts /= np.linalg.norm(pts, axis=1, keepdims=True)
-        want |= {(g, i): c for i, c in brute(pts, 5, LEVELS).items()}
+        if g == "b":  # copies, of more and of fewer than a cluster's least size
+            pts = np.concatenate([pts, pts[:1].repeat(7, axis=0), pts[20:23].repeat(2, axis=0)])
+        want |= {(g, i): c for i, c in brute(pts, size).items()}
         rows += [(g, i, p.tolist()) for i, p in enumerate(pts)]
+    grid = np.stack(np.meshgrid(np.arange(4.0), np.arange(4.0)), axis=-1).reshape(-1, 2)  # many equal distances
+    pts = np.concatenate([grid, grid + 20.0, [[9.0, 9.0]]])
+    want |= {("e", i): c for i, c in brute(pts, size).items()}
+    rows += [("e", i, p.tolist()) for i, p in enumerate(pts)]
     df = spark.createDataFrame([*rows, ("a", 999, None), ("d", 1, [1.0, 0.0, 0.0, 0.0])], "g string, id long, v array<double>")
-    got = {(r["g"], r["id"]): r["cluster"] for r in density.density_clusters(df, ["g"], "id", "v", 5, LEVELS).collect()}
+    got = {(r["g"], r["id"]): r["cluster"] for r in density.density_clusters(df, ["g"], "id", "v", size, local).collect()}
     assert len(set(want.values())) > 2 and got == want
-    assert density.density_clusters(df.where("g = 'd'"), ["g"], "id", "v", 5, LEVELS).count() == 0
+    assert density.density_clusters(df.where("g = 'd'"), ["g"], "id", "v", size, local).count() == 0
 
 
 def test_near_dedupe_and_sentences(spark):

@@ -54,7 +54,7 @@ def brute(points, size):
     return {i: c[0] for k in kids for c in best(k, cut)[1] for i in c}
 
 
-@pytest.mark.parametrize("block, local, size", [(2000, 10**6, 5), (16, 10**6, 5), (16, 20, 5), (7, 11, 3)])
+@pytest.mark.parametrize("block, local, size", [(2000, 10**6, 5), (7, 10**6, 3), (16, 20, 5)])
 def test_density_clusters(spark, monkeypatch, block, local, size):
     monkeypatch.setattr(vectors, "BLOCK", block)
     rng = np.random.default_rng(3)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from reelgraph.llm import bpe, decontaminate, language_id, quality, secrets, simhash, substring, suffix, url_filter, warc
+from reelgraph.llm import bpe, decontaminate, language_id, manifest, quality, secrets, simhash, spelling, substring, suffix, token_counts, url_filter, warc
 
-TOKENIZER = "byte_bpe_50k.tiktoken"
+TOKENIZER, COUNTED = "byte_bpe_50k.tiktoken", "word_bpe_49k.json"
 #: Rules (host, path, action) of the URL query.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -94,13 +94,97 @@ def op10_suffix(spark, sf_dir):
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_url_filter, op3_language_id, op4_simhash, op5_secret_scan, op6_warc, op7_substring, op8_decontaminate, op9_quality, op10_suffix)}
+#: Fields of a leaf, in order.
+LEAF = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def op11_manifest(spark, sf_dir):
+    """Every second document, by crc32 of its id, has lost its line feeds."""
+    chosen = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.lit(False))
+    changed = {"text": F.when(chosen, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))}
+    return manifest.build(table(spark, sf_dir, "documents").select(*LEAF), "doc_id", "source", LEAF, changed)
+
+
+def op12_spelling(spark, sf_dir):
+    found = spelling.runs(table(spark, sf_dir, "documents"), "doc_id", "text", least=7)
+    words = found.select(spelling.misspelt(F.col("id"), F.col("run")).alias("word")).where(F.length("word") >= 7)
+    return spelling.variants(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n >= 2"))
+
+
+def op13_token_counts(spark, sf_dir):
+    import public_tokenizers
+
+    out = token_counts.count(table(spark, sf_dir, "documents"), token_counts.Definition(spark, public_tokenizers.path(COUNTED)), "doc_id", "text")
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
+_ALL = (op1_bpe, op2_url_filter, op3_language_id, op4_simhash, op5_secret_scan, op6_warc, op7_substring, op8_decontaminate, op9_quality, op10_suffix, op11_manifest, op12_spelling, op13_token_counts)
+QUERIES = {f.__name__: f for f in _ALL}
 
 _UPPER, _LOWER = url_filter.UPPER, url_filter.LOWER
 _SQL_RULES = ", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in URL_RULES)
 _SP = "\\x20\\x09-\\x0D"
 
+
+
+def _crc32(text: str) -> str:
+    """SQL of the unsigned crc32 of a text's UTF-8 bytes, a bit at a time."""
+    octets = f"list_transform(range(0, strlen({text})), lambda i: CAST('0x' || substr(hex(encode({text})), CAST(2 * i + 1 AS INT), 2) AS BIGINT))"
+    steps = f"list_concat([4294967295], flatten(list_transform({octets}, lambda b: [b, -1, -1, -1, -1, -1, -1, -1, -1])))"
+    return f"xor(list_reduce({steps}, lambda c, x: CASE WHEN x < 0 THEN xor(c >> 1, 3988292384 * (c & 1)) ELSE xor(c, x) END), 4294967295)"
+
+
+def _tree_sql(name: str, start: str, levels: int) -> str:
+    """CTEs of a tree over start (s, i, c, h): {name}0.. its levels, {name}s0.. the siblings of their nodes, {name}_root (s, h)."""
+    out = [f"{name}0 AS MATERIALIZED ({start})"]
+    for k in range(levels):
+        run = "OVER (PARTITION BY s, i // 3 ORDER BY i ROWS BETWEEN"
+        out.append(f"{name}s{k} AS MATERIALIZED (SELECT s, i, coalesce(string_agg(h, '') {run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(h, '') {run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name}{k} WHERE c > 1)")
+        out.append(f"{name}{k + 1} AS MATERIALIZED (SELECT s, i // 3 AS i, (c + 2) // 3 AS c, sha256(string_agg(h, '' ORDER BY i)) AS h FROM {name}{k} WHERE c > 1 GROUP BY s, i // 3, c)")
+    out.append(f"{name}_root AS MATERIALIZED ({' UNION ALL '.join(f'SELECT s, h FROM {name}{k} WHERE c = 1' for k in range(levels + 1))})")
+    return ",\n".join(out)
+
+
+def _fold_sql(name: str, tree: str, start: str, levels: int) -> str:
+    """CTEs that lead start (rid, s, i, c, node, proof) to the roots of the tree: {name}_end (rid, s, node, proof)."""
+    out = [f"{name}0 AS MATERIALIZED ({start})"]
+    for k in range(levels):
+        out.append(f"{name}{k + 1} AS MATERIALIZED (SELECT rid, f.s, f.i // 3 AS i, (c + 2) // 3 AS c, sha256(l || node || r) AS node, proof || l || r AS proof FROM {name}{k} f JOIN {tree}s{k} x ON f.s = x.s AND f.i = x.i WHERE c > 1)")
+    out.append(f"{name}_end AS MATERIALIZED ({' UNION ALL '.join(f'SELECT rid, s, node, proof FROM {name}{k} WHERE c = 1' for k in range(levels + 1))})")
+    return ",\n".join(out)
+
+
+_LEAF_SQL = "sha256(" + " || ".join(f"coalesce(strlen(CAST({{{c}}} AS VARCHAR)) || ':' || CAST({{{c}}} AS VARCHAR), '-')" for c in LEAF) + ")"
+#: Levels that SQL goes through: enough for 3 ** 15 rows of a source and 3 ** 9 sources.
+_LOW, _HIGH = 15, 9
+
 ORACLE_SQL = {
+    "op11_manifest": f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, *, coalesce('=' || source, '') AS s, coalesce({_crc32("CAST(doc_id AS VARCHAR)")} % 2 = 0, false) AS chosen FROM documents),
+e AS MATERIALIZED (SELECT rid, s, doc_id, {_LEAF_SQL.format(**{c: c for c in LEAF})} AS leaf,
+    {_LEAF_SQL.format(**{c: c for c in LEAF} | {"text": "(CASE WHEN chosen THEN replace(text, chr(10), '') ELSE text END)"})} AS now FROM d),
+p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY s) AS c FROM e),
+{_tree_sql("a", "SELECT s, i, c, leaf AS h FROM p", _LOW)},
+g AS MATERIALIZED (SELECT s AS of, h, row_number() OVER (ORDER BY s) - 1 AS i, count(*) OVER () AS c FROM a_root),
+{_tree_sql("b", "SELECT '' AS s, i, c, h FROM g", _HIGH)},
+{_fold_sql("f", "a", "SELECT rid, s, i, c, now AS node, '' AS proof FROM p", _LOW)},
+{_fold_sql("u", "b", "SELECT rid, '' AS s, g.i, g.c, node, proof FROM f_end JOIN g ON f_end.s = g.of", _HIGH)}
+SELECT doc_id, leaf, g.h AS subroot, b_root.h AS root, sha256(proof) AS proof_sha256, node AS folded_root, node = b_root.h AS verified
+FROM p JOIN g ON p.s = g.of JOIN u_end ON p.rid = u_end.rid CROSS JOIN b_root""",
+    "op12_spelling": f"""
+WITH RECURSIVE r AS MATERIALIZED (SELECT doc_id, run, count(*) AS k FROM (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]{{7,}}')), '{_UPPER}', '{_LOWER}') AS run FROM documents) GROUP BY ALL),
+h AS MATERIALIZED (SELECT *, {_crc32("(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)")} AS h FROM r),
+m AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, k FROM h),
+w AS MATERIALIZED (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM m WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+o AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b FROM w, unnest(range(1, CAST(length(word) AS INT) + 1)) AS u(i)),
+q AS MATERIALIZED (SELECT DISTINCT x.word, x.n, y.word AS other, y.n AS other_n FROM o x JOIN o y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+    UNION SELECT o.word, o.n, w.word, w.n FROM o JOIN w ON o.a || o.b = w.word
+    UNION SELECT w.word, w.n, o.word, o.n FROM o JOIN w ON o.a || o.b = w.word),
+f AS MATERIALIZED (SELECT word, other AS form, other_n AS form_n FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) AS k FROM q) WHERE k = 1 AND other_n >= 10 * n),
+t AS (SELECT word, form AS goal, 1 AS step FROM f UNION ALL SELECT t.word, f.form, step + 1 FROM t JOIN f ON t.goal = f.word),
+c AS (SELECT word, count(*) AS n_near FROM q GROUP BY word)
+SELECT word, form, coalesce(root, word) AS root, n, coalesce(n_near, 0) AS n_near, form_n
+FROM w LEFT JOIN f USING (word) LEFT JOIN c USING (word) LEFT JOIN (SELECT word, arg_max(goal, step) AS root FROM t GROUP BY word) USING (word)""",
     "op2_url_filter": f"""
 WITH rules(rh, rp, action) AS (VALUES {_SQL_RULES}),
 rest AS (SELECT page_id, row_number() OVER () AS rid,

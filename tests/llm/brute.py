@@ -172,3 +172,84 @@ def op6(rows):
         revisit = first is not None and i != first
         out.append((i, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "revisit" if revisit else "response", first if revisit else None))
     return out
+
+
+def op11(rows):
+    """Rows (doc_id, source, lang, n_chars, text)."""
+    coded = lambda fields: sha("".join("-" if x is None else f"{len(str(x).encode())}:{x}" for x in fields))
+    groups = defaultdict(list)
+    for k, r in enumerate(rows):
+        text = r[4] if r[4] is None or r[0] is None or zlib.crc32(str(r[0]).encode()) % 2 else r[4].replace("\n", "")
+        groups[r[1]].append((r[0] is not None, r[0] or 0, coded(r), k, coded([*r[:4], text])))
+
+    def tree(leaves):
+        """(root, for each leaf the siblings before and after on each level)."""
+        steps, at, now = [[] for _ in leaves], list(range(len(leaves))), leaves
+        while len(now) > 1:
+            for k, i in enumerate(at):
+                first = i - i % 3
+                steps[k].append(("".join(now[first:i]), "".join(now[i + 1 : first + 3])))
+                at[k] = i // 3
+            now = [sha("".join(now[i : i + 3])) for i in range(0, len(now), 3)]
+        return now[0], steps
+
+    names = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    trees = {g: tree([x[2] for x in sorted(groups[g])]) for g in names}
+    root, upper = tree([trees[g][0] for g in names]) if names else (None, [])
+    out = []
+    for g, above in zip(names, upper, strict=True):
+        for (*_, leaf, k, now), steps in zip(sorted(groups[g]), trees[g][1], strict=True):
+            steps = steps + above
+            proof = sha("".join(a + b for a, b in steps))
+            for a, b in steps:
+                now = sha(a + now + b)
+            out.append((rows[k][0], leaf, trees[g][0], root, proof, now, now == root))
+    return out
+
+
+def one_edit(a, b):
+    if len(a) < len(b):
+        a, b = b, a
+    if len(a) - len(b) > 1 or a == b:
+        return False
+    i = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(b))
+    return a[i + 1 :] == b[i + (len(a) == len(b)) :]
+
+
+def op12(rows):
+    counts = Counter()
+    for i, t in rows:
+        for run in re.findall("[A-Za-z\u00c0-\u00ff]+", t or ""):
+            run = "".join(c.lower() if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            k = h % len(run)
+            counts[run[:k] + run[k + 1 :] if h % 31 == 0 else run] += 1
+    return variants({w: n for w, n in counts.items() if len(w) >= 7 and n >= 2})
+
+
+def variants(counts):
+    by = defaultdict(list)
+    for w in counts:
+        by[len(w)].append(w)
+    near = {w: [x for d in (-1, 0, 1) for x in by[len(w) + d] if one_edit(w, x)] for w in counts}
+    form = {}
+    for w, found in near.items():
+        best = min(found, key=lambda x: (-counts[x], x), default=None)
+        if best and counts[best] >= 10 * counts[w]:
+            form[w] = best
+    out = []
+    for w, n in counts.items():
+        root = w
+        while root in form:
+            root = form[root]
+        out.append((w, form.get(w), root, n, len(near[w]), counts.get(form.get(w))))
+    return out
+
+
+def op13(rows):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    codec = Tokenizer.from_file(P.path(queries.COUNTED))
+    sizes = [len(codec.encode(t or "", add_special_tokens=False).ids) for _, t in rows]
+    return [(i, len((t or "").encode()), n, n > 2048) for (i, t), n in zip(rows, sizes, strict=True)]

@@ -58,10 +58,10 @@ def empty(spark, hard, tmp_path_factory):
 
 def rows_of(spark, where):
     read = lambda name, *cols: [tuple(r) for r in spark.read.parquet(f"{where}/{name}.parquet").select(*cols).collect()]
-    return read("documents", "doc_id", "text"), read("benchmark", "item_id", "text"), read("pages", "page_id", "url"), read("pages", "page_id", "html")
+    return read("documents", "doc_id", "text"), read("benchmark", "item_id", "text"), read("pages", "page_id", "url"), read("pages", "page_id", "html"), read("documents", *queries.LEAF)
 
 
-def wanted(name, docs, items, urls, htmls):
+def wanted(name, docs, items, urls, htmls, whole):
     """(columns, rows) of a query by brute force."""
     return {
         "op1_bpe": lambda: ("doc_id n_tokens ids_sha256 decoded_sha256", brute.op1(docs)),
@@ -73,6 +73,9 @@ def wanted(name, docs, items, urls, htmls):
         "op8_decontaminate": lambda: ("doc_id n_words n_hit n_items items_sha256 contaminated", brute.op8(docs, items)),
         "op9_quality": lambda: ("doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed", brute.op9(docs)),
         "op10_suffix": lambda: ("doc_id n_bytes n_removed n_spans kept_sha256", brute.op10(docs)),
+        "op11_manifest": lambda: ("doc_id leaf subroot root proof_sha256 folded_root verified", brute.op11(whole)),
+        "op12_spelling": lambda: ("word form root n n_near form_n", brute.op12(docs)),
+        "op13_token_counts": lambda: ("doc_id n_bytes n_tokens over_limit", brute.op13(docs)),
     }[name]()
 
 
@@ -81,7 +84,7 @@ OPERATORS = [n for n in queries.QUERIES if n != "op3_language_id"]
 
 @pytest.mark.parametrize("name", OPERATORS)
 def test_query_on_hard_rows(spark, hard, name):
-    if name == "op1_bpe":
+    if name in ("op1_bpe", "op13_token_counts"):
         pytest.importorskip("public_tokenizers")
     columns, want = wanted(name, *rows_of(spark, hard[0]))
     got = entry.queries()[name](spark, hard[0]).select(*columns.split()).collect()

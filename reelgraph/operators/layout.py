@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelgraph.operators import vectors
-from reelgraph.operators.density import reduce_dimensions
+from reelgraph.operators.axes import reduce_dimensions
 
 AXES = ["x", "y", "z"]
 
@@ -23,7 +23,7 @@ def positions(posts: DataFrame, worlds: DataFrame, post_id: str, vector: str) ->
     if both.limit(5).count() < 5:
         both = both.where(F.lit(False))
     else:
-        both = reduce_dimensions(both, "v", 3)
+        both = reduce_dimensions(both, [], "v", 3, rotate=True)
     return both.select("kind", "id", "world", "similarity", *(F.coalesce(F.get("v", F.lit(i)), F.lit(0.0)).alias(a) for i, a in enumerate(AXES)))
 
 

@@ -476,6 +476,12 @@ def sentence_tags(spark, d):
     return sentences.sentence_clusters(fx_turns(spark, d), ["world"], threshold=0.45)[1]
 
 
+@query()
+def sentence_sweep(spark, d):
+    """Widths 16, 32 and 100 against least sizes 4, 8 and 12."""
+    return sentences.sweep(fx_turns(spark, d), ["world"], [16, 32, 100], [4, 8, 12])
+
+
 @query()
 def density_clusters(spark, d):
     rows = t(spark, d, "embeddings").withColumn("v", vectors.unit(F.col("embedding"))).withColumn("g", F.lit(0))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reelgraph.functions import scalars as S
-from reelgraph.operators import density, layout, passes, sentences, vectors
+from reelgraph.operators import axes, density, layout, passes, sentences, vectors
 
 
 def brute(points, size):
@@ -77,6 +77,63 @@ def test_density_clusters(spark, monkeypatch, block, local, size):
     assert density.density_clusters(df.where("g = 'd'"), ["g"], "id", "v", size, local).count() == 0
 
 
+def test_ties_beyond_what_a_task_takes(spark, monkeypatch):
+    """Groups whose links all tie, or tie in a few classes of far more than `local` links; no task sees more than `local` of them."""
+    eye = np.eye(40)
+    groups = {
+        "all": eye[:12],  # every distance is the same
+        "two": np.concatenate([eye[:10] * 3, eye[20:30] * 3 + 50]),  # two such sets, far apart
+        "nested": np.concatenate([eye[:7], eye[9:16] + 3, eye[18:25] * 2 + 20, eye[36:] * 9 + 90]),
+        "few": np.concatenate([eye[:8], eye[:8] + 0.001]),  # pairs first, then all
+    }
+    rows = [(g, i, p.tolist()) for g, pts in groups.items() for i, p in enumerate(pts)]
+    df = spark.createDataFrame(rows, "g string, id long, v array<double>")
+    want = {(g, i): c for g, pts in groups.items() for i, c in brute(pts, 3).items()}
+    got = density.density_clusters(df, ["g"], "id", "v", 3, local=4)
+    assert {(r["g"], r["id"]): r["cluster"] for r in got.collect()} == want and want
+    links = spark.createDataFrame([(g, i, i + 1, float(i // 50)) for g in "ab" for i in range(200 if g == "a" else 3)], "g string, a long, b long, d double")
+    cuts = {r["g"]: (r["to"], r["how"]) for r in density._cuts(links, ["g"], 49).collect()}
+    assert cuts == {"a": (0.0, "tie"), "b": (float("inf"), "all")} and density._cuts(links, ["g"], 200) is None
+    assert {r["how"] for r in density._cuts(links, ["g"], 50).collect()} <= {"to", "below", "all"}
+
+
+def test_axes_of_each_group(spark, monkeypatch):
+    """Two groups in orthogonal subspaces keep the clusters that each alone has; axes are those of the covariance; groups that nothing is cut from stay."""
+    rng = np.random.default_rng(1)
+    rows, pts = [], {}
+    for g, (at, far) in {"a": (0, 1.0), "b": (4, 0.3)}.items():
+        x = np.zeros((80, 8))
+        x[:, at : at + 4] = rng.normal(size=(80, 4)) * 0.01 + 1
+        x[:40, at] += far
+        x[40:, at] -= far
+        pts[g] = x
+        rows += [(g, i, p.tolist()) for i, p in enumerate(x)]
+    rows += [("c", i, p.tolist()) for i, p in enumerate(rng.normal(size=(3, 8)))] + [("c", 9, None), ("c", 10, [1.0])]
+    df = spark.createDataFrame(rows, "g string, i long, v array<double>").repartition(5)
+    monkeypatch.setattr(axes, "PART", 7)
+    got = axes.reduce_dimensions(df, ["g"], "v", 2)
+    assert got.columns == df.columns
+    out = {(r["g"], r["i"]): np.array(r["v"]) for r in got.collect()}
+    assert len(out) == 163 and all(len(out["c", i]) == 8 for i in range(3))
+    for g, x in pts.items():
+        y = np.array([out[g, i] for i in range(80)])
+        _, _, vt = np.linalg.svd(x - x.mean(axis=0))
+        want = x @ vt[:2].T
+        assert np.allclose(np.abs(y), np.abs(want))
+    both = density.density_clusters(axes.reduce_dimensions(df, ["g"], "v", 1), ["g"], "i", "v", 8)
+    both = {(r["g"], r["i"]): r["cluster"] for r in both.collect()}
+    for g in "ab":
+        alone = df.where(F.col("g") == g)
+        alone = density.density_clusters(axes.reduce_dimensions(alone, ["g"], "v", 1), ["g"], "i", "v", 8)
+        assert {(r["g"], r["i"]): r["cluster"] for r in alone.collect()} == {k: c for k, c in both.items() if k[0] == g}
+        assert {c for k, c in both.items() if k[0] == g} == {0, 40}
+    widths = df.withColumn("dims", F.explode(F.array(F.lit(1), F.lit(3))))
+    sizes = {(r["g"], r["dims"], len(r["v"])) for r in axes.reduce_dimensions(widths, ["g", "dims"], "v", "dims").collect()}
+    assert sizes == {("a", 1, 1), ("a", 3, 3), ("b", 1, 1), ("b", 3, 3), ("c", 1, 1), ("c", 3, 8)}
+    turned = axes.reduce_dimensions(df.where("g = 'c'"), ["g"], "v", 3, rotate=True).collect()
+    assert {len(r["v"]) for r in turned} == {3}
+
+
 def test_near_dedupe_and_sentences(spark):
     base = "a couple argues about the dishes every single evening after work until midnight number"
     rows = [(i, i % 7, "w", f"{base} {i}", None) for i in range(12)]
@@ -116,9 +173,22 @@ def test_caption_and_buckets(spark):
     assert got == {1: (2 / 3, False, "<8"), 2: (0.0, True, "8-15"), 3: (None, None, "30+"), 4: (None, None, None)}
 
 
-def test_sweep(spark):
+def test_sweep_equals_single_runs(spark):
     base = "the same few words about a kitchen table and two chairs number"
-    posts = spark.createDataFrame([(i, i, "w", f"{base if i < 12 else base[::-1]} {i}", None) for i in range(24)], "post_id long, account_id long, world string, text string, transcript string")
+    rng = np.random.default_rng(5)
+    words = "".join(chr(0x61 + i) for i in range(26))
+    texts = [(w, f"{base if i < 12 else base[::-1]} {i}") for w in "wx" for i in range(24 if w == "w" else 16)]
+    texts += [("x", "".join(rng.choice(list(words), 30))) for _ in range(10)]
+    posts = spark.createDataFrame([(i, i, w, x, None) for i, (w, x) in enumerate(texts)], "post_id long, account_id long, world string, text string, transcript string")
     posts = posts.withColumns({"metric": F.lit(2.0), "world_median": F.lit(1.5)})
-    got = {(r["dims"], r["min_size"]): (r["n_clusters"], r["clustered"], r["in_band"]) for r in sentences.sweep(posts, ["world"], [10], [8, 20]).collect()}
-    assert got == {(10, 8): (2, 24, False)}
+    options = {"min_posts": 3, "min_accounts": 3}
+    got = {(r["world"], r["dims"], r["min_size"]): (r["n_clusters"], r["clustered"], r["n_noise"], r["largest"], r["in_band"]) for r in sentences.sweep(posts, ["world"], [3, 10], [4, 8, 20], **options).collect()}
+    want, n = {}, {"w": 24, "x": 26}
+    for dims in (3, 10):
+        for size in (4, 8, 20):
+            stats, _ = sentences.sentence_clusters(posts, ["world"], dims=dims, min_size=size, **options)
+            for w in "wx":
+                found = sorted((r["n_posts"] for r in stats.collect() if r["world"] == w), reverse=True)
+                if found:
+                    want[w, dims, size] = (len(found), sum(found), n[w] - sum(found), found[:5], 0.006 * n[w] <= len(found) <= 0.015 * n[w])
+    assert got == want and len({k[1] for k in got}) == 2 and {k[0] for k in got} == {"w", "x"}

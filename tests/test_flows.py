@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reelgraph.functions import scalars as S
-from reelgraph.operators import density, overrides, pages, passes, patterns, rank, routing, sentences, stats, terms, upkeep, vectors
+from reelgraph.operators import axes, density, overrides, pages, passes, patterns, rank, routing, sentences, stats, terms, upkeep, vectors
 from reelgraph.plans import rollup
 from reelgraph.runtime import discard, materialize, scratch, shared_dir
 from reelgraph.sources import feeds, sinks
@@ -262,5 +262,5 @@ def test_tables_are_deleted(spark):
     assert not os.path.isdir(path)
     discard(spark.range(1))
     assert os.path.isdir(shared_dir(spark))
-    assert density.reduce_dimensions(spark.createDataFrame([(1, [1.0, 2.0])], T.StructType.fromDDL("i int, v array<double>")), "v", 5).count() == 1
+    assert axes.reduce_dimensions(spark.createDataFrame([(1, [1.0, 2.0])], T.StructType.fromDDL("i int, v array<double>")), [], "v", 5).count() == 1
     assert sentences.FACETS["advice_cluster"] == 0.45 and FEED and upkeep.id_sets(spark.range(1).toDF("post_id"), spark.range(1).toDF("post_id")).first()["side"] == "both"

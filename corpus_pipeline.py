@@ -43,11 +43,11 @@ def near_dedup_stage(spark, docs, sf_dir):
     alone, or have none, are told apart by their texts. Null, empty and wordless texts are one component.
     """
     docs = docs.select(*COLUMNS)
-    # null ids as a pair of plain columns: the join and the removal of repeats then need one shuffle
+    # null ids as a pair of plain columns: the join and the removal of repeats then need one shuffle and one sort
     pair = lambda c: {"_none": F.col(c).isNull(), "_id": F.coalesce(F.col(c).cast("string"), F.lit(""))}
     names = materialize(simhash.representatives(docs).withColumns(pair("id")).select("_none", "_id", F.col("key").alias("_key")), "names")
     by = ["_none", "_id", "_key"]
-    kept = docs.withColumns(pair("doc_id") | {"_key": text_key("text")}).join(names.hint("shuffle_hash"), by, "left_semi")
+    kept = docs.withColumns(pair("doc_id") | {"_key": text_key("text")}).join(names, by, "left_semi")
     return kept.dropDuplicates(by).select(*COLUMNS)
 
 
@@ -61,7 +61,7 @@ def decontaminate_stage(spark, docs, sf_dir):
     found = decontaminate.find(docs, table(spark, sf_dir, "benchmark"))
     bad = found.where("contaminated").select(F.col("doc_id").alias("i"), F.col("key").alias("k")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("i")) & (text_key("text") == F.col("k"))
-    return docs.join(bad.hint("shuffle_hash"), same, "left_anti").select(*COLUMNS)
+    return docs.join(bad, same, "left_anti").select(*COLUMNS)
 
 
 def secrets_stage(spark, docs, sf_dir):
@@ -73,7 +73,7 @@ def secrets_stage(spark, docs, sf_dir):
     found, _ = secrets.scan(docs, "path", "text")
     hits = found.where(F.size("spans") > 0).select(F.col("path.doc_id").alias("i"), F.col("path.key").alias("k"), "spans").dropDuplicates(["i", "k"])
     same = F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("path.key") == F.col("k"))
-    out = docs.join(hits.hint("shuffle_hash"), same, "left").withColumn("spans", F.coalesce("spans", F.array().cast(secrets.SPANS)))
+    out = docs.join(hits, same, "left").withColumn("spans", F.coalesce("spans", F.array().cast(secrets.SPANS)))
     clean = secrets.redact("text", "spans")
     out = out.withColumn("text", clean).withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*COLUMNS)

@@ -77,9 +77,9 @@ def scan(versions: DataFrame, path: str, content: str, ledger: DataFrame | None
     unseen = ids.groupBy("blob").agg(F.min(F.struct("path")).alias("at")).select("blob", F.col("at.path").alias("at"))
     if ledger is not None:
         unseen = unseen.join(ledger.where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
-    # by a hash of the path: join and removal of repeated rows then need one shuffle, and what paths of one hash hold is the same blob
+    # by a hash of the path: join and removal of repeated rows then need one shuffle and one sort, and what paths of one hash hold is the same blob
     fetched = rows.withColumns({"blob": blob_id("content"), "at": F.xxhash64("path")}).join(
-        unseen.select(F.col("blob").alias("_blob"), F.xxhash64("at").alias("_at")).hint("shuffle_hash"), (F.col("blob") == F.col("_blob")) & (F.col("at") == F.col("_at")), "left_semi"
+        unseen.select(F.col("blob").alias("_blob"), F.xxhash64("at").alias("_at")), (F.col("blob") == F.col("_blob")) & (F.col("at") == F.col("_at")), "left_semi"
     ).dropDuplicates(["blob", "at"])
 
     def run(part):

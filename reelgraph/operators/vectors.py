@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from reelgraph.operators.balls import near_blocks
 from reelgraph.operators.graph import connected_components, forest
 from reelgraph.runtime import discard, materialize
 
@@ -270,14 +271,17 @@ def _block_products(rows: DataFrame, by: list[str], least: float, pairs: bool) -
     """Pairs (a, b, sim) of keys within a group with similarity `least` or more, each once; or of a spanning forest of them (a, b), by group and pair of blocks.
 
     sim is 1 - d*d/2 of the Euclidean distance d, which for vectors of length one is their cosine.
+    Blocks hold near vectors, and only vectors that may have a partner in another block meet it.
     """
-    rows = _dealt(rows.where("v IS NOT NULL"), by, ["v"])
+    rows = near_blocks(rows.where("v IS NOT NULL"), by, float(np.sqrt(max(0.0, 2 - 2 * least))), BLOCK)
     kind = rows.schema["id"].dataType.simpleString()
 
     def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, own, m = pdf["id"].to_numpy(), pdf["own"].to_numpy(), np.stack(pdf["v"].to_numpy())
         lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
         a, b, half = np.flatnonzero(own == lo), np.flatnonzero(own == hi), (m * m).sum(axis=1) / 2
+        if not (len(a) and len(b)):
+            return pd.DataFrame(columns=[*by, "x", "y", *(["sim"] if pairs else [])])
         sims = m[a] @ m[b].T
         sims += 1 - half[a][:, None] - half[b][None, :]
         i, j = np.nonzero(sims >= least)

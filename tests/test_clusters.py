@@ -192,3 +192,29 @@ def test_sweep_equals_single_runs(spark):
                 if found:
                     want[w, dims, size] = (len(found), sum(found), n[w] - sum(found), found[:5], 0.006 * n[w] <= len(found) <= 0.015 * n[w])
     assert got == want and len({k[1] for k in got}) == 2 and {k[0] for k in got} == {"w", "x"}
+
+
+@pytest.mark.parametrize("least, most", [(0.70, 0.9), (0.78, 0.87), (0.97, 0.5)])
+def test_blocks_out_of_reach_are_not_paired(spark, least, most):
+    """Components of groups of many blocks equal brute force, and the share of copies that are made stays below `most` of all."""
+    from reelgraph.operators import balls
+
+    rng = np.random.default_rng(7)
+    mid = rng.normal(size=(30, 12))
+    pts = np.concatenate([m / np.linalg.norm(m) + rng.normal(size=(20, 12)) * 0.04 * (1 + i % 4) for i, m in enumerate(mid)])
+    pts /= np.linalg.norm(pts, axis=1, keepdims=True)
+    line = np.stack([np.cos(np.arange(60) * 0.1), np.sin(np.arange(60) * 0.1), *np.zeros((10, 60))], axis=1)  # a chain through many blocks
+    groups = {"cloud": pts, "chain": line, "few": pts[:5]}
+    rows = [(g, i, p.tolist()) for g, x in groups.items() for i, p in enumerate(x)]
+    df = spark.createDataFrame(rows, "g string, id long, v array<double>").repartition(3)
+    size = 25
+    dealt = balls.near_blocks(df, ["g"], float(np.sqrt(2 - 2 * least)), size)
+    made = {r["g"]: (r["n"], r["blocks"]) for r in dealt.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("own").alias("blocks")).collect()}
+    assert made["few"] == (5, 1) and made["cloud"][1] > 10
+    share = made["cloud"][0] / (len(pts) * made["cloud"][1])
+    print("share of copies", least, round(share, 3))
+    assert share <= most
+    pairs = {(r["g"], *sorted((r["a"], r["b"]))) for r in dealt.alias("x").join(dealt.alias("y"), ["g", "lo", "hi"]).where("x.id < y.id AND ((lo = hi) OR x.own <> y.own)").select("g", F.col("x.id").alias("a"), F.col("y.id").alias("b")).collect()}
+    for g, x in groups.items():
+        i, j = np.nonzero(np.triu(x @ x.T >= least, 1))
+        assert {(g, a, b) for a, b in zip(i.tolist(), j.tolist())} <= pairs, g

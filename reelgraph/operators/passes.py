@@ -41,11 +41,10 @@ def recency(rows: DataFrame, as_of: str, days: int = 30, least: int = 15) -> Dat
     """
     m = F.log1p(F.col("views").cast("double"))
     rows = rows.where("views IS NOT NULL").withColumn("_m", m)
-    base = rows.groupBy("world").agg(F.median("_m").alias("_base"))
+    base = stats.wide_median(rows, ["world"], "_m", "_base")
     recent = F.coalesce(F.col("posted_at") >= S.days_before(as_of, days), F.lit(False))
-    out = rows.withColumn("_r", recent).groupBy("world", "term").agg(
-        F.count_if("_r").alias("recent_n"), F.count_if(~F.col("_r")).alias("older_n"), F.median(F.when(F.col("_r"), F.col("_m"))).alias("_rm"), F.median(F.when(~F.col("_r"), F.col("_m"))).alias("_om")
-    )
+    medians = {"_rm": F.when(F.col("_r"), F.col("_m")), "_om": F.when(~F.col("_r"), F.col("_m"))}
+    out = stats.with_medians(rows.withColumn("_r", recent), ["world", "term"], medians, [F.count_if("_r").alias("recent_n"), F.count_if(~F.col("_r")).alias("older_n")])
     out = out.join(base, "world").withColumns({"recent_lift": F.coalesce(F.col("_rm") - F.col("_base"), F.lit(0.0)), "older_lift": F.coalesce(F.col("_om") - F.col("_base"), F.lit(0.0))})
     up, many = F.col("recent_lift") > 0, F.col("recent_n") >= least
     quadrant = F.when(up & many, "proven").when(up, "emerging").when(many, "saturated").otherwise("dead")
@@ -55,8 +54,8 @@ def recency(rows: DataFrame, as_of: str, days: int = 30, least: int = 15) -> Dat
 def stratified(rows: DataFrame, in_stratum: Column, min_rows: int = 3, min_accounts: int = 3) -> DataFrame:
     """Terms of a stratum by lift over the stratum's own median; floors count rows."""
     rows = rows.where(in_stratum).withColumn("_m", S.metric(F.col("views"))).where("_m IS NOT NULL")
-    base = rows.groupBy("world").agg(F.median("_m").alias("_base"))
-    out = rows.groupBy("world", "term").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("account_id").alias("n_accounts"), F.median("_m").alias("_med"))
+    base = stats.wide_median(rows, ["world"], "_m", "_base")
+    out = stats.with_medians(rows, ["world", "term"], {"_med": F.col("_m")}, [F.count(F.lit(1)).alias("n"), F.count_distinct("account_id").alias("n_accounts")])
     return out.where((F.col("n") >= min_rows) & (F.col("n_accounts") >= min_accounts)).join(base, "world").withColumn("lift", F.col("_med") - F.col("_base")).drop("_med", "_base")
 
 
@@ -69,8 +68,8 @@ def enum_distribution(rows: DataFrame, keys: list[str], enums: list[str]) -> Dat
 def register_profile(rows: DataFrame, keys: list[str], least: int = 3) -> DataFrame:
     """Per cluster: modal register, register of highest lift, and whether they differ; ties go to the smaller name."""
     viewed = rows.withColumn("_m", S.metric(F.col("views")))
-    base = viewed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_posts"), F.median("_m").alias("_base"))
-    each = viewed.where(S.truthy(F.col("register"))).groupBy(*keys, "register").agg(F.count(F.lit(1)).alias("_n"), F.count("_m").alias("_k"), F.median("_m").alias("_med"))
+    base = stats.with_medians(viewed, keys, {"_base": F.col("_m")}, [F.count(F.lit(1)).alias("n_posts")])
+    each = stats.with_medians(viewed.where(S.truthy(F.col("register"))), [*keys, "register"], {"_med": F.col("_m")}, [F.count(F.lit(1)).alias("_n"), F.count("_m").alias("_k")])
     each = each.join(base, keys).withColumn("_ratio", F.when(F.col("_k") >= least, F.round(F.exp(F.col("_med") - F.col("_base")), 9)))
     best = each.groupBy(*keys).agg(
         F.min_by("register", F.struct(-F.col("_n"), "register")).alias("_modal"),
@@ -84,8 +83,8 @@ def register_profile(rows: DataFrame, keys: list[str], least: int = 3) -> DataFr
 def register_ratios(rows: DataFrame, keys: list[str], least: int = 3) -> DataFrame:
     """Long (keys.., register, n, view_ratio): a register's median views against its cluster's, where `least` of its posts have views."""
     viewed = rows.withColumn("_m", S.metric(F.col("views"))).where("_m IS NOT NULL")
-    base = viewed.groupBy(*keys).agg(F.median("_m").alias("_base"))
-    each = viewed.where(S.truthy(F.col("register"))).groupBy(*keys, "register").agg(F.count(F.lit(1)).alias("n"), F.median("_m").alias("_med")).where(F.col("n") >= least)
+    base = stats.with_medians(viewed, keys, {"_base": F.col("_m")}, [])
+    each = stats.with_medians(viewed.where(S.truthy(F.col("register"))), [*keys, "register"], {"_med": F.col("_m")}, [F.count(F.lit(1)).alias("n")]).where(F.col("n") >= least)
     return each.join(base, keys).select(*keys, "register", "n", F.exp(F.col("_med") - F.col("_base")).alias("view_ratio"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelgraph.functions import scalars as S
+from reelgraph.operators.stats import with_medians
 from reelgraph.runtime import materialize
 
 
@@ -16,9 +17,9 @@ def peaks(posts: DataFrame, by: str = "account_id", least: int = 10, z: float =
     (ties: smaller post id), without a z. Two aggregates joined back; only the fallback ranks rows.
     """
     rows = posts.withColumn("metric", S.metric(F.col("views"))).where("metric IS NOT NULL")
-    mid = rows.groupBy(by).agg(F.median("metric").alias("med"), F.count(F.lit(1)).alias("n_total"))
+    mid = with_medians(rows, [by], {"med": F.col("metric")}, [F.count(F.lit(1)).alias("n_total")])
     rows = rows.join(mid, by)
-    spread = rows.groupBy(by).agg(F.median(F.abs(F.col("metric") - F.col("med"))).alias("mad"))
+    spread = with_medians(rows, [by], {"mad": F.abs(F.col("metric") - F.col("med"))}, [])
     rows = rows.join(spread, by)
     use_z = (F.col("n_total") >= least) & (F.col("mad") != 0)
     score = F.when(use_z, F.lit(0.6745) * (F.col("metric") - F.col("med")) / F.col("mad"))

@@ -2,6 +2,7 @@
 
 import os
 import random
+import statistics
 
 import duckdb
 import numpy as np
@@ -133,3 +134,21 @@ def test_responses_and_expansion(spark):
     assert sorted(tuple(r)[2:] for r in found.collect()) == [("a1", "merge", "b"), ("a2", "merge", "b"), ("b1", "merge", "b"), ("c1", "drop", None)]
     twice = edges.unionByName(edges.limit(1))
     assert [r["side"] for r in overrides.snapshot_diff(edges, twice).collect()] == ["after"]
+
+
+@pytest.mark.parametrize("hot", [0, 50, 10**6])
+def test_medians_of_hot_keys(spark, hot):
+    """One key with most of the rows, null keys, nulls and ties among the values, values that crowd in one bin; hot or not, the medians are the same."""
+    rng = random.Random(6)
+    rows = [("hot", i % 3, rng.choice([rng.random() * 20, 7.0005 + rng.random() * 1e-4, 7.0, -3.5])) for i in range(900)]
+    rows += [("even", 1, float(x)) for x in (1, 2, 3, 10)] + [(None, 2, 4.0), (None, 2, 6.0), ("none", 0, None), ("crowd", 0, None)]
+    rows += [("crowd", 0, 5 + i * 1e-9) for i in range(101)] + [("apart", 1, 0.0), ("apart", 1, 19.25)]
+    df = spark.createDataFrame(rows, "k string, g int, x double").repartition(4)
+    got = stats.with_medians(df, ["k", "g"], {"m": F.col("x"), "twice": F.col("x") * 2}, [F.count("x").alias("n")], hot=hot)
+    want = {}
+    for k, g, x in rows:
+        want.setdefault((k, g), []).extend([] if x is None else [x])
+    mid = lambda v: statistics.median(v) if v else None
+    found = {(r["k"], r["g"]): (r["m"], r["twice"], r["n"]) for r in got.collect()}
+    assert found == {k: (mid(v), mid([2 * x for x in v]), len(v)) for k, v in want.items()}
+    assert stats.with_medians(df.limit(0), ["k", "g"], {"m": F.col("x")}, [], hot=hot).count() == 0

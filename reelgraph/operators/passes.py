@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reelgraph.functions import scalars as S
 from reelgraph.operators import stats, terms
+from reelgraph.runtime import materialize
 
 #: Fixed values.
 DISCOUNTS = ["free", "deep_discount", "discount"]
@@ -34,6 +35,13 @@ def discount_edges(edges: DataFrame, products: DataFrame, kept: DataFrame | None
     return rows if kept is None else rows.join(kept.select(*keys), keys, "left_semi")
 
 
+def _bases(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(world, _base: the median of _m), and the number of rows of each world and term."""
+    counts = materialize(rows.groupBy("world", "term").agg(F.count(F.lit(1)).alias("_rows")), "counts")
+    worlds = counts.groupBy("world").agg(F.sum("_rows").alias("_rows"))
+    return stats.with_medians(rows, ["world"], {"_base": F.col("_m")}, [], counts=worlds), counts
+
+
 def recency(rows: DataFrame, as_of: str, days: int = 30, least: int = 15) -> DataFrame:
     """Per world and term: counts and lifts before and after the cutoff over one baseline, and a quadrant.
 
@@ -41,10 +49,10 @@ def recency(rows: DataFrame, as_of: str, days: int = 30, least: int = 15) -> Dat
     """
     m = F.log1p(F.col("views").cast("double"))
     rows = rows.where("views IS NOT NULL").withColumn("_m", m)
-    base = stats.wide_median(rows, ["world"], "_m", "_base")
+    base, counts = _bases(rows)
     recent = F.coalesce(F.col("posted_at") >= S.days_before(as_of, days), F.lit(False))
     medians = {"_rm": F.when(F.col("_r"), F.col("_m")), "_om": F.when(~F.col("_r"), F.col("_m"))}
-    out = stats.with_medians(rows.withColumn("_r", recent), ["world", "term"], medians, [F.count_if("_r").alias("recent_n"), F.count_if(~F.col("_r")).alias("older_n")])
+    out = stats.with_medians(rows.withColumn("_r", recent), ["world", "term"], medians, [F.count_if("_r").alias("recent_n"), F.count_if(~F.col("_r")).alias("older_n")], counts=counts)
     out = out.join(base, "world").withColumns({"recent_lift": F.coalesce(F.col("_rm") - F.col("_base"), F.lit(0.0)), "older_lift": F.coalesce(F.col("_om") - F.col("_base"), F.lit(0.0))})
     up, many = F.col("recent_lift") > 0, F.col("recent_n") >= least
     quadrant = F.when(up & many, "proven").when(up, "emerging").when(many, "saturated").otherwise("dead")
@@ -54,8 +62,8 @@ def recency(rows: DataFrame, as_of: str, days: int = 30, least: int = 15) -> Dat
 def stratified(rows: DataFrame, in_stratum: Column, min_rows: int = 3, min_accounts: int = 3) -> DataFrame:
     """Terms of a stratum by lift over the stratum's own median; floors count rows."""
     rows = rows.where(in_stratum).withColumn("_m", S.metric(F.col("views"))).where("_m IS NOT NULL")
-    base = stats.wide_median(rows, ["world"], "_m", "_base")
-    out = stats.with_medians(rows, ["world", "term"], {"_med": F.col("_m")}, [F.count(F.lit(1)).alias("n"), F.count_distinct("account_id").alias("n_accounts")])
+    base, counts = _bases(rows)
+    out = stats.with_medians(rows, ["world", "term"], {"_med": F.col("_m")}, [F.count(F.lit(1)).alias("n"), F.count_distinct("account_id").alias("n_accounts")], counts=counts)
     return out.where((F.col("n") >= min_rows) & (F.col("n_accounts") >= min_accounts)).join(base, "world").withColumn("lift", F.col("_med") - F.col("_base")).drop("_med", "_base")
 
 

@@ -17,9 +17,10 @@ def peaks(posts: DataFrame, by: str = "account_id", least: int = 10, z: float =
     (ties: smaller post id), without a z. Two aggregates joined back; only the fallback ranks rows.
     """
     rows = posts.withColumn("metric", S.metric(F.col("views"))).where("metric IS NOT NULL")
-    mid = with_medians(rows, [by], {"med": F.col("metric")}, [F.count(F.lit(1)).alias("n_total")])
+    counts = materialize(rows.groupBy(by).agg(F.count(F.lit(1)).alias("_rows")), "counts")
+    mid = with_medians(rows, [by], {"med": F.col("metric")}, [F.count(F.lit(1)).alias("n_total")], counts=counts)
     rows = rows.join(mid, by)
-    spread = with_medians(rows, [by], {"mad": F.abs(F.col("metric") - F.col("med"))}, [])
+    spread = with_medians(rows, [by], {"mad": F.abs(F.col("metric") - F.col("med"))}, [], counts=counts)
     rows = rows.join(spread, by)
     use_z = (F.col("n_total") >= least) & (F.col("mad") != 0)
     score = F.when(use_z, F.lit(0.6745) * (F.col("metric") - F.col("med")) / F.col("mad"))

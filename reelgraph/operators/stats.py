@@ -23,15 +23,15 @@ def baseline(posts: DataFrame, keys: list[str], name: str) -> DataFrame:
     rows = posts.where("described").select(*keys, S.metric(F.col("views")).alias("_m"))
     if keys == ["world"]:
         return wide_median(rows, keys, "_m", name)
-    return with_medians(rows, keys, {name: F.col("_m")}, []).where(F.col(name).isNotNull())
+    return rows.groupBy(*keys).agg(F.median("_m").alias(name)).where(F.col(name).isNotNull())
 
 
-def wide_median(rows: DataFrame, keys: list[str], value: str, name: str, bins: int = 1000, levels: int = 2) -> DataFrame:
+def wide_median(rows: DataFrame, keys: list[str], value: str, name: str, bins: int = 1000, levels: int = 1) -> DataFrame:
     """(keys.., name): exact medians of few groups of any size.
 
     The built-in median holds all distinct values of a group in one task. Here values are counted in
     bins (`bins` a unit), which is summed in the tasks; the one or two bins in the middle are cut into
-    bins again, `bins` to each, `levels` times in all; only the values of the last are counted themselves.
+    bins again, `bins` to each, if `levels` is over 1; only the values of the last are counted themselves.
     Groups without a value have no row; keys are not null.
     """
     rows = rows.where(F.col(value).isNotNull()).withColumns({"_before": F.lit(0).cast("long"), "_total": F.lit(0).cast("long")})
@@ -73,7 +73,7 @@ def with_medians(rows: DataFrame, keys: list[str], medians: dict[str, Column], o
     large = materialize(large, "hot")
     out = large.groupBy(*keys, "_key").agg(F.count(F.lit(1)).alias("_all"), *others)
     for i, name in enumerate(medians):
-        out = out.join(wide_median(large.select("_key", f"_v{i}"), ["_key"], f"_v{i}", name), "_key", "left")
+        out = out.join(wide_median(large.select("_key", f"_v{i}"), ["_key"], f"_v{i}", name, levels=2), "_key", "left")
     return usual.unionByName(out.select(*usual.columns))
 
 
@@ -99,6 +99,7 @@ def _counted(edges: DataFrame, keys: list[str]) -> DataFrame:
 def term_stats(edges: DataFrame, posts: DataFrame, min_posts: int = 3, min_accounts: int = 3, min_effective: float = 0.0, count_hero: bool = True) -> DataFrame:
     """Ranked terms by (world, facet, canon_term). edges must be rankable(); metrics are medians over rows."""
     keys = ["world", "facet", "canon_term"]
+    edges = materialize(edges.select(*keys, "account_id", "post_id", "metric", "raw_term", *(["prominence"] if count_hero else [])), "ranked")
     known = _counted(edges, keys).where((F.col("n_posts") >= min_posts) & (F.col("n_accounts") >= min_accounts))
     if min_effective:
         known = known.where(F.col("effective_accounts") >= min_effective)

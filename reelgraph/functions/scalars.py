@@ -162,5 +162,25 @@ def stratum(field: str, value: str | float, op: str | None = None) -> Column:
     return col.cast("string") == str(value) if op is None else {"lt": col < value, "ge": col >= value}[op]
 
 
+def document(text: Column) -> Column:
+    """A JSON text as a VARIANT, beside whatever columns a schema declares of it; null where it is no JSON."""
+    return F.try_parse_json(text)
+
+
+def stratum_in(doc: Column, path: str, value: str | float | bool, op: str | None = None) -> Column:
+    """stratum() on a dotted path of a VARIANT that no schema need declare; a number stands for a place in a list.
+
+    A path that is missing, or whose value cannot be read as a text (with an op: as a number), is in no
+    stratum (null).
+    """
+    if '"' in path or "\\" in path:
+        raise ValueError("a path of names without quotes or backslashes")
+    at = "$" + "".join(f"[{x}]" if x.isdigit() else f'["{x}"]' for x in path.split("."))
+    if op is None:
+        return F.try_variant_get(doc, at, "string") == (str(value).lower() if isinstance(value, bool) else str(value))
+    number = F.try_variant_get(doc, at, "double")
+    return {"lt": number < value, "ge": number >= value}[op]
+
+
 def duration_bucket(seconds: Column) -> Column:
     return F.when(seconds < 8, "<8").when(seconds < 15, "8-15").when(seconds < 30, "15-30").when(seconds.isNotNull(), "30+")

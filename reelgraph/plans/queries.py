@@ -252,6 +252,18 @@ def stratified_lift(spark, d):
     return passes.stratified(fx_events(spark, d), S.stratum("k", 15, "lt")).select("world", "term", "n", "n_accounts", *r6("lift"))
 
 
+@query(f"""WITH {EVENTS_SQL}, x AS (SELECT fx_events.*, CAST(json_extract_string(props, '$.k') AS INT) AS place, ln(1 + views) AS m FROM fx_events JOIN events ON post_id = event_id WHERE views <> 0),
+e AS (SELECT 'low' AS stratum, * FROM x WHERE place < 15 UNION ALL SELECT 'seven', * FROM x WHERE place = 7), b AS (SELECT stratum, world, median(m) AS b FROM e GROUP BY ALL)
+SELECT e.stratum, e.world, term, count(*) AS n, count(DISTINCT account_id) AS n_accounts, round(median(m) - any_value(b), 6) AS lift FROM e JOIN b ON e.stratum = b.stratum AND e.world = b.world GROUP BY e.stratum, e.world, term HAVING count(*) >= 3 AND count(DISTINCT account_id) >= 3""")
+def strata_paths(spark, d):
+    """Strata by a path of the events' JSON, which is landed as text."""
+    doc = t(spark, d, "events").select(F.col("event_id").alias("post_id"), S.document(F.col("props")).alias("doc"))
+    rows = fx_events(spark, d).join(doc, "post_id")
+    strata = {"low": S.stratum_in(F.col("doc"), "k", 15, "lt"), "seven": S.stratum_in(F.col("doc"), "k", 7)}
+    low, seven = (passes.stratified(rows, held).withColumn("stratum", F.lit(name)) for name, held in strata.items())
+    return low.unionByName(seven).select("stratum", "world", "term", "n", "n_accounts", *r6("lift"))
+
+
 @query(f"WITH {EVENTS_SQL}, e AS (SELECT world, term, {REGISTERS}[post_id % 8 + 1] AS register, CASE WHEN views <> 0 THEN ln(1 + views) END AS m FROM fx_events), b AS (SELECT world, term, count(*) AS n_posts, median(m) AS b FROM e GROUP BY ALL), x AS (SELECT world, term, register, count(*) AS n, CASE WHEN count(m) >= 3 THEN round(exp(median(m) - any_value(b)), 9) END AS ratio FROM e JOIN b USING (world, term) GROUP BY world, term, register), y AS (SELECT world, term, first(register ORDER BY n DESC, register) AS modal_register, first(register ORDER BY ratio DESC, register) FILTER (WHERE ratio IS NOT NULL) AS highest_lift_register FROM x GROUP BY world, term) SELECT world, term, n_posts, modal_register, highest_lift_register, coalesce(modal_register <> highest_lift_register, false) AS register_mismatch FROM b JOIN y USING (world, term)")
 def cluster_profile(spark, d):
     rows = fx_events(spark, d).withColumn("register", F.get(F.array(*map(F.lit, REGISTERS)), (F.col("post_id") % 8).cast("int")))

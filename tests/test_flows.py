@@ -264,3 +264,15 @@ def test_tables_are_deleted(spark):
     assert os.path.isdir(shared_dir(spark))
     assert axes.reduce_dimensions(spark.createDataFrame([(1, [1.0, 2.0])], T.StructType.fromDDL("i int, v array<double>")), [], "v", 5).count() == 1
     assert sentences.FACETS["advice_cluster"] == 0.45 and FEED and upkeep.id_sets(spark.range(1).toDF("post_id"), spark.range(1).toDF("post_id")).first()["side"] == "both"
+
+
+def test_strata_over_paths_that_no_schema_declares(spark):
+    """Nested names, names with spaces, places in lists, numbers as texts, booleans, missing paths, no JSON."""
+    texts = ['{"a":{"b c":"x","n":3},"l":[{"v":1},{"v":9}],"f":true}', '{"a":{"b c":"y","n":"12"},"l":[]}', '{"a":5}', "no json", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").withColumn("doc", S.document(F.col("t")))
+    held = lambda *args: [r["i"] for r in df.where(S.stratum_in(F.col("doc"), *args)).orderBy("i").collect()]
+    assert held("a.b c", "x") == [0] and held("a", 5) == [2] and held("a.n", 3) == [0] and held("f", True) == [0]
+    assert held("a.n", 10, "ge") == [1] and held("a.n", 10, "lt") == [0] and held("l.1.v", 9) == [0] and held("l.1.v", 1, "ge") == [0]
+    assert held("z.z", "x") == [] and df.where(S.stratum_in(F.col("doc"), "z", 1, "lt").isNull()).count() == 5
+    with pytest.raises(ValueError):
+        S.stratum_in(F.col("doc"), 'a"b', 1)

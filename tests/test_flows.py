@@ -11,7 +11,7 @@ from reelgraph.functions import scalars as S
 from reelgraph.operators import axes, density, overrides, pages, passes, patterns, rank, routing, sentences, stats, terms, upkeep, vectors
 from reelgraph.plans import rollup
 from reelgraph.runtime import discard, materialize, scratch, shared_dir
-from reelgraph.sources import feeds, sinks
+from reelgraph.sources import feeds, sinks, versions
 from reelgraph.sources.schema import FEED, VLM
 from reelgraph.streaming import incremental
 
@@ -276,3 +276,27 @@ def test_strata_over_paths_that_no_schema_declares(spark):
     assert held("z.z", "x") == [] and df.where(S.stratum_in(F.col("doc"), "z", 1, "lt").isNull()).count() == 5
     with pytest.raises(ValueError):
         S.stratum_in(F.col("doc"), 'a"b', 1)
+
+
+def test_rebuild_is_stored_at_once_or_not_at_all(spark, tmp_path):
+    root = f"file://{tmp_path}/store"
+    edges = lambda *rows: spark.createDataFrame(list(rows), "post_id long, canon_term string")
+    ranked = lambda *rows: spark.createDataFrame(list(rows), "world string, canon_term string, n_posts long")
+    posts = lambda *rows: spark.createDataFrame(list(rows), "post_id long, world string")
+    held = lambda name: sorted(tuple(r) for r in versions.read(spark, root, name).collect())
+    assert versions.read(spark, root, "edges") is None
+    rollup.write_rebuild(ranked(("w", "a", 2), ("x", "b", 1)), edges((1, "a"), (2, "a"), (3, "b")), posts((1, "w"), (2, "w"), (3, "x")), root)
+    first = held("edges"), held("stats")
+    assert first == ([(1, "a"), (2, "a"), (3, "b")], [("w", "a", 2), ("x", "b", 1)])
+    reader = versions.read(spark, root, "edges")
+    # edges are written, the stats fail: readers still see both old tables
+    with pytest.raises(Exception, match="half-way"):
+        rollup.write_rebuild(ranked(("w", "z", 9)).withColumn("n_posts", F.expr("CAST(raise_error('half-way') AS BIGINT)")), edges((1, "z")), posts((1, "w")), root)
+    assert (held("edges"), held("stats")) == first
+    # the next one works, and is made from the tables that it replaces; a world without ranked terms loses its stats
+    rollup.write_rebuild(ranked(("w", "c", 5)), edges((1, "c")), posts((1, "w"), (2, "w")), root)
+    assert (held("edges"), held("stats")) == ([(1, "c"), (3, "b")], [("w", "c", 5), ("x", "b", 1)])
+    assert sorted(tuple(r) for r in reader.collect()) == first[0]  # who began before the switch reads on
+    assert len([x for x in (tmp_path / "store").iterdir() if x.is_dir()]) == 2
+    rollup.write_rebuild(ranked().limit(0), edges().limit(0), posts((3, "x")), root)
+    assert (held("edges"), held("stats")) == ([(1, "c")], [("w", "c", 5)])

@@ -37,10 +37,12 @@ def peaks(posts: DataFrame, by: str = "account_id", least: int = 10, z: float =
 
 
 def cooccurrence(edges: DataFrame, top: int = 5) -> DataFrame:
-    """The terms that share most posts with each term: (world, facet, term, other, shared_posts, share, rn)."""
+    """The terms that share most posts with each term: (world, facet, term, other, shared_posts, share, rn). Pairs are made and counted in one order and turned after that."""
     pairs = edges.select("world", "facet", "post_id", "canon_term").distinct()
     other = pairs.withColumnRenamed("canon_term", "other")
-    shared = pairs.join(other, ["world", "facet", "post_id"]).where("canon_term <> other").groupBy("world", "facet", F.col("canon_term").alias("term"), "other").agg(F.count(F.lit(1)).alias("shared_posts"))
+    once = pairs.join(other, ["world", "facet", "post_id"]).where("canon_term < other").groupBy("world", "facet", "canon_term", "other").agg(F.count(F.lit(1)).alias("shared_posts"))
+    ends = F.explode(F.array(F.struct(F.col("canon_term").alias("term"), "other"), F.struct(F.col("other").alias("term"), F.col("canon_term").alias("other"))))
+    shared = once.select("world", "facet", ends.alias("_e"), "shared_posts").select("world", "facet", "_e.term", "_e.other", "shared_posts")
     rank = F.row_number().over(Window.partitionBy("world", "facet", "term").orderBy(F.desc("shared_posts"), "other"))
     best = shared.withColumn("rn", rank).where(F.col("rn") <= top)
     sizes = pairs.groupBy("world", "facet", F.col("canon_term").alias("term")).agg(F.count(F.lit(1)).alias("n"))

@@ -205,50 +205,87 @@ def average_linkage(vectors: DataFrame, by: list[str], id_col: str, vector: str,
     large = parts.where(F.col("_size") > local).where("_size > 1").select(*by, "component", "id", "v")
     if large.isEmpty():
         return out
-    return out.unionByName(linkage_rounds(large, [*by, "component"], threshold).select(*by, F.col("id").alias(id_col), "cluster"))
+    return out.unionByName(linkage_rounds(large, [*by, "component"], threshold, local).select(*by, F.col("id").alias(id_col), "cluster"))
 
 
-def linkage_rounds(rows: DataFrame, by: list[str], threshold: float) -> DataFrame:
+def linkage_rounds(rows: DataFrame, by: list[str], threshold: float, local: int = 1) -> DataFrame:
     """(by.., id, cluster) of rows (by.., id, v) by merging, in each round, all clusters that are each other's nearest.
 
-    Average linkage is reducible, so the order of such merges does not change the cut. A cluster is a
-    row (its vector sum and size); its nearest comes from products of pairs of blocks, and clusters
-    whose nearest lies below the threshold are done. Ties go to the smaller id.
+    Average linkage is reducible, so the order of such merges does not change the cut, and a merge brings no
+    cluster nearer to a third than its parts were. So the nearest of a cluster is kept until it merges, and a
+    round looks anew only for clusters just made and those whose nearest was merged. A cluster is a row (its
+    vector sum and size). One whose nearest lies below the threshold is done; a group with at most `local`
+    clusters left is finished by one task. Ties go to the smaller id; where kept ties leave no mutual pair, all
+    look again before the end.
     """
-    cut = materialize(rows.select(*by, "id", F.col("id").alias("cluster")), "cut")
-    now = materialize(rows.select(*by, F.col("id").alias("id"), F.transform("v", lambda x: x.cast("double")).alias("s"), F.lit(1).cast("long").alias("n")), "clusters")
+    out = materialize(rows.select(*by, "id", F.col("id").alias("cluster")), "cut")
+    now = materialize(rows.select(*by, "id", F.transform("v", lambda x: x.cast("double")).alias("s"), F.lit(1).cast("long").alias("n")), "clusters")
+    near, all_look = materialize(_nearest(now, by, threshold), "nearest"), True
     while True:
-        near = materialize(_nearest(now, by, threshold), "nearest")
         mutual = near.alias("x").join(near.alias("y"), [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in by] + [F.col("x.id") == F.col("y.to"), F.col("x.to") == F.col("y.id")])
         mutual = materialize(mutual.where(F.col("x.id") > F.col("x.to")).select(*(F.col(f"x.{c}").alias(c) for c in by), F.col("x.id").alias("id"), F.col("x.to").alias("to")), "merges")
         if mutual.isEmpty():
-            return cut
-        moved = mutual.select(*by, F.col("id").alias("cluster"), F.col("to").alias("_to"))
-        before, cut = cut, materialize(cut.join(moved, [*by, "cluster"], "left").select(*by, "id", F.coalesce("_to", "cluster").alias("cluster")), "cut")
-        live = now.join(near.select(*by, "id"), [*by, "id"], "left_semi")
-        live = live.join(mutual, [*by, "id"], "left").select(*by, F.coalesce("to", "id").alias("id"), "s", "n")
+            if all_look or near.isEmpty():
+                return out
+            discard(near, mutual)
+            near, all_look = materialize(_nearest(now, by, threshold), "nearest"), True
+            continue
         pair = F.collect_list("s")  # one or two
-        after = live.groupBy(*by, "id").agg(pair.alias("p"), F.sum("n").alias("n"))
-        after = after.select(*by, "id", F.when(F.size("p") == 1, F.col("p")[0]).otherwise(F.zip_with(F.col("p")[0], F.get("p", F.lit(1)), lambda x, y: x + y)).alias("s"), "n")
-        old, now = now, materialize(after, "clusters")
-        discard(before, old, near, mutual)
+        live = now.join(near.select(*by, "id"), [*by, "id"], "left_semi").join(mutual, [*by, "id"], "left")
+        after = live.groupBy(*by, F.coalesce("to", "id").alias("id")).agg(pair.alias("p"), F.sum("n").alias("n"))
+        after = materialize(after.select(*by, "id", F.when(F.size("p") == 1, F.col("p")[0]).otherwise(F.zip_with(F.col("p")[0], F.get("p", F.lit(1)), lambda x, y: x + y)).alias("s"), "n"), "clusters")
+        few = after.groupBy(*by).agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") <= local).select(*by)
+        moved = mutual.select(*by, F.col("id").alias("cluster"), F.col("to").alias("_to"))
+        ended = _finish(after.join(few, by, "left_semi"), by, threshold)
+        rest = materialize(after.join(few, by, "left_anti"), "clusters")
+        cut = out.join(moved, [*by, "cluster"], "left").select(*by, "id", F.coalesce("_to", "cluster").alias("cluster"))
+        cut = materialize(cut.join(ended, [*by, "cluster"], "left").select(*by, "id", F.coalesce("_to", "cluster").alias("cluster")), "cut")
+        gone = mutual.select(*by, "id", F.lit(True).alias("_gone")).unionByName(mutual.select(*by, F.col("to").alias("id"), F.lit(True).alias("_gone")))
+        kept = near.join(gone.drop("_gone"), [*by, "id"], "left_anti")
+        kept = materialize(kept.join(gone.withColumnRenamed("id", "to"), [*by, "to"], "left_anti").join(rest.select(*by, "id"), [*by, "id"], "left_semi").select(*by, "id", "to"), "kept")
+        anew = rest.join(kept.select(*by, "id"), [*by, "id"], "left_anti")
+        found = materialize(kept.unionByName(_nearest(rest, by, threshold, anew)), "nearest")
+        discard(out, now, near, mutual, kept, after)
+        out, now, near, all_look = cut, rest, found, False
+
+
+def _finish(clusters: DataFrame, by: list[str], threshold: float) -> DataFrame:
+    """(by.., cluster, _to): where the clusters (by.., id, s, n) of small groups end."""
+    kind = clusters.schema["id"].dataType.simpleString()
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id", ignore_index=True)
+        label = upgma(np.stack(pdf["s"].to_numpy()), threshold, pdf["n"].to_numpy())
+        out = pdf[by].copy()
+        out["cluster"], out["_to"] = pdf["id"], pdf["id"].to_numpy()[label]
+        return out
 
+    return clusters.groupBy(*by).applyInPandas(merge, ", ".join([*(f"{c} {clusters.schema[c].dataType.simpleString()}" for c in by), f"cluster {kind}, _to {kind}"]))
 
-def _nearest(clusters: DataFrame, by: list[str], least: float) -> DataFrame:
-    """(by.., id, to): the nearest cluster of each of clusters (by.., id, s, n), where its mean cosine is `least` or more."""
-    rows = _dealt(clusters, by, ["s", "n"])
+
+def _nearest(clusters: DataFrame, by: list[str], least: float, asking: DataFrame | None = None) -> DataFrame:
+    """(by.., id, to): the nearest cluster of each of clusters (by.., id, s, n), or only of those asking, where its mean cosine is `least` or more.
+
+    For all, a pair of blocks serves both; those asking meet all clusters, block by block.
+    """
+    if asking is None:
+        rows = _dealt(clusters, by, ["s", "n"]).withColumn("asks", F.lit(True))
+    else:
+        rows = _asked(clusters, asking, by)
     kind = clusters.schema["id"].dataType.simpleString()
+    both = asking is None
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", ignore_index=True)
         ids, own, m = pdf["id"].to_numpy(), pdf["own"].to_numpy(), np.stack(pdf["s"].to_numpy()) / pdf["n"].to_numpy()[:, None]
-        lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
-        a, b = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        lo, hi, asks = pdf["lo"].iloc[0], pdf["hi"].iloc[0], pdf["asks"].to_numpy()
+        a, b = (np.flatnonzero(own == lo), np.flatnonzero(own == hi)) if both else (np.flatnonzero(asks), np.flatnonzero(~asks))
+        if not (len(a) and len(b)):
+            return pd.DataFrame(columns=[*by, "id", "to", "sim"])
         sims = m[a] @ m[b].T
-        if lo == hi:
-            np.fill_diagonal(sims, -np.inf)
+        sims[ids[a][:, None] == ids[b][None, :]] = -np.inf
         x, y, top = a, b[sims.argmax(axis=1)], sims.max(axis=1)
-        if lo != hi:
+        if both and lo != hi:
             x, y, top = np.concatenate([x, b]), np.concatenate([y, a[sims.argmax(axis=0)]]), np.concatenate([top, sims.max(axis=0)])
         x, y, top = x[top >= least], y[top >= least], top[top >= least]
         out = pdf[by].iloc[x].reset_index(drop=True)
@@ -259,6 +296,17 @@ def _nearest(clusters: DataFrame, by: list[str], least: float) -> DataFrame:
     return found.groupBy(*by, "id").agg(F.min_by("to", F.struct(-F.col("sim"), "to")).alias("to"))
 
 
+def _asked(clusters: DataFrame, asking: DataFrame, by: list[str]) -> DataFrame:
+    """Rows of (lo, hi), a block of those asking and one of all clusters: the asking once for each block of clusters, these once for each block of the asking."""
+    count = lambda rows, name: rows.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias(name))
+    sizes = count(asking, "_a").join(count(clusters, "_c"), by)
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    take = lambda rows, mine, other, asks: rows.select(*by, "id", "s", "n").join(sizes, by).withColumns({"_own": own(mine), "_other": each(other), "asks": F.lit(asks)})
+    shape = lambda rows, lo, hi: rows.select(*by, "id", "s", "n", F.lit(0).alias("own"), F.col(lo).alias("lo"), F.col(hi).alias("hi"), "asks")
+    return shape(take(asking, "_a", "_c", True), "_own", "_other").unionByName(shape(take(clusters, "_c", "_a", False), "_other", "_own"))
+
+
 def _dealt(rows: DataFrame, by: list[str], values: list[str]) -> DataFrame:
     """rows (by.., id, values..) once for each pair (lo, hi) of blocks that theirs (own) is in."""
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
@@ -309,14 +357,14 @@ def _grouped_pairs(rows: DataFrame, by: list[str], least: float) -> DataFrame:
     return _block_products(rows, by, least, pairs=True)
 
 
-def upgma(unit_vectors: np.ndarray, threshold: float) -> np.ndarray:
+def upgma(unit_vectors: np.ndarray, threshold: float, members: np.ndarray | None = None) -> np.ndarray:
     """Label (index of the smallest member) of each row, by a chain of nearest neighbours over vector sums.
 
-    The mean cosine of two clusters comes from their sums, so memory grows with the rows alone. The
-    chain merges clusters that are each other's nearest; one whose nearest is below the threshold is
+    With members, rows are vector sums of so many. The mean cosine of two clusters comes from their
+    sums, so memory grows with the rows alone. The chain merges clusters that are each other's nearest; one whose nearest is below the threshold is
     done, as no later merge can bring it nearer.
     """
-    sums, size = unit_vectors.astype(float).copy(), np.ones(len(unit_vectors))
+    sums, size = unit_vectors.astype(float).copy(), np.ones(len(unit_vectors)) if members is None else members.astype(float)
     label, left, chain = np.arange(len(sums)), np.ones(len(sums), bool), []
     while left.any():
         if not chain:

@@ -84,3 +84,17 @@ def peak_report(posts: DataFrame, products: DataFrame, embedded: DataFrame, acco
         S.video_url(F.col("handle"), F.col("external_id")).alias("video_url"), S.iso(F.col("posted_at")).alias("posted_at"), "views",
         F.round("metric", 4).alias("metric_log1p_views"), F.round("modified_z", 4).alias("modified_z"),
     ).orderBy("account_id", "cluster_id", F.desc("views"), "post_id")
+
+
+def peak_summary(posts: DataFrame, products: DataFrame, embedded: DataFrame, least: int = 10) -> DataFrame:
+    """What heads the peak report, a row per account: how its peaks were found (see rank.peaks), how many show no named product and how many have a vector; no_product_rate is null without peaks.
+
+    posts has account_id, post_id and views; products (post_id, name); embedded (post_id, ..).
+    """
+    found, info = rank.peaks(posts, least=least)
+    named = products.where(S.truthy(F.col("name"))).select("post_id").distinct().withColumn("_named", F.lit(True))
+    vectors_ = embedded.select("post_id").distinct().withColumn("_vector", F.lit(True))
+    rows = found.select("account_id", "post_id").join(named, "post_id", "left").join(vectors_, "post_id", "left")
+    counts = rows.groupBy("account_id").agg(F.count_if(F.col("_named").isNull()).alias("n_no_product"), F.count_if(F.col("_vector").isNotNull()).alias("n_embedded"))
+    out = info.join(counts, "account_id", "left").fillna(0, ["n_no_product", "n_embedded"])
+    return out.withColumn("no_product_rate", F.when(F.col("n_peaks") > 0, F.col("n_no_product") / F.col("n_peaks")))

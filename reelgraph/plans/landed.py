@@ -5,13 +5,15 @@ from __future__ import annotations
 import uuid
 from datetime import datetime
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from reelgraph.operators import patterns, stats, terms
+from reelgraph.functions import scalars as S
+from reelgraph.operators import layout, patterns, routing, sentences, stats, terms
 from reelgraph.plans import rollup as composed
-from reelgraph.plans.queries import PEAKS_SQL, POSTS_SQL, PRODUCTS_SQL, RANKED_SQL, STATS_SQL, fx_edges, fx_posts, fx_products, query, r6, t
+from reelgraph.plans.queries import EDGES_SQL, PEAKS_SQL, POSTS_SQL, PRODUCTS_SQL, RANKED_SQL, STATS_SQL, fx_edges, fx_posts, fx_products, fx_turns, query, r6, t
 from reelgraph.runtime import shared_dir
-from reelgraph.sources import feeds, sinks
+from reelgraph.sources import feeds, sinks, versions
 
 
 def _landed(spark, payloads):
@@ -179,3 +181,98 @@ def peak_summary(spark, d):
     seen = fx_products(spark, d).where("acquisition_cost = 'free'")
     vectors = posts.where("post_id % 7 <> 0").select("post_id")
     return patterns.peak_summary(posts, seen, vectors).select("account_id", "method", "n_total", "n_peaks", "n_no_product", "n_embedded", *r6("no_product_rate"))
+
+
+def length_embedder(texts):
+    """A stand-in for a remote model that SQL can follow: a direction told by the number of characters, in one of eight planes."""
+    out = []
+    for n in texts.str.len():
+        v = np.zeros(16)
+        at, angle = 2 * (n % 8), n * n % 25 * 0.2
+        v[at : at + 2] = np.cos(angle), np.sin(angle)
+        out.append(v)
+    return out
+
+
+@query("""WITH k AS (SELECT conv_id * 100000 + turn AS post_id, role AS world, text, length(text) AS l FROM conversations),
+r AS (SELECT *, CASE WHEN text IS NULL THEN post_id ELSE min(post_id) OVER (PARTITION BY world, text) END AS r, l % 8 AS b, l * l % 25 AS j FROM k),
+isl AS (SELECT *, j - row_number() OVER (PARTITION BY world, b ORDER BY j) AS g FROM (SELECT DISTINCT world, b, j FROM r WHERE text <> '')),
+c AS (SELECT world, b, g, min(r) AS c FROM r JOIN isl USING (world, b, j) WHERE text <> '' GROUP BY ALL)
+SELECT r.world, r.post_id, coalesce(c, r) AS representative FROM r LEFT JOIN isl ON r.world = isl.world AND r.b = isl.b AND r.j = isl.j AND text <> '' LEFT JOIN c ON c.world = isl.world AND c.b = isl.b AND c.g = isl.g""")
+def near_dedupe_chains(spark, d):
+    """Turns whose directions lie within a step of each other hang together, over any number of steps."""
+    return sentences.near_dedupe(fx_turns(spark, d), ["world"], "post_id", "text", "transcript", embedder=length_embedder)
+
+
+#: Worlds as directions in the first of the planes, by angle; every other text is at a right angle to all.
+_ANGLES = {"w0": 0.03, "w1": 1.234, "w2": 2.711, "w3": 4.05, "w9": 1.9}
+
+
+@query(f"""WITH b AS (SELECT doc_id AS post_id, array_to_string(list_slice(regexp_split_to_array(trim(text, ' '), '[ \t\n\x0B\f\r]+'), 1, 150), ' ') AS t FROM documents WHERE trim(coalesce(text, ''), ' ') <> ''),
+v AS (SELECT post_id, least(length(t), 8000) AS l FROM b), w AS (SELECT unnest({[w for w in _ANGLES if w != "w9"]}) AS w, unnest({[a for w, a in _ANGLES.items() if w != "w9"]})::DOUBLE AS a),
+s AS (SELECT post_id, w, CASE WHEN l % 8 = 0 THEN cos(l * l % 25 * 0.2::DOUBLE - a) ELSE 0 END AS c FROM v, w), k AS (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY c DESC, w) AS n FROM s),
+o AS (SELECT a.post_id, a.w, a.c AS cosine, a.c - b.c AS margin FROM k a JOIN k b ON a.post_id = b.post_id AND a.n = 1 AND b.n = 2)
+SELECT post_id, CASE WHEN w = 'w1' AND post_id % 3 = 0 THEN NULL WHEN w = 'w1' AND post_id % 2 = 0 THEN 'w9' ELSE w END AS world, round(cosine, 6) AS cosine, round(margin, 6) AS margin FROM o""")
+def route_angles(spark, d):
+    """The routing flow over whole documents: texts cut to the budget, embedded once and routed; of those that win w1 some are held out and some go to w9, which does not compete."""
+    docs = t(spark, d, "documents").select(F.col("doc_id").alias("post_id"), F.col("text").alias("visual_description"))
+    rows = [(w, [float(np.cos(a)), float(np.sin(a))] + [0.0] * 14) for w, a in _ANGLES.items()]
+    worlds = spark.createDataFrame(rows, "slug string, centroid array<double>")
+    rules = [("w1", F.col("post_id") % 3 == 0, None), ("w1", F.col("post_id") % 2 == 0, "w9"), ("w1", F.lit(True), "w1")]
+    return routing.route_posts(docs, worlds, rules=rules, embedder=length_embedder).select("post_id", "world", *r6("cosine", "margin"))
+
+
+@query("""WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+p AS (SELECT 'post' AS kind, vec_id::VARCHAR AS id, label::VARCHAR AS world, CASE WHEN vec_id % 5 <> 0 THEN v[4] END AS similarity, v[1] AS x, v[2] AS y, v[3] AS z FROM e
+ UNION ALL SELECT 'world', label::VARCHAR, label::VARCHAR, NULL, min(v[5]), max(v[6]), min(v[7]) FROM e WHERE label % 2 = 0 GROUP BY label),
+s AS (SELECT (min(x) + max(x)) / 2 AS cx, (min(y) + max(y)) / 2 AS cy, (min(z) + max(z)) / 2 AS cz, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) / 2 AS half,
+ min(coalesce(similarity, 0.8)) FILTER (WHERE kind = 'post') AS lo, max(coalesce(similarity, 0.8)) FILTER (WHERE kind = 'post') AS hi FROM p),
+q AS (SELECT kind, id, world, similarity, (x - cx) / half AS x, (y - cy) / half AS y, (z - cz) / half AS z, 0.32 + 0.55 * (coalesce(similarity, 0.8) - lo) / (hi - lo) AS k FROM p, s),
+a AS (SELECT world, x AS ax, y AS ay, z AS az FROM q WHERE kind = 'world')
+SELECT kind, id, world, round(CASE WHEN kind = 'post' AND ax IS NOT NULL THEN x + (ax - x) * k ELSE x END, 6) AS x, round(CASE WHEN kind = 'post' AND ay IS NOT NULL THEN y + (ay - y) * k ELSE y END, 6) AS y,
+ round(CASE WHEN kind = 'post' AND az IS NOT NULL THEN z + (az - z) * k ELSE z END, 6) AS z FROM q LEFT JOIN a USING (world)""")
+def map_pull(spark, d):
+    """The map over given places: every fifth post has no similarity, and worlds of odd labels have no point."""
+    v = lambda i: F.get("v", F.lit(i))
+    rows = t(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    posts = rows.select(F.lit("post").alias("kind"), F.col("vec_id").cast("string").alias("id"), F.col("label").cast("string").alias("world"), F.when(F.col("vec_id") % 5 != 0, v(3)).alias("similarity"), v(0).alias("x"), v(1).alias("y"), v(2).alias("z"))
+    worlds = rows.where("label % 2 = 0").groupBy(F.col("label").cast("string").alias("id")).agg(F.min(v(4)).alias("x"), F.max(v(5)).alias("y"), F.min(v(6)).alias("z"))
+    points = posts.unionByName(worlds.select(F.lit("world").alias("kind"), "id", F.col("id").alias("world"), F.lit(None).cast("double").alias("similarity"), "x", "y", "z"))
+    return layout.layout(points).select("kind", "id", "world", *r6("x", "y", "z"))
+
+
+@query(f"""WITH {EDGES_SQL}, one AS (SELECT post_id, world, canon_term FROM edges WHERE world <> 'MACHINERY' UNION ALL SELECT post_id, 'MACHINERY', upper(canon_term) FROM edges WHERE world = 'MACHINERY' AND post_id % 3 <> 0)
+SELECT world, canon_term, count(*) AS n_posts, CAST(count(*) AS BIGINT) AS n_edges FROM one GROUP BY world, canon_term""")
+def stored_rebuild(spark, d):
+    """A rebuild of all worlds is stored, then one of a single world, a third of whose posts have lost their terms: stats and edges of the version that holds."""
+    root = f"{shared_dir(spark)}/rebuild-{uuid.uuid4().hex}"
+    edges = fx_edges(spark, d).select("post_id", "world", "facet", "canon_term")
+    posts = fx_posts(spark, d).select("post_id", "world")
+    count = lambda rows: rows.groupBy("world", "facet", "canon_term").agg(F.count_distinct("post_id").alias("n_posts"))
+    composed.write_rebuild(count(edges), edges, posts, root)
+    again = edges.where("world = 'MACHINERY' AND post_id % 3 <> 0").withColumn("canon_term", F.upper("canon_term"))
+    composed.write_rebuild(count(again), again, posts.where("world = 'MACHINERY'"), root)
+    held = versions.read(spark, root, "edges").groupBy("world", "facet", "canon_term").agg(F.count(F.lit(1)).alias("n_edges"))
+    return versions.read(spark, root, "stats").join(held, ["world", "facet", "canon_term"], "full_outer").select("world", "canon_term", "n_posts", "n_edges")
+
+
+@query(f"""WITH {POSTS_SQL}, x AS (SELECT *, CASE WHEN post_id % 3 = 0 THEN '  once ' || format || ' ' WHEN post_id % 3 = 1 THEN ' ' END AS premise, CASE WHEN post_id % 2 = 0 THEN ' about ' || world ELSE '' END AS summary, CASE WHEN post_id % 5 < 2 THEN ['t' || post_id % 5, 'u'] ELSE [] END AS topics,
+ CASE post_id % 4 WHEN 0 THEN 'not_applicable' WHEN 1 THEN 'dating' END AS stage FROM fx_posts),
+f AS (SELECT *, concat_ws(' ', CASE WHEN trim(summary, ' ') <> '' THEN trim(summary, ' ') END, CASE WHEN len(topics) > 0 THEN array_to_string(topics, ' ') END) AS fb FROM x)
+SELECT post_id, CASE WHEN trim(coalesce(premise, ''), ' ') <> '' THEN trim(premise, ' ') WHEN stage = 'not_applicable' THEN NULL ELSE nullif(fb, '') END AS premise, CASE WHEN post_id % 2 = 1 AND post_id % 3 = 0 THEN 'do ' || format END AS advice,
+ strftime(posted_at, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS posted, CASE WHEN post_id % 7 = 0 THEN true ELSE post_id % 5 >= 3 END AS over, post_id % 30 >= 6 AND post_id % 30 <= 9 AS in_band,
+ CASE WHEN post_id % 30 >= 25 THEN '25+' WHEN post_id % 30 >= 10 THEN '10-24' WHEN post_id % 30 >= 6 THEN '6-9' WHEN post_id % 30 >= 3 THEN '3-5' END AS band, '{{"a":"' || format || '"}}' AS raw, array_to_string(list_filter([trim(premise, ' '), trim(summary, ' ')], lambda n: n <> ''), ' · ') AS notes FROM f""")
+def post_texts(spark, d):
+    """The texts and marks of a post, as the flows derive them: premise with its fallbacks, advice, time, end of work, size band, a document without NULs, joined notes."""
+    p = F.col("post_id")
+    rows = fx_posts(spark, d).withColumns({
+        "premise_": F.when(p % 3 == 0, F.concat(F.lit("  once "), "format", F.lit(" "))).when(p % 3 == 1, " "), "summary": F.when(p % 2 == 0, F.concat(F.lit(" about "), "world")).otherwise(""),
+        "topics": F.when(p % 5 < 2, F.array(F.concat(F.lit("t"), p % 5), F.lit("u"))).otherwise(F.array().cast("array<string>")), "stage": F.when(p % 4 == 0, "not_applicable").when(p % 4 == 1, "dating"),
+    })
+    nul = F.concat(F.lit('{"a":"'), "format", F.lit('\\u0000\x00"}'))
+    return rows.select(
+        "post_id", S.premise_text(F.col("premise_"), F.col("summary"), F.col("topics"), F.col("stage")).alias("premise"),
+        S.advice_text(p % 2 == 1, F.when(p % 3 == 0, F.concat(F.lit(" do "), "format", F.lit(" ")))).alias("advice"), S.iso(F.col("posted_at").cast("timestamp")).alias("posted"),
+        S.terminal(F.when(p % 7 == 0, "x"), (p % 5).cast("int")).alias("over"), S.in_band(p % 30, "6-9").alias("in_band"), S.size_band(p % 30).alias("band"), S.strip_nul(nul).alias("raw"),
+        S.joined_notes(F.array("premise_", "summary")).alias("notes"),
+    )

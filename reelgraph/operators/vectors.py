@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reelgraph.operators.balls import near_blocks
-from reelgraph.operators.graph import connected_components, forest
+from reelgraph.operators.graph import FEW, connected_components, forest
 from reelgraph.runtime import discard, materialize
 
 #: Vectors in a block of the pairwise product.
@@ -157,7 +157,7 @@ def threshold_components(rows: DataFrame, by: list[str], least: float) -> DataFr
     """
     folded = materialize(rows.where("v IS NOT NULL").groupBy(*by, "v").agg(F.min("id").alias("id")), "folded")
     links = _block_products(folded, by, least, pairs=False)
-    cc = connected_components(links, "a", "b").select(*(F.col(f"node.{c}").alias(c) for c in by), F.col("node.id").alias("_rep"), F.col("component.id").alias("_c"))
+    cc = connected_components(links, "a", "b", FEW).select(*(F.col(f"node.{c}").alias(c) for c in by), F.col("node.id").alias("_rep"), F.col("component.id").alias("_c"))
     named = rows.join(folded.withColumnRenamed("id", "_rep"), [*by, "v"], "left").join(cc, [*by, "_rep"], "left")
     return named.select(*by, "id", F.coalesce("_c", "_rep", "id").alias("component"))
 

@@ -82,8 +82,14 @@ def test_components_and_linkage(spark):
     for a, b in edges:
         if a is not None and a != b:
             parent[max(find(a), find(b))] = min(find(a), find(b))
-    got = {r["node"]: r["component"] for r in graph.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
-    assert got == {x: find(x) for x in list(parent)}
+    table = spark.createDataFrame(edges, "src long, dst long")
+    want = {x: find(x) for x in list(parent)}
+    for few in (0, 50, 1000):  # all in rounds, the last few edges in one task, all in one task
+        assert {r["node"]: r["component"] for r in graph.connected_components(table, few=few).collect()} == want
+    nodes = table.select(*(F.struct(F.lit("g").alias("g"), F.format_string("%03d", c).alias("id")).alias(c) for c in ("src", "dst"))).where("src.id <> 'null' AND dst.id <> 'null'")
+    got = {int(r["node"]["id"]): int(r["component"]["id"]) for r in graph.connected_components(nodes, few=1000).collect()}
+    assert got == want
+    assert graph.connected_components(table.limit(0), few=1000).count() == 0
     fan = np.array([[np.cos(a), np.sin(a)] for a in (0, 0.4, 0.8, 1.2)])  # neighbours are near, ends are not
     assert len(set(vectors.upgma(fan, np.cos(0.45)))) == 2
     points = [("g", i, [float(x) for x in np.random.default_rng(i).normal(size=3)]) for i in range(40)]

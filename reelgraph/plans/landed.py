@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from reelgraph.functions import scalars as S
-from reelgraph.operators import layout, patterns, routing, sentences, stats, terms
+from reelgraph.operators import layout, passes, patterns, routing, sentences, stats, terms
 from reelgraph.plans import rollup as composed
 from reelgraph.plans.queries import EDGES_SQL, PEAKS_SQL, POSTS_SQL, PRODUCTS_SQL, RANKED_SQL, STATS_SQL, fx_edges, fx_posts, fx_products, fx_turns, query, r6, t
 from reelgraph.runtime import shared_dir
@@ -276,3 +276,19 @@ def post_texts(spark, d):
         S.terminal(F.when(p % 7 == 0, "x"), (p % 5).cast("int")).alias("over"), S.in_band(p % 30, "6-9").alias("in_band"), S.size_band(p % 30).alias("band"), S.strip_nul(nul).alias("raw"),
         S.joined_notes(F.array("premise_", "summary")).alias("notes"),
     )
+
+
+_WORDS_SQL = "list_distinct(list_filter(string_split(trim(regexp_replace(lower({}), '[^a-z0-9 ]', '', 'g'), ' '), ' '), lambda w: w <> ''))"
+
+
+@query(f"""WITH x AS (SELECT l_orderkey, l_linenumber, upper(p_name) || '!' AS caption, CASE l_linenumber % 5 WHEN 0 THEN p_type WHEN 1 THEN 'the ' || p_name || ', ' || p_name || '.' WHEN 2 THEN split_part(p_name, ' ', 2) || '  ' || p_type WHEN 3 THEN '...' END AS summary FROM lineitem JOIN part ON l_partkey = p_partkey),
+w AS (SELECT *, {_WORDS_SQL.format("caption")} AS a, {_WORDS_SQL.format("coalesce(summary, '')")} AS b FROM x), o AS (SELECT *, CASE WHEN len(a) > 0 AND len(b) > 0 THEN len(list_intersect(a, b)) / len(a) END AS overlap FROM w)
+SELECT l_orderkey AS post_id, l_linenumber, round(overlap, 6) AS overlap, overlap < 0.1 AS mismatch FROM o""")
+def caption_check(spark, d):
+    """Product names as captions against summaries that tell all of it, some, another thing, nothing or are missing."""
+    name, line = F.col("p_name"), F.col("l_linenumber") % 5
+    rows = t(spark, d, "lineitem").join(t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    told = F.when(line == 0, F.col("p_type")).when(line == 1, F.concat(F.lit("the "), name, F.lit(", "), name, F.lit(".")))
+    told = told.when(line == 2, F.concat(F.split_part(name, F.lit(" "), F.lit(2)), F.lit("  "), F.col("p_type"))).when(line == 3, "...")
+    rows = rows.select(F.col("l_orderkey").alias("post_id"), "l_linenumber", F.concat(F.upper(name), F.lit("!")).alias("caption"), told.alias("summary"))
+    return passes.caption_mismatch(rows, "caption", "summary").select("post_id", "l_linenumber", *r6("overlap"), "mismatch")

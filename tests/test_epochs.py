@@ -69,3 +69,36 @@ def test_names_nulls_and_buckets(spark, tmp_path):
     plan = scan._jdf.queryExecution().executedPlan().toString()
     assert "_bucket" in plan.split("PartitionFilters")[1].split("]")[0]
     assert 0 < scan.count() < whole.count()
+
+
+def test_folds(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "table")
+    schema = spark.createDataFrame([], SCHEMA).schema
+    folders = lambda: sorted(int(p.name.split("=")[1]) for p in (tmp_path / "table" / "_stream=s").glob("_epoch=*"))
+    batch = lambda *ids: spark.createDataFrame([(i, "x", at(1)) for i in ids], schema)
+    sink = epochs.append(root, KEYS, ["at"], "s", buckets=2)
+    for n in range(3):
+        sink(batch(n, n + 1), n)  # each meets a key of the one before
+    want = [(i, "x", 1) for i in range(4)]
+    with monkeypatch.context() as m:  # a fold that dies before its mark
+        m.setattr(versions, "replace_file", lambda *_: (_ for _ in ()).throw(OSError("killed")))
+        with pytest.raises(OSError):
+            epochs.fold(spark, root, "s", schema)
+    assert keys(epochs.read(spark, root, schema)) == want and folders() == [-3, 0, 1, 2]
+    before = epochs.read(spark, root, schema)
+    epochs.fold(spark, root, "s", schema)
+    assert keys(epochs.read(spark, root, schema)) == want and epochs.marks(spark, root) == {"s": 2}
+    assert keys(before) == want  # one who read the epochs still can
+    epochs.fold(spark, root, "s", schema)  # nothing new
+    sink(batch(99), 2)  # repeated
+    with pytest.raises(ValueError, match="new name"):
+        sink(batch(99), 1)
+    sink(batch(0, 7), 3)
+    assert keys(epochs.read(spark, root, schema)) == [*want, (7, "x", 1)]
+    sink = epochs.append(root, KEYS, ["at"], "s", buckets=2, fold_every=2)
+    sink(batch(7, 8), 4)  # the second since the fold
+    assert keys(epochs.read(spark, root, schema)) == [*want, (7, "x", 1), (8, "x", 1)]
+    assert folders() == [-5, -3, 3, 4]
+    epochs.append(root, KEYS, ["at"], "other", buckets=2)(batch(8, 9), 0)  # meets the fold of another stream
+    assert epochs.read(spark, root, schema).count() == 7
+    epochs.fold(spark, root, "none", schema)

@@ -8,8 +8,9 @@ text's code length is exact and the same wherever it is scored; the shortest cod
 
 Fitting reads a bounded sample of distinct labelled texts per language: of about
 `sample_per_language` texts, chosen by a hash of the text, those that come first until
-`sample_bytes` are full, each whole and once however many rows have it. Successor counts are summed
-in Spark. All contexts of the sample are kept. A language's tree stands in hash tables over its
+`sample_bytes` are full, each whole and once however many rows have it. All languages together read
+`sample_total` bytes, in equal shares where these are smaller, so what reaches the driver and is
+broadcast does not grow with their number. Successor counts are summed in Spark. All contexts of the sample are kept. A language's tree stands in hash tables over its
 contexts and successors, so the model grows with the sample and not with the number of languages
 squared, and scoring looks bytes up by numpy, some 100,000 at a time.
 
@@ -37,6 +38,8 @@ UNDETERMINED = "und"
 MAX_LANGUAGES = 200
 #: The bound on labelled text: distinct texts and their bytes, for each language.
 SAMPLE_TEXTS, SAMPLE_BYTES = 1000, 4_000_000
+#: The bound on the bytes of all languages.
+SAMPLE_TOTAL = 32_000_000
 _SCALE = 1 << 30
 #: Bytes scored at a time.
 _CHUNK = 1 << 17
@@ -145,7 +148,7 @@ def sample(rows: DataFrame, sizes: dict[str, int], texts: int, most_bytes: int)
     return some.where((F.col("_n") == 1) | (F.col("_fits") & (F.col("_sum") <= most_bytes))).select("lang", "text")
 
 
-def fit(df: DataFrame, text: str = "text", lang: str = "lang", max_order: int = 3, sample_per_language: int = SAMPLE_TEXTS, sample_bytes: int = SAMPLE_BYTES) -> Model:
+def fit(df: DataFrame, text: str = "text", lang: str = "lang", max_order: int = 3, sample_per_language: int = SAMPLE_TEXTS, sample_bytes: int = SAMPLE_BYTES, sample_total: int = SAMPLE_TOTAL) -> Model:
     """A Model from the labelled rows of df."""
     if not 1 <= max_order <= 6:
         raise ValueError("max_order must be 1 to 6")
@@ -158,7 +161,8 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", max_order: int =
     grams, lang_of, n = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     if langs:
         # bounded by the sample: no more rows than it has bytes
-        table = successor_counts(sample(rows, sizes, sample_per_language, sample_bytes), "text", "lang", max_order).toArrow().sort_by([("lang", "ascending"), ("gram", "ascending")])
+        most_bytes = min(sample_bytes, sample_total // len(langs))
+        table = successor_counts(sample(rows, sizes, sample_per_language, most_bytes), "text", "lang", max_order).toArrow().sort_by([("lang", "ascending"), ("gram", "ascending")])
         grams = table.column("gram").to_numpy()
         lang_of = np.searchsorted(np.array(langs, object), np.array(table.column("lang").to_pylist(), object)) if len(grams) else lang_of
         n = table.column("n").to_numpy().astype(float)

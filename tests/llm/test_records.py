@@ -56,6 +56,17 @@ def test_language_id(spark):
     assert language_id.predict(spark.createDataFrame([(1, "abc")], "doc_id long, text string"), none).first()["lang_pred"] == "und"
 
 
+def test_sample_is_bounded_over_all_languages(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(language_id, "sample", lambda *a, f=language_id.sample: taken.append(f(*a)) or taken[-1])
+    rows = [(f"{lang}{i:09d}", lang) for lang in "abcd" for i in range(30)]
+    model = language_id.fit(spark.createDataFrame(rows, "text string, lang string"), sample_total=200)
+    sizes = {r["lang"]: r["n"] for r in taken[0].groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
+    assert sizes == dict.fromkeys("abcd", 50) and model.langs == list("abcd")
+    language_id.fit(spark.createDataFrame(rows, "text string, lang string"), sample_bytes=30, sample_total=200)
+    assert taken[1].count() == 12
+
+
 def test_code_lengths_are_exact(spark):
     """Against a plain PPM over dictionaries."""
     import math

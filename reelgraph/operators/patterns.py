@@ -21,7 +21,9 @@ def clustered_peaks(posts: DataFrame, embedded: DataFrame, threshold: float = 0.
     posts has account_id, post_id and views; embedded (post_id, vector).
     """
     found = materialize(rank.peaks(posts, least=least)[0], "peaks")
-    rows = found.select("account_id", F.col("post_id").alias("id")).join(embedded.select(F.col("post_id").alias("id"), vectors.unit(F.col("vector")).alias("v")), "id").where("v IS NOT NULL")
+    rows = found.select("account_id", F.col("post_id").alias("id")).join(embedded.select(F.col("post_id").alias("id"), "vector"), "id")
+    # written before the filter, which would else be taken to all posts' vectors
+    rows = materialize(rows.select("account_id", "id", vectors.unit(F.col("vector")).alias("v")), "embedded").where("v IS NOT NULL")
     parts = vectors.threshold_components(rows, ["account_id"], threshold).select("account_id", F.col("id").alias("post_id"), F.col("component").alias("cluster"))
     sizes = parts.groupBy("account_id", "cluster").agg(F.count(F.lit(1)).alias("cluster_size"))
     return found.join(parts.join(sizes, ["account_id", "cluster"]), ["account_id", "post_id"], "left")

@@ -26,9 +26,9 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
-    """The vector at length one; a zero vector has none."""
-    norm = F.sqrt(dot(v, v))
-    return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm))
+    """The vector at length one; a zero vector has none. The norm is bound as the one element of a list: within the inner lambda it would be taken anew for each dimension."""
+    scaled = F.transform(F.array(F.sqrt(dot(v, v))), lambda norm: F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm)))
+    return F.get(scaled, F.lit(0))
 
 
 def _matrix(column: pa.Array, size: int | None = None) -> tuple[np.ndarray, np.ndarray]:

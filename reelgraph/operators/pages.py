@@ -68,8 +68,8 @@ def term_posts(edges: DataFrame, posts: DataFrame, accounts: DataFrame, limit: i
     keys = ["world", "facet", "canon_term"]
     rows = edges.groupBy(*keys, "post_id").agg(F.min("raw_term").alias("matched_term")).join(posts, "post_id").join(accounts.select("account_id", "handle"), "account_id")
     by = Window.partitionBy(*keys).orderBy(F.coalesce("views", F.lit(0)).desc(), "post_id")
-    rows = rows.withColumn("n", F.row_number().over(by).cast("long")).where(F.col("n") <= limit)
-    return rows.withColumn("video_url", S.video_url(F.col("handle"), F.col("post_id").cast("string")))
+    rows = rows.withColumn("n", F.row_number().over(by)).where(F.col("n") <= limit)  # not cast before: so tasks keep `limit` of a term before rows move
+    return rows.withColumn("n", F.col("n").cast("long")).withColumn("video_url", S.video_url(F.col("handle"), F.col("post_id").cast("string")))
 
 
 def reorder(notes: DataFrame, keys: list[str]) -> DataFrame:

@@ -37,15 +37,20 @@ def peaks(posts: DataFrame, by: str = "account_id", least: int = 10, z: float =
 
 
 def cooccurrence(edges: DataFrame, top: int = 5) -> DataFrame:
-    """The terms that share most posts with each term: (world, facet, term, other, shared_posts, share, rn). Pairs are made and counted in one order and turned after that."""
-    pairs = edges.select("world", "facet", "post_id", "canon_term").distinct()
-    other = pairs.withColumnRenamed("canon_term", "other")
-    once = pairs.join(other, ["world", "facet", "post_id"]).where("canon_term < other").groupBy("world", "facet", "canon_term", "other").agg(F.count(F.lit(1)).alias("shared_posts"))
+    """The terms that share most posts with each term: (world, facet, term, other, shared_posts, share, rn).
+
+    Edges are read once, to a row per post with its terms. Pairs are made of it and counted in one order, and turned after that.
+    """
+    known = edges.where("world IS NOT NULL AND facet IS NOT NULL AND post_id IS NOT NULL AND canon_term IS NOT NULL")
+    sets = materialize(known.groupBy("world", "facet", "post_id").agg(F.array_sort(F.collect_set("canon_term")).alias("terms")), "sets")
+    first = sets.select("world", "facet", F.posexplode("terms").alias("i", "canon_term"), "terms")
+    pairs = first.select("world", "facet", "canon_term", F.explode(F.slice("terms", F.col("i") + 2, F.size("terms"))).alias("other"))
+    once = pairs.groupBy("world", "facet", "canon_term", "other").agg(F.count(F.lit(1)).alias("shared_posts"))
     ends = F.explode(F.array(F.struct(F.col("canon_term").alias("term"), "other"), F.struct(F.col("other").alias("term"), F.col("canon_term").alias("other"))))
     shared = once.select("world", "facet", ends.alias("_e"), "shared_posts").select("world", "facet", "_e.term", "_e.other", "shared_posts")
     rank = F.row_number().over(Window.partitionBy("world", "facet", "term").orderBy(F.desc("shared_posts"), "other"))
     best = shared.withColumn("rn", rank).where(F.col("rn") <= top)
-    sizes = pairs.groupBy("world", "facet", F.col("canon_term").alias("term")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = sets.select("world", "facet", F.explode("terms").alias("term")).groupBy("world", "facet", "term").agg(F.count(F.lit(1)).alias("n"))
     return best.join(sizes, ["world", "facet", "term"]).withColumn("share", F.round(F.col("shared_posts") / F.col("n"), 3)).drop("n")
 
 

@@ -393,14 +393,18 @@ def upgma(unit_vectors: np.ndarray, threshold: float, members: np.ndarray | None
 def hashed_embedder(texts: pd.Series, size: int = 64) -> list[np.ndarray]:
     """A deterministic stand-in for a remote model: hashed character trigrams at length one."""
     import zlib
+    from collections import Counter
 
-    out = []
+    out, known = [], {}
     for t in texts:
         v = np.zeros(size)
         padded = f"  {t or ''} "
-        for i in range(len(padded) - 2):
-            h = zlib.crc32(padded[i : i + 3].encode())
-            v[h % size] += 1 if h >> 16 & 1 else -1
+        for trigram, n in Counter(zip(padded, padded[1:], padded[2:])).items():  # each distinct one is hashed once for all texts
+            if trigram not in known:
+                h = zlib.crc32("".join(trigram).encode())
+                known[trigram] = h % size, 1 if h >> 16 & 1 else -1
+            at, sign = known[trigram]
+            v[at] += sign * n
         n = np.linalg.norm(v)
         out.append(v / n if n else v)
     return out
@@ -432,6 +436,7 @@ def canonicalize(edges: DataFrame, threshold: float = 0.78, embedder=hashed_embe
     from reelgraph.operators.stats import canonical_labels
 
     counts = edges.groupBy("world", "facet", "norm_term").agg(F.count(F.lit(1)).alias("n")).where("norm_term <> ''")
+    counts = materialize(counts, "counts")
     known = embed(counts, cache, embedder=embedder)
     known = known if cache is None else known.unionByName(cache)
     clusters = average_linkage(counts.join(known, "norm_term"), ["world", "facet"], "norm_term", "vector", threshold)

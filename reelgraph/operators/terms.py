@@ -64,16 +64,13 @@ def extract_terms(posts: DataFrame, vlm: str = "vlm", raw: str | None = "vlm_raw
     )
     low = F.coalesce(v("confidence") == "low", F.lit(False))
     keep = keep or ["post_id"]
-    rows = posts.select(*keep, spoken.alias("_spoken"), scraped.alias("_scraped"), low.alias("_low"))
-    rows = rows.select(*keep, F.size("_spoken").alias("_n"), "_low", F.concat("_spoken", "_scraped").alias("_all"))
-    if dedupe:  # within the post's own list, so nothing is shuffled
+    marked = lambda found, low: F.transform(found, lambda t: F.struct(t["facet"].alias("facet"), t["raw_term"].alias("raw_term"), t["prominence"].alias("prominence"), low.alias("low_conf")))
+    rows = posts.select(*keep, F.concat(marked(spoken, low), marked(scraped, F.lit(False))).alias("_all"))
+    if dedupe:  # within the post's own list, before it is opened, so nothing is shuffled; the keys are bound as the one element of a list
         keys = F.transform("_all", lambda t: F.concat(t["facet"], F.lit("\n"), t["raw_term"]))
-        rows = rows.withColumn("_keys", keys)
-        rows = rows.select(*keep, "_n", "_low", F.posexplode("_all").alias("ord", "t"), "_keys")
-        rows = rows.where(F.array_position("_keys", F.get("_keys", F.col("ord"))) == F.col("ord") + 1)
-    else:
-        rows = rows.select(*keep, "_n", "_low", F.posexplode("_all").alias("ord", "t"))
-    rows = rows.select(*keep, "t.facet", "t.raw_term", "t.prominence", "ord", (F.col("_low") & (F.col("ord") < F.col("_n"))).alias("low_conf"))
+        first = F.transform(F.array(keys), lambda k: F.filter("_all", lambda t, i: F.array_position(k, F.get(k, i)) == i + 1))
+        rows = rows.select(*keep, F.get(first, F.lit(0)).alias("_all"))
+    rows = rows.select(*keep, F.posexplode("_all").alias("ord", "t")).select(*keep, "t.facet", "t.raw_term", "t.prominence", "ord", "t.low_conf")
     return rows.drop("ord") if dedupe else rows
 
 

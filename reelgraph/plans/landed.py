@@ -12,7 +12,7 @@ from reelgraph.functions import scalars as S
 from reelgraph.operators import layout, passes, patterns, routing, sentences, stats, terms
 from reelgraph.plans import rollup as composed
 from reelgraph.plans.queries import EDGES_SQL, PEAKS_SQL, POSTS_SQL, PRODUCTS_SQL, RANKED_SQL, STATS_SQL, fx_edges, fx_posts, fx_products, fx_turns, query, r6, t
-from reelgraph.runtime import shared_dir
+from reelgraph.runtime import materialize, shared_dir
 from reelgraph.sources import feeds, sinks, versions
 
 
@@ -159,7 +159,7 @@ SELECT g.world, g.canon_term, n_posts, n_accounts, CASE WHEN n_posts >= 9 AND n_
 FROM g LEFT JOIN b ON g.world = b.world AND g.canon_term = b.canon_term AND k = 1 WHERE b.action IS DISTINCT FROM 'drop'""")
 def ranked_decisions(spark, d):
     """Stats of two producers, one row a term, the first winning ties (its n_hero is -1), under decisions by norm_term: some disagree within a term and are left out, others go by plurality, one names a parent that is not ranked. Terms are cut to six characters, as a clustering would fold them."""
-    edges = fx_edges(spark, d).withColumn("canon_term", F.substring("norm_term", 1, 6))
+    edges = materialize(fx_edges(spark, d).withColumn("canon_term", F.substring("norm_term", 1, 6)), "edges")
     posts, counted = fx_posts(spark, d), stats.rankable(edges)
     columns = ["world", "facet", "canon_term", "n_posts", "n_accounts", "n_hero", "lift"]
     large = stats.term_stats(counted, posts, min_posts=9, min_accounts=4).select(*columns).withColumn("n_hero", F.lit(-1).cast("long"))
@@ -167,7 +167,7 @@ def ranked_decisions(spark, d):
     drop = F.col("norm_term").startswith("red") | (F.col("norm_term").startswith("small") & ~odd)
     target = F.when(F.col("norm_term").startswith("new"), "nowhere").when(odd, "blue a").otherwise("cold a")
     decisions = edges.where(F.col("norm_term").rlike("^(red|small|new|large)")).select("world", "facet", "norm_term").distinct()
-    decisions = decisions.select("*", F.when(drop, "drop").otherwise("child_of").alias("action"), F.when(~drop, target).alias("target_term"))
+    decisions = materialize(decisions.select("*", F.when(drop, "drop").otherwise("child_of").alias("action"), F.when(~drop, target).alias("target_term")), "decisions")
     found = composed.ranked_terms([large, stats.term_stats(counted, posts).select(*columns)], edges, decisions)
     return found.select("world", "canon_term", "n_posts", "n_accounts", "n_hero", *r6("lift"), "parent_term")
 
@@ -246,7 +246,7 @@ SELECT world, canon_term, count(*) AS n_posts, CAST(count(*) AS BIGINT) AS n_edg
 def stored_rebuild(spark, d):
     """A rebuild of all worlds is stored, then one of a single world, a third of whose posts have lost their terms: stats and edges of the version that holds."""
     root = f"{shared_dir(spark)}/rebuild-{uuid.uuid4().hex}"
-    edges = fx_edges(spark, d).select("post_id", "world", "facet", "canon_term")
+    edges = materialize(fx_edges(spark, d).select("post_id", "world", "facet", "canon_term"), "edges")
     posts = fx_posts(spark, d).select("post_id", "world")
     count = lambda rows: rows.groupBy("world", "facet", "canon_term").agg(F.count_distinct("post_id").alias("n_posts"))
     composed.write_rebuild(count(edges), edges, posts, root)

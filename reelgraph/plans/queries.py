@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from reelgraph.functions import scalars as S
 from reelgraph.operators import density, layout, overrides, pages, passes, patterns, rank, routing, sentences, stats, terms, upkeep, vectors
 from reelgraph.plans import rollup as composed
+from reelgraph.runtime import materialize
 from reelgraph.sources import sinks
 
 THETA = 0.35
@@ -85,8 +86,9 @@ g AS (SELECT e.world, facet, canon_term, count(DISTINCT post_id) AS n_posts, cou
  FROM edges e JOIN acc USING (world, account_id) JOIN wm ON wm.world = e.world WHERE NOT low_conf AND prominence <> 'incidental' GROUP BY ALL HAVING n_posts >= 3 AND n_accounts >= 3)"""
 
 
-def _ranked(spark, d, **floors):
-    return stats.term_stats(stats.rankable(fx_edges(spark, d)), fx_posts(spark, d), **floors)
+def _ranked(spark, d, edges=None, **floors):
+    """Ranked terms, stored: several steps of a query read them."""
+    return materialize(stats.term_stats(stats.rankable(fx_edges(spark, d) if edges is None else edges), fx_posts(spark, d), **floors), "terms")
 
 
 @query(f"WITH {RANKED_SQL.replace('GROUP BY ALL HAVING', 'GROUP BY e.world, facet, canon_term HAVING')} SELECT world, facet, canon_term, n_posts, n_accounts, n_hero, round(median_m, 6) AS median_m, round(median_m - m, 6) AS lift, round(exp(median_m - m), 6) AS view_ratio, round(account_lift, 6) AS account_lift, round(exp(account_lift), 6) AS account_view_ratio, n_variants FROM g")
@@ -185,7 +187,8 @@ def drilldown(spark, d):
 
     rows = fx_edges(spark, d).groupBy("world", "canon_term", "post_id").agg(F.min("raw_term").alias("raw_term"), F.max("metric").alias("metric"))
     n = F.row_number().over(Window.partitionBy("world", "canon_term").orderBy(F.round("metric", 9).desc(), "post_id"))
-    return rows.withColumn("n", n.cast("long")).where("n <= 100").select("world", "canon_term", "post_id", "raw_term", "n")
+    rows = rows.withColumn("n", n).where("n <= 100")  # not cast before: so tasks keep a hundred of a term before rows move
+    return rows.select("world", "canon_term", "post_id", "raw_term", F.col("n").cast("long").alias("n"))
 
 
 @query(f"WITH {EDGES_SQL}, p AS (SELECT DISTINCT world, post_id, canon_term FROM edges), s AS (SELECT a.world, a.canon_term AS term, b.canon_term AS other, count(*) AS shared_posts FROM p a JOIN p b ON a.world = b.world AND a.post_id = b.post_id AND a.canon_term <> b.canon_term GROUP BY ALL), n AS (SELECT world, canon_term AS term, count(*) AS n FROM p GROUP BY ALL) SELECT world, term, other, shared_posts, rn, round(shared_posts / n, 3) AS share FROM (SELECT *, row_number() OVER (PARTITION BY world, term ORDER BY shared_posts DESC, other) AS rn FROM s) JOIN n USING (world, term) WHERE rn <= 5")
@@ -210,8 +213,9 @@ def override_chain(spark, d):
 def override_merge(spark, d):
     """Terms merged into the first of their world that begins alike."""
     edges = fx_edges(spark, d)
-    first = edges.groupBy("world", "facet", F.substring("canon_term", 1, 1).alias("c")).agg(F.min("canon_term").alias("target_term"))
-    rows = edges.select("world", "facet", "norm_term", F.substring("norm_term", 1, 1).alias("c")).distinct().join(first, ["world", "facet", "c"]).where("norm_term <> target_term").withColumn("action", F.lit("merge"))
+    names = materialize(edges.select("world", "facet", "norm_term", "canon_term").distinct(), "names")
+    first = names.groupBy("world", "facet", F.substring("canon_term", 1, 1).alias("c")).agg(F.min("canon_term").alias("target_term"))
+    rows = names.select("world", "facet", "norm_term", F.substring("norm_term", 1, 1).alias("c")).distinct().join(first, ["world", "facet", "c"]).where("norm_term <> target_term").withColumn("action", F.lit("merge"))
     return overrides.apply_merges(edges, rows).groupBy("world", "canon_term").agg(F.count_distinct("post_id").alias("n_posts"))
 
 
@@ -456,11 +460,11 @@ def crawl_round(spark, d):
 @query()
 def rollup(spark, d):
     """All of the rebuild over products: terms that begin with b are nested under the first of their world, those with c dropped."""
-    edges = fx_edges(spark, d)
+    edges = materialize(fx_edges(spark, d), "edges")
     rows = edges.select("world", "facet", "norm_term").distinct().where("norm_term LIKE 'b%' OR norm_term LIKE 'c%'")
     first = rows.where("norm_term LIKE 'b%'").groupBy("world", "facet").agg(F.min("norm_term").alias("target_term"))
     rows = rows.join(first, ["world", "facet"]).withColumn("action", F.when(F.col("norm_term").startswith("c"), "drop").when(F.col("norm_term") != F.col("target_term"), "child_of"))
-    return composed.rollup(edges, fx_posts(spark, d), rows.where("action IS NOT NULL"))[0]
+    return composed.rollup(edges, fx_posts(spark, d), materialize(rows.where("action IS NOT NULL"), "decisions"))[0]
 
 
 def fx_turns(spark, d):
@@ -526,7 +530,8 @@ def peak_labels(spark, d):
 near AS (SELECT world, canon_term, string_agg(other || ':' || n, ', ' ORDER BY n DESC, other) AS near FROM (SELECT *, row_number() OVER (PARTITION BY world, canon_term ORDER BY n DESC, other) AS rn FROM s) WHERE rn <= 5 GROUP BY ALL), v AS (SELECT world, canon_term, string_agg(DISTINCT raw_term, ', ' ORDER BY raw_term) AS variants FROM edges WHERE NOT low_conf AND prominence <> 'incidental' GROUP BY ALL)
 SELECT world, canon_term, n_posts, n_accounts, canon_term AS norm_terms, variants, near FROM g JOIN v USING (world, canon_term) LEFT JOIN near USING (world, canon_term) WHERE n_posts >= 6 AND n_accounts >= 4""")
 def merge_candidates(spark, d):
-    out = rank.merge_candidates(fx_edges(spark, d), _ranked(spark, d))
+    edges = materialize(fx_edges(spark, d), "edges")
+    out = rank.merge_candidates(edges, _ranked(spark, d, edges))
     near = F.array_join(F.transform("co_occurring", lambda x: F.concat_ws(":", x["term"], x["shared_posts"].cast("string"))), ", ")
     return out.select("world", "canon_term", "n_posts", "n_accounts", F.array_join("norm_terms", ", ").alias("norm_terms"), F.array_join("variants", ", ").alias("variants"), near.alias("near"))
 
@@ -542,7 +547,7 @@ def snapshot_diff(spark, d):
 @query(f"WITH {EDGES_SQL}, x AS (SELECT DISTINCT world, facet, canon_term FROM edges), r AS (SELECT DISTINCT canon_term AS term, min(canon_term) OVER (PARTITION BY left(canon_term, 1)) AS target FROM x), k AS (SELECT term AS canon_term, target AS target_term FROM r WHERE term <> target UNION SELECT target, target FROM r WHERE term <> target) SELECT world, facet, canon_term AS norm_term, 'merge' AS action, target_term FROM x JOIN k USING (canon_term)")
 def override_expand(spark, d):
     """Terms merged into the first, of any world, that begins alike; per norm_term."""
-    edges = fx_edges(spark, d)
+    edges = materialize(fx_edges(spark, d).select("world", "facet", "canon_term", "norm_term").distinct(), "names")
     every = edges.select(F.col("canon_term").alias("term")).distinct().withColumn("c", F.substring("term", 1, 1))
     rows = every.join(every.groupBy("c").agg(F.min("term").alias("target")), "c").where("term <> target").withColumn("action", F.lit("merge"))
     return overrides.expand(overrides.resolve(rows), edges)

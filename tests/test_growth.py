@@ -1,8 +1,17 @@
 """Steps whose cost must not grow faster than their input, told by plans, rows and results at small sizes."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from reelgraph.operators import patterns, vectors
+from reelgraph import runtime
+from reelgraph.functions import scalars as S
+from reelgraph.operators import patterns, rank, stats, vectors
+from reelgraph.plans import landed
+from reelgraph.plans import queries as plans
+from reelgraph.plans import rollup as composed
+
+DATA = "/root/testdata/sf0.001"
+
 
 
 def plan(df):
@@ -24,3 +33,39 @@ def test_only_vectors_of_peaks_are_scaled(spark):
     assert "aggregate(" not in plan(found)
     rows = {r["post_id"]: (r["cluster"], r["cluster_size"]) for r in found.collect() if r["post_id"] < 8}
     assert rows == {0: (0, 10), 4: (0, 10), 2: (2, 10), 6: (2, 10), 1: (1, 19), 5: (1, 19), 7: (1, 19), 3: (None, None)}
+
+
+def test_words_are_split_once(spark):
+    df = spark.createDataFrame([("The Red-Hot Boxes!",), ("a",), (None,), ("  ",), ("ponies",)], "x string")
+    got = df.select("x", S.normalize(F.col("x")).alias("n"))
+    assert plan(got).count("split(") == 1  # some sixty times before
+    assert {r["x"]: r["n"] for r in got.collect()} == {"The Red-Hot Boxes!": "red hot box", "a": "", None: None, "  ": "", "ponies": "pony"}
+
+
+@pytest.mark.parametrize("name", ["drilldown", "term_posts"])
+def test_a_task_keeps_a_hundred_posts_of_a_term(spark, name):
+    found = plans.QUERIES[name](spark, DATA)
+    assert "WindowGroupLimit" in plan(found)  # else a term's posts all meet in one task
+
+
+@pytest.mark.parametrize("name, most", [("canonicalize", 1), ("override_expand", 1), ("override_merge", 1), ("rollup", 1), ("merge_candidates", 1), ("ranked_decisions", 1), ("stored_rebuild", 1), ("term_children", 1)])
+def test_edges_are_made_once(spark, monkeypatch, name, most):
+    """What the query writes or returns reads the lines of orders `most` times in all steps that are stored, and never in what it returns but for override_merge."""
+    seen = []
+
+    def counted(df, label):
+        seen.append(plan(df).count("l_orderkey#") > 0)
+        return runtime.materialize(df, label)
+
+    for module in (plans, vectors, rank, stats, landed, composed):
+        monkeypatch.setattr(module, "materialize", counted)
+    out = plans.QUERIES[name](spark, DATA)
+    assert sum(seen) == most and ("l_orderkey#" in plan(out)) == (name == "override_merge")
+
+
+def test_pairs_of_a_post(spark):
+    rows = [("w", "f", 1, t) for t in "abca"] + [("w", "f", 2, "a"), ("w", "f", 2, "b"), ("w", "g", 2, "c"), (None, "f", 1, "a"), (None, "f", 1, "b"), ("w", "f", 3, None)]
+    got = rank.cooccurrence(spark.createDataFrame(rows, "world string, facet string, post_id long, canon_term string"))
+    found = {(r["term"], r["other"]): (r["shared_posts"], r["rn"], r["share"]) for r in got.collect()}
+    assert found == {("a", "b"): (2, 1, 1.0), ("a", "c"): (1, 2, 0.5), ("b", "a"): (2, 1, 1.0), ("b", "c"): (1, 2, 0.5), ("c", "a"): (1, 1, 1.0), ("c", "b"): (1, 2, 1.0)}
+    assert plan(got).count("Join") == 1  # that of the sizes

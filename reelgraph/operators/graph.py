@@ -18,16 +18,21 @@ def forest(n: int, pairs) -> np.ndarray:
     """Parents (each at most the node itself) of n nodes after joining all pairs of index arrays."""
     parent = np.arange(n)
     for a, b in pairs:
-        while True:
-            x, y = parent[a], parent[b]
-            if (x == y).all():
-                break
-            np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
-            while (parent[parent] != parent).any():
-                parent = parent[parent]
+        join_pairs(parent, a, b)
     return parent
 
 
+def join_pairs(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join pairs of nodes in place; a parent is the least node of what hangs together."""
+    while True:
+        x, y = parent[a], parent[b]
+        if (x == y).all():
+            return
+        np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
+        while (parent[parent] != parent).any():
+            parent[:] = parent[parent]
+
+
 def _state(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
     return row["n"], row["h"]

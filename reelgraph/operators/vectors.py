@@ -9,14 +9,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelgraph.operators.balls import near_blocks
-from reelgraph.operators.graph import FEW, connected_components, forest
+from reelgraph.operators.graph import FEW, connected_components, join_pairs
 from reelgraph.runtime import discard, materialize
 
 #: Vectors in a block of the pairwise product.
 BLOCK = 2000
 #: Blocks of a group that each of its vectors is copied to, about; blocks of larger groups hold up to TILES tiles of BLOCK vectors, which a task takes two at a time.
-SPREAD, TILES = 32, 10
+SPREAD, TILES = 6, 32
+#: Vectors of a tile whose products stay in a processor's cache; what products of 32 bits may be off, as a share of the greatest squared length; the share of a tile's pairs up to which pairs are taken one by one.
+CACHED, OFF, SPARSE = 512, 1e-5, 1 / 16
+#: Links that a task joins together.
+JOINED = 20_000
 #: Clusters of a component that one task merges; a larger component is merged in rounds of joins.
 LOCAL = 20_000
 #: Worlds that posts are routed to, at most; their matrix is broadcast.
@@ -158,13 +161,17 @@ def threshold_components(rows: DataFrame, by: list[str], least: float) -> DataFr
     """(by.., id, component) of rows (by.., id, v): the components of each group's graph of similarity `least` or more; component is the smallest id.
 
     Equal vectors are folded first, and a pair of blocks reports a spanning forest of its links, so
-    copies cost neither products nor edges. A row without a vector is alone.
+    copies cost neither products nor edges. They meet by 128 bits of hash, so a vector moves once to be
+    folded and is not a key. A row without a vector is alone.
     """
-    folded = materialize(rows.where("v IS NOT NULL").groupBy(*by, "v").agg(F.min("id").alias("id")), "folded")
+    hashes = {"_h": F.xxhash64("v"), "_k": F.xxhash64(F.lit("again"), "v")}
+    hashed = rows.where("v IS NOT NULL").withColumns(hashes)
+    folded = materialize(hashed.groupBy(*by, *hashes).agg(F.min("id").alias("id"), F.first("v").alias("v")), "folded")
     links = _block_products(folded, by, least, pairs=False)
     cc = connected_components(links, "a", "b", FEW).select(*(F.col(f"node.{c}").alias(c) for c in by), F.col("node.id").alias("_rep"), F.col("component.id").alias("_c"))
-    named = rows.join(folded.withColumnRenamed("id", "_rep"), [*by, "v"], "left").join(cc, [*by, "_rep"], "left")
-    return named.select(*by, "id", F.coalesce("_c", "_rep", "id").alias("component"))
+    named = folded.select(*by, *hashes, F.col("id").alias("_rep")).join(cc, [*by, "_rep"], "left")
+    keyed = rows.select(*by, "id", *(F.when(F.col("v").isNotNull(), h).alias(c) for c, h in hashes.items()))
+    return keyed.join(named, [*by, *hashes], "left").select(*by, "id", F.coalesce("_c", "_rep", "id").alias("component"))
 
 
 def medoids(vectors: DataFrame, by: str, id_col: str, vector: str) -> DataFrame:
@@ -318,12 +325,36 @@ def _blocks(n: Column, tiles: int) -> Column:
     return F.least(small, F.greatest(large, F.lit(SPREAD))).cast("int")
 
 
-def tiles(own: np.ndarray, lo: int, hi: int):
-    """(rows, other rows) of the tiles of a pair of blocks, BLOCK by BLOCK rows at most; those of one block with itself come once."""
+def tiles(own: np.ndarray, lo: int, hi: int, most: int | None = None):
+    """(rows, other rows) of the tiles of a pair of blocks, BLOCK by BLOCK rows at most (or `most`, if that is less); those of one block with itself come once."""
     a, b = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
-    for i in range(0, len(a), BLOCK):
-        for j in range(i if lo == hi else 0, len(b), BLOCK):
-            yield a[i : i + BLOCK], b[j : j + BLOCK]
+    most = min(BLOCK, most or BLOCK)
+    step, other = (max(1, -(-len(x) // max(1, -(-len(x) // most)))) for x in (a, b))  # tiles of a like size, no slivers
+    for i in range(0, len(a), step):
+        for j in range(i if lo == hi else 0, len(b), other):
+            yield a[i : i + step], b[j : j + other]
+
+
+def in_short(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """(x, y, e): x[i] @ y[j] is -d*d/2 of the distance d of rows i and j of m, in 32 bits, and off by less than e.
+
+    It only tells which pairs cannot matter; what is kept is worked out from m itself.
+    """
+    half = (m * m).sum(axis=1, keepdims=True) / 2
+    one = np.ones_like(half)
+    x, y = (np.concatenate(part, axis=1).astype(np.float32) for part in ((m, -half, one), (m, one, -half)))
+    return x, y, OFF * max(1.0, 2 * float(half.max(initial=0)))
+
+
+def true_places(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.nonzero() of a matrix that is nearly all false, eight places at a time."""
+    flat = mask.reshape(-1)
+    if flat.size % 8:
+        at = np.flatnonzero(flat)
+    else:
+        at = (np.flatnonzero(flat.view(np.uint64))[:, None] * 8 + np.arange(8)).reshape(-1)
+        at = at[flat[at]]
+    return np.divmod(at, mask.shape[1])
 
 
 def _dealt(rows: DataFrame, by: list[str], values: list[str], tiles: int = 1) -> DataFrame:
@@ -334,36 +365,64 @@ def _dealt(rows: DataFrame, by: list[str], values: list[str], tiles: int = 1) ->
     return rows.select(*by, "id", *values, "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
 
 
+def _close(m: np.ndarray, own: np.ndarray, lo: int, hi: int, least: float, parent: np.ndarray | None = None):
+    """(rows, other rows, similarities) of the pairs of a pair of blocks with 1 - d*d/2 of `least` or more, tile by tile; only of pairs that do not yet hang together, if their parents are given."""
+    x, y, off = in_short(m)
+    half = (m * m).sum(axis=1) / 2
+    for a, b in tiles(own, lo, hi, CACHED):
+        if parent is not None:
+            roots = np.concatenate([parent[a], parent[b]])
+            if (roots == roots[0]).all():
+                continue
+        i, j = true_places(x[a] @ y[b].T >= least - 1 - off)
+        if len(i) > SPARSE * len(a) * len(b):
+            sims = m[a] @ m[b].T
+            sims += 1 - half[a][:, None] - half[b][None, :]
+            i, j = np.nonzero(sims >= least)
+            found, i, j = sims[i, j], a[i], b[j]
+        else:
+            i, j = a[i], b[j]
+            found = np.einsum("ij,ij->i", m[i], m[j]) + (1 - half[i] - half[j])
+        keep = found >= least
+        if a[0] == b[0]:
+            keep &= i < j
+        if parent is not None:
+            keep &= parent[i] != parent[j]
+        if keep.any():
+            yield i[keep], j[keep], found[keep]
+
+
 def _block_products(rows: DataFrame, by: list[str], least: float, pairs: bool) -> DataFrame:
     """Pairs (a, b, sim) of keys within a group with similarity `least` or more, each once; or of a spanning forest of them (a, b), by group and pair of blocks.
 
     sim is 1 - d*d/2 of the Euclidean distance d, which for vectors of length one is their cosine.
-    Blocks hold near vectors, and only vectors that may have a partner in another block meet it.
+    A vector is copied to few blocks (see _blocks), however many its group has, and a task takes them tile by tile.
     """
-    rows = near_blocks(rows.where("v IS NOT NULL"), by, float(np.sqrt(max(0.0, 2 - 2 * least))), BLOCK)
+    rows = _dealt(rows.where("v IS NOT NULL"), by, ["v"], TILES)
     kind = rows.schema["id"].dataType.simpleString()
 
     def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, own, m = pdf["id"].to_numpy(), pdf["own"].to_numpy(), np.stack(pdf["v"].to_numpy())
-        lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
-        a, b, half = np.flatnonzero(own == lo), np.flatnonzero(own == hi), (m * m).sum(axis=1) / 2
-        if not (len(a) and len(b)):
-            return pd.DataFrame(columns=[*by, "x", "y", *(["sim"] if pairs else [])])
-        sims = m[a] @ m[b].T
-        sims += 1 - half[a][:, None] - half[b][None, :]
-        i, j = np.nonzero(sims >= least)
-        found = sims[i, j]
-        i, j = a[i], b[j]
-        keep = ids[i] != ids[j] if lo != hi else ids[i] < ids[j]
-        i, j, found = i[keep], j[keep], found[keep]
-        if not pairs:
-            parent = forest(len(ids), [(i, j)])
+        lo, hi, none = pdf["lo"].iloc[0], pdf["hi"].iloc[0], np.zeros(0, np.int64)
+        if pairs:
+            found = [*_close(m, own, lo, hi, least)] or [(none, none, np.zeros(0))]
+            i, j, sims = (np.concatenate(x) for x in zip(*found, strict=True))
+        else:
+            parent, held, n = np.arange(len(ids)), [], 0
+            for i, j, _ in _close(m, own, lo, hi, least, parent):
+                held.append((i, j))
+                n += len(i)
+                if n > JOINED:
+                    join_pairs(parent, *map(np.concatenate, zip(*held, strict=True)))
+                    held, n = [], 0
+            if held:
+                join_pairs(parent, *map(np.concatenate, zip(*held, strict=True)))
             i = np.flatnonzero(parent != np.arange(len(ids)))
             j = parent[i]
         out = pdf[by].iloc[np.zeros(len(i), int)].reset_index(drop=True)
         out["x"], out["y"] = ids[i], ids[j]
         if pairs:
-            out["sim"] = found
+            out["sim"] = sims
         return out
 
     found = rows.groupBy(*by, "lo", "hi").applyInPandas(multiply, ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in by), f"x {kind}, y {kind}{', sim double' if pairs else ''}"]))

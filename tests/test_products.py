@@ -60,3 +60,40 @@ def test_vectors_are_no_keys(spark):
     rows = materialize(frame(spark, {"a": clouds(2, 3, 0.1)}), "rows")
     joins = [x for x in plan(vectors.threshold_components(rows, ["g"], 0.9)).split("\n") if "Join" in x]
     assert joins and not any(f" {c}#" in x or f"({c}#" in x for x in joins for c in "v")
+
+def brute_linkage(m, cut):
+    groups = [[i] for i in range(len(m))]
+    while len(groups) > 1:
+        sims = [(m[a].sum(axis=0) @ m[b].sum(axis=0) / (len(a) * len(b)), x, y) for x, a in enumerate(groups) for y, b in enumerate(groups) if x < y]
+        best, x, y = max(sims)
+        if best < cut:
+            break
+        groups[x] = sorted(groups[x] + groups.pop(y))
+    return {i: g[0] for g in groups for i in g}
+
+
+def test_linkage_is_merged_once(spark):
+    """What average_linkage returns is stored: its readers merge nothing again. Clusters are those of plain average linkage."""
+    groups = {"a": clouds(4, 6, 0.5, 3), "b": clouds(2, 5, 0.8, 4)}
+    out = vectors.average_linkage(frame(spark, groups), ["g"], "id", "v", 0.4)
+    assert "FlatMapGroups" not in plan(out)
+    assert {(r["g"], r["id"]): r["cluster"] for r in out.collect()} == {(g, i): c for g, m in groups.items() for i, c in brute_linkage(m, 0.4).items()}
+
+
+def test_linkage_looks_anew_only_where_something_merged(monkeypatch):
+    """The chain of nearest neighbours took one product of all rows for each step, some three a row; rounds take few."""
+    m = clouds(40, 10, 0.4, 5)
+    calls = []
+    find = np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda *a, **k: calls.append(len(a[1])) or find(*a, **k))
+    label = vectors.upgma(m, 0.5)
+    assert len(calls) < 60 and sum(calls) < 4 * len(m) and len(set(label.tolist())) > 10
+
+
+def test_members_are_stored_once(spark, monkeypatch):
+    """Members near their medoid, and the clusters found, are read by several steps and stored for them."""
+    seen = []
+    monkeypatch.setattr(sentences, "materialize", lambda df, label: seen.append(label) or materialize(df, label))
+    stats, tags = sentences.sentence_clusters(plans.fx_turns(spark, DATA), ["world"], threshold=0.45)
+    assert seen.count("near") == seen.count("found") == 1
+    assert "FlatMapGroups" not in plan(tags) and "FlatMapGroups" not in plan(stats)

@@ -97,3 +97,14 @@ def test_members_are_stored_once(spark, monkeypatch):
     stats, tags = sentences.sentence_clusters(plans.fx_turns(spark, DATA), ["world"], threshold=0.45)
     assert seen.count("near") == seen.count("found") == 1
     assert "FlatMapGroups" not in plan(tags) and "FlatMapGroups" not in plan(stats)
+
+def test_distribution_with_equal_values_and_many_passes(spark, monkeypatch):
+    """Each pass tells bins by the same rule, also where most similarities are equal; a first pass writes bins, not values."""
+    m = np.concatenate([np.eye(5)[np.arange(40) % 5], clouds(3, 10, 0.2, 6, 5)])
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    want = np.quantile((u @ u.T)[np.triu_indices(70, 1)], [0, 0.25, 0.5, 0.75, 1])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, v array<double>")
+    monkeypatch.setattr(np, "histogram", None)  # a search for the bin of each value before
+    for block, bins, few in ((2000, 4096, 100_000), (16, 8, 3)):
+        monkeypatch.setattr(vectors, "BLOCK", block)
+        assert np.allclose(vectors.similarity_distribution(df, "id", "v", bins=bins, few=few), want, atol=1e-9)

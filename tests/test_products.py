@@ -61,6 +61,30 @@ def test_vectors_are_no_keys(spark):
     joins = [x for x in plan(vectors.threshold_components(rows, ["g"], 0.9)).split("\n") if "Join" in x]
     assert joins and not any(f" {c}#" in x or f"({c}#" in x for x in joins for c in "v")
 
+@pytest.mark.parametrize("block, cached", [(2000, 512), (16, 5)])
+def test_nearest_and_trees_of_a_pair_of_blocks(monkeypatch, block, cached):
+    monkeypatch.setattr(vectors, "BLOCK", block)
+    monkeypatch.setattr(vectors, "CACHED", cached)
+    m = clouds(5, 16, 0.4, 2) * np.linspace(0.5, 3, 80)[:, None]
+    own, n, k = np.arange(80) % 2, np.arange(80) % 3 + 1, 5
+    full = np.round(np.linalg.norm(m[:, None] - m[None], axis=2), density.DIGITS)
+    np.fill_diagonal(full, np.inf)
+    for lo, hi in ((0, 0), (0, 1)):
+        within = (own[:, None] == lo) & (own[None] == hi)
+        far = np.where(within | within.T, full, np.inf)
+        best, mass = density.nearest_rows(m, n, own, lo, hi, k)
+        assert np.allclose(best, np.sort(far, axis=1)[:, :k], atol=1e-9)
+        i, j = np.nonzero(np.isfinite(best))
+        assert all(mass[x, y] in n[np.abs(far[x] - best[x, y]) < 1e-9] for x, y in zip(i, j))
+        core = np.stack([np.linspace(0.1, 1.5, 80), np.where(np.arange(80) < 8, np.nan, 0.4)], axis=1)
+        for c, tree in enumerate(density.block_trees(m, core, own, lo, hi)):
+            own_core = core[:, c]
+            links = [(max(far[x, y], own_core[x], own_core[y]), x, y) for x in range(80) for y in range(x) if far[x, y] < np.inf and not np.isnan(own_core[x] + own_core[y])]
+            for cut in np.quantile([x for x, _, _ in links], [0.02, 0.1, 0.3, 1.0]):
+                mine = [(a, b) for a, b, d in zip(*(x.tolist() for x in tree), strict=True) for d in [max(d, own_core[a], own_core[b])] if d <= cut]
+                assert labels(mine, 80) == labels([(x, y) for d, x, y in links if d <= cut], 80)
+
+
 def brute_linkage(m, cut):
     groups = [[i] for i in range(len(m))]
     while len(groups) > 1:

@@ -61,6 +61,7 @@ def test_vectors_are_no_keys(spark):
     joins = [x for x in plan(vectors.threshold_components(rows, ["g"], 0.9)).split("\n") if "Join" in x]
     assert joins and not any(f" {c}#" in x or f"({c}#" in x for x in joins for c in "v")
 
+
 @pytest.mark.parametrize("block, cached", [(2000, 512), (16, 5)])
 def test_nearest_and_trees_of_a_pair_of_blocks(monkeypatch, block, cached):
     monkeypatch.setattr(vectors, "BLOCK", block)
@@ -122,6 +123,7 @@ def test_members_are_stored_once(spark, monkeypatch):
     assert seen.count("near") == seen.count("found") == 1
     assert "FlatMapGroups" not in plan(tags) and "FlatMapGroups" not in plan(stats)
 
+
 def test_distribution_with_equal_values_and_many_passes(spark, monkeypatch):
     """Each pass tells bins by the same rule, also where most similarities are equal; a first pass writes bins, not values."""
     m = np.concatenate([np.eye(5)[np.arange(40) % 5], clouds(3, 10, 0.2, 6, 5)])
@@ -132,3 +134,27 @@ def test_distribution_with_equal_values_and_many_passes(spark, monkeypatch):
     for block, bins, few in ((2000, 4096, 100_000), (16, 8, 3)):
         monkeypatch.setattr(vectors, "BLOCK", block)
         assert np.allclose(vectors.similarity_distribution(df, "id", "v", bins=bins, few=few), want, atol=1e-9)
+
+
+def test_rebuild_normalises_a_term_once(spark, monkeypatch):
+    rows = [("topic", "Red-Hot Boxes"), ("topic", "Red-Hot Boxes"), ("brand", "The Acmes"), ("cta", "Link in Bios"), ("cta", "Red-Hot Boxes"), ("music_author", "")]
+    df = materialize(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, facet string, raw_term string"), "terms")
+    once = terms.with_norm_once(df)
+    assert "split(" not in plan(once)
+    key = lambda d: sorted(tuple(r) for r in d.select("id", "facet", "raw_term", "norm_term", "canon_term").collect())
+    assert key(once) == key(terms.with_norm(df)) and once.columns == terms.with_norm(df).columns
+    made = []
+    extract = terms.extract_terms
+    monkeypatch.setattr(composed.terms, "extract_terms", lambda *a, **k: made.append(extract(*a, **k)) or made[-1])
+    seen = []
+
+    def stored(df, label):
+        text = plan(df)
+        seen.append((label, "posexplode(_all#" in text, "l_orderkey#" in text))
+        return materialize(df, label)
+
+    for module in (composed, vectors, sentences, composed.stats, composed.passes, terms):
+        monkeypatch.setattr(module, "materialize", stored)
+    composed.rebuild(plans.fx_described(spark, DATA))
+    assert [x for x, opened, _ in seen if opened] == ["terms"] and [x for x, _, lines in seen if lines] == ["posts"]
+    assert len(made) == 1
